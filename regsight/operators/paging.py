@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regsight.session import cut_lineage
+
 
 @dataclass
 class Page:
@@ -62,32 +64,40 @@ def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[
     comments of the submission just before, when that one was rejected.
 
     Equivalent to ``row_number() > 1`` and ``lag(comments if rejected)`` over
-    ``partitionBy(group_cols).orderBy(order_cols)``; ``order_cols`` must be
-    unique within a group.
+    ``partitionBy(group_cols).orderBy(order_cols)``; ``group_cols`` +
+    ``order_cols`` must identify a row.
+
+    A plain window would put a hot group into one task. Here the narrow key
+    columns are range partitioned on group *and* order, so a hot group spans
+    several pieces; the piece id is materialised by a reliable checkpoint
+    (both branches below must see the same pieces), each piece is windowed
+    on its own, and the first row of a piece takes its predecessor from a
+    per-piece summary (at most one row per piece and group). The flags are
+    joined back on the row key.
     """
     spark = df.sparkSession
     n = num_pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group_cols, *order_cols]
     rc = F.when(F.col(status_col) == rejected, F.col(comments_col))
-    ranged = (df.repartitionByRange(n, *group_cols, *order_cols)
-              .withColumn("_piece", F.spark_partition_id())
-              .withColumn("_rc", rc))
+    narrow = df.select(*keys, rc.alias("_rc"))
+    ranged = cut_lineage(narrow.repartitionByRange(n, *keys)
+                         .withColumn("_piece", F.spark_partition_id()))
     w = Window.partitionBy("_piece", *group_cols).orderBy(*order_cols)
     local = (ranged.withColumn("_rn", F.row_number().over(w))
              .withColumn("_lag_rc", F.lag("_rc").over(w)))
-    # per piece: its last row's rejected comment; then the previous piece of the group
     last = F.max(F.struct(*[F.col(c) for c in order_cols], F.col("_rc").alias("_v")))
     pieces = ranged.groupBy("_piece", *group_cols).agg(last["_v"].alias("_last_rc"))
     wp = Window.partitionBy(*group_cols).orderBy("_piece")
     pieces = pieces.select("_piece", *group_cols,
                            F.lag("_piece").over(wp).isNotNull().alias("_has_prev"),
                            F.lag("_last_rc").over(wp).alias("_prev_rc"))
-    joined = local.join(pieces, ["_piece", *group_cols], "left")
     first_in_piece = F.col("_rn") == 1
-    return (joined
-            .withColumn("is_resubmission", ~first_in_piece | F.col("_has_prev"))
-            .withColumn("previous_rejection_comments",
-                        F.when(first_in_piece, F.col("_prev_rc")).otherwise(F.col("_lag_rc")))
-            .drop("_piece", "_rc", "_rn", "_lag_rc", "_has_prev", "_prev_rc"))
+    flags = (local.join(pieces, ["_piece", *group_cols], "left")
+             .select(*keys,
+                     (~first_in_piece | F.col("_has_prev")).alias("is_resubmission"),
+                     F.when(first_in_piece, F.col("_prev_rc")).otherwise(F.col("_lag_rc"))
+                     .alias("previous_rejection_comments")))
+    return df.join(flags, keys, "left")
 
 
 # L1 ------------------------------------------------------------------------
