@@ -285,7 +285,7 @@ def j5(spark, d):
 
 # --- A: aggregations ---------------------------------------------------------
 def _accepted_producer_lines(spark, d):
-    subs = V.submissions(spark, d, kind="Producer").filter(F.col("status") == V.STATUS_ACCEPTED)
+    subs = V.submissions(spark, d, kind="Producer", statuses=[V.STATUS_ACCEPTED])
     orgs = V.organisations(spark, d).select("organisation_id", "organisation_type",
                                             "num_days_obligated")
     lines = V.pom_lines(spark, d, J.enrich_submissions(subs, orgs))

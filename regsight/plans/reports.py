@@ -54,9 +54,20 @@ def submitter_type(org_type_col: str = "organisation_type"):
             .otherwise(F.lit("DirectRegistrant")))
 
 
-def with_history(subs: DataFrame) -> DataFrame:
-    """W2 over submissions: resubmission flag and previous rejection comments."""
-    return W.resubmission_history(subs, HISTORY_GROUP, HISTORY_ORDER, "status", "comments")
+def with_history(subs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """W2 over submissions: resubmission flag and previous rejection comments.
+
+    With ``ids`` (a frame of requested submission ids) the result keeps only
+    those submissions, and the history is computed only over the
+    (organisation, year) groups they belong to: exact, since W2 never looks
+    outside a group.
+    """
+    if ids is not None:
+        wanted = FL.filter_key(subs, "submission_id", ids)
+        groups = wanted.select(*HISTORY_GROUP).distinct()
+        subs = subs.join(groups, HISTORY_GROUP, "left_semi")
+    out = W.resubmission_history(subs, HISTORY_GROUP, HISTORY_ORDER, "status", "comments")
+    return FL.filter_key(out, "submission_id", ids) if ids is not None else out
 
 
 def decisions_from_events(spark: SparkSession, sf_dir: str, with_required: bool = True) -> DataFrame:
@@ -76,7 +87,7 @@ def last_sync_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Q3 ------------------------------------------------------------------------
 def _approved_lines(spark, sf_dir, subs: DataFrame, types, materials,
                     org_size=None) -> DataFrame:
-    orgs = V.organisations(spark, sf_dir).select(
+    orgs = V.organisations(spark, sf_dir, size=org_size).select(
         "organisation_id", "organisation_type", "organisation_size", "num_days_obligated")
     orgs = FL.filter_optional_eq(orgs, "organisation_size", org_size)
     enriched = J.enrich_submissions(subs, orgs)
@@ -98,7 +109,8 @@ def approved_submissions(spark: SparkSession, sf_dir: str, approved_after="2024-
     """Q3: approved weights of large organisations for the reported periods."""
     if periods is None:
         periods = P.periods_for_year(P.derive_period_year(as_of))
-    subs = V.submissions(spark, sf_dir, years=_years_of_periods(periods), kind="Producer")
+    subs = V.submissions(spark, sf_dir, years=_years_of_periods(periods), kind="Producer",
+                         statuses=[V.STATUS_ACCEPTED])
     subs = subs.filter(F.col("status") == V.STATUS_ACCEPTED)
     subs = FL.filter_csv(subs, "submission_period", periods)
     subs = FL.filter_approved_after(subs, "submitted_at", approved_after)
@@ -113,7 +125,8 @@ def approved_submissions_by_year(spark: SparkSession, sf_dir: str, period_year:
                                  as_of: dt.date = dt.date(2026, 6, 1)) -> DataFrame:
     """Q4: approved weights for one year (no date or size filter)."""
     year = int(period_year) if period_year is not None else P.derive_period_year(as_of)
-    subs = V.submissions(spark, sf_dir, years=[year], kind="Producer")
+    subs = V.submissions(spark, sf_dir, years=[year], kind="Producer",
+                         statuses=[V.STATUS_ACCEPTED])
     subs = subs.filter((F.col("status") == V.STATUS_ACCEPTED) & (F.col("submission_year") == year))
     lines = _approved_lines(spark, sf_dir, subs, types, materials)
     return A.approved_weights_by_year(lines)
@@ -227,10 +240,7 @@ def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
 
 # Q5 / Q6 -------------------------------------------------------------------
 def _registration_rows(spark, sf_dir, years=None, ids: DataFrame | None = None) -> DataFrame:
-    subs = V.submissions(spark, sf_dir, years=years, kind="Registration")
-    subs = with_history(subs)
-    if ids is not None:
-        subs = FL.filter_key(subs, "submission_id", ids)
+    subs = with_history(V.submissions(spark, sf_dir, years=years, kind="Registration"), ids)
     rows = J.enrich_submissions(subs, V.organisations(spark, sf_dir), V.persons(spark, sf_dir))
     decided = F.col("status") != V.STATUS_PENDING
     decision_date = F.date_format(F.col("submitted_at") + F.expr("INTERVAL 14 DAYS"), SUBMITTED_TEXT)
@@ -322,8 +332,7 @@ def resubmission_pay_parameters(spark: SparkSession, sf_dir: str,
                                 compliance_scheme_id: int | None = None) -> DataFrame:
     """Q7: pay parameters of POM resubmissions plus the readiness outcome."""
     requested = requested if requested is not None else requested_from_events(spark, sf_dir)
-    subs = with_history(V.submissions(spark, sf_dir, kind="Producer"))
-    subs = FL.filter_key(subs, "submission_id", requested)
+    subs = with_history(V.submissions(spark, sf_dir, kind="Producer"), requested)
     orgs = V.organisations(spark, sf_dir).select("organisation_id", "organisation_type", "nation_code")
     subs = J.enrich_submissions(subs, orgs)
     subs = subs.withColumn("compliance_scheme_id",
@@ -472,7 +481,8 @@ def period_description(period_col: str = "submission_period"):
 def paycal_poms(spark: SparkSession, sf_dir: str, relative_year: int = 2026) -> DataFrame:
     """Q15: accepted POM lines of the year before the relative year."""
     year = FL.validate_relative_year(relative_year)
-    subs = V.submissions(spark, sf_dir, years=[year - 1], kind="Producer")
+    subs = V.submissions(spark, sf_dir, years=[year - 1], kind="Producer",
+                         statuses=[V.STATUS_ACCEPTED])
     subs = FL.filter_relative_year(subs, "submission_year", year, 1)
     subs = subs.filter(F.col("status") == V.STATUS_ACCEPTED)
     lines = V.pom_lines(spark, sf_dir, subs)

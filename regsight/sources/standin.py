@@ -80,18 +80,38 @@ def _year_range_predicate(years) -> Column | None:
     return pred
 
 
+def _status_predicate(statuses) -> Column:
+    """Raw ``o_orderstatus`` predicate selecting the given submission statuses."""
+    raw = {STATUS_ACCEPTED: "F", STATUS_PENDING: "O"}
+    wanted = set(statuses)
+    unknown = wanted - {STATUS_ACCEPTED, STATUS_PENDING, STATUS_REJECTED}
+    if unknown:
+        raise ValueError(f"unknown submission status {sorted(unknown)}")
+    codes = [raw[s] for s in sorted(wanted) if s in raw]
+    col = F.col("o_orderstatus")
+    pred = col.isin(*codes) if codes else F.lit(False)
+    if STATUS_REJECTED in wanted:
+        pred = pred | ~col.isin("F", "O") | col.isNull()
+    return pred
+
+
 def submissions(spark: SparkSession, sf_dir: str, years=None,
-                kind: str | None = None) -> DataFrame:
+                kind: str | None = None, statuses=None) -> DataFrame:
     """One row per submission (``orders``).
 
     columns: submission_id, file_id, organisation_id, submission_type, status,
     submitted_at, submission_year, submission_period, comments, person_id
+
+    ``years``, ``kind`` and ``statuses`` are applied as predicates on the raw
+    columns, so they reach the parquet scan as pushed filters.
     """
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus",
                                                   "o_orderdate", "o_orderpriority"])
     if years is not None:
         pred = _year_range_predicate(years)
         orders = orders.filter(pred if pred is not None else F.lit(False))
+    if statuses is not None:
+        orders = orders.filter(_status_predicate(statuses))
     is_registration = F.col("o_orderpriority").isin(*REGISTRATION_PRIORITIES)
     if kind == "Registration":
         orders = orders.filter(is_registration)
@@ -119,10 +139,17 @@ def submissions(spark: SparkSession, sf_dir: str, years=None,
     )
 
 
-def organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per organisation (``customer`` joined to ``nation`` and ``region``)."""
+def organisations(spark: SparkSession, sf_dir: str, size: str | None = None) -> DataFrame:
+    """One row per organisation (``customer`` joined to ``nation`` and ``region``).
+
+    ``size`` keeps one size code, as a pushed predicate on the raw segment.
+    """
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey",
                                                       "c_acctbal", "c_mktsegment"])
+    if size is not None:
+        segments = [seg for seg, code in SIZE_BY_SEGMENT if code == size]
+        customer = customer.filter(F.col("c_mktsegment").isin(*segments) if segments
+                                   else F.lit(False))
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
