@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # runtime bloom filters prune the large side of a selective join before its shuffle
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # remove reliable-checkpoint files once the DataFrame that owns them is gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
