@@ -15,14 +15,25 @@ from regsight.functions.scalar import fold_flag
 DEFAULT_BROADCAST_ROWS = 200_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
 
-    The check is ``limit(max_rows + 1).count()``: a job that stops reading
-    once the bound is exceeded, so its cost is bounded too.
+    ``limit(max_rows + 1).count()`` stops reading once the bound is
+    exceeded, so the check itself has a bounded cost on a plain scan.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      bound_from: DataFrame | None = None) -> DataFrame:
+    """``broadcast(df)`` if it provably has at most ``max_rows`` rows, else ``df``.
+
+    ``bound_from`` is a frame with at least as many rows as ``df`` (for
+    example its input before de-duplication); checking it is cheaper when
+    ``df`` itself ends in an aggregation.
+    """
+    probe = bound_from if bound_from is not None else df
+    return F.broadcast(df) if has_at_most(probe, max_rows) else df
 
 
 def latest_per_key(df: DataFrame, key: str, order_cols: list[str], value_cols: list[str]) -> DataFrame:
@@ -50,12 +61,14 @@ def overlay_decisions(df: DataFrame, delta: DataFrame, key: str = "file_id",
     stored one.
     """
     overlay_cols = list(overlay_cols)
+    raw = delta
     if order_cols:
         delta = latest_per_key(delta, key, order_cols, overlay_cols)
     else:
         delta = delta.select(key, *overlay_cols).dropDuplicates([key])
     renamed = delta.select(key, *[F.col(c).alias(f"_new_{c}") for c in overlay_cols])
-    side = bounded_broadcast(renamed, max_broadcast_rows)
+    # one row per key after de-duplication, so the raw delta's size bounds it
+    side = bounded_broadcast(renamed, max_broadcast_rows, bound_from=raw)
     joined = df.join(side, key, "left")
     return joined.select(
         *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in overlay_cols else F.col(c)

@@ -15,11 +15,17 @@ from regsight.operators import project as PR
 
 # J ---------------------------------------------------------------------------
 def test_bounded_broadcast(spark):
-    small = spark.range(5)
-    assert "ResolvedHint" in small.transform(J.bounded_broadcast)._jdf.queryExecution().analyzed().toString() \
-        or J.bounded_broadcast(small, 10) is not small
+    assert J.has_at_most(spark.range(5), 10) and not J.has_at_most(spark.range(50), 10)
     big = spark.range(50)
     assert J.bounded_broadcast(big, 10) is big
+    small = J.bounded_broadcast(spark.range(5).withColumnRenamed("id", "k"), 10)
+    fact = spark.range(1000).withColumnRenamed("id", "k")
+    plan = fact.join(small, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    # the bound may come from a larger frame (input before de-duplication)
+    few = big.limit(5)
+    assert J.bounded_broadcast(few, 10, bound_from=big) is few
+    assert J.bounded_broadcast(few, 10, bound_from=spark.range(8)) is not few
 
 
 def test_overlay_last_entry_wins_and_unmatched_ignored(spark):
