@@ -247,10 +247,16 @@ def q6() -> str:
         "company_details_file_id": "file_id",
         "company_details_file_name": "'company_details_' || CAST(submission_id AS VARCHAR) || '.csv'",
         "company_details_blob_name": "file_id",
+        "number_of_subsidiaries": "number_of_subsidiaries",
+        "number_of_online_subsidiaries": "number_of_online_subsidiaries",
+        "number_of_subsidiaries_closed_loop_recycling": "number_of_subsidiaries_closed_loop_recycling",
     })
     return _with(
         ("hist", _hist("(SELECT * FROM sub WHERE submission_type = 'Registration')")),
-        ("j", "SELECT * FROM hist JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)"),
+        ("c", _fee_counts("number_of_online_subsidiaries",
+                          "number_of_subsidiaries_closed_loop_recycling")),
+        ("j", """SELECT * FROM hist JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)
+                 LEFT JOIN c USING (file_id, organisation_id)"""),
     ) + f"SELECT {schemas.sql_select_list(schemas.ORGANISATION_REGISTRATION_DETAIL, provided)} FROM j"
 
 

@@ -305,6 +305,17 @@ def organisation_registration_detail(spark: SparkSession, sf_dir: str,
                               ids=submission_id if isinstance(submission_id, DataFrame) else None)
     if single:
         rows = FL.filter_key(rows, "submission_id", submission_id)
+    # subsidiary counts of the registration file (A4), per file and organisation
+    files = V.submissions(spark, sf_dir, kind="Registration")
+    if isinstance(submission_id, DataFrame):
+        files = FL.filter_key(files, "submission_id", submission_id)
+    elif single:
+        files = FL.filter_key(files, "submission_id", submission_id)
+    counts = A.fee_counts(V.pom_lines(spark, sf_dir, files), ["file_id", "organisation_id"],
+                          "subsidiary_key",
+                          {"number_of_online_subsidiaries": "is_online_marketplace_line",
+                           "number_of_subsidiaries_closed_loop_recycling": "is_closed_loop_line"}, {})
+    rows = rows.join(counts, ["file_id", "organisation_id"], "left")
     rows = rows.select(
         "*",
         F.lit(False).alias("is_late_submission"),
