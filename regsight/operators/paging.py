@@ -101,19 +101,58 @@ def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[
 
 
 # L1 ------------------------------------------------------------------------
-def page_rows(df: DataFrame, order_cols: list, page: int, size: int) -> DataFrame:
+DEEP_PAGE_ROWS = 100_000  # above this offset + size, pages are cut out distributed
+
+
+def page_rows(df: DataFrame, order_cols: list, page: int, size: int,
+              deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
     """Rows of page ``page`` (1-based) of size ``size`` in ``order_cols`` order.
 
-    Planned as ``TakeOrderedAndProject`` with an offset: every task keeps at
-    most ``page * size`` rows, so the cost is bounded by the page depth.
+    Shallow pages are planned as ``TakeOrderedAndProject`` with an offset:
+    every task keeps its best ``offset + size`` rows. Deeper pages (the last
+    page of a clamped list can be billions of rows deep) use
+    ``deep_page_rows``, which never gathers more than one page in a task.
     """
     _validate_page(page, size)
-    return df.orderBy(*order_cols).offset((int(page) - 1) * int(size)).limit(int(size))
-
-
-def page_plain(df: DataFrame, order_cols: list, page: int, size: int) -> Page:
+    start = (int(page) - 1) * int(size)
+    if start + int(size) <= deep_threshold:
+        return df.orderBy(*order_cols).offset(start).limit(int(size))
+    return deep_page_rows(df, order_cols, start, int(size))
+
+
+def deep_page_rows(df: DataFrame, order_cols: list, start: int, size: int,
+                   num_partitions: int | None = None) -> DataFrame:
+    """Rows ``start + 1 .. start + size`` of ``df`` in ``order_cols`` order, distributed.
+
+    Range partitioning puts contiguous slices of the order in partitions
+    ``0..n-1``; the partition id is materialised by a reliable checkpoint so
+    that the row numbers and the per-partition counts below see the same
+    partitions. The global position of a row is the number of rows in
+    earlier partitions plus its position in its own partition. The
+    per-partition counts have one row per partition, a proven bound, so
+    they are broadcast. ``order_cols`` must end in a unique key.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order_cols)
+                         .withColumn("_pid", F.spark_partition_id()))
+    local = ranged.withColumn("_pos", F.row_number().over(
+        Window.partitionBy("_pid").orderBy(*order_cols)))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("_before"))
+    pos = F.col("_before") + F.col("_pos")
+    return (local.join(F.broadcast(before), "_pid")
+            .filter((pos > start) & (pos <= start + size))
+            .orderBy(*order_cols)
+            .drop("_pid", "_pos", "_before"))
+
+
+def page_plain(df: DataFrame, order_cols: list, page: int, size: int,
+               deep_threshold: int = DEEP_PAGE_ROWS) -> Page:
     """L1: page number echoed unchanged; past the end -> no rows and total 0."""
-    rows = page_rows(with_total_items(df), order_cols, page, size)
+    rows = page_rows(with_total_items(df), order_cols, page, size, deep_threshold)
     return Page(rows, int(page), int(size))
 
 
@@ -125,12 +164,14 @@ def clamp_page(page: int, size: int, total: int) -> int:
     return max(1, last if page > last else max(1, page))
 
 
-def page_clamped(df: DataFrame, order_cols: list, page: int, size: int) -> Page:
+def page_clamped(df: DataFrame, order_cols: list, page: int, size: int,
+                 deep_threshold: int = DEEP_PAGE_ROWS) -> Page:
     """L2: count first, clamp on the driver, then fetch the clamped page."""
     _validate_page(max(1, int(page)), size)
     total = df.count()
     current = clamp_page(int(page), int(size), total)
-    rows = page_rows(df, order_cols, current, size).withColumn("total_items", F.lit(total).cast("int"))
+    rows = page_rows(df, order_cols, current, size, deep_threshold) \
+        .withColumn("total_items", F.lit(total).cast("int"))
     return Page(rows, current, int(size), int(total))
 
 

@@ -160,6 +160,21 @@ def test_page_clamped_fetches_last_page(spark):
     assert [r.k for r in page.items.collect()] == list(range(20, 30))
 
 
+@pytest.mark.parametrize("page,size", [(1, 7), (3, 7), (14, 7), (15, 7), (40, 3)])
+def test_deep_page_path_equals_shallow(spark, page, size):
+    df = spark.createDataFrame([(i % 9, i) for i in range(100)], "g int, id int")
+    order = [F.col("g").desc(), F.col("id").asc()]
+    shallow = [tuple(r) for r in W.page_rows(df, order, page, size).collect()]
+    deep = [tuple(r) for r in W.page_rows(df, order, page, size, deep_threshold=0).collect()]
+    assert deep == shallow
+
+
+def test_page_clamped_deep(spark):
+    df = spark.range(95).withColumnRenamed("id", "k")
+    page = W.page_clamped(df, ["k"], 1000, 10, deep_threshold=0)
+    assert page.current_page == 10 and [r.k for r in page.items.collect()] == list(range(90, 95))
+
+
 def test_page_size_zero_rejected(spark):
     with pytest.raises(ValueError):
         W.page_plain(spark.range(3), ["id"], 1, 0)
