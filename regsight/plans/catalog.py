@@ -168,13 +168,13 @@ def f3(spark, d):
 
 
 def f4(spark, d):
-    subs = V.submissions(spark, d)
+    subs = V.submissions(spark, d, submitted_between=(F4_AFTER, None))
     return FL.filter_approved_after(subs, "submitted_at", F4_AFTER).select(
         "submission_id", "submitted_at")
 
 
 def f5(spark, d):
-    subs = V.submissions(spark, d, years=[2025])
+    subs = V.submissions(spark, d, years=[2025], submitted_between=(F5_FROM, F5_TO))
     return FL.filter_delta_window(subs, "submitted_at", F5_FROM, F5_TO).select(
         "submission_id", "submitted_at")
 

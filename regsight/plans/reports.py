@@ -110,7 +110,7 @@ def approved_submissions(spark: SparkSession, sf_dir: str, approved_after="2024-
     if periods is None:
         periods = P.periods_for_year(P.derive_period_year(as_of))
     subs = V.submissions(spark, sf_dir, years=_years_of_periods(periods), kind="Producer",
-                         statuses=[V.STATUS_ACCEPTED])
+                         statuses=[V.STATUS_ACCEPTED], submitted_between=(approved_after, None))
     subs = subs.filter(F.col("status") == V.STATUS_ACCEPTED)
     subs = FL.filter_csv(subs, "submission_period", periods)
     subs = FL.filter_approved_after(subs, "submitted_at", approved_after)
@@ -411,7 +411,7 @@ def actual_submission_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _updated_organisations(spark, sf_dir, start, end) -> DataFrame:
     lo, hi = (dt.datetime.fromisoformat(str(start)), dt.datetime.fromisoformat(str(end)))
     years = list(range(lo.year, hi.year + 1)) if lo <= hi else []
-    subs = V.submissions(spark, sf_dir, years=years)
+    subs = V.submissions(spark, sf_dir, years=years, submitted_between=(start, end))
     subs = FL.filter_delta_window(subs, "submitted_at", start, end)
     latest = J.latest_per_key(subs, "organisation_id", ["submitted_at", "submission_id"],
                               ["submitted_at", "status"])

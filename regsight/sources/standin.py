@@ -95,15 +95,36 @@ def _status_predicate(statuses) -> Column:
     return pred
 
 
+def _submitted_range_predicate(lo: str | None, hi: str | None) -> Column | None:
+    """Raw ``o_orderdate`` range that contains every row whose shifted date is in [lo, hi].
+
+    The shift adds whole years; month-end clamping (29 February) moves a date
+    by at most a day, so the raw bounds are widened by two days. The exact
+    predicate on the shifted column is applied by the caller.
+    """
+    pred = None
+    if lo is not None:
+        pred = F.col("o_orderdate") >= (ts_ntz(str(lo)) - F.make_ym_interval(F.lit(YEAR_SHIFT))
+                                        - F.expr("INTERVAL 2 DAYS"))
+    if hi is not None:
+        upper = F.col("o_orderdate") <= (ts_ntz(str(hi)) - F.make_ym_interval(F.lit(YEAR_SHIFT))
+                                         + F.expr("INTERVAL 2 DAYS"))
+        pred = upper if pred is None else pred & upper
+    return pred
+
+
 def submissions(spark: SparkSession, sf_dir: str, years=None,
-                kind: str | None = None, statuses=None) -> DataFrame:
+                kind: str | None = None, statuses=None,
+                submitted_between: tuple[str | None, str | None] | None = None) -> DataFrame:
     """One row per submission (``orders``).
 
     columns: submission_id, file_id, organisation_id, submission_type, status,
     submitted_at, submission_year, submission_period, comments, person_id
 
-    ``years``, ``kind`` and ``statuses`` are applied as predicates on the raw
-    columns, so they reach the parquet scan as pushed filters.
+    ``years``, ``kind``, ``statuses`` and ``submitted_between`` are applied as
+    predicates on the raw columns, so they reach the parquet scan as pushed
+    filters (``submitted_between`` is a superset hint; filter the exact range
+    on ``submitted_at``).
     """
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus",
                                                   "o_orderdate", "o_orderpriority"])
@@ -112,6 +133,10 @@ def submissions(spark: SparkSession, sf_dir: str, years=None,
         orders = orders.filter(pred if pred is not None else F.lit(False))
     if statuses is not None:
         orders = orders.filter(_status_predicate(statuses))
+    if submitted_between is not None:
+        pred = _submitted_range_predicate(*submitted_between)
+        if pred is not None:
+            orders = orders.filter(pred)
     is_registration = F.col("o_orderpriority").isin(*REGISTRATION_PRIORITIES)
     if kind == "Registration":
         orders = orders.filter(is_registration)
