@@ -91,7 +91,7 @@ def _approved_lines(spark, sf_dir, subs: DataFrame, types, materials,
         "organisation_id", "organisation_type", "organisation_size", "num_days_obligated")
     orgs = FL.filter_optional_eq(orgs, "organisation_size", org_size)
     enriched = J.enrich_submissions(subs, orgs)
-    lines = V.pom_lines(spark, sf_dir, enriched)
+    lines = V.pom_lines(spark, sf_dir, enriched, subs_bound=subs)
     lines = FL.filter_csv(lines, "packaging_type", types)
     lines = FL.filter_csv(lines, "packaging_material", materials)
     return lines.select(
@@ -496,7 +496,7 @@ def paycal_poms(spark: SparkSession, sf_dir: str, relative_year: int = 2026) ->
                          statuses=[V.STATUS_ACCEPTED])
     subs = FL.filter_relative_year(subs, "submission_year", year, 1)
     subs = subs.filter(F.col("status") == V.STATUS_ACCEPTED)
-    lines = V.pom_lines(spark, sf_dir, subs)
+    lines = V.pom_lines(spark, sf_dir, subs, subs_bound=subs)
     rows = lines.select(
         "*",
         period_description().alias("submission_period_description"),

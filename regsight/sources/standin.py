@@ -245,13 +245,24 @@ def submission_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None) -> DataFrame:
+SUBMISSION_BROADCAST_ROWS = 1_000_000
+
+
+def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None,
+              subs_bound: DataFrame | None = None) -> DataFrame:
     """Packaging lines (``lineitem`` joined to its submission and ``part``).
 
     ``subs`` lets a report pass an already-filtered submission frame so the
-    filter is applied before the large join.
+    filter is applied before the large join. ``subs_bound`` is a frame with
+    at least as many rows as ``subs`` (typically the filtered scan before
+    further joins): when it proves ``subs`` small, the submission side is
+    broadcast and ``lineitem`` streams through without a shuffle; otherwise
+    the join is left to the planner (shuffle join, AQE).
     """
     subs = subs if subs is not None else submissions(spark, sf_dir)
+    if subs_bound is not None:
+        from regsight.operators.joins import bounded_broadcast
+        subs = bounded_broadcast(subs, SUBMISSION_BROADCAST_ROWS, bound_from=subs_bound)
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey",
                                                 "l_linenumber", "l_quantity", "l_tax",
                                                 "l_returnflag"])
