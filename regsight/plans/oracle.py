@@ -203,7 +203,7 @@ def _registration_provided() -> dict[str, str]:
         "organisation_name": "organisation_name", "organisation_reference": "organisation_reference",
         "submission_status": "status",
         "status_pending_date": f"CASE WHEN status = 'Pending' THEN {sub_text} END",
-        "application_reference_number": "'PEPR' || lpad(CAST(submission_id AS VARCHAR), 8, '0')",
+        "application_reference_number": "'APP' || lpad(CAST(submission_id AS VARCHAR), 8, '0')",
         "registration_reference_number": ("CASE WHEN status = 'Accepted' THEN 'R' || "
                                           "CAST(submission_year AS VARCHAR) || "
                                           "lpad(CAST(organisation_id AS VARCHAR), 6, '0') END"),
@@ -339,7 +339,7 @@ def _updated(schema, extra: dict[str, str]) -> str:
         "organisation_type": "organisation_type",
         "companies_house_number": "companies_house_number",
         "country": "country", "postcode": "postcode",
-        "peprid": "'EPR' || lpad(CAST(organisation_id AS VARCHAR), 8, '0')",
+        "peprid": "'PRD' || lpad(CAST(organisation_id AS VARCHAR), 8, '0')",
         "status": "status", "business_country": "business_country",
         "updated_date_time": "submitted_at",
     }

@@ -253,7 +253,7 @@ def _registration_rows(spark, sf_dir, years=None, ids: DataFrame | None = None)
         .otherwise(F.lit("DirectSmallProducer")).alias("registration_journey"),
         F.col("status").alias("submission_status"),
         F.when(F.col("status") == V.STATUS_PENDING, submitted_text).alias("status_pending_date"),
-        F.concat(F.lit("PEPR"), F.lpad(F.col("submission_id").cast("string"), 8, "0"))
+        F.concat(F.lit("APP"), F.lpad(F.col("submission_id").cast("string"), 8, "0"))
         .alias("application_reference_number"),
         F.when(F.col("status") == V.STATUS_ACCEPTED,
                F.concat(F.lit("R"), F.col("submission_year").cast("string"),
@@ -419,7 +419,7 @@ def _updated_organisations(spark, sf_dir, start, end) -> DataFrame:
     return rows.select(
         "*",
         F.col("submitted_at").alias("updated_date_time"),
-        F.concat(F.lit("EPR"), F.lpad(F.col("organisation_id").cast("string"), 8, "0"))
+        F.concat(F.lit("PRD"), F.lpad(F.col("organisation_id").cast("string"), 8, "0"))
         .alias("peprid"),
     )
 
