@@ -132,6 +132,34 @@ def approved_submissions_by_year(spark: SparkSession, sf_dir: str, period_year:
     return A.approved_weights_by_year(lines)
 
 
+INVALID_DATETIME = "Invalid datetime provided; please make sure it's a valid UTC datetime"
+
+
+def parse_request_datetime(text: str) -> dt.datetime:
+    """N9 for a request parameter: parse a date text as UTC or reject it."""
+    try:
+        value = dt.datetime.fromisoformat(str(text).strip().replace("Z", "+00:00"))
+    except ValueError as exc:
+        raise ValueError(INVALID_DATETIME) from exc
+    if value.tzinfo is not None:
+        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    return value
+
+
+def approved_submissions_report(spark: SparkSession, sf_dir: str, approved_after: str,
+                                as_of: dt.date, by_year: bool = True) -> DataFrame:
+    """The approved-weights question as asked: the approved-after text is
+    validated first (and rejected with a message), the reported year comes
+    from the as-of date (P5), and the by-year variant (default on) ignores
+    the approved-after instant, as the reference's configuration does."""
+    after = parse_request_datetime(approved_after)
+    year = P.derive_period_year(as_of)
+    if by_year:
+        return approved_submissions_by_year(spark, sf_dir, period_year=year)
+    return approved_submissions(spark, sf_dir, approved_after=after.strftime("%Y-%m-%d %H:%M:%S"),
+                                periods=P.periods_for_year(year), org_size=LARGE_ORGANISATION)
+
+
 # Q1 / Q2 -------------------------------------------------------------------
 def _summary_base(spark, sf_dir, kind, years, with_required):
     subs = V.submissions(spark, sf_dir, years=years, kind=kind)

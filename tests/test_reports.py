@@ -154,3 +154,14 @@ def test_approved_by_periods_and_as_of(spark, sf_small):
     cols = explicit.columns
     assert _rows(explicit, *cols) == _rows(derived, *cols)
     assert {r.submission_period for r in explicit.collect()} <= {"2024-P1", "2024-P4"}
+
+
+def test_approved_report_flag_and_validation(spark, sf_small):
+    import datetime as dt
+    with pytest.raises(ValueError, match="valid UTC datetime"):
+        R.approved_submissions_report(spark, sf_small, "invalid date string", dt.date(2026, 6, 1))
+    by_year = R.approved_submissions_report(spark, sf_small, "2024-03-01T00:00:00Z", dt.date(2026, 6, 1))
+    cols = by_year.columns
+    assert _rows(by_year, *cols) == _rows(R.approved_submissions_by_year(spark, sf_small, 2025), *cols)
+    old = R.approved_submissions_report(spark, sf_small, "2024-03-01", dt.date(2025, 6, 1), by_year=False)
+    assert _rows(old, *cols) == _rows(R.approved_submissions(spark, sf_small), *cols)
