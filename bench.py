@@ -1,7 +1,9 @@
 """Benchmark the headline reports.
 
 Runs each query once to warm up, then ``BENCH_RUNS`` (default 5) timed runs,
-and prints one JSON line with the median per query and their sum.
+and prints one JSON line with the median per query and their sum, plus the
+rows each query returns, the core count, the Spark version and the settings
+that shape the plans.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1),
 ``BENCH_CPUS`` (default 8), ``BENCH_RUNS`` (default 5).
@@ -9,7 +11,8 @@ Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1),
 Actions: aggregates and detail reports run to completion into Spark's
 ``noop`` sink (the whole plan executes, nothing is collected); the two
 extracts are written as NDJSON under the checkpoint folder, which is what
-they are for; paged reports collect their page.
+they are for; paged reports collect their page. Row counts come from an
+``Observation`` on the same job, so counting costs no extra pass.
 """
 
 from __future__ import annotations
@@ -22,22 +25,43 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import Observation  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
 from regsight.plans import catalog as C  # noqa: E402
 from regsight.plans import reports as R  # noqa: E402
 from regsight.session import build_session, scratch_path  # noqa: E402
 from regsight.sources import export as X  # noqa: E402
 
+PLAN_SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled",
+                 "spark.sql.adaptive.skewJoin.enabled", "spark.sql.autoBroadcastJoinThreshold",
+                 "spark.sql.optimizer.runtime.bloomFilter.enabled", "spark.sql.files.maxPartitionBytes")
+
+
+def _setting(spark, key):
+    try:
+        return spark.conf.get(key)
+    except Exception:  # noqa: BLE001 - a key without a default
+        return None
+
+
+def _observed(df):
+    obs = Observation()
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
 
-def _noop(df):
+def _noop(df) -> int:
+    df, obs = _observed(df)
     df.write.format("noop").mode("overwrite").save()
+    return int(obs.get["rows"])
 
 
-def _collect(df):
-    df.collect()
+def _collect(df) -> int:
+    return len(df.collect())
 
 
-def _export(spark, df, name):
-    X.export_with_summary(df, scratch_path(spark, name))
+def _export(spark, df, name) -> int:
+    return int(X.export_with_summary(df, scratch_path(spark, name)).records)
 
 
 def main() -> None:
@@ -50,8 +74,7 @@ def main() -> None:
     cases = {
         "q3_approved_submissions": lambda: _noop(R.approved_submissions(spark, sf_dir)),
         "q4_approved_submissions_by_year": lambda: _noop(R.approved_submissions_by_year(spark, sf_dir)),
-        "q5_organisation_registration_summaries": lambda: _collect(
-            C.q5(spark, sf_dir)),
+        "q5_organisation_registration_summaries": lambda: _collect(C.q5(spark, sf_dir)),
         "q14_paycal_organisations": lambda: _export(
             spark, R.paycal_organisations(spark, sf_dir, C.RELATIVE_YEAR), "bench-q14"),
         "q15_paycal_poms": lambda: _export(
@@ -63,16 +86,17 @@ def main() -> None:
         "q13_registration_fee_details": lambda: _noop(R.registration_fee_details(spark, sf_dir)),
         "q16_last_sync_time": lambda: _collect(R.last_sync_time(spark, sf_dir)),
     }
-    medians = {}
+    medians, rows = {}, {}
     for name, fn in cases.items():
         fn()  # warm-up
         times = []
         for _ in range(runs):
             t0 = time.perf_counter()
-            fn()
+            rows[name] = fn()
             times.append(time.perf_counter() - t0)
         medians[name] = round(statistics.median(times), 4)
-        print(f"{name}: median {medians[name]:.3f}s over {runs} runs", file=sys.stderr)
+        print(f"{name}: median {medians[name]:.3f}s over {runs} runs, {rows[name]} rows",
+              file=sys.stderr)
 
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
     print(json.dumps({
@@ -81,9 +105,11 @@ def main() -> None:
         "unit": "sec",
         "queries": medians,
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
+        "rows": rows,
         "cpus": cpus,
         "runs": runs,
         "spark": spark.version,
+        "settings": {k: _setting(spark, k) for k in PLAN_SETTINGS},
     }))
     spark.stop()
 
