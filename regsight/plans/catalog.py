@@ -7,7 +7,6 @@ reports return their page rows with the response metadata as columns.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession

@@ -72,7 +72,7 @@ def with_history(subs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 def decisions_from_events(spark: SparkSession, sf_dir: str, with_required: bool = True) -> DataFrame:
     """Pending regulator decisions as the event store carries them (J1's delta)."""
-    ev = V.submission_events(spark, sf_dir).filter(F.col("decision").isNotNull())
+    ev = V.submission_events(spark, sf_dir, decided_only=True).filter(F.col("decision").isNotNull())
     cols = ["file_id", "decision", "comments", "load_ts", "submission_event_id"]
     if with_required:
         cols.append("is_resubmission_required")
@@ -383,8 +383,10 @@ def resubmission_pay_parameters(spark: SparkSession, sf_dir: str,
     events = N.evolve_schema(V.submission_events(spark, sf_dir),
                              {"packaging_resubmission_reference_number": "string"})
     field_available = "packaging_resubmission_reference_number" in events.columns
+    with_ref = N.evolve_schema(V.submission_events(spark, sf_dir, with_reference_only=True),
+                               {"packaging_resubmission_reference_number": "string"})
     refs = J.latest_per_key(
-        events.filter(F.col("packaging_resubmission_reference_number").isNotNull()),
+        with_ref.filter(F.col("packaging_resubmission_reference_number").isNotNull()),
         "submission_id", ["load_ts", "submission_event_id"],
         ["packaging_resubmission_reference_number"])
     params = (params.join(refs, "submission_id", "left")
@@ -409,7 +411,8 @@ def resubmission_synchronised(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = V.submissions(spark, sf_dir).select("file_id")
     events = V.submission_events(spark, sf_dir)
     ref = F.col("packaging_resubmission_reference_number")
-    known = events.filter(ref.isNotNull() & (F.trim(ref) != ""))
+    known = V.submission_events(spark, sf_dir, with_reference_only=True) \
+        .filter(ref.isNotNull() & (F.trim(ref) != ""))
     return J.exists_both(files, events, known, "file_id", "is_synchronised")
 
 

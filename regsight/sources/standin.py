@@ -225,9 +225,24 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def submission_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event store rows (``events``): what has been synchronised, and when."""
+# event types that carry a regulator decision / a resubmission reference
+DECISION_EVENT_TYPES = ("purchase", "error")
+REFERENCE_EVENT_TYPES = ("signup", "view")
+
+
+def submission_events(spark: SparkSession, sf_dir: str, decided_only: bool = False,
+                      with_reference_only: bool = False) -> DataFrame:
+    """Event store rows (``events``): what has been synchronised, and when.
+
+    ``decided_only`` / ``with_reference_only`` keep the rows whose decision /
+    resubmission reference can be non-null, as pushed predicates on the raw
+    ``event_type`` column.
+    """
     e = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "props"])
+    if decided_only:
+        e = e.filter(F.col("event_type").isin(*DECISION_EVENT_TYPES))
+    if with_reference_only:
+        e = e.filter(F.col("event_type").isin(*REFERENCE_EVENT_TYPES))
     et = F.col("event_type")
     return e.select(
         F.col("event_id").alias("submission_event_id"),
@@ -235,13 +250,13 @@ def submission_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("submission_id"),
         file_id_of(F.col("user_id")).alias("file_id"),
         et.alias("event_type"),
-        F.when(et == "purchase", F.lit(STATUS_ACCEPTED))
-        .when(et == "error", F.lit(STATUS_REJECTED)).alias("decision"),
+        F.when(et == DECISION_EVENT_TYPES[0], F.lit(STATUS_ACCEPTED))
+        .when(et == DECISION_EVENT_TYPES[1], F.lit(STATUS_REJECTED)).alias("decision"),
         F.col("props").alias("comments"),
         (et == "error").alias("is_resubmission_required"),
-        F.when(et == "signup", F.concat(F.lit("PRN"),
-                                        F.lpad(F.col("event_id").cast("string"), 8, "0")))
-        .when(et == "view", F.lit("")).alias("packaging_resubmission_reference_number"),
+        F.when(et == REFERENCE_EVENT_TYPES[0],
+               F.concat(F.lit("PRN"), F.lpad(F.col("event_id").cast("string"), 8, "0")))
+        .when(et == REFERENCE_EVENT_TYPES[1], F.lit("")).alias("packaging_resubmission_reference_number"),
     )
 
 

@@ -1,7 +1,6 @@
 """Joins, aggregations, windows and paging, projections."""
 
 import datetime as dt
-import decimal
 
 import pytest
 from pyspark.sql import Window

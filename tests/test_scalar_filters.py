@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from regsight.functions import scalar as P
 from regsight.operators import filters as FL

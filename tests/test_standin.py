@@ -59,3 +59,12 @@ def test_hints_reach_the_scan(spark):
                    "o_orderstatus#", "= F)", "NOT o_orderpriority#"):
         assert needle in scan_filter, needle
     assert "PushedFilters: [IsNotNull(o_orderdate), IsNotNull(o_orderstatus), GreaterThanOrEqual" in plan
+
+
+def test_event_hints(spark):
+    plain = V.submission_events(spark, SF)
+    decided = V.submission_events(spark, SF, decided_only=True)
+    assert decided.count() == plain.filter(F.col("decision").isNotNull()).count()
+    with_ref = V.submission_events(spark, SF, with_reference_only=True)
+    ref = F.col("packaging_resubmission_reference_number")
+    assert with_ref.filter(ref.isNotNull()).count() == plain.filter(ref.isNotNull()).count()

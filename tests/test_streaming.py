@@ -2,7 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
 
 from regsight.operators import aggregate as A
 from regsight.session import scratch_path
