@@ -260,7 +260,8 @@ def submission_events(spark: SparkSession, sf_dir: str, decided_only: bool = Fal
     )
 
 
-SUBMISSION_BROADCAST_ROWS = 1_000_000
+# ~120 bytes per submission row after pruning: 200k rows is ~25 MB per executor
+SUBMISSION_BROADCAST_ROWS = 200_000
 
 
 def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None,
