@@ -68,3 +68,29 @@ def decode_decisions(df: DataFrame, col: str, schema: T.ArrayType = POM_DECISION
 def encode_decisions(cols: list[str]) -> Column:
     """Struct columns -> one-element JSON array text (per row, no grouping)."""
     return F.to_json(F.array(F.struct(*cols)))
+
+
+REQUEST_MAX_DECISIONS = 10_000
+
+
+def encode_decisions_request(df: DataFrame, cols: list, order_cols: list[str] | None = None,
+                             max_rows: int = REQUEST_MAX_DECISIONS) -> str:
+    """The JSON array text of a request (``to_json(collect_list(struct))``).
+
+    A request is small by nature; the frame is gathered into one array only
+    after a bounded count proves it has at most ``max_rows`` rows. The array
+    is sorted by ``order_cols`` (collect order is not defined after a
+    shuffle, and the overlay lets the last entry per file win). Empty input
+    gives ``[]``.
+    """
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"a decisions request holds at most {max_rows} entries")
+    item = F.struct(*cols)
+    if order_cols:
+        keyed = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols],
+                                                     item.alias("_v"))))
+        arr = F.transform(keyed, lambda x: x["_v"])
+    else:
+        arr = F.collect_list(item)
+    row = df.agg(F.to_json(arr).alias("j")).first()
+    return row.j if row is not None and row.j is not None else "[]"

@@ -165,3 +165,20 @@ def test_approved_report_flag_and_validation(spark, sf_small):
     assert _rows(by_year, *cols) == _rows(R.approved_submissions_by_year(spark, sf_small, 2025), *cols)
     old = R.approved_submissions_report(spark, sf_small, "2024-03-01", dt.date(2025, 6, 1), by_year=False)
     assert _rows(old, *cols) == _rows(R.approved_submissions(spark, sf_small), *cols)
+
+
+def test_decisions_request_round_trip(spark, sf_small):
+    from regsight.operators import project as PR
+    events = R.decisions_from_events(spark, sf_small)
+    text = PR.encode_decisions_request(
+        events, [F.col("file_id").alias("FileId"), F.col("decision").alias("Decision"),
+                 F.col("comments").alias("Comments"),
+                 F.col("is_resubmission_required").alias("IsResubmissionRequired")],
+        order_cols=["load_ts", "submission_event_id"])
+    from_text = R.pom_summaries(spark, sf_small, decisions=text, page_size=ALL).items
+    from_frame = R.pom_summaries(spark, sf_small, page_size=ALL).items
+    cols = ["submission_id", "decision", "comments", "is_resubmission_required"]
+    assert _rows(from_text, *cols) == _rows(from_frame, *cols)
+    assert PR.encode_decisions_request(events.limit(0), ["file_id"]) == "[]"
+    with pytest.raises(ValueError):
+        PR.encode_decisions_request(events, ["file_id"], max_rows=3)
