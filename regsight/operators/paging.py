@@ -1,11 +1,11 @@
 """Windows, sort and limit.
 
 W1 uses a scalar subquery for the total instead of ``count(*) over ()``,
-which would move every row into one partition. W2 is written so that a hot
-(organisation, year) group is split over several tasks: rows are range
-partitioned on the group *and* its order, each piece is windowed on its own,
-and the first row of a piece takes its predecessor from a small per-piece
-summary.
+which would move every row into one partition. W2 windows ordinary groups
+directly and splits hot (organisation, year) groups over several tasks:
+their rows are range partitioned on the group *and* its order, each piece is
+windowed on its own, and the first row of a piece takes its predecessor from
+a small per-piece summary.
 """
 
 from __future__ import annotations
@@ -57,9 +57,14 @@ def with_total_items(df: DataFrame, out: str = "total_items") -> DataFrame:
 
 
 # W2 ------------------------------------------------------------------------
+HOT_GROUP_ROWS = 2_000_000   # a group larger than this is split over several tasks
+MAX_BROADCAST_HOT_GROUPS = 100_000
+
+
 def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[str],
                          status_col: str, comments_col: str, rejected: str = "Rejected",
-                         num_pieces: int | None = None) -> DataFrame:
+                         num_pieces: int | None = None,
+                         hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Flag later submissions of a group as resubmissions and carry the
     comments of the submission just before, when that one was rejected.
 
@@ -67,13 +72,46 @@ def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[
     ``partitionBy(group_cols).orderBy(order_cols)``; ``group_cols`` +
     ``order_cols`` must identify a row.
 
-    A plain window would put a hot group into one task. Here the narrow key
-    columns are range partitioned on group *and* order, so a hot group spans
-    several pieces; the piece id is materialised by a reliable checkpoint
-    (both branches below must see the same pieces), each piece is windowed
-    on its own, and the first row of a piece takes its predecessor from a
-    per-piece summary (at most one row per piece and group). The flags are
-    joined back on the row key.
+    A plain window puts a whole group into one task. Group sizes are counted
+    first (a partially aggregated ``groupBy().count()``); groups of at most
+    ``hot_rows`` rows take the plain window, larger ("hot") groups take
+    ``split_history``, which spreads one group over many tasks. The number of
+    hot groups is at most rows / ``hot_rows``; their key list is broadcast
+    only under a checked bound.
+    """
+    keys = [*group_cols, *order_cols]
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_rows).select(*group_cols)
+    n_hot = hot.limit(MAX_BROADCAST_HOT_GROUPS + 1).count()
+    if n_hot == 0:
+        return _window_history(df, group_cols, order_cols, status_col, comments_col, rejected)
+    hot_side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_GROUPS else hot
+    cold = df.join(hot_side, group_cols, "left_anti")
+    hot_rows_df = df.join(hot_side, group_cols, "left_semi")
+    cold_out = _window_history(cold, group_cols, order_cols, status_col, comments_col, rejected)
+    hot_out = split_history(hot_rows_df, group_cols, order_cols, status_col, comments_col,
+                            rejected, num_pieces)
+    return cold_out.unionByName(hot_out.select(*cold_out.columns))
+
+
+def _window_history(df, group_cols, order_cols, status_col, comments_col, rejected):
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    rc = F.when(F.col(status_col) == rejected, F.col(comments_col))
+    return (df.withColumn("is_resubmission", F.row_number().over(w) > 1)
+            .withColumn("previous_rejection_comments", F.lag(rc).over(w)))
+
+
+def split_history(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                  status_col: str, comments_col: str, rejected: str = "Rejected",
+                  num_pieces: int | None = None) -> DataFrame:
+    """W2 for hot groups: one group is spread over many tasks.
+
+    The narrow key columns are range partitioned on group *and* order, so a
+    hot group spans several pieces; the piece id is materialised by a
+    reliable checkpoint (both branches below must see the same pieces), each
+    piece is windowed on its own, and the first row of a piece takes its
+    predecessor from a per-piece summary (one row per piece and group). The
+    flags are joined back on the row key.
     """
     spark = df.sparkSession
     n = num_pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -329,8 +329,11 @@ def w1(spark, d):
 
 
 def w2(spark, d):
-    return R.with_history(V.submissions(spark, d)).select(
-        "submission_id", "is_resubmission", "previous_rejection_comments")
+    # hot_rows=0: every group takes the split (hot-group) path, so the oracle checks it
+    subs = V.submissions(spark, d)
+    out = W.resubmission_history(subs, R.HISTORY_GROUP, R.HISTORY_ORDER, "status", "comments",
+                                 hot_rows=0)
+    return out.select("submission_id", "is_resubmission", "previous_rejection_comments")
 
 
 def l1(spark, d):

@@ -124,12 +124,26 @@ def test_resubmission_history_hot_group_matches_plain_window(spark):
                      status, f"c{i}"))
     df = spark.createDataFrame(rows, "id int, org int, yr int, ts timestamp_ntz, status string, "
                                      "comments string")
-    got = W.resubmission_history(df, ["org", "yr"], ["ts", "id"], "status", "comments", num_pieces=6)
+    ref = sorted(tuple(r) for r in _plain_history(df).collect())
+    # hot_rows=50: organisation 1 (360 rows) takes the split path, the others the plain window
+    for hot_rows in (50, 0, 10 ** 6):
+        got = W.resubmission_history(df, ["org", "yr"], ["ts", "id"], "status", "comments",
+                                     num_pieces=6, hot_rows=hot_rows)
+        mine = sorted((r.id, r.is_resubmission, r.previous_rejection_comments)
+                      for r in got.select("id", "is_resubmission", "previous_rejection_comments").collect())
+        assert mine == ref
+        assert got.count() == 400 and set(got.columns) >= set(df.columns)
+
+
+def test_split_history_alone_matches_plain_window(spark):
+    rows = [(i, 1, 2025, dt.datetime(2025, 1, 1) + dt.timedelta(minutes=i),
+             "Rejected" if i % 4 == 0 else "Accepted", f"c{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, org int, yr int, ts timestamp_ntz, status string, "
+                                     "comments string")
+    got = W.split_history(df, ["org", "yr"], ["ts", "id"], "status", "comments", num_pieces=8)
     mine = sorted((r.id, r.is_resubmission, r.previous_rejection_comments)
                   for r in got.select("id", "is_resubmission", "previous_rejection_comments").collect())
-    ref = sorted(tuple(r) for r in _plain_history(df).collect())
-    assert mine == ref
-    assert got.count() == 400
+    assert mine == sorted(tuple(r) for r in _plain_history(df).collect())
 
 
 def test_with_total_items(spark):
