@@ -1,6 +1,7 @@
 """Benchmark the headline reports.
 
-Runs each query once to warm up, then ``BENCH_RUNS`` (default 5) timed runs,
+Runs every query once to warm up, then ``BENCH_RUNS`` (default 5) timed
+rounds over all queries (interleaved),
 and prints one JSON line with the median per query and their sum, plus the
 rows each query returns, the core count, the Spark version and the settings
 that shape the plans.
@@ -86,15 +87,19 @@ def main() -> None:
         "q13_registration_fee_details": lambda: _noop(R.registration_fee_details(spark, sf_dir)),
         "q16_last_sync_time": lambda: _collect(R.last_sync_time(spark, sf_dir)),
     }
-    medians, rows = {}, {}
-    for name, fn in cases.items():
-        fn()  # warm-up
-        times = []
-        for _ in range(runs):
+    # one warm-up pass over every query, then the timed runs interleaved
+    # round-robin so that JVM warm-up and machine noise spread evenly
+    for fn in cases.values():
+        fn()
+    times: dict[str, list[float]] = {name: [] for name in cases}
+    rows = {}
+    for _ in range(runs):
+        for name, fn in cases.items():
             t0 = time.perf_counter()
             rows[name] = fn()
-            times.append(time.perf_counter() - t0)
-        medians[name] = round(statistics.median(times), 4)
+            times[name].append(time.perf_counter() - t0)
+    medians = {name: round(statistics.median(ts), 4) for name, ts in times.items()}
+    for name in cases:
         print(f"{name}: median {medians[name]:.3f}s over {runs} runs, {rows[name]} rows",
               file=sys.stderr)
 

@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     # remove reliable-checkpoint files once the DataFrame that owns them is gone
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # many report types in one session: keep their compiled stages cached
+    "spark.sql.codegen.cache.maxEntries": "2000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
