@@ -21,12 +21,27 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Lazy DataFrames of the tables already opened in a session. Only the file
+# listing and the schema resolved from the parquet footers are reused, no
+# data: a report opens up to eight tables, several of them more than once.
+_OPENED: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    key = (id(spark._jsparkSession), path)
+    df = _OPENED.get(key)
+    if df is None:
+        df = _OPENED[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
+def refresh_tables() -> None:
+    """Forget opened tables (after files were added or replaced)."""
+    _OPENED.clear()
+
+
 # The submission-event table, scanned with a declared schema and the
 # load column exposed under its model name.
 SUBMISSION_EVENT_SCAN_SCHEMA = T.StructType([
