@@ -143,23 +143,26 @@ DEEP_PAGE_ROWS = 100_000  # above this offset + size, pages are cut out distribu
 
 
 def page_rows(df: DataFrame, order_cols: list, page: int, size: int,
-              deep_threshold: int = DEEP_PAGE_ROWS) -> DataFrame:
+              deep_threshold: int = DEEP_PAGE_ROWS, key_cols: list[str] | None = None) -> DataFrame:
     """Rows of page ``page`` (1-based) of size ``size`` in ``order_cols`` order.
 
     Shallow pages are planned as ``TakeOrderedAndProject`` with an offset:
     every task keeps its best ``offset + size`` rows. Deeper pages (the last
     page of a clamped list can be billions of rows deep) use
     ``deep_page_rows``, which never gathers more than one page in a task.
+    ``key_cols`` (the columns ``order_cols`` are built from, identifying a
+    row) lets the deep path rank only those columns.
     """
     _validate_page(page, size)
     start = (int(page) - 1) * int(size)
     if start + int(size) <= deep_threshold:
         return df.orderBy(*order_cols).offset(start).limit(int(size))
-    return deep_page_rows(df, order_cols, start, int(size))
+    return deep_page_rows(df, order_cols, start, int(size), key_cols=key_cols)
 
 
 def deep_page_rows(df: DataFrame, order_cols: list, start: int, size: int,
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None,
+                   key_cols: list[str] | None = None) -> DataFrame:
     """Rows ``start + 1 .. start + size`` of ``df`` in ``order_cols`` order, distributed.
 
     Range partitioning puts contiguous slices of the order in partitions
@@ -169,7 +172,14 @@ def deep_page_rows(df: DataFrame, order_cols: list, start: int, size: int,
     earlier partitions plus its position in its own partition. The
     per-partition counts have one row per partition, a proven bound, so
     they are broadcast. ``order_cols`` must end in a unique key.
+
+    With ``key_cols`` only those columns are ranked and checkpointed; the
+    page's keys (``size`` rows, a bound) are then broadcast back to ``df``.
     """
+    if key_cols:
+        keys = deep_page_rows(df.select(*key_cols), order_cols, start, size, num_partitions)
+        return (df.join(F.broadcast(keys), key_cols, "left_semi")
+                .select(*df.columns).orderBy(*order_cols))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(df.repartitionByRange(n, *order_cols)
@@ -188,9 +198,9 @@ def deep_page_rows(df: DataFrame, order_cols: list, start: int, size: int,
 
 
 def page_plain(df: DataFrame, order_cols: list, page: int, size: int,
-               deep_threshold: int = DEEP_PAGE_ROWS) -> Page:
+               deep_threshold: int = DEEP_PAGE_ROWS, key_cols: list[str] | None = None) -> Page:
     """L1: page number echoed unchanged; past the end -> no rows and total 0."""
-    rows = page_rows(with_total_items(df), order_cols, page, size, deep_threshold)
+    rows = page_rows(with_total_items(df), order_cols, page, size, deep_threshold, key_cols)
     return Page(rows, int(page), int(size))
 
 
@@ -203,12 +213,12 @@ def clamp_page(page: int, size: int, total: int) -> int:
 
 
 def page_clamped(df: DataFrame, order_cols: list, page: int, size: int,
-                 deep_threshold: int = DEEP_PAGE_ROWS) -> Page:
+                 deep_threshold: int = DEEP_PAGE_ROWS, key_cols: list[str] | None = None) -> Page:
     """L2: count first, clamp on the driver, then fetch the clamped page."""
     _validate_page(max(1, int(page)), size)
     total = df.count()
     current = clamp_page(int(page), int(size), total)
-    rows = page_rows(df, order_cols, current, size, deep_threshold) \
+    rows = page_rows(df, order_cols, current, size, deep_threshold, key_cols) \
         .withColumn("total_items", F.lit(total).cast("int"))
     return Page(rows, current, int(size), int(total))
 

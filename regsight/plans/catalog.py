@@ -347,7 +347,8 @@ def l2(spark, d):
     subs = V.submissions(spark, d, kind="Registration").select("submission_id", "submitted_at")
     # deep_threshold=0: the registered form always takes the distributed deep-page path
     page = W.page_clamped(subs, [F.col("submitted_at").desc(), F.col("submission_id").asc()],
-                          L2_PAGE, L2_SIZE, deep_threshold=0)
+                          L2_PAGE, L2_SIZE, deep_threshold=0,
+                          key_cols=["submitted_at", "submission_id"])
     return _page_frame(page)
 
 

@@ -231,7 +231,7 @@ def pom_summaries(spark: SparkSession, sf_dir: str, decisions=None, organisation
                          organisation_type, years, periods)
     rows = N.align_schema(rows, schemas.POM_SUMMARY)
     return W.page_plain(rows, [F.col("submitted_date").desc(), F.col("submission_id").asc()],
-                        page_number, page_size)
+                        page_number, page_size, key_cols=["submitted_date", "submission_id"])
 
 
 def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
@@ -263,7 +263,7 @@ def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
                          organisation_type, years, periods)
     rows = N.align_schema(rows, schemas.REGISTRATION_SUMMARY)
     return W.page_plain(rows, [F.col("registration_date").desc(), F.col("submission_id").asc()],
-                        page_number, page_size)
+                        page_number, page_size, key_cols=["registration_date", "submission_id"])
 
 
 # Q5 / Q6 -------------------------------------------------------------------
@@ -319,7 +319,8 @@ def organisation_registration_summaries(
     rows = FL.filter_csv(rows, "application_reference_number", app_refs)
     rows = N.align_schema(rows, schemas.ORGANISATION_REGISTRATION_SUMMARY)
     return W.page_clamped(rows, [F.col("submitted_date_time").desc(),
-                                 F.col("submission_id").asc()], page_number, page_size)
+                                 F.col("submission_id").asc()], page_number, page_size,
+                          key_cols=["submitted_date_time", "submission_id"])
 
 
 def organisation_registration_detail(spark: SparkSession, sf_dir: str,

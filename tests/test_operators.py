@@ -180,6 +180,10 @@ def test_deep_page_path_equals_shallow(spark, page, size):
     shallow = [tuple(r) for r in W.page_rows(df, order, page, size).collect()]
     deep = [tuple(r) for r in W.page_rows(df, order, page, size, deep_threshold=0).collect()]
     assert deep == shallow
+    wide = df.withColumn("payload", F.concat(F.lit("p"), F.col("id").cast("string")))
+    narrow = W.page_rows(wide, order, page, size, deep_threshold=0, key_cols=["g", "id"])
+    assert narrow.columns == wide.columns
+    assert [(r.g, r.id) for r in narrow.collect()] == shallow
 
 
 def test_page_clamped_deep(spark):
