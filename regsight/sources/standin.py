@@ -8,13 +8,16 @@ parquet scan.
 
 Scale notes
 -----------
-* ``submissions`` accepts ``years`` and ``kind`` hints. They become range /
-  IN predicates on the raw ``o_orderdate`` / ``o_orderpriority`` columns,
-  which the parquet reader pushes down (row-group skipping). On a warehouse
-  stored partitioned by submission year the same hint is partition pruning.
-* No dimension is broadcast here; joins are left to AQE, which broadcasts a
-  side only when its runtime size is under the threshold and otherwise
-  shuffles both sides on the key.
+* ``submissions`` accepts ``years``, ``kind``, ``statuses`` and
+  ``submitted_between`` hints, ``organisations`` a ``size`` and
+  ``submission_events`` event-type hints. They become range / IN predicates
+  on raw columns, which the parquet reader pushes down (row-group
+  skipping). On a warehouse stored partitioned by submission year the year
+  hint is partition pruning.
+* No growing dimension is hinted for broadcast; joins are left to AQE,
+  which broadcasts a side only when its runtime size is under the
+  threshold. The one explicit broadcast is the filtered submission side of
+  ``pom_lines``, behind a bounded row count.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regsight.operators.joins import bounded_broadcast
 from regsight.sources.tables import read_table, ts_ntz
 
 # ---------------------------------------------------------------------------
@@ -277,7 +281,6 @@ def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None,
     """
     subs = subs if subs is not None else submissions(spark, sf_dir)
     if subs_bound is not None:
-        from regsight.operators.joins import bounded_broadcast
         subs = bounded_broadcast(subs, SUBMISSION_BROADCAST_ROWS, bound_from=subs_bound)
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey",
                                                 "l_linenumber", "l_quantity", "l_tax",
