@@ -22,6 +22,7 @@ from regsight.operators import filters as FL
 from regsight.operators import joins as J
 from regsight.operators import paging as W
 from regsight.operators import project as PR
+from regsight.sources import layout as LY
 from regsight.sources import standin as V
 
 # Fixed values from the reference configuration.
@@ -122,9 +123,26 @@ def approved_submissions(spark: SparkSession, sf_dir: str, approved_after="2024-
 def approved_submissions_by_year(spark: SparkSession, sf_dir: str, period_year: int | None = None,
                                  types: str = DEFAULT_PACKAGING_TYPES,
                                  materials: str = DEFAULT_PACKAGING_MATERIALS,
-                                 as_of: dt.date = dt.date(2026, 6, 1)) -> DataFrame:
-    """Q4: approved weights for one year (no date or size filter)."""
+                                 as_of: dt.date = dt.date(2026, 6, 1),
+                                 warehouse: dict | None = None) -> DataFrame:
+    """Q4: approved weights for one year (no date or size filter).
+
+    With ``warehouse`` (paths from ``layout.write_warehouse``) the POM lines
+    are read from the year's partition instead of being derived.
+    """
     year = int(period_year) if period_year is not None else P.derive_period_year(as_of)
+    if warehouse is not None:
+        stored = LY.read_stored(spark, warehouse["pom_lines"], years=[year])
+        stored = stored.filter((F.col("status") == V.STATUS_ACCEPTED)
+                               & (F.col("submission_type") == "Producer"))
+        orgs = V.organisations(spark, sf_dir).select("organisation_id", "organisation_type",
+                                                     "num_days_obligated")
+        lines = FL.filter_csv(J.enrich_submissions(stored, orgs), "packaging_type", types)
+        lines = FL.filter_csv(lines, "packaging_material", materials).select(
+            "submission_period", "packaging_material", "organisation_id",
+            F.col("person_id").alias("submitter_id"), submitter_type().alias("submitter_type"),
+            "packaging_material_weight", F.col("num_days_obligated").alias("number_of_days_obligated"))
+        return A.approved_weights_by_year(lines)
     subs = V.submissions(spark, sf_dir, years=[year], kind="Producer",
                          statuses=[V.STATUS_ACCEPTED])
     subs = subs.filter((F.col("status") == V.STATUS_ACCEPTED) & (F.col("submission_year") == year))
@@ -494,10 +512,12 @@ def registration_fee_details(spark: SparkSession, sf_dir: str,
 
 
 # Q14 / Q15 -----------------------------------------------------------------
-def paycal_organisations(spark: SparkSession, sf_dir: str, relative_year: int = 2026) -> DataFrame:
+def paycal_organisations(spark: SparkSession, sf_dir: str, relative_year: int = 2026,
+                         warehouse: dict | None = None) -> DataFrame:
     """Q14: organisation rows of the relative year with half-year flags."""
     year = FL.validate_relative_year(relative_year)
-    subs = V.submissions(spark, sf_dir, years=[year])
+    subs = (LY.read_stored(spark, warehouse["submissions"], years=[year]) if warehouse
+            else V.submissions(spark, sf_dir, years=[year]))
     subs = FL.filter_relative_year(subs, "submission_year", year, 0)
     flags = A.half_year_flags(subs, ["organisation_id", "submission_year"])
     rows = flags.join(V.organisations(spark, sf_dir), "organisation_id", "inner")
@@ -521,14 +541,24 @@ def period_description(period_col: str = "submission_period"):
     return F.concat(desc, F.lit(" "), year)
 
 
-def paycal_poms(spark: SparkSession, sf_dir: str, relative_year: int = 2026) -> DataFrame:
-    """Q15: accepted POM lines of the year before the relative year."""
+def paycal_poms(spark: SparkSession, sf_dir: str, relative_year: int = 2026,
+                warehouse: dict | None = None) -> DataFrame:
+    """Q15: accepted POM lines of the year before the relative year.
+
+    With ``warehouse`` the lines come from one year partition of the stored
+    layout: a pruned scan and a projection, no join.
+    """
     year = FL.validate_relative_year(relative_year)
-    subs = V.submissions(spark, sf_dir, years=[year - 1], kind="Producer",
-                         statuses=[V.STATUS_ACCEPTED])
-    subs = FL.filter_relative_year(subs, "submission_year", year, 1)
-    subs = subs.filter(F.col("status") == V.STATUS_ACCEPTED)
-    lines = V.pom_lines(spark, sf_dir, subs, subs_bound=subs)
+    if warehouse is not None:
+        lines = LY.read_stored(spark, warehouse["pom_lines"], years=[year - 1])
+        lines = lines.filter((F.col("status") == V.STATUS_ACCEPTED)
+                             & (F.col("submission_type") == "Producer"))
+    else:
+        subs = V.submissions(spark, sf_dir, years=[year - 1], kind="Producer",
+                             statuses=[V.STATUS_ACCEPTED])
+        subs = FL.filter_relative_year(subs, "submission_year", year, 1)
+        subs = subs.filter(F.col("status") == V.STATUS_ACCEPTED)
+        lines = V.pom_lines(spark, sf_dir, subs, subs_bound=subs)
     rows = lines.select(
         "*",
         period_description().alias("submission_period_description"),
