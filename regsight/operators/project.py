@@ -81,7 +81,9 @@ def encode_decisions_request(df: DataFrame, cols: list, order_cols: list[str] |
     after a bounded count proves it has at most ``max_rows`` rows. The array
     is sorted by ``order_cols`` (collect order is not defined after a
     shuffle, and the overlay lets the last entry per file win). Empty input
-    gives ``[]``.
+    gives ``[]``. Nothing is dropped: a larger delta is refused here and is
+    passed to the reports as a DataFrame instead, which J1 joins without
+    gathering it.
     """
     if df.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"a decisions request holds at most {max_rows} entries")
