@@ -73,8 +73,8 @@ def main() -> None:
                           app_name="regsight-bench")
 
     cases = {
-        "q3_approved_submissions": lambda: _noop(R.approved_submissions(spark, sf_dir)),
-        "q4_approved_submissions_by_year": lambda: _noop(R.approved_submissions_by_year(spark, sf_dir)),
+        "q3_approved_submissions": lambda: _noop(C.q3(spark, sf_dir)),
+        "q4_approved_submissions_by_year": lambda: _noop(C.q4(spark, sf_dir)),
         "q5_organisation_registration_summaries": lambda: _collect(C.q5(spark, sf_dir)),
         "q14_paycal_organisations": lambda: _export(
             spark, R.paycal_organisations(spark, sf_dir, C.RELATIVE_YEAR), "bench-q14"),

@@ -7,6 +7,7 @@ reports return their page rows with the response metadata as columns.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,10 @@ F3_NAME = "00000001"
 F4_AFTER = "2027-06-30 12:00:00"
 F5_FROM, F5_TO = "2025-01-01 00:00:00", "2025-03-31 23:59:59"
 RELATIVE_YEAR = 2026
+Q3_APPROVED_AFTER, Q3_AS_OF = "2024-03-01 00:00:00", dt.date(2025, 6, 1)
+Q4_AS_OF = dt.date(2026, 6, 1)
+Q5_YEARS, Q5_STATUSES = "2025,2026", "Accepted,Pending"
+Q11_FROM, Q11_TO = "2025-01-01 00:00:00", "2025-06-30 23:59:59"
 
 
 def _page_frame(page: W.Page) -> DataFrame:
@@ -55,7 +60,15 @@ def q2(spark, d):
 
 def q5(spark, d):
     return _page_frame(R.organisation_registration_summaries(
-        spark, d, page_number=Q5_PAGE, page_size=Q5_SIZE))
+        spark, d, years=Q5_YEARS, statuses=Q5_STATUSES, page_number=Q5_PAGE, page_size=Q5_SIZE))
+
+
+def q3(spark, d):
+    return R.approved_submissions(spark, d, approved_after=Q3_APPROVED_AFTER, as_of=Q3_AS_OF)
+
+
+def q4(spark, d):
+    return R.approved_submissions_by_year(spark, d, as_of=Q4_AS_OF)
 
 
 # --- S: scans, sources, sinks -----------------------------------------------
@@ -361,16 +374,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # end-to-end reports
     "pom_summaries": q1,
     "registration_summaries": q2,
-    "approved_submissions": lambda s, d: R.approved_submissions(s, d),
-    "approved_submissions_by_year": lambda s, d: R.approved_submissions_by_year(s, d),
+    "approved_submissions": q3,
+    "approved_submissions_by_year": q4,
     "organisation_registration_summaries": q5,
     "organisation_registration_detail": lambda s, d: R.organisation_registration_detail(s, d),
     "resubmission_pay_parameters": lambda s, d: R.resubmission_pay_parameters(s, d),
     "sync_available": R.sync_available,
     "resubmission_synchronised": R.resubmission_synchronised,
     "actual_submission_period": R.actual_submission_period,
-    "updated_producers": lambda s, d: R.updated_producers(s, d),
-    "updated_producers_v2": lambda s, d: R.updated_producers_v2(s, d),
+    "updated_producers": lambda s, d: R.updated_producers(s, d, Q11_FROM, Q11_TO),
+    "updated_producers_v2": lambda s, d: R.updated_producers_v2(s, d, Q11_FROM, Q11_TO),
     "registration_fee_details": lambda s, d: R.registration_fee_details(s, d),
     "paycal_organisations": lambda s, d: R.paycal_organisations(s, d, RELATIVE_YEAR),
     "paycal_poms": lambda s, d: R.paycal_poms(s, d, RELATIVE_YEAR),
@@ -408,6 +421,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum slice of the build plan: approved weights (Q3)."""
-    return R.approved_submissions(spark, sf_dir)
+    return q3(spark, sf_dir)
 
 

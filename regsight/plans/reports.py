@@ -50,6 +50,10 @@ def _years_of_csv(csv: str | None):
     return sorted({int(x) for x in items}) if items else None
 
 
+def _today() -> dt.date:
+    return dt.datetime.now(dt.timezone.utc).date()
+
+
 def submitter_type(org_type_col: str = "organisation_type"):
     return (F.when(F.col(org_type_col) == "CS", F.lit("ComplianceScheme"))
             .otherwise(F.lit("DirectRegistrant")))
@@ -102,14 +106,18 @@ def _approved_lines(spark, sf_dir, subs: DataFrame, types, materials,
         F.col("num_days_obligated").alias("number_of_days_obligated"))
 
 
-def approved_submissions(spark: SparkSession, sf_dir: str, approved_after="2024-03-01 00:00:00",
+def approved_submissions(spark: SparkSession, sf_dir: str, approved_after=None,
                          periods: str | None = None, types: str = DEFAULT_PACKAGING_TYPES,
                          materials: str = DEFAULT_PACKAGING_MATERIALS,
                          org_size: str | None = LARGE_ORGANISATION,
-                         as_of: dt.date = dt.date(2025, 6, 1)) -> DataFrame:
-    """Q3: approved weights of large organisations for the reported periods."""
+                         as_of: dt.date | None = None) -> DataFrame:
+    """Q3: approved weights of large organisations for the reported periods.
+
+    Without ``periods`` the periods of the reported year (P5) of ``as_of``
+    (default: today, UTC) are used.
+    """
     if periods is None:
-        periods = P.periods_for_year(P.derive_period_year(as_of))
+        periods = P.periods_for_year(P.derive_period_year(as_of or _today()))
     subs = V.submissions(spark, sf_dir, years=_years_of_periods(periods), kind="Producer",
                          statuses=[V.STATUS_ACCEPTED], submitted_between=(approved_after, None))
     subs = subs.filter(F.col("status") == V.STATUS_ACCEPTED)
@@ -123,14 +131,14 @@ def approved_submissions(spark: SparkSession, sf_dir: str, approved_after="2024-
 def approved_submissions_by_year(spark: SparkSession, sf_dir: str, period_year: int | None = None,
                                  types: str = DEFAULT_PACKAGING_TYPES,
                                  materials: str = DEFAULT_PACKAGING_MATERIALS,
-                                 as_of: dt.date = dt.date(2026, 6, 1),
+                                 as_of: dt.date | None = None,
                                  warehouse: dict | None = None) -> DataFrame:
     """Q4: approved weights for one year (no date or size filter).
 
     With ``warehouse`` (paths from ``layout.write_warehouse``) the POM lines
     are read from the year's partition instead of being derived.
     """
-    year = int(period_year) if period_year is not None else P.derive_period_year(as_of)
+    year = int(period_year) if period_year is not None else P.derive_period_year(as_of or _today())
     if warehouse is not None:
         stored = LY.read_stored(spark, warehouse["pom_lines"], years=[year])
         stored = stored.filter((F.col("status") == V.STATUS_ACCEPTED)
@@ -316,8 +324,8 @@ def _registration_rows(spark, sf_dir, years=None, ids: DataFrame | None = None)
 
 def organisation_registration_summaries(
         spark: SparkSession, sf_dir: str, names: str | None = None,
-        references: str | None = None, years: str | None = "2025,2026",
-        statuses: str | None = "Accepted,Pending", resubmission_statuses: str | None = None,
+        references: str | None = None, years: str | None = None,
+        statuses: str | None = None, resubmission_statuses: str | None = None,
         org_types: str | None = None, nation_id: int | None = None,
         app_refs: str | None = None, page_size: int = 20, page_number: int = 1) -> W.Page:
     """Q5: organisation registration list, clamped paging."""
@@ -474,16 +482,14 @@ def _updated_organisations(spark, sf_dir, start, end) -> DataFrame:
     )
 
 
-def updated_producers(spark: SparkSession, sf_dir: str, start="2025-01-01 00:00:00",
-                      end="2025-06-30 23:59:59") -> DataFrame:
+def updated_producers(spark: SparkSession, sf_dir: str, start, end) -> DataFrame:
     """Q11: organisations changed in [start, end], latest change each."""
     rows = _updated_organisations(spark, sf_dir, start, end)
     return N.align_schema(rows.withColumn("organisation_id", F.col("organisation_id").cast("string")),
                           schemas.UPDATED_PRODUCERS)
 
 
-def updated_producers_v2(spark: SparkSession, sf_dir: str, start="2025-01-01 00:00:00",
-                         end="2025-06-30 23:59:59") -> DataFrame:
+def updated_producers_v2(spark: SparkSession, sf_dir: str, start, end) -> DataFrame:
     """Q12: as Q11 without the organisation id, with the registration year."""
     rows = _updated_organisations(spark, sf_dir, start, end)
     rows = rows.withColumn("registration_year", F.year("updated_date_time").cast("string"))
@@ -512,7 +518,7 @@ def registration_fee_details(spark: SparkSession, sf_dir: str,
 
 
 # Q14 / Q15 -----------------------------------------------------------------
-def paycal_organisations(spark: SparkSession, sf_dir: str, relative_year: int = 2026,
+def paycal_organisations(spark: SparkSession, sf_dir: str, relative_year: int,
                          warehouse: dict | None = None) -> DataFrame:
     """Q14: organisation rows of the relative year with half-year flags."""
     year = FL.validate_relative_year(relative_year)
@@ -541,7 +547,7 @@ def period_description(period_col: str = "submission_period"):
     return F.concat(desc, F.lit(" "), year)
 
 
-def paycal_poms(spark: SparkSession, sf_dir: str, relative_year: int = 2026,
+def paycal_poms(spark: SparkSession, sf_dir: str, relative_year: int,
                 warehouse: dict | None = None) -> DataFrame:
     """Q15: accepted POM lines of the year before the relative year.
 

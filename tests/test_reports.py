@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from regsight.plans import catalog as C
 from regsight.plans import reports as R
 from regsight.sources import standin as V
 
@@ -130,7 +131,7 @@ def test_fee_details_single_file(spark, sf_small):
 
 def test_updated_producers_window(spark, sf_small):
     assert R.updated_producers(spark, sf_small, "2025-01-10 00:00:00", "2025-01-05 00:00:00").count() == 0
-    rows = R.updated_producers_v2(spark, sf_small).collect()
+    rows = R.updated_producers_v2(spark, sf_small, C.Q11_FROM, C.Q11_TO).collect()
     assert rows and all(r.registration_year == "2025" for r in rows)
 
 
@@ -149,8 +150,9 @@ def test_paycal_poms_year_rule(spark, sf_small):
 
 
 def test_approved_by_periods_and_as_of(spark, sf_small):
-    explicit = R.approved_submissions(spark, sf_small, periods="2024-P1,2024-P4")
-    derived = R.approved_submissions(spark, sf_small)  # as of 2025-06-01 -> 2024 periods
+    explicit = R.approved_submissions(spark, sf_small, approved_after=C.Q3_APPROVED_AFTER,
+                                      periods="2024-P1,2024-P4")
+    derived = C.q3(spark, sf_small)  # as of 2025-06-01 -> 2024 periods
     cols = explicit.columns
     assert _rows(explicit, *cols) == _rows(derived, *cols)
     assert {r.submission_period for r in explicit.collect()} <= {"2024-P1", "2024-P4"}
@@ -164,7 +166,7 @@ def test_approved_report_flag_and_validation(spark, sf_small):
     cols = by_year.columns
     assert _rows(by_year, *cols) == _rows(R.approved_submissions_by_year(spark, sf_small, 2025), *cols)
     old = R.approved_submissions_report(spark, sf_small, "2024-03-01", dt.date(2025, 6, 1), by_year=False)
-    assert _rows(old, *cols) == _rows(R.approved_submissions(spark, sf_small), *cols)
+    assert _rows(old, *cols) == _rows(C.q3(spark, sf_small), *cols)
 
 
 def test_decisions_request_round_trip(spark, sf_small):

@@ -62,8 +62,8 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = build_session(shuffle_partitions=16)
     cases = {
-        "Q3 approved_submissions": R.approved_submissions(spark, sf_dir),
-        "Q4 approved_submissions_by_year": R.approved_submissions_by_year(spark, sf_dir),
+        "Q3 approved_submissions": C.q3(spark, sf_dir),
+        "Q4 approved_submissions_by_year": C.q4(spark, sf_dir),
         "Q5 organisation_registration_summaries": C.q5(spark, sf_dir),
         "Q14 paycal_organisations": R.paycal_organisations(spark, sf_dir, C.RELATIVE_YEAR),
         "Q15 paycal_poms": R.paycal_poms(spark, sf_dir, C.RELATIVE_YEAR),
