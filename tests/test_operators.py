@@ -48,6 +48,14 @@ def test_exists_synced_and_both(spark):
     assert both == {"a": True, "b": False, "c": False}
 
 
+def test_synced_only_filter_form(spark):
+    ids = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
+    events = spark.createDataFrame([("a",), ("a",), ("c",), ("z",)], "k string")
+    got = J.synced_only(ids, events, "k")
+    assert sorted((r.k, r.v) for r in got.collect()) == [("a", 1), ("c", 3)]
+    assert got.columns == ["k", "v"]
+
+
 def test_lookup_period_fallback(spark):
     req = spark.createDataFrame([("s1", "July to December 2025"), ("s2", "July to December 2025"),
                                  ("s3", "January to June 2025")], "k string, requested string")
