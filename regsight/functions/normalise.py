@@ -48,9 +48,16 @@ def try_norm_guid(col) -> Column:
 
 
 # N2 ------------------------------------------------------------------------
+def _strict_int(text: Column, what: str) -> Column:
+    """``text`` as int, failing the job on text that is not an int (ANSI on or off)."""
+    parsed = text.try_cast("int")
+    return F.when(text.isNull() | parsed.isNotNull(), parsed).otherwise(
+        F.raise_error(F.concat(F.lit(f"invalid {what}: "), text)).cast("int"))
+
+
 def norm_int(col) -> Column:
-    """Text to int: null/empty -> null; anything else must parse (ANSI cast)."""
-    return _empty_to_null(_c(col)).cast("int")
+    """Text to int: null/empty -> null; anything else must parse (blank is invalid)."""
+    return _strict_int(_empty_to_null(_c(col)), "integer")
 
 
 def try_norm_int(col) -> Column:
@@ -93,7 +100,8 @@ def int_to_reference(col) -> Column:
 def reference_to_int(col) -> Column:
     """Null, empty or whitespace -> null; otherwise must parse as int."""
     c = _c(col)
-    return F.when(c.isNull() | c.rlike(r"^\s*$"), F.lit(None).cast("int")).otherwise(c.cast("int"))
+    text = F.when(c.isNull() | c.rlike(r"^\s*$"), F.lit(None).cast("string")).otherwise(c)
+    return _strict_int(text, "reference")
 
 
 # N6 ------------------------------------------------------------------------

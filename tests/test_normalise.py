@@ -132,3 +132,15 @@ def test_union_vintages(spark):
     new = spark.createDataFrame([(2, "x")], "id int, decision string")
     got = sorted((r.id, r.decision) for r in N.union_vintages(new, old).collect())
     assert got == [(1, None), (2, "x")]
+
+
+@pytest.mark.parametrize("rule,bad", [(N.norm_int, "abc"), (N.norm_int, " "),
+                                      (N.reference_to_int, "12a")])
+def test_strict_rules_raise_with_ansi_off(spark, rule, bad):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="invalid"):
+            _one(spark, bad).select(rule("v")).collect()
+        assert _one(spark, "42").select(rule("v")).first()[0] == 42
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
