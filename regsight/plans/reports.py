@@ -196,11 +196,20 @@ def _summary_base(spark, sf_dir, kind, years, with_required):
     return subs
 
 
-def _apply_decisions(spark, sf_dir, subs, decisions, with_required):
-    """J1 with the delta from the event store (default), a DataFrame, or JSON text."""
+EVENT_ORDER = ["load_ts", "submission_event_id"]
+
+
+def _apply_decisions(spark, sf_dir, subs, decisions, with_required, decision_order=None):
+    """J1 with the delta from the event store (default), a DataFrame, or JSON text.
+
+    A DataFrame delta needs ``file_id``, the overlaid columns and the columns
+    of ``decision_order`` (default: load time, event id), which decide the
+    last entry per file.
+    """
     cols = ["decision", "comments"] + (["is_resubmission_required"] if with_required else [])
     if decisions is None:
         decisions = decisions_from_events(spark, sf_dir, with_required)
+        decision_order = EVENT_ORDER
     if isinstance(decisions, str):
         schema = PR.POM_DECISION_SCHEMA if with_required else PR.REGISTRATION_DECISION_SCHEMA
         text = spark.createDataFrame([(decisions,)], "delta string")
@@ -209,7 +218,11 @@ def _apply_decisions(spark, sf_dir, subs, decisions, with_required):
         decoded = decoded.select(*[F.col(c).alias(_snake(c)) for c in decoded.columns]) \
             .withColumn("_pos", F.monotonically_increasing_id())
         return J.overlay_decisions(subs, decoded, "file_id", cols, ["_pos"])
-    return J.overlay_decisions(subs, decisions, "file_id", cols, ["load_ts", "submission_event_id"])
+    order = list(decision_order or EVENT_ORDER)
+    missing = [c for c in ["file_id", *cols, *order] if c not in decisions.columns]
+    if missing:
+        raise ValueError(f"decisions frame lacks columns {missing}")
+    return J.overlay_decisions(subs, decisions, "file_id", cols, order)
 
 
 def _snake(name: str) -> str:
@@ -233,10 +246,11 @@ def _list_filters(df, organisation_name, organisation_reference, statuses, organ
 def pom_summaries(spark: SparkSession, sf_dir: str, decisions=None, organisation_name=None,
                   organisation_reference=None, statuses: str | None = None,
                   organisation_type=None, years: str | None = None, periods: str | None = None,
-                  page_size: int = 20, page_number: int = 1) -> W.Page:
+                  page_size: int = 20, page_number: int = 1,
+                  decision_order: list[str] | None = None) -> W.Page:
     """Q1: POM submission list with pending decisions overlaid, one plain page."""
     subs = _summary_base(spark, sf_dir, "Producer", _years_of_csv(years), True)
-    subs = _apply_decisions(spark, sf_dir, subs, decisions, True)
+    subs = _apply_decisions(spark, sf_dir, subs, decisions, True, decision_order)
     orgs = V.organisations(spark, sf_dir)
     rows = J.enrich_submissions(subs, orgs, V.persons(spark, sf_dir))
     rows = rows.select(
@@ -264,10 +278,11 @@ def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
                            organisation_name=None, organisation_reference=None,
                            statuses: str | None = None, organisation_type=None,
                            years: str | None = None, periods: str | None = None,
-                           page_size: int = 20, page_number: int = 1) -> W.Page:
+                           page_size: int = 20, page_number: int = 1,
+                           decision_order: list[str] | None = None) -> W.Page:
     """Q2: registration submission list with pending decisions overlaid, one plain page."""
     subs = _summary_base(spark, sf_dir, "Registration", _years_of_csv(years), False)
-    subs = _apply_decisions(spark, sf_dir, subs, decisions, False)
+    subs = _apply_decisions(spark, sf_dir, subs, decisions, False, decision_order)
     orgs = V.organisations(spark, sf_dir)
     rows = J.enrich_submissions(subs, orgs, V.persons(spark, sf_dir))
     rows = rows.select(

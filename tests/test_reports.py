@@ -184,3 +184,16 @@ def test_decisions_request_round_trip(spark, sf_small):
     assert PR.encode_decisions_request(events.limit(0), ["file_id"]) == "[]"
     with pytest.raises(ValueError):
         PR.encode_decisions_request(events, ["file_id"], max_rows=3)
+
+
+def test_decisions_frame_with_own_order(spark, sf_small):
+    first = R.pom_summaries(spark, sf_small, decisions="[]", page_size=ALL).items \
+        .orderBy("submission_id").first()
+    delta = spark.createDataFrame(
+        [(first.file_id, "Rejected", "late", True, 2), (first.file_id, "Accepted", "early", False, 1)],
+        "file_id string, decision string, comments string, is_resubmission_required boolean, seq int")
+    page = R.pom_summaries(spark, sf_small, decisions=delta, decision_order=["seq"], page_size=ALL)
+    row = page.items.filter(F.col("file_id") == first.file_id).first()
+    assert (row.decision, row.comments, row.is_resubmission_required) == ("Rejected", "late", True)
+    with pytest.raises(ValueError, match="lacks columns"):
+        R.pom_summaries(spark, sf_small, decisions=delta.drop("seq"), page_size=ALL)
