@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed formats.
+# Formats and the rejection message of an unparseable date.
+INVALID_DATETIME_MESSAGE = "Invalid datetime provided; please make sure it's a valid UTC datetime"
 GUID_PATTERN = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 # yyyy-MM-ddTHH:mm:ss.fffffffZ (seven fraction digits; Spark keeps six)
 TICKS_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'Z'"
@@ -138,8 +139,7 @@ def parse_utc_date(col) -> Column:
 
 
 def split_parsed(df: DataFrame, col: str, out: str,
-                 message: str = "Invalid datetime provided; please make sure it's a valid UTC datetime"
-                 ) -> tuple[DataFrame, DataFrame]:
+                 message: str = INVALID_DATETIME_MESSAGE) -> tuple[DataFrame, DataFrame]:
     """Good rows with the parsed value, and rejects with a message."""
     parsed = df.withColumn(out, parse_utc_date(col))
     good = parsed.filter(F.col(out).isNotNull())

@@ -25,10 +25,12 @@ from regsight.operators import project as PR
 from regsight.sources import layout as LY
 from regsight.sources import standin as V
 
-# Fixed values from the reference configuration.
+# Fixed values from the reference configuration: packaging types and
+# materials included, and the size code of large organisations.
 DEFAULT_PACKAGING_TYPES = "HH,NH,PB,HDC,NDC"
 DEFAULT_PACKAGING_MATERIALS = "AL,FC,GL,PC,PL,ST,WD"
 LARGE_ORGANISATION = "L"
+# Our period descriptions for the extract (half years and their quarter forms).
 HALF_DESCRIPTIONS = (("H1", "January to June"), ("H2", "July to December"),
                      ("P1", "January to June"), ("P4", "July to December"))
 
@@ -158,7 +160,7 @@ def approved_submissions_by_year(spark: SparkSession, sf_dir: str, period_year:
     return A.approved_weights_by_year(lines)
 
 
-INVALID_DATETIME = "Invalid datetime provided; please make sure it's a valid UTC datetime"
+INVALID_DATETIME = N.INVALID_DATETIME_MESSAGE
 
 
 def parse_request_datetime(text: str) -> dt.datetime:
