@@ -108,18 +108,40 @@ def _approved_lines(spark, sf_dir, subs: DataFrame, types, materials,
         F.col("num_days_obligated").alias("number_of_days_obligated"))
 
 
+def _approved_lines_stored(spark, sf_dir, lines: DataFrame, types, materials,
+                           org_size=None) -> DataFrame:
+    """As ``_approved_lines`` over POM lines read from the stored layout."""
+    lines = lines.filter((F.col("status") == V.STATUS_ACCEPTED)
+                         & (F.col("submission_type") == "Producer"))
+    orgs = V.organisations(spark, sf_dir, size=org_size).select(
+        "organisation_id", "organisation_type", "organisation_size", "num_days_obligated")
+    orgs = FL.filter_optional_eq(orgs, "organisation_size", org_size)
+    lines = FL.filter_csv(J.enrich_submissions(lines, orgs), "packaging_type", types)
+    return FL.filter_csv(lines, "packaging_material", materials).select(
+        "submission_period", "packaging_material", "organisation_id",
+        F.col("person_id").alias("submitter_id"), submitter_type().alias("submitter_type"),
+        "packaging_material_weight", F.col("num_days_obligated").alias("number_of_days_obligated"))
+
+
 def approved_submissions(spark: SparkSession, sf_dir: str, approved_after=None,
                          periods: str | None = None, types: str = DEFAULT_PACKAGING_TYPES,
                          materials: str = DEFAULT_PACKAGING_MATERIALS,
                          org_size: str | None = LARGE_ORGANISATION,
-                         as_of: dt.date | None = None) -> DataFrame:
+                         as_of: dt.date | None = None, warehouse: dict | None = None) -> DataFrame:
     """Q3: approved weights of large organisations for the reported periods.
 
     Without ``periods`` the periods of the reported year (P5) of ``as_of``
-    (default: today, UTC) are used.
+    (default: today, UTC) are used. With ``warehouse`` the POM lines are
+    read from the stored layout's year partitions.
     """
     if periods is None:
         periods = P.periods_for_year(P.derive_period_year(as_of or _today()))
+    if warehouse is not None:
+        lines = LY.read_stored(spark, warehouse["pom_lines"], years=_years_of_periods(periods))
+        lines = FL.filter_csv(lines, "submission_period", periods)
+        lines = FL.filter_approved_after(lines, "submitted_at", approved_after)
+        return A.approved_weights(_approved_lines_stored(spark, sf_dir, lines, types, materials,
+                                                         org_size))
     subs = V.submissions(spark, sf_dir, years=_years_of_periods(periods), kind="Producer",
                          statuses=[V.STATUS_ACCEPTED], submitted_between=(approved_after, None))
     subs = subs.filter(F.col("status") == V.STATUS_ACCEPTED)
@@ -143,16 +165,8 @@ def approved_submissions_by_year(spark: SparkSession, sf_dir: str, period_year:
     year = int(period_year) if period_year is not None else P.derive_period_year(as_of or _today())
     if warehouse is not None:
         stored = LY.read_stored(spark, warehouse["pom_lines"], years=[year])
-        stored = stored.filter((F.col("status") == V.STATUS_ACCEPTED)
-                               & (F.col("submission_type") == "Producer"))
-        orgs = V.organisations(spark, sf_dir).select("organisation_id", "organisation_type",
-                                                     "num_days_obligated")
-        lines = FL.filter_csv(J.enrich_submissions(stored, orgs), "packaging_type", types)
-        lines = FL.filter_csv(lines, "packaging_material", materials).select(
-            "submission_period", "packaging_material", "organisation_id",
-            F.col("person_id").alias("submitter_id"), submitter_type().alias("submitter_type"),
-            "packaging_material_weight", F.col("num_days_obligated").alias("number_of_days_obligated"))
-        return A.approved_weights_by_year(lines)
+        return A.approved_weights_by_year(
+            _approved_lines_stored(spark, sf_dir, stored, types, materials))
     subs = V.submissions(spark, sf_dir, years=[year], kind="Producer",
                          statuses=[V.STATUS_ACCEPTED])
     subs = subs.filter((F.col("status") == V.STATUS_ACCEPTED) & (F.col("submission_year") == year))

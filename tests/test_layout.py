@@ -29,7 +29,11 @@ def test_reports_on_stored_layout_equal_derived(spark, sf_small):
     paths = L.write_warehouse(spark, sf_small, scratch_path(spark, "warehouse2"), num_files=4)
     for build in (lambda w: R.paycal_poms(spark, sf_small, 2026, warehouse=w),
                   lambda w: R.paycal_organisations(spark, sf_small, 2026, warehouse=w),
-                  lambda w: R.approved_submissions_by_year(spark, sf_small, 2025, warehouse=w)):
+                  lambda w: R.approved_submissions_by_year(spark, sf_small, 2025, warehouse=w),
+                  lambda w: R.approved_submissions(spark, sf_small, "2024-03-01 00:00:00",
+                                                   periods="2024-P1,2024-P4", warehouse=w),
+                  lambda w: R.approved_submissions(spark, sf_small, None, periods="2025-H1",
+                                                   org_size=None, warehouse=w)):
         derived, stored = build(None), build(paths)
         cols = derived.columns
         assert stored.columns == cols
