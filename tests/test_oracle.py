@@ -10,6 +10,8 @@ import pytest
 import __spark_entry__ as E
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
+SPARK_TO_DUCK = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "double": "DOUBLE"}
 KEYS = sorted(E.queries())
 
 
@@ -44,6 +46,9 @@ def test_query_matches_oracle(spark, con, sf_small, key):
     df = E.queries()[key](spark, sf_small)
     cur = con.execute(E.oracle_sql()[key])
     assert df.columns == [d[0] for d in cur.description]
+    spark_types = [SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields]
+    assert spark_types == [str(d[1]) for d in cur.description]
     assert _rows(tuple(r) for r in df.collect()) == _rows(cur.fetchall())
 
 
