@@ -115,7 +115,11 @@ def exists_both(ids: DataFrame, events: DataFrame, known: DataFrame, key: str,
 # J5 ------------------------------------------------------------------------
 def lookup_period(df: DataFrame, lookup: DataFrame, key: str, actual_col: str,
                   requested_col: str, out: str = "actual_submission_period") -> DataFrame:
-    """Stored value for ``key``, falling back to the requested one when absent or null."""
+    """Stored value for ``key``, falling back to the requested one when absent or null.
+
+    ``lookup`` holds at most one row per key (one actual period per
+    submission), so the join is many-to-one and keeps the rows of ``df``.
+    """
     side = lookup.select(key, F.col(actual_col).alias("_actual"))
     return (df.join(side, key, "left")
             .withColumn(out, F.coalesce(F.col("_actual"), F.col(requested_col)))
