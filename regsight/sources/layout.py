@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regsight.sources import standin as V
+from regsight.sources.tables import read_path
 
 SUBMISSIONS_DIR, POM_LINES_DIR = "submissions", "pom_lines"
 CLUSTER_KEYS = ("submission_year", "organisation_id", "submission_id")
@@ -38,14 +39,14 @@ def write_warehouse(spark: SparkSession, sf_dir: str, out_dir: str,
     """Materialise submissions and POM lines under ``out_dir`` (a shared folder)."""
     subs_path = os.path.join(out_dir, SUBMISSIONS_DIR)
     lines_path = os.path.join(out_dir, POM_LINES_DIR)
-    _write(V.submissions(spark, sf_dir), subs_path, num_files, mode)
-    _write(V.pom_lines(spark, sf_dir), lines_path, num_files, mode)
+    _write(V.submissions(spark, sf_dir, derive=True), subs_path, num_files, mode)
+    _write(V.pom_lines(spark, sf_dir, derive=True), lines_path, num_files, mode)
     return {"submissions": subs_path, "pom_lines": lines_path}
 
 
 def read_stored(spark: SparkSession, path: str, years=None) -> DataFrame:
     """Read a stored view; ``years`` prunes the year directories."""
-    df = spark.read.parquet(path)
+    df = read_path(spark, path)
     if years is not None:
         df = df.filter(F.col("submission_year").isin([int(y) for y in years]))
     return df

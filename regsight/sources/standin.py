@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regsight.operators.joins import bounded_broadcast
-from regsight.sources.tables import read_table, ts_ntz
+from regsight.sources.tables import read_path, read_table, ts_ntz
 
 # ---------------------------------------------------------------------------
 # Fixed values of the stand-in mapping (input definition, not logic).
@@ -51,6 +51,38 @@ NATION_CODES = ("GB-ENG", "GB-NIR", "GB-SCT", "GB-WLS")
 COMPLIANCE_SCHEME_BALANCE = 2000.0  # organisations below this balance are schemes
 
 
+SUBMISSION_COLUMNS = ("submission_id", "file_id", "organisation_id", "submission_type", "status",
+                      "submitted_at", "submission_year", "submission_period", "comments",
+                      "person_id")
+LINE_COLUMNS = ("subsidiary_key", "packaging_type", "packaging_material",
+                "packaging_material_subtype", "packaging_material_weight", "packaging_class",
+                "packaging_activity", "ram_rag_rating", "is_online_marketplace_line",
+                "is_closed_loop_line")
+
+# Stored layouts opened per session (see ``use_warehouse``).
+_WAREHOUSES: dict[int, dict[str, str]] = {}
+
+
+def use_warehouse(spark: SparkSession, paths: dict[str, str] | None) -> None:
+    """Serve ``submissions`` / ``pom_lines`` of this session from a stored layout.
+
+    ``paths`` is what ``layout.write_warehouse`` returns; ``None`` goes back
+    to deriving the views from the warehouse tables. Every report then reads
+    the stored, year-partitioned tables: year filters prune directories and
+    the lines join to a filtered submission set carries the year, so
+    dynamic partition pruning applies to it.
+    """
+    key = id(spark._jsparkSession)
+    if paths is None:
+        _WAREHOUSES.pop(key, None)
+    else:
+        _WAREHOUSES[key] = dict(paths)
+
+
+def _stored(spark: SparkSession, name: str) -> str | None:
+    return _WAREHOUSES.get(id(spark._jsparkSession), {}).get(name)
+
+
 def file_id_of(key: Column) -> Column:
     """Canonical lower-case GUID text for a numeric key."""
     return F.concat(F.lit(FILE_ID_PREFIX), F.lpad(key.cast("string"), 12, "0"))
@@ -117,9 +149,27 @@ def _submitted_range_predicate(lo: str | None, hi: str | None) -> Column | None:
     return pred
 
 
+def _stored_submissions(spark, path, years, kind, statuses, submitted_between) -> DataFrame:
+    df = read_path(spark, path)
+    if years is not None:
+        df = df.filter(F.col("submission_year").isin([int(y) for y in years]))
+    if statuses is not None:
+        df = df.filter(F.col("status").isin(list(statuses)))
+    if kind is not None:
+        df = df.filter(F.col("submission_type") == kind)
+    if submitted_between is not None:
+        lo, hi = submitted_between
+        if lo is not None:
+            df = df.filter(F.col("submitted_at") >= ts_ntz(str(lo)))
+        if hi is not None:
+            df = df.filter(F.col("submitted_at") <= ts_ntz(str(hi)))
+    return df.select(*SUBMISSION_COLUMNS)
+
+
 def submissions(spark: SparkSession, sf_dir: str, years=None,
                 kind: str | None = None, statuses=None,
-                submitted_between: tuple[str | None, str | None] | None = None) -> DataFrame:
+                submitted_between: tuple[str | None, str | None] | None = None,
+                derive: bool = False) -> DataFrame:
     """One row per submission (``orders``).
 
     columns: submission_id, file_id, organisation_id, submission_type, status,
@@ -128,8 +178,14 @@ def submissions(spark: SparkSession, sf_dir: str, years=None,
     ``years``, ``kind``, ``statuses`` and ``submitted_between`` are applied as
     predicates on the raw columns, so they reach the parquet scan as pushed
     filters (``submitted_between`` is a superset hint; filter the exact range
-    on ``submitted_at``).
+    on ``submitted_at``). With a stored layout in use (``use_warehouse``) and
+    not ``derive``, the stored table is read instead.
     """
+    if kind not in (None, "Registration", "Producer"):
+        raise ValueError(f"unknown submission kind {kind!r}")
+    stored = None if derive else _stored(spark, "submissions")
+    if stored is not None:
+        return _stored_submissions(spark, stored, years, kind, statuses, submitted_between)
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus",
                                                   "o_orderdate", "o_orderpriority"])
     if years is not None:
@@ -146,8 +202,6 @@ def submissions(spark: SparkSession, sf_dir: str, years=None,
         orders = orders.filter(is_registration)
     elif kind == "Producer":
         orders = orders.filter(~is_registration)
-    elif kind is not None:
-        raise ValueError(f"unknown submission kind {kind!r}")
     suppliers = read_table(spark, sf_dir, "supplier", ["s_suppkey"])
     n_persons = suppliers.select(F.count(F.lit(1))).scalar()
     submitted = F.col("o_orderdate") + F.make_ym_interval(F.lit(YEAR_SHIFT))
@@ -269,7 +323,7 @@ SUBMISSION_BROADCAST_ROWS = 200_000
 
 
 def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None,
-              subs_bound: DataFrame | None = None) -> DataFrame:
+              subs_bound: DataFrame | None = None, derive: bool = False) -> DataFrame:
     """Packaging lines (``lineitem`` joined to its submission and ``part``).
 
     ``subs`` lets a report pass an already-filtered submission frame so the
@@ -279,7 +333,18 @@ def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None,
     broadcast and ``lineitem`` streams through without a shuffle; otherwise
     the join is left to the planner (shuffle join, AQE).
     """
-    subs = subs if subs is not None else submissions(spark, sf_dir)
+    stored = None if derive else _stored(spark, "pom_lines")
+    if stored is not None:
+        lines = read_path(spark, stored)
+        if subs is None:
+            return lines.select(*SUBMISSION_COLUMNS, *LINE_COLUMNS)
+        keys = ["submission_id"] + (["submission_year"] if "submission_year" in subs.columns else [])
+        side = subs
+        if subs_bound is not None:
+            side = bounded_broadcast(subs, SUBMISSION_BROADCAST_ROWS, bound_from=subs_bound)
+        return (lines.select(*keys, *LINE_COLUMNS).join(side, keys, "inner")
+                .select(*subs.columns, *LINE_COLUMNS))
+    subs = subs if subs is not None else submissions(spark, sf_dir, derive=derive)
     if subs_bound is not None:
         subs = bounded_broadcast(subs, SUBMISSION_BROADCAST_ROWS, bound_from=subs_bound)
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey",

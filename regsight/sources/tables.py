@@ -27,13 +27,18 @@ def table_path(sf_dir: str, name: str) -> str:
 _OPENED: dict[tuple[int, str], DataFrame] = {}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: list[str] | None = None) -> DataFrame:
-    path = table_path(sf_dir, name)
+def read_path(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet(path)``, opened once per session."""
     key = (id(spark._jsparkSession), path)
     df = _OPENED.get(key)
     if df is None:
         df = _OPENED[key] = spark.read.parquet(path)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str,
+               columns: list[str] | None = None) -> DataFrame:
+    df = read_path(spark, table_path(sf_dir, name))
     return df.select(*columns) if columns else df
 
 

@@ -41,3 +41,25 @@ def test_reports_on_stored_layout_equal_derived(spark, sf_small):
     plan = R.paycal_poms(spark, sf_small, 2026, warehouse=paths)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PartitionFilters" in plan and "Join" not in plan
+
+
+def test_all_registered_queries_equal_on_stored_layout(spark, sf_small):
+    """With a stored layout in use, every registered query returns what it derives."""
+    import __spark_entry__ as E
+
+    def rows(df):
+        return sorted(repr(tuple(r)) for r in df.collect())
+
+    queries = E.queries()
+    derived = {k: (q(spark, sf_small).columns, rows(q(spark, sf_small))) for k, q in queries.items()}
+    paths = L.write_warehouse(spark, sf_small, scratch_path(spark, "warehouse3"), num_files=4)
+    V.use_warehouse(spark, paths)
+    try:
+        for key, q in queries.items():
+            df = q(spark, sf_small)
+            assert (df.columns, rows(df)) == derived[key], key
+        plan = queries["approved_submissions_by_year"](spark, sf_small)._jdf.queryExecution() \
+            .executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(submission_year" in plan
+    finally:
+        V.use_warehouse(spark, None)
