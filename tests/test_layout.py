@@ -51,7 +51,10 @@ def test_all_registered_queries_equal_on_stored_layout(spark, sf_small):
         return sorted(repr(tuple(r)) for r in df.collect())
 
     queries = E.queries()
-    derived = {k: (q(spark, sf_small).columns, rows(q(spark, sf_small))) for k, q in queries.items()}
+    derived = {}
+    for key, q in queries.items():
+        df = q(spark, sf_small)
+        derived[key] = (df.columns, rows(df))
     paths = L.write_warehouse(spark, sf_small, scratch_path(spark, "warehouse3"), num_files=4)
     V.use_warehouse(spark, paths)
     try:
