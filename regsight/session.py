@@ -52,14 +52,22 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    A local folder is set only when the setting is absent and Spark runs in
+    local mode (tests); on a cluster a missing setting is an error, because a
+    machine-local folder would not survive the loss of an executor.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    target = configured or _LOCAL_CHECKPOINT_FALLBACK
-    spark.sparkContext.setCheckpointDir(target)
-    return spark.sparkContext.getCheckpointDir() or target
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store)")
+        configured = _LOCAL_CHECKPOINT_FALLBACK
+    spark.sparkContext.setCheckpointDir(configured)
+    return spark.sparkContext.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
