@@ -9,6 +9,7 @@ independent check of the DataFrame code.
 from __future__ import annotations
 
 from regsight import schemas
+from regsight.functions import scalar as P
 from regsight.plans import catalog as C
 
 GUID = "'00000000-0000-4000-8000-' || lpad(CAST({k} AS VARCHAR), 12, '0')"
@@ -128,6 +129,10 @@ TYPES_IN = "('HH', 'NH', 'PB', 'HDC', 'NDC')"
 MATERIALS_IN = "('AL', 'FC', 'GL', 'PC', 'PL', 'ST', 'WD')"
 
 
+def _sql_list(csv: str) -> str:
+    return ", ".join(x if x.isdigit() else f"'{x}'" for x in csv.split(","))
+
+
 def _page(page: int, size: int) -> str:
     return f"LIMIT {size} OFFSET {(page - 1) * size}"
 
@@ -221,8 +226,9 @@ def q5() -> str:
     provided = _registration_provided()
     return _with(
         ("hist", _hist("(SELECT * FROM sub WHERE submission_type = 'Registration')")),
-        ("j", """SELECT * FROM hist JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)
-                 WHERE submission_year IN (2025, 2026) AND status IN ('Accepted', 'Pending')"""),
+        ("j", f"""SELECT * FROM hist JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)
+                 WHERE submission_year IN ({_sql_list(C.Q5_YEARS)})
+                   AND status IN ({_sql_list(C.Q5_STATUSES)})"""),
         ("r", f"SELECT {schemas.sql_select_list(schemas.ORGANISATION_REGISTRATION_SUMMARY, provided)} FROM j"),
         ("pg", f"""SELECT count(*) AS total,
                   greatest(1, least({C.Q5_PAGE}, CAST(ceil(count(*) / {C.Q5_SIZE}.0) AS INTEGER))) AS cur
@@ -271,14 +277,16 @@ def _approved(where: str, days: str) -> str:
 
 
 def q3() -> str:
-    return _approved("""AND submission_period IN ('2024-P1', '2024-P4')
-      AND submitted_at > TIMESTAMP '2024-03-01 00:00:00' AND organisation_size = 'L'
+    periods = P.periods_for_year(P.derive_period_year(C.Q3_AS_OF))
+    return _approved(f"""AND submission_period IN ({_sql_list(periods)})
+      AND submitted_at > TIMESTAMP '{C.Q3_APPROVED_AFTER}' AND organisation_size = 'L'
       AND packaging_type IN """ + TYPES_IN + " AND packaging_material IN " + MATERIALS_IN,
                      "CAST(NULL AS SMALLINT)")
 
 
 def q4() -> str:
-    return _approved("AND submission_year = 2025 AND packaging_type IN " + TYPES_IN
+    year = P.derive_period_year(C.Q4_AS_OF)
+    return _approved(f"AND submission_year = {year} AND packaging_type IN " + TYPES_IN
                      + " AND packaging_material IN " + MATERIALS_IN, "num_days_obligated")
 
 
@@ -345,8 +353,8 @@ def _updated(schema, extra: dict[str, str]) -> str:
     }
     provided.update(extra)
     return _with(
-        ("w", """SELECT * FROM sub WHERE submitted_at BETWEEN TIMESTAMP '2025-01-01 00:00:00'
-                 AND TIMESTAMP '2025-06-30 23:59:59'"""),
+        ("w", f"""SELECT * FROM sub WHERE submitted_at BETWEEN TIMESTAMP '{C.Q11_FROM}'
+                 AND TIMESTAMP '{C.Q11_TO}'"""),
         ("latest", """SELECT organisation_id, submitted_at, status FROM (SELECT *, row_number() OVER (
                  PARTITION BY organisation_id ORDER BY submitted_at DESC, submission_id DESC) AS rn
                  FROM w) WHERE rn = 1"""),
