@@ -1,4 +1,4 @@
-"""Batch jobs for the pay-calculation extracts (``spark-submit -m regsight ...``).
+"""Batch jobs for the pay-calculation extracts (``python -m regsight`` or spark-submit).
 
     python -m regsight extract poms --sf-dir DIR --year 2026 --out PATH [--gzip]
     python -m regsight extract organisations --sf-dir DIR --year 2026 --out PATH
