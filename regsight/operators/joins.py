@@ -75,11 +75,45 @@ def overlay_decisions(df: DataFrame, delta: DataFrame, key: str = "file_id",
           for c in df.columns])
 
 
+def split_hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
+                   hot_rows: int = 2_000_000, max_hot_keys: int = 100_000) -> DataFrame:
+    """Many-to-one join that does not depend on AQE for a hot key of ``big``.
+
+    Keys with more than ``hot_rows`` rows in ``big`` are found by a
+    partially aggregated count; their rows of ``small`` (one per key, at
+    most rows / ``hot_rows`` keys, checked) are broadcast, so hot rows join
+    without being shuffled to one task. All other keys take the ordinary
+    join. ``small`` must be unique on ``key``; ``how`` is inner or left.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("split_hot_join supports inner and left joins")
+    hot = (big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_rows).select(key))
+    n_hot = hot.limit(max_hot_keys + 1).count()
+    if n_hot == 0 or n_hot > max_hot_keys:
+        return big.join(small, key, how)
+    hot_keys = F.broadcast(hot)
+    hot_small = F.broadcast(small.join(hot_keys, key, "left_semi"))
+    hot_part = big.join(hot_keys, key, "left_semi").join(hot_small, key, how)
+    cold_part = big.join(hot_keys, key, "left_anti").join(small, key, how)
+    return cold_part.unionByName(hot_part)
+
+
 # J2 ------------------------------------------------------------------------
 def enrich_submissions(subs: DataFrame, orgs: DataFrame, persons: DataFrame | None = None,
-                       org_key: str = "organisation_id", person_key: str = "person_id") -> DataFrame:
-    """Submission + organisation (inner) + submitting person (left)."""
-    out = subs.join(orgs, org_key, "inner")
+                       org_key: str = "organisation_id", person_key: str = "person_id",
+                       hot_rows: int | None = None) -> DataFrame:
+    """Submission + organisation (inner) + submitting person (left).
+
+    By default the joins are left to the planner (AQE splits a skewed
+    partition). With ``hot_rows`` the organisation join splits hot
+    organisations explicitly (``split_hot_join``), for clusters where AQE's
+    skew handling is off.
+    """
+    if hot_rows is None:
+        out = subs.join(orgs, org_key, "inner")
+    else:
+        out = split_hot_join(subs, orgs, org_key, "inner", hot_rows)
     if persons is not None:
         out = out.join(persons, person_key, "left")
     return out

@@ -48,6 +48,25 @@ def test_exists_synced_and_both(spark):
     assert both == {"a": True, "b": False, "c": False}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_split_hot_join_equals_plain_join(spark, how):
+    big = spark.createDataFrame([(0 if i % 3 else i % 7, i) for i in range(300)], "k int, v int")
+    small = spark.createDataFrame([(k, f"n{k}") for k in range(5)], "k int, name string")
+    plain = sorted(tuple(r) for r in big.join(small, "k", how).select("k", "v", "name").collect())
+    for hot_rows in (10, 10 ** 6):
+        split = J.split_hot_join(big, small, "k", how, hot_rows=hot_rows).select("k", "v", "name")
+        assert sorted(tuple(r) for r in split.collect()) == plain
+
+
+def test_enrich_with_hot_split(spark, sf_small):
+    from regsight.sources import standin as V
+    subs, orgs = V.submissions(spark, sf_small), V.organisations(spark, sf_small)
+    cols = ["submission_id", "organisation_name", "nation_id"]
+    plain = sorted(tuple(r) for r in J.enrich_submissions(subs, orgs).select(*cols).collect())
+    split = J.enrich_submissions(subs, orgs, hot_rows=5).select(*cols)
+    assert sorted(tuple(r) for r in split.collect()) == plain
+
+
 def test_synced_only_filter_form(spark):
     ids = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
     events = spark.createDataFrame([("a",), ("a",), ("c",), ("z",)], "k string")
