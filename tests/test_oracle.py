@@ -46,6 +46,7 @@ def test_query_matches_oracle(spark, con, sf_small, key):
     df = E.queries()[key](spark, sf_small)
     cur = con.execute(E.oracle_sql()[key])
     assert df.columns == [d[0] for d in cur.description]
+    assert len(set(df.columns)) == len(df.columns), "column names must be unique"
     spark_types = [SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
                    for f in df.schema.fields]
     assert spark_types == [str(d[1]) for d in cur.description]
