@@ -34,6 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     ex.add_argument("--year", required=True, type=int)
     ex.add_argument("--out", required=True)
     ex.add_argument("--gzip", action="store_true")
+    ex.add_argument("--max-records-per-file", type=int, default=None)
     args = parser.parse_args(argv)
 
     try:
@@ -49,7 +50,8 @@ def main(argv: list[str] | None = None) -> int:
     df = EXTRACTS[args.kind](spark, args.sf_dir, year)
     seen = []
     try:
-        X.export_with_summary(df, args.out, "gzip" if args.gzip else None, on_complete=seen.append)
+        X.export_with_summary(df, args.out, "gzip" if args.gzip else None, on_complete=seen.append,
+                              max_records_per_file=args.max_records_per_file)
     except Exception:  # noqa: BLE001 - the summary below reports it
         pass
     summary = seen[0]

@@ -34,12 +34,18 @@ def ndjson_lines(df: DataFrame, out: str = "line") -> DataFrame:
 
 
 def ndjson_export(df: DataFrame, path: str, compression: str | None = None,
-                  mode: str = "overwrite") -> None:
-    """Write ``df`` as NDJSON part files under ``path`` (optionally gzip)."""
+                  mode: str = "overwrite", max_records_per_file: int | None = None) -> None:
+    """Write ``df`` as NDJSON part files under ``path`` (optionally gzip).
+
+    ``max_records_per_file`` caps the size of each part file (each task
+    starts a new file when it is reached); no row is dropped.
+    """
     writer = df.select(*camel_columns(df)).write.mode(mode).option("encoding", "UTF-8") \
         .option("lineSep", "\n")
     if compression:
         writer = writer.option("compression", compression)
+    if max_records_per_file:
+        writer = writer.option("maxRecordsPerFile", int(max_records_per_file))
     writer.json(path)
 
 
@@ -54,7 +60,7 @@ class ExportSummary:
 
 
 def export_with_summary(df: DataFrame, path: str, compression: str | None = None,
-                        on_complete=None) -> ExportSummary:
+                        on_complete=None, max_records_per_file: int | None = None) -> ExportSummary:
     """S4 plus a summary delivered once at the end, also on failure.
 
     A failed Spark write commits no output, so a failure reports status
@@ -65,7 +71,7 @@ def export_with_summary(df: DataFrame, path: str, compression: str | None = None
     start = time.monotonic()
     summary: ExportSummary
     try:
-        ndjson_export(observed, path, compression)
+        ndjson_export(observed, path, compression, max_records_per_file=max_records_per_file)
         summary = ExportSummary(int(obs.get["records"]), time.monotonic() - start, "completed", path)
     except Exception as exc:  # noqa: BLE001 - reported, then re-raised
         summary = ExportSummary(None, time.monotonic() - start, "failed", path, str(exc)[:500])

@@ -57,3 +57,12 @@ def test_export_summary_failure_reported_then_raised(spark):
     with pytest.raises(Exception):
         X.export_with_summary(df, scratch_path(spark, "test-fail"), on_complete=seen.append)
     assert len(seen) == 1 and seen[0].status == "failed" and seen[0].records is None
+
+
+def test_max_records_per_file(spark):
+    df = spark.range(10).withColumnRenamed("id", "record_id").coalesce(1)
+    path = scratch_path(spark, "test-maxrec")
+    X.ndjson_export(df, path, max_records_per_file=3)
+    local = path[len("file:"):] if path.startswith("file:") else path
+    parts = glob.glob(os.path.join(local, "part-*"))
+    assert len(parts) == 4 and len(_read_lines(path)) == 10
