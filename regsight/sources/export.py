@@ -66,7 +66,7 @@ def export_with_summary(df: DataFrame, path: str, compression: str | None = None
     A failed Spark write commits no output, so a failure reports status
     ``failed`` and no partial count.
     """
-    obs = Observation("ndjson_export")
+    obs = Observation()
     observed = df.observe(obs, F.count(F.lit(1)).alias("records"))
     start = time.monotonic()
     summary: ExportSummary
