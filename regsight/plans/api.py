@@ -13,9 +13,14 @@ import datetime as dt
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from regsight.functions import normalise as N
+from regsight.operators import aggregate as A
+from regsight.operators import joins as J
 from regsight.operators import paging as W
 from regsight.plans import reports as R
+from regsight.sources import standin as V
 from regsight.sources.export import camel_case
 
 # Fixed field names of the request bodies (the reference's request models).
@@ -87,3 +92,41 @@ def organisation_registrations(spark: SparkSession, sf_dir: str, nation_id: int,
         app_refs=query.get("applicationReferenceNumbers"),
         page_size=int(query.get("pageSize", 0)), page_number=int(query.get("pageNumber", 0)))
     return page_response(page)
+
+
+# Single-id questions (scalar answers) ------------------------------------------
+def sync_available(spark: SparkSession, sf_dir: str, submission_id=None, file_id=None) -> bool:
+    """Q8 for one submission or one file: has it arrived? No row -> False."""
+    if submission_id is None and file_id is None:
+        raise ValueError("give a submission id or a file id")
+    flags = R.sync_available(spark, sf_dir)
+    cond = (F.col("submission_id") == submission_id) if submission_id is not None \
+        else (F.col("file_id") == str(file_id).strip().lower())
+    row = flags.filter(cond).select("is_synced").first()
+    return bool(row[0]) if row is not None and row[0] is not None else False
+
+
+def resubmission_synchronised(spark: SparkSession, sf_dir: str, file_id: str) -> bool:
+    """Q9 for one file: arrived and known with a resubmission reference."""
+    if not file_id or not str(file_id).strip():
+        raise ValueError("file id must not be empty")
+    row = (R.resubmission_synchronised(spark, sf_dir)
+           .filter(F.col("file_id") == str(file_id).strip().lower())
+           .select("is_synchronised").first())
+    return bool(row[0]) if row is not None and row[0] is not None else False
+
+
+def actual_submission_period(spark: SparkSession, sf_dir: str, file_id: str,
+                             period_label: str) -> str:
+    """Q10 for one request: stored actual period, else the (URL-decoded) requested one."""
+    request = spark.createDataFrame([(file_id, period_label)], "file_id string, label string")
+    request = request.select(N.sanitise_id("file_id").alias("file_id"),
+                             N.decode_period("label").alias("requested_period"))
+    out = J.lookup_period(request, R.stored_actual_periods(spark, sf_dir), "file_id",
+                          "stored_period", "requested_period")
+    return out.select(F.col("actual_submission_period")).first()[0]
+
+
+def last_sync_time(spark: SparkSession, sf_dir: str) -> dt.datetime:
+    """Q16: the latest load time; an empty event store is an error."""
+    return A.last_sync_time_value(V.submission_events(spark, sf_dir))

@@ -38,3 +38,25 @@ def test_organisation_registrations_request(spark, sf_small):
                i["submissionStatus"] == "Accepted" for i in out["items"])
     with pytest.raises(ValueError):
         api.organisation_registrations(spark, sf_small, 5, {"pageSize": 10, "pageNumber": 1})
+
+
+def test_single_id_questions(spark, sf_small):
+    from regsight.sources import standin as V
+    events = V.submission_events(spark, sf_small)
+    arrived = events.select("submission_id", "file_id").first()
+    assert api.sync_available(spark, sf_small, submission_id=arrived.submission_id) is True
+    assert api.sync_available(spark, sf_small, file_id=arrived.file_id.upper()) is True
+    assert api.sync_available(spark, sf_small, submission_id=-1) is False
+    flags = {r.file_id: r.is_synchronised for r in R.resubmission_synchronised(spark, sf_small).collect()}
+    some_file = next(iter(flags))
+    assert api.resubmission_synchronised(spark, sf_small, some_file) is flags[some_file]
+    assert api.resubmission_synchronised(spark, sf_small, "00000000-0000-4000-8000-999999999999") is False
+    stored = R.stored_actual_periods(spark, sf_small).filter("stored_period is not null").first()
+    assert api.actual_submission_period(spark, sf_small, stored.file_id + "\r\n",
+                                        "July+to%20December+2025") == stored.stored_period
+    assert api.actual_submission_period(spark, sf_small, "unknown",
+                                        "July+to%20December+2025") == "July to December 2025"
+    assert api.last_sync_time(spark, sf_small) == \
+        events.agg({"load_ts": "max"}).first()[0]
+    with pytest.raises(ValueError):
+        api.sync_available(spark, sf_small)
