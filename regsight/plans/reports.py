@@ -57,6 +57,7 @@ def _today() -> dt.date:
 
 
 def submitter_type(org_type_col: str = "organisation_type"):
+    """Submitter type of a POM line from its organisation's type (our definition)."""
     return (F.when(F.col(org_type_col) == "CS", F.lit("ComplianceScheme"))
             .otherwise(F.lit("DirectRegistrant")))
 
@@ -88,6 +89,7 @@ def decisions_from_events(spark: SparkSession, sf_dir: str, with_required: bool
 
 # Q16 -----------------------------------------------------------------------
 def last_sync_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q16: one row, the latest load time of the event store (A1)."""
     return A.max_sync_time(V.submission_events(spark, sf_dir), "load_ts", "last_sync_time")
 
 
@@ -569,6 +571,7 @@ def paycal_organisations(spark: SparkSession, sf_dir: str, relative_year: int,
 
 
 def period_description(period_col: str = "submission_period"):
+    """Text of a period label for the POM extract, e.g. ``2025-H1`` -> ``January to June 2025``."""
     suffix = F.substring_index(F.col(period_col), "-", -1)
     year = F.substring_index(F.col(period_col), "-", 1)
     desc = None
