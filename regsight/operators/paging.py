@@ -91,7 +91,8 @@ def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[
     cold_out = _window_history(cold, group_cols, order_cols, status_col, comments_col, rejected)
     hot_out = split_history(hot_rows_df, group_cols, order_cols, status_col, comments_col,
                             rejected, num_pieces)
-    return cold_out.unionByName(hot_out.select(*cold_out.columns))
+    out_cols = [*df.columns, "is_resubmission", "previous_rejection_comments"]
+    return cold_out.select(*out_cols).unionByName(hot_out.select(*out_cols))
 
 
 def _window_history(df, group_cols, order_cols, status_col, comments_col, rejected):
@@ -135,7 +136,8 @@ def split_history(df: DataFrame, group_cols: list[str], order_cols: list[str],
                      (~first_in_piece | F.col("_has_prev")).alias("is_resubmission"),
                      F.when(first_in_piece, F.col("_prev_rc")).otherwise(F.col("_lag_rc"))
                      .alias("previous_rejection_comments")))
-    return df.join(flags, keys, "left")
+    return df.join(flags, keys, "left").select(*df.columns, "is_resubmission",
+                                               "previous_rejection_comments")
 
 
 # L1 ------------------------------------------------------------------------
