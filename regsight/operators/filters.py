@@ -96,7 +96,7 @@ def filter_key(df: DataFrame, col: str, key) -> DataFrame:
     """Point lookup by one id, or bulk lookup by a DataFrame of ids (semi join)."""
     if isinstance(key, DataFrame):
         ids = key.select(F.col(key.columns[0]).alias(col))
-        return df.join(ids, col, "left_semi")
+        return df.join(ids, col, "left_semi").select(*df.columns)
     if key is None or (isinstance(key, str) and not key.strip()):
         raise ValueError(f"{col} must not be empty")
     return df.filter(F.col(col) == F.lit(key))

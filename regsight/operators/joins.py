@@ -128,7 +128,7 @@ def exists_synced(ids: DataFrame, events: DataFrame, key: str, flag: str = "is_s
 
 def synced_only(ids: DataFrame, events: DataFrame, key: str) -> DataFrame:
     """Filter form of J3 (semi join)."""
-    return ids.join(events.select(key), key, "left_semi")
+    return ids.join(events.select(key), key, "left_semi").select(*ids.columns)
 
 
 # J4 ------------------------------------------------------------------------

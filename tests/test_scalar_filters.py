@@ -99,5 +99,6 @@ def test_filter_key_point_and_bulk(spark):
     assert FL.filter_key(df, "id", 2).first().v == "b"
     ids = spark.createDataFrame([(1,), (3,), (3,)], "x int")
     assert sorted(r.id for r in FL.filter_key(df, "id", ids).collect()) == [1, 3]
+    assert FL.filter_key(df.select("v", "id"), "id", ids).columns == ["v", "id"]
     with pytest.raises(ValueError):
         FL.filter_key(df, "v", " ")
