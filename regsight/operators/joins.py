@@ -123,7 +123,7 @@ def enrich_submissions(subs: DataFrame, orgs: DataFrame, persons: DataFrame | No
 def exists_synced(ids: DataFrame, events: DataFrame, key: str, flag: str = "is_synced") -> DataFrame:
     """One flag per requested id: has it arrived in the event store?"""
     arrived = events.select(key).distinct().withColumn("_hit", F.lit(True))
-    return ids.join(arrived, key, "left").withColumn(flag, fold_flag("_hit")).drop("_hit")
+    return ids.join(arrived, key, "left").select(*ids.columns, fold_flag("_hit").alias(flag))
 
 
 def synced_only(ids: DataFrame, events: DataFrame, key: str) -> DataFrame:
@@ -142,8 +142,7 @@ def exists_both(ids: DataFrame, events: DataFrame, known: DataFrame, key: str,
     first = exists_synced(ids, events, key, "_arrived")
     known_keys = known.select(key).distinct().withColumn("_known", F.lit(True))
     both = first.join(known_keys, key, "left")
-    return (both.withColumn(flag, F.col("_arrived") & fold_flag("_known"))
-            .drop("_arrived", "_known"))
+    return both.select(*ids.columns, (F.col("_arrived") & fold_flag("_known")).alias(flag))
 
 
 # J5 ------------------------------------------------------------------------
@@ -155,6 +154,5 @@ def lookup_period(df: DataFrame, lookup: DataFrame, key: str, actual_col: str,
     submission), so the join is many-to-one and keeps the rows of ``df``.
     """
     side = lookup.select(key, F.col(actual_col).alias("_actual"))
-    return (df.join(side, key, "left")
-            .withColumn(out, F.coalesce(F.col("_actual"), F.col(requested_col)))
-            .drop("_actual"))
+    return df.join(side, key, "left").select(
+        *df.columns, F.coalesce(F.col("_actual"), F.col(requested_col)).alias(out))

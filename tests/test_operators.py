@@ -42,6 +42,8 @@ def test_exists_synced_and_both(spark):
     ids = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
     events = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     known = spark.createDataFrame([("a",), ("c",)], "k string")
+    assert J.exists_synced(ids.select(F.lit(1).alias("x"), "k"), events, "k").columns == \
+        ["x", "k", "is_synced"]
     got = dict((r.k, r.is_synced) for r in J.exists_synced(ids, events, "k").collect())
     assert got == {"a": True, "b": True, "c": False}
     both = dict((r.k, r.is_synchronised) for r in J.exists_both(ids, events, known, "k").collect())
