@@ -7,7 +7,8 @@ rows each query returns, the core count, the Spark version and the settings
 that shape the plans.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1),
-``BENCH_CPUS`` (default 8), ``BENCH_RUNS`` (default 5).
+``BENCH_CPUS`` (default 8), ``BENCH_RUNS`` (default 5), ``BENCH_SHUFFLE_PARTITIONS``
+(default twice the cores; AQE coalesces small partitions).
 
 Actions: aggregates and detail reports run to completion into Spark's
 ``noop`` sink (the whole plan executes, nothing is collected); the two
@@ -69,7 +70,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "5"))
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus))))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=partitions,
                           app_name="regsight-bench")
 
     cases = {
