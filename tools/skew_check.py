@@ -1,4 +1,4 @@
-"""W2 under a hot group: largest task with a plain window vs the split path.
+"""Hot groups: largest task of W2 and J2, plain form vs split form.
 
 Derives a skewed submissions table from the driver tables (a third of all
 submissions remapped onto one organisation and year), then reports the
@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from regsight.operators import joins as J  # noqa: E402
 from regsight.operators import paging as W  # noqa: E402
 from regsight.session import build_session  # noqa: E402
 from regsight.sources import standin as V  # noqa: E402
@@ -50,11 +51,31 @@ def main() -> None:
         .select("submission_id", F.col("is_resubmission").alias("r"),
                 F.col("previous_rejection_comments").alias("c"))
     differing = plain.exceptAll(split).count() + split.exceptAll(plain).count()
+
+    # J2 under the same hot organisation: a shuffle join hashes the organisation
+    # key, so the hot key lands in one task; the split join shuffles only the
+    # cold rows and joins the hot ones against a broadcast where they are.
+    orgs = V.organisations(spark, sf_dir).select("organisation_id", "organisation_name")
+    hot_keys = subs.groupBy("organisation_id").count().filter(F.col("count") > total // (2 * tasks))
+    # input splits are balanced by bytes, whatever the keys: model them round-robin
+    scan = subs.repartition(tasks)
+    cold_subs = scan.join(hot_keys.select("organisation_id"), "organisation_id", "left_anti")
+    join_plain_max = largest_task(scan.repartition(tasks, "organisation_id"))
+    join_split_max = max(largest_task(cold_subs.repartition(tasks, "organisation_id")),
+                         largest_task(scan.filter(hot)))
+    plain_join = subs.join(orgs, "organisation_id").select("submission_id", "organisation_name")
+    split_join = J.split_hot_join(subs, orgs, "organisation_id", "inner",
+                                  hot_rows=total // (2 * tasks)) \
+        .select("submission_id", "organisation_name")
+    join_differing = plain_join.exceptAll(split_join).count() + split_join.exceptAll(plain_join).count()
     print(json.dumps({"sf_dir": sf_dir, "rows": total, "tasks": tasks,
                       "hot_group_rows": subs.filter(hot).count(),
                       "plain_window_largest_task_rows": plain_max,
                       "split_path_largest_task_rows": split_max,
-                      "differing_rows": differing}))
+                      "differing_rows": differing,
+                      "join_shuffle_largest_task_rows": join_plain_max,
+                      "join_split_largest_task_rows": join_split_max,
+                      "join_differing_rows": join_differing}))
 
 
 if __name__ == "__main__":
