@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regsight.operators.joins import bounded_broadcast
-from regsight.sources.tables import read_path, read_table, ts_ntz
+from regsight.sources.tables import read_path, read_table, session_key, ts_ntz
 
 # ---------------------------------------------------------------------------
 # Fixed values of the stand-in mapping (input definition, not logic).
@@ -72,7 +72,7 @@ def use_warehouse(spark: SparkSession, paths: dict[str, str] | None) -> None:
     the lines join to a filtered submission set carries the year, so
     dynamic partition pruning applies to it.
     """
-    key = id(spark._jsparkSession)
+    key = session_key(spark)
     if paths is None:
         _WAREHOUSES.pop(key, None)
     else:
@@ -80,7 +80,7 @@ def use_warehouse(spark: SparkSession, paths: dict[str, str] | None) -> None:
 
 
 def _stored(spark: SparkSession, name: str) -> str | None:
-    return _WAREHOUSES.get(id(spark._jsparkSession), {}).get(name)
+    return _WAREHOUSES.get(session_key(spark), {}).get(name)
 
 
 def file_id_of(key: Column) -> Column:

@@ -27,9 +27,14 @@ def table_path(sf_dir: str, name: str) -> str:
 _OPENED: dict[tuple[int, str], DataFrame] = {}
 
 
+def session_key(spark: SparkSession) -> int:
+    """Identity of the session behind ``spark`` (for per-session caches)."""
+    return id(getattr(spark, "_jsparkSession", spark))
+
+
 def read_path(spark: SparkSession, path: str) -> DataFrame:
     """``spark.read.parquet(path)``, opened once per session."""
-    key = (id(spark._jsparkSession), path)
+    key = (session_key(spark), path)
     df = _OPENED.get(key)
     if df is None:
         df = _OPENED[key] = spark.read.parquet(path)
