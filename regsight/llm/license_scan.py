@@ -33,6 +33,7 @@ FIT_WINDOWS = 4_000
 VARIANTS = 60
 ROUNDS = 80
 CONFIRM = 0.6
+UNKNOWN_PHRASES = 2
 NONE, UNKNOWN = "none", "unknown"
 
 #: One or more statements per licence family.
@@ -62,7 +63,8 @@ TEMPLATES = {
             "associated documentation files"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
             "Licensed under the Mozilla Public License 2.0."],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without written permission.",
+    "proprietary": ["All rights reserved.",
+                    "All rights reserved. No part of this work may be reproduced without written permission.",
                     "Copyright. All rights reserved. Proprietary and confidential."],
 }
 #: licence-like statements of no family above, for the unknown class
@@ -113,6 +115,7 @@ class Model:
     temperature: float
     least: np.ndarray        # per class, the calibrated least probability
     templates: dict[str, list[frozenset]]
+    phrases: frozenset       # word pairs of licence statements of any kind
 
     def probabilities(self, w: Windows) -> np.ndarray:
         """Class probabilities per window: a sum over its grams by prefix sums."""
@@ -199,8 +202,14 @@ def fit(docs: DataFrame, *, text_col: str = "text", fit_windows: int = FIT_WINDO
     for family, statements in TEMPLATES.items():
         _, own = _windows(statements)
         templates[family] = [_pairs(own, d) for d in range(len(statements))]
+    sample = corpus_sample(docs, text_col, fit_windows)
+    # every other variant stands in a window of background text
+    pool = np.array([g for own in sample for g in own] or [0])
+    for k in range(0, len(grams), 2):
+        room = max(1, 2 * WINDOW - len(grams[k]))
+        grams[k] = np.concatenate([grams[k], rng.choice(pool, rng.integers(0, room))])[:2 * WINDOW]
     marks = [set(g.tolist()) for g in _gram_lists(_windows([s for f in TEMPLATES.values() for s in f])[1])]
-    for own in corpus_sample(docs, text_col, fit_windows):
+    for own in sample:
         have = set(own)
         # windows that hold most of a template are licences, not background
         if own and max(len(m & have) / len(m) for m in marks) < 0.5:
@@ -219,12 +228,13 @@ def fit(docs: DataFrame, *, text_col: str = "text", fit_windows: int = FIT_WINDO
         if len(own):
             least[c] = min(0.9, max(0.3, float(np.quantile(own, 0.01))))
     return Model(names, np.vstack([weights, np.zeros(len(names))]).astype(np.float32), bias, temperature, least,
-                 templates)
+                 templates, _pairs(_windows([p for s in OTHER for p in s.split("{}")])[1]))
 
 
-def _pairs(w: Windows, d: int) -> frozenset:
+def _pairs(w: Windows, d: int | None = None) -> frozenset:
+    """Word pairs of text ``d``, or of all texts."""
     out = set()
-    for k in np.flatnonzero(w.doc == d):
+    for k in range(len(w.doc)) if d is None else np.flatnonzero(w.doc == d):
         out.update(w.pairs[w.low[k]:w.high[k] - 1].tolist())
     return frozenset(out - {0})
 
@@ -273,7 +283,7 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
                 best: dict[int, tuple] = {}
                 for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
                     own = _judge(model, w, k, p[k])
-                    if w.line[k] not in best or own[:2] > best[w.line[k]][:2]:
+                    if own and (w.line[k] not in best or own[:2] > best[w.line[k]][:2]):
                         best[w.line[k]] = own
                 for sure, confidence, family, similarity, k in best.values():
                     d = int(w.doc[k])
@@ -298,12 +308,20 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
     return annotate(docs, kernel, FIELDS, text_col, keep)
 
 
-def _judge(model: Model, w: Windows, k: int, p: np.ndarray) -> tuple:
-    """(confirmed, confidence, family, similarity, window) of a window that looks like a licence."""
+def _judge(model: Model, w: Windows, k: int, p: np.ndarray) -> tuple | None:
+    """(confirmed, confidence, family, similarity, window) of a window that looks like a
+    licence; None if no template bears it out."""
     own = set(w.pairs[w.low[k]:w.high[k] - 1].tolist())
-    c = int(np.argmax(p[1:])) + 1
-    family = model.families[c]
-    similarity = max((len(t & own) / len(t) for t in model.templates.get(family, ())), default=0.0)
-    if family != UNKNOWN and p[c] >= model.least[c] and similarity >= CONFIRM:
-        return True, float(p[c]), family, similarity, k
+    similar = np.array([max((len(t & own) / len(t) for t in model.templates.get(f, ())), default=0.0)
+                        for f in model.families])
+    # families of nearly the same words are told apart by their templates
+    weight = p * similar ** 4
+    c = int(np.argmax(weight))
+    similarity = float(similar[c])
+    confidence = float((1 - p[0]) * weight[c] / max(weight.sum(), 1e-300))
+    if similarity >= CONFIRM and confidence >= model.least[c]:
+        return True, confidence, model.families[c], similarity, k
+    # the unknown class is confirmed by licence phrases that no background text has
+    if len(own & model.phrases) < UNKNOWN_PHRASES:
+        return None
     return False, float(1 - p[0]), UNKNOWN, similarity, k

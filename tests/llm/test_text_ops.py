@@ -181,7 +181,7 @@ def test_secrets_against_brute_force(spark, documents):
 def test_licences_in_documents(spark, sf, documents):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "gpl",
              "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit",
-             "Licensed under the Apache License, Version 2.0.": "apache"}
+             "Licensed under the Apache License, Version 2.0.": "apache", "All rights reserved.": "proprietary"}
     rows = {r.doc_id: r for r in C.op9_license_scan(spark, sf).collect()}
     assert len(rows) == len(documents)
     found = 0
