@@ -63,13 +63,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         rows = (rows.join(F.broadcast(hot), "_digest", "left")
                 .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(),
                                                                   F.lit(pieces))).otherwise(F.lit(0).cast("long"))))
-    else:
-        rows = rows.withColumn("_salt", F.lit(0).cast("long"))
 
-    ranged = (rows.withColumn("_lead", F.substring("_norm", 1, LEAD_CHARS))
-              .repartitionByRange("_lead", "_digest", "_salt"))
+    # the window below finds its rows together: no second exchange of the texts
+    place = ["_lead", "_digest", *(["_salt"] if has_hot else [])]
+    ranged = rows.withColumn("_lead", F.substring("_norm", 1, LEAD_CHARS)).repartitionByRange(*place)
     order = F.col("_id").desc_nulls_last() if largest else F.col("_id").asc_nulls_last()
-    run = Window.partitionBy("_lead", "_digest", "_salt", "_norm").orderBy(order)
+    run = Window.partitionBy(*place, "_norm").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = (ranged.withColumn("_rn", F.row_number().over(run))
             .withColumn("_keep", F.first("_id").over(whole))
