@@ -2,10 +2,8 @@
 
 All native expressions. Calls and results meet in a hash join on the call's
 identifier (results are reduced per identifier first, with map-side combine).
-The order is topological over ``depends_on``: calls without an open dependency
-get level 0, and each round resolves the calls whose dependencies are all
-resolved; rounds are as many as the longest chain, each one an aggregation and
-joins over the edges still open. Arguments are checked against the tools'
+The order is topological over ``depends_on``: a call's level is the longest way
+to a call without dependencies. Arguments are checked against the tools'
 schemas and written as canonical JSON (keys sorted, no blanks, numbers in
 shortest form).
 
@@ -91,30 +89,55 @@ def events(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
         .select("conv", "turn", "e.*")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def topological_levels(calls: DataFrame) -> DataFrame:
-    """``id`` and ``level`` of calls (``id``, ``depends_on``); ids on or behind a cycle are missing."""
-    spark = calls.sparkSession
-    ids = calls.filter("id is not null").select("id").distinct()
-    path = scratch_path(spark, "chat-edges")
-    (calls.filter("id is not null").select("id", F.explode("depends_on").alias("on")).distinct()
-     .join(ids.withColumnRenamed("id", "on"), "on", "left_semi").select("id", "on").write.parquet(path))
-    edges = spark.read.parquet(path)
-    done = ids.join(edges, "id", "left_anti").withColumn("level", F.lit(0))
-    ready, level = done.select("id"), 0
-    while not edges.isEmpty():
-        path = scratch_path(spark, "chat-edges")
-        edges.join(ready.withColumnRenamed("id", "on"), "on", "left_anti").select("id", "on").write.parquet(path)
-        left = spark.read.parquet(path)
-        level += 1
-        ready = edges.select("id").distinct().join(left, "id", "left_anti")
-        path = scratch_path(spark, "chat-ready")
-        ready.write.parquet(path)
-        ready = spark.read.parquet(path)
+    """``id`` and ``level`` of calls (``id``, ``depends_on``); ids on or behind a cycle are missing.
+
+    Calls of one dependency form chains, and a long conversation is one long
+    chain: each such call finds the call its chain starts from, and the
+    distance to it, by pointer doubling. Calls of several dependencies are then
+    resolved in rounds over those starts.
+    """
+    ids = _stored(calls.filter("id is not null").select("id").distinct(), "chat-ids")
+    edges = _stored(calls.filter("id is not null").select("id", F.explode("depends_on").alias("on")).distinct()
+                    .join(ids.withColumnRenamed("id", "on"), "on", "left_semi").select("id", "on"), "chat-edges")
+    known = _stored(ids.join(edges, "id", "left_anti").select("id", F.lit(0).cast("long").alias("level")),
+                    "chat-roots")
+    degree = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("on").alias("ptr"))
+    chain = _stored(degree.filter("n = 1").select("id", "ptr", F.lit(1).cast("long").alias("dist"),
+                                                  F.lit(True).alias("moved")), "chat-chain")
+    for _ in range(int(chain.count()).bit_length() + 1):
+        ahead = chain.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("dist").alias("more"))
+        chain = _stored(chain.drop("moved").join(ahead, "ptr", "left").select(
+            "id", F.coalesce("far", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
+            F.col("far").isNotNull().alias("moved")), "chat-chain")
+        if chain.filter("moved").isEmpty():
+            break
+    chain = chain.filter("not moved").select("id", "ptr", "dist")  # the others run into a cycle
+    several = edges.join(degree.filter("n > 1").select("id"), "id", "left_semi")
+    left = _stored(several.join(chain.select(F.col("id").alias("on"), "ptr", "dist"), "on", "left")
+                   .select("id", F.coalesce("ptr", "on").alias("on"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")),
+                   "chat-open")
+    ready, reached = known, []
+    while not left.isEmpty():
+        hit = left.join(ready.withColumnRenamed("id", "on"), "on")
+        reached.append(_stored(hit.select("id", (F.col("level") + F.col("dist")).alias("level")), "chat-reached"))
+        left = _stored(left.join(ready.select(F.col("id").alias("on")), "on", "left_anti"), "chat-open")
+        so_far = reached[0] if len(reached) == 1 else _stored(reached[0].unionByName(reached[1]), "chat-reached")
+        reached = [so_far]
+        ready = _stored(so_far.groupBy("id").agg(F.max("level").alias("level")).join(left, "id", "left_anti")
+                        .join(known, "id", "left_anti"), "chat-ready")
         if ready.isEmpty():
             break
-        done = done.unionByName(ready.withColumn("level", F.lit(level)))
-        edges = left
-    return done
+        known = _stored(known.unionByName(ready), "chat-known")
+    behind = chain.join(known.withColumnRenamed("id", "ptr"), "ptr") \
+        .select("id", (F.col("level") + F.col("dist")).alias("level"))
+    return known.unionByName(behind).select("id", F.col("level").cast("int").alias("level"))
 
 
 def _errors(arguments: Column, params: Column) -> Column:
@@ -146,9 +169,7 @@ def format_calls(happenings: DataFrame, tools: dict[str, dict[str, tuple[str, bo
     if len(tools) > MAX_TOOLS:
         raise ValueError(f"{len(tools)} tools; at most {MAX_TOOLS}")
     spark = happenings.sparkSession
-    path = scratch_path(spark, "chat-events")
-    happenings.write.parquet(path)
-    all_events = spark.read.parquet(path)
+    all_events = _stored(happenings, "chat-events")
     calls = all_events.filter("kind = 'call'")
     results = all_events.filter("kind = 'result'")
     schema = spark.createDataFrame(
@@ -157,9 +178,7 @@ def format_calls(happenings: DataFrame, tools: dict[str, dict[str, tuple[str, bo
     linked = results.filter("id is not null").groupBy("id").agg(
         F.min(F.struct("turn", "content")).alias("first"), F.count(F.lit(1)).alias("n_results"))
     same = calls.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n_same"))
-    path = scratch_path(spark, "chat-levels")
-    topological_levels(calls).join(same, "id").write.parquet(path)
-    levels = spark.read.parquet(path)
+    levels = _stored(topological_levels(calls).join(same, "id"), "chat-levels")
     cyclic = same.join(levels, "id", "left_anti").select("id", F.lit(None).cast("int").alias("level"), "n_same")
     nodes = levels.unionByName(cyclic).join(linked, "id", "left")
     rows = (calls.join(nodes, "id", "left").join(F.broadcast(schema), "tool", "left")

@@ -320,3 +320,15 @@ def test_embedded_calls_validation_cycles_and_edges(spark):
     assert Counter(r.status for r in out) == Counter(
         {"cyclic": 3, "answered": 1, "unanswered": 7, "orphan": 2, "message": 2})
     assert CF.format_calls(CF.events(frame.limit(0)), tools).count() == 0
+
+
+def test_levels_are_longest_ways(spark):
+    rng = np.random.default_rng(9)
+    deps = {i: {int(x) for x in rng.integers(0, i, rng.integers(0, 3))} if i and rng.random() < 0.3 else {max(0, i - 1)}
+            for i in range(1, 120)} | {0: set(), 200: {201, 5}, 201: {202}, 202: {200}, 203: {202}, 204: {3, 203}}
+    level = {}
+    for i in range(120):
+        level[str(i)] = max((level[str(d)] + 1 for d in deps[i]), default=0)
+    rows = [(str(i), [str(d) for d in ds]) for i, ds in deps.items()]
+    got = CF.topological_levels(spark.createDataFrame(rows, "id string, depends_on array<string>")).collect()
+    assert {r.id: r.level for r in got} == level
