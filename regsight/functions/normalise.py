@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 # Formats and the rejection message of an unparseable date.
 INVALID_DATETIME_MESSAGE = "Invalid datetime provided; please make sure it's a valid UTC datetime"
-GUID_PATTERN = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+GUID_PATTERN = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 # yyyy-MM-ddTHH:mm:ss.fffffffZ (seven fraction digits; Spark keeps six)
 TICKS_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS'Z'"
 TICKS_TIMESTAMP_OUT_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'"
@@ -30,11 +30,16 @@ def _empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _canonical_text(c: Column) -> Column:
+    """Lower case without the white space around, line breaks included."""
+    return F.lower(F.regexp_replace(c, r"\A\s+|\s+\z", ""))
+
+
 # N1 ------------------------------------------------------------------------
 def norm_guid(col, name: str = "id") -> Column:
     """Text to canonical id: null/empty -> null, valid -> lower case, else error."""
     c = _c(col)
-    canon = F.lower(F.trim(c))
+    canon = _canonical_text(c)
     return (F.when(c.isNull() | (c == ""), F.lit(None).cast("string"))
             .when(canon.rlike(GUID_PATTERN), canon)
             .otherwise(F.raise_error(F.concat(F.lit(f"invalid guid in {name}: "), c))
@@ -44,7 +49,7 @@ def norm_guid(col, name: str = "id") -> Column:
 def try_norm_guid(col) -> Column:
     """Lenient N1 (N6): an unparseable id becomes null."""
     c = _c(col)
-    canon = F.lower(F.trim(c))
+    canon = _canonical_text(c)
     return F.when(canon.rlike(GUID_PATTERN), canon)
 
 
@@ -140,10 +145,10 @@ def parse_utc_date(col) -> Column:
 
 def split_parsed(df: DataFrame, col: str, out: str,
                  message: str = INVALID_DATETIME_MESSAGE) -> tuple[DataFrame, DataFrame]:
-    """Good rows with the parsed value, and rejects with a message."""
+    """Good rows with the parsed value, and rejects (a null date too) with a message."""
     parsed = df.withColumn(out, parse_utc_date(col))
     good = parsed.filter(F.col(out).isNotNull())
-    bad = parsed.filter(F.col(out).isNull() & F.col(col).isNotNull()) \
+    bad = parsed.filter(F.col(out).isNull()) \
         .drop(out).withColumn("error", F.lit(message))
     return good, bad
 

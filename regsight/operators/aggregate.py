@@ -45,7 +45,7 @@ def approved_weights(lines: DataFrame, weight_col: str = "packaging_material_wei
     """Total weight per key; days obligated is always null in this variant."""
     return (lines.groupBy(*keys)
             .agg(_exact_weight(weight_col).alias("_w"))
-            .select(*keys, F.col("_w").cast("int").alias("packaging_material_weight"),
+            .select(*keys, F.col("_w").cast("long").alias("packaging_material_weight"),
                     F.lit(None).cast(T.ShortType()).alias("number_of_days_obligated")))
 
 
@@ -57,7 +57,7 @@ def approved_weights_by_year(lines: DataFrame, weight_col: str = "packaging_mate
     all_keys = (*keys, days_col)
     return (lines.groupBy(*all_keys)
             .agg(_exact_weight(weight_col).alias("_w"))
-            .select(*keys, F.col("_w").cast("int").alias("packaging_material_weight"),
+            .select(*keys, F.col("_w").cast("long").alias("packaging_material_weight"),
                     F.col(days_col).cast(T.ShortType()).alias("number_of_days_obligated")))
 
 

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regsight.sources.tables import ts_ntz
+from regsight.sources.tables import instant_text, ts_ntz
 
 MIN_RELATIVE_YEAR, MAX_RELATIVE_YEAR = 2025, 9999
 
@@ -61,16 +61,13 @@ def filter_approved_after(df: DataFrame, col: str, after: dt.datetime | str | No
     """Rows whose decision instant is strictly after ``after``."""
     if after is None:
         return df
-    text = after if isinstance(after, str) else after.strftime("%Y-%m-%d %H:%M:%S")
-    return df.filter(F.col(col) > ts_ntz(text))
+    return df.filter(F.col(col) > ts_ntz(instant_text(after)))
 
 
 # F5 ------------------------------------------------------------------------
 def filter_delta_window(df: DataFrame, col: str, start, end) -> DataFrame:
     """Rows updated in ``[start, end]`` (inclusive); start > end gives no rows."""
-    lo = start if isinstance(start, str) else start.strftime("%Y-%m-%d %H:%M:%S")
-    hi = end if isinstance(end, str) else end.strftime("%Y-%m-%d %H:%M:%S")
-    return df.filter(F.col(col).between(ts_ntz(lo), ts_ntz(hi)))
+    return df.filter(F.col(col).between(ts_ntz(instant_text(start)), ts_ntz(instant_text(end))))
 
 
 # F6 ------------------------------------------------------------------------

@@ -18,10 +18,10 @@ DEFAULT_BROADCAST_ROWS = 200_000
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    ``limit(max_rows + 1).count()`` stops reading once the bound is
-    exceeded, so the check itself has a bounded cost on a plain scan.
+    A plain count: each task sends one record on. A limit before it would send
+    up to ``max_rows`` records of every task to a single one.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
@@ -150,9 +150,9 @@ def lookup_period(df: DataFrame, lookup: DataFrame, key: str, actual_col: str,
                   requested_col: str, out: str = "actual_submission_period") -> DataFrame:
     """Stored value for ``key``, falling back to the requested one when absent or null.
 
-    ``lookup`` holds at most one row per key (one actual period per
-    submission), so the join is many-to-one and keeps the rows of ``df``.
+    Of several stored values the smallest is taken, so the join is many-to-one
+    and keeps the rows of ``df``.
     """
-    side = lookup.select(key, F.col(actual_col).alias("_actual"))
+    side = lookup.groupBy(key).agg(F.min(actual_col).alias("_actual"))
     return df.join(side, key, "left").select(
         *df.columns, F.coalesce(F.col("_actual"), F.col(requested_col)).alias(out))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,9 +86,10 @@ def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[
     n_hot = hot.limit(MAX_BROADCAST_HOT_GROUPS + 1).count()
     if n_hot == 0:
         return _window_history(df, group_cols, order_cols, status_col, comments_col, rejected)
-    hot_side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_GROUPS else hot
-    cold = df.join(hot_side, group_cols, "left_anti")
-    hot_rows_df = df.join(hot_side, group_cols, "left_semi")
+    hot_side = _renamed(hot, group_cols)
+    hot_side = F.broadcast(hot_side) if n_hot <= MAX_BROADCAST_HOT_GROUPS else hot_side
+    cold = df.join(hot_side, _same(df, group_cols), "left_anti")
+    hot_rows_df = df.join(hot_side, _same(df, group_cols), "left_semi")
     cold_out = _window_history(cold, group_cols, order_cols, status_col, comments_col, rejected)
     hot_out = split_history(hot_rows_df, group_cols, order_cols, status_col, comments_col,
                             rejected, num_pieces)
@@ -95,6 +97,16 @@ def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[
     return cold_out.select(*out_cols).unionByName(hot_out.select(*out_cols))
 
 
+def _renamed(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``cols`` under other names, for a null-safe join back to the frame they come from."""
+    return df.withColumnsRenamed({c: f"_same_{c}" for c in cols})
+
+
+def _same(df: DataFrame, cols: list[str]):
+    """Equality with the renamed columns in which null equals null."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in cols])
+
+
 def _window_history(df, group_cols, order_cols, status_col, comments_col, rejected):
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     rc = F.when(F.col(status_col) == rejected, F.col(comments_col))
@@ -131,16 +143,18 @@ def split_history(df: DataFrame, group_cols: list[str], order_cols: list[str],
                            F.lag("_piece").over(wp).isNotNull().alias("_has_prev"),
                            F.lag("_last_rc").over(wp).alias("_prev_rc"))
     first_in_piece = F.col("_rn") == 1
-    flags = (local.join(pieces, ["_piece", *group_cols], "left")
+    marks = ["_piece", *group_cols]
+    flags = (local.join(_renamed(pieces, marks), _same(local, marks), "left")
              .select(*keys,
                      (~first_in_piece | F.col("_has_prev")).alias("is_resubmission"),
                      F.when(first_in_piece, F.col("_prev_rc")).otherwise(F.col("_lag_rc"))
                      .alias("previous_rejection_comments")))
-    return df.join(flags, keys, "left").select(*df.columns, "is_resubmission",
-                                               "previous_rejection_comments")
+    return df.join(_renamed(flags, keys), _same(df, keys), "left").select(
+        *df.columns, "is_resubmission", "previous_rejection_comments")
 
 
 # L1 ------------------------------------------------------------------------
+MAX_BROADCAST_PAGE = 100_000
 DEEP_PAGE_ROWS = 100_000  # above this offset + size, pages are cut out distributed
 
 
@@ -176,11 +190,15 @@ def deep_page_rows(df: DataFrame, order_cols: list, start: int, size: int,
     they are broadcast. ``order_cols`` must end in a unique key.
 
     With ``key_cols`` only those columns are ranked and checkpointed; the
-    page's keys (``size`` rows, a bound) are then broadcast back to ``df``.
+    page's keys are then joined back to ``df``, nulls included; they are
+    broadcast only up to ``MAX_BROADCAST_PAGE`` rows.
     """
     if key_cols:
         keys = deep_page_rows(df.select(*key_cols), order_cols, start, size, num_partitions)
-        return (df.join(F.broadcast(keys), key_cols, "left_semi")
+        side = _renamed(keys, key_cols)
+        if size <= MAX_BROADCAST_PAGE:
+            side = F.broadcast(side)
+        return (df.join(side, _same(df, key_cols), "left_semi")
                 .select(*df.columns).orderBy(*order_cols))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,10 +226,9 @@ def page_plain(df: DataFrame, order_cols: list, page: int, size: int,
 
 # L2 ------------------------------------------------------------------------
 def clamp_page(page: int, size: int, total: int) -> int:
-    """max(1, min(page, ceil(total / size)))."""
+    """The page asked for, held between the first page and the last one with rows."""
     _validate_page(max(1, page), size)
-    last = math.ceil(total / size)
-    return max(1, last if page > last else max(1, page))
+    return max(1, min(page, math.ceil(total / size)))
 
 
 def page_clamped(df: DataFrame, order_cols: list, page: int, size: int,

@@ -60,8 +60,12 @@ def strip_bookkeeping(df: DataFrame, cols=("total_items",)) -> DataFrame:
 # P8 ------------------------------------------------------------------------
 def decode_decisions(df: DataFrame, col: str, schema: T.ArrayType = POM_DECISION_SCHEMA,
                      keep: tuple[str, ...] = ()) -> DataFrame:
-    """JSON array text -> one row per decision; null or empty -> no rows."""
-    arr = F.from_json(F.coalesce(F.nullif(F.trim(F.col(col)), F.lit("")), F.lit("[]")), schema)
+    """JSON array text -> one row per decision; null or empty -> no rows.
+
+    Malformed text fails the job: half a request must not be applied.
+    """
+    arr = F.from_json(F.coalesce(F.nullif(F.trim(F.col(col)), F.lit("")), F.lit("[]")), schema,
+                      {"mode": "FAILFAST"})
     return df.select(*keep, F.inline(arr))
 
 

@@ -269,7 +269,7 @@ def q6() -> str:
 def _approved(where: str, days: str) -> str:
     return _with() + f"""SELECT submission_period, packaging_material, organisation_id,
       person_id AS submitter_id, {SUBMITTER_TYPE} AS submitter_type,
-      CAST(trunc(sum(CAST(packaging_material_weight AS DECIMAL(18, 2)))) AS INTEGER) AS packaging_material_weight,
+      CAST(trunc(sum(CAST(packaging_material_weight AS DECIMAL(18, 2)))) AS BIGINT) AS packaging_material_weight,
       {days} AS number_of_days_obligated
     FROM line JOIN org USING (organisation_id)
     WHERE submission_type = 'Producer' AND status = 'Accepted' {where}

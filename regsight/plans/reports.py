@@ -24,6 +24,7 @@ from regsight.operators import paging as W
 from regsight.operators import project as PR
 from regsight.sources import layout as LY
 from regsight.sources import standin as V
+from regsight.sources.tables import instant_text
 
 # Fixed values from the reference configuration: packaging types and
 # materials included, and the size code of large organisations.
@@ -200,7 +201,7 @@ def approved_submissions_report(spark: SparkSession, sf_dir: str, approved_after
     year = P.derive_period_year(as_of)
     if by_year:
         return approved_submissions_by_year(spark, sf_dir, period_year=year)
-    return approved_submissions(spark, sf_dir, approved_after=after.strftime("%Y-%m-%d %H:%M:%S"),
+    return approved_submissions(spark, sf_dir, approved_after=instant_text(after),
                                 periods=P.periods_for_year(year), org_size=LARGE_ORGANISATION)
 
 
@@ -235,6 +236,8 @@ def _apply_decisions(spark, sf_dir, subs, decisions, with_required, decision_ord
         # position in the array orders the entries: the last one per file wins
         decoded = decoded.select(*[F.col(c).alias(_snake(c)) for c in decoded.columns]) \
             .withColumn("_pos", F.monotonically_increasing_id())
+        # stored ids are canonical; a request may write them otherwise
+        decoded = decoded.withColumn("file_id", F.coalesce(N.try_norm_guid("file_id"), F.col("file_id")))
         return J.overlay_decisions(subs, decoded, "file_id", cols, ["_pos"])
     order = list(decision_order or EVENT_ORDER)
     missing = [c for c in ["file_id", *cols, *order] if c not in decisions.columns]

@@ -7,6 +7,7 @@ reach the scan as ``PushedFilters``.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,24 +22,17 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Lazy DataFrames of the tables already opened in a session. Only the file
-# listing and the schema resolved from the parquet footers are reused, no
-# data: a report opens up to eight tables, several of them more than once.
-_OPENED: dict[tuple[int, str], DataFrame] = {}
-
-
 def session_key(spark: SparkSession) -> int:
     """Identity of the session behind ``spark`` (for per-session caches)."""
     return id(getattr(spark, "_jsparkSession", spark))
 
 
 def read_path(spark: SparkSession, path: str) -> DataFrame:
-    """``spark.read.parquet(path)``, opened once per session."""
-    key = (session_key(spark), path)
-    df = _OPENED.get(key)
-    if df is None:
-        df = _OPENED[key] = spark.read.parquet(path)
-    return df
+    """``spark.read.parquet(path)`` with the files that are there now.
+
+    Nothing is kept between reports: several of them ask what has just landed.
+    """
+    return spark.read.parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
@@ -47,11 +41,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df.select(*columns) if columns else df
 
 
-def refresh_tables() -> None:
-    """Forget opened tables (after files were added or replaced)."""
-    _OPENED.clear()
-
-
 # The submission-event table, scanned with a declared schema and the
 # load column exposed under its model name.
 SUBMISSION_EVENT_SCAN_SCHEMA = T.StructType([
@@ -73,6 +62,15 @@ def scan_events(spark: SparkSession, sf_dir: str,
     return df.withColumnsRenamed(renames) if renames else df
 
 
+def instant_text(value: dt.datetime | str) -> str:
+    """A date-time as UTC text with its microseconds; one without a zone is UTC already."""
+    if isinstance(value, str):
+        return value
+    if value.tzinfo is not None:
+        value = value.astimezone(dt.UTC)
+    return value.strftime("%Y-%m-%d %H:%M:%S.%f")
+
+
 def ts_ntz(text: str):
     """A ``timestamp_ntz`` literal (keeps comparisons with NTZ columns pushable)."""
     return F.lit(text).cast(T.TimestampNTZType())
