@@ -29,7 +29,8 @@ from regsight.session import cut_lineage, scratch_path
 HASH_BITS, SALT_BITS = 40, 23
 BITS = HASH_BITS + SALT_BITS
 STEP = 12
-MAX_BROADCAST = 1_000_000  # directory entries, some 40 bytes each
+MAX_BROADCAST = 200_000  # directory entries, some 100 bytes each
+SLOT_SHARDS = 256
 
 
 def content_hash(id_col, text_col):
@@ -79,12 +80,54 @@ def directory(rows: DataFrame, limit_bytes: int) -> DataFrame:
         n_left = left.count()
         if not n_left:
             return shards
-        side = F.broadcast(left) if n_left <= MAX_BROADCAST else left
-        rows = rows.withColumn("prefix", _prefix(F.lit(deepest))).join(side, "prefix", "left_semi") \
+        rows = rows.withColumn("prefix", _prefix(F.lit(deepest))).join(_small(left, n_left), "prefix", "left_semi") \
             .select("_place", "_bytes")
         start, deepest = deepest + 1, min(BITS, deepest + STEP)
 
 
+def _look_up(rows: DataFrame, shards: DataFrame, depth: int, n: int) -> DataFrame:
+    """``rows`` with the columns of their shards (``n`` of them, ``depth`` bits at most).
+
+    The directory is indexed by as many prefix bits as ``n`` shards need: a
+    shallower shard fills several slots, deeper ones share a slot and are told
+    apart in it. A slot of more than ``SLOT_SHARDS`` goes to a directory of
+    ``STEP`` more bits, with its own rows only.
+    """
+    spark, done = rows.sparkSession, None
+    bits = min(depth, n.bit_length())
+    entry = F.struct("depth", "prefix", "shard_bytes", "shard_rows")
+    while True:
+        wide = shards.withColumn("_slot", F.explode(F.when(
+            F.col("depth") <= bits, F.expr(
+                f"sequence(shiftleft(prefix, {bits} - depth), "
+                f"shiftleft(prefix, {bits} - depth) + (shiftleft(1L, {bits} - depth) - 1))"))
+            .otherwise(F.array(F.expr(f"shiftright(prefix, depth - {bits})")))))
+        sizes = wide.groupBy("_slot").agg(F.count(F.lit(1)).alias("_many"))
+        sizes.write.parquet(path := scratch_path(spark, "shard-slots"))
+        sizes = spark.read.parquet(path)
+        full = sizes.filter(F.col("_many") > SLOT_SHARDS).select("_slot")
+        n_full, n_entries = full.count(), sizes.agg(F.sum("_many")).first()[0] or 0
+        rows = rows.withColumn("_slot", _prefix(F.lit(bits)))
+        near, fits = rows, wide
+        if n_full:
+            near, fits = (x.join(_small(full, n_full), "_slot", "left_anti") for x in (rows, wide))
+        slots = fits.groupBy("_slot").agg(F.collect_list(entry).alias("_in"))
+        own = F.filter("_in", lambda s: F.call_function("shiftright", F.col("_place"), F.lit(BITS) - s["depth"])
+                       == s["prefix"])
+        found = (near.join(_small(slots, n_entries), "_slot").withColumn("_s", F.element_at(own, 1))
+                 .select("*", "_s.*").drop("_slot", "_in", "_s"))
+        done = found if done is None else done.unionByName(found)
+        if not n_full:
+            return done
+        rows = rows.join(_small(full, n_full), "_slot", "left_semi").drop("_slot")
+        shards = wide.join(_small(full, n_full), "_slot", "left_semi").drop("_slot")
+        bits = min(depth, bits + STEP)
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= MAX_BROADCAST else df
+
+
 def shard_documents(docs: DataFrame, limit_bytes: int, *, id_col: str = "doc_id",
                     text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) plus ``shard`` (the prefix bits as text, ``*``
@@ -94,25 +137,20 @@ def shard_documents(docs: DataFrame, limit_bytes: int, *, id_col: str = "doc_id"
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     rows = docs.select(*[F.col(c).alias(f"_c_{c}") for c in kept], _place(id_col, text_col).alias("_place"),
                        size.alias("_bytes"))
-    narrow = cut_lineage(rows.select("_place", "_bytes"))
-    shards = directory(narrow, limit_bytes)
-    shards.write.parquet(path := scratch_path(docs.sparkSession, "shard-directory"))
-    shards = docs.sparkSession.read.parquet(path)
-    facts = shards.agg(F.max("depth"), F.count(F.lit(1))).first()
-    depth, n = facts[0] or 0, facts[1]
-    # the directory proper: every hash prefix of `depth` bits points to its shard
-    entries = 1 << min(depth, 62)
-    if entries <= MAX_BROADCAST:
-        slots = shards.withColumn("_slot", F.explode(F.sequence(
-            F.expr(f"shiftleft(prefix, {depth} - depth)"),
-            F.expr(f"shiftleft(prefix + 1, {depth} - depth) - 1"))))
-        out = rows.withColumn("_slot", _prefix(F.lit(depth))).join(F.broadcast(slots), "_slot")
-    else:  # deep buckets: one equality join per depth in use, on that depth's prefix
-        depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]
-        tries = rows.withColumn("_try", F.explode(F.array(*[
-            F.struct(F.lit(d).alias("depth"), _prefix(F.lit(d)).alias("prefix")) for d in depths])))
-        side = F.broadcast(shards) if n <= MAX_BROADCAST else shards
-        out = tries.select("*", "_try.*").drop("_try").join(side, ["depth", "prefix"])
+    spark = docs.sparkSession
+
+    def weighed(places):
+        directory(places, limit_bytes).write.parquet(path := scratch_path(spark, "shard-directory"))
+        shards = spark.read.parquet(path)
+        return shards, *shards.agg(F.coalesce(F.max("depth"), F.lit(0)), F.count(F.lit(1))).first()
+
+    shards, depth, n = weighed(cut_lineage(rows.select("_place", "_bytes")))
+    if depth > HASH_BITS:
+        # salts are in use: both passes must see the same ones
+        rows.write.parquet(path := scratch_path(spark, "shard-rows"))
+        rows = spark.read.parquet(path)
+        shards, depth, n = weighed(rows.select("_place", "_bytes"))
+    out = _look_up(rows, shards, depth, n)
     name = F.when(F.col("depth") == 0, F.lit("*")).otherwise(
         F.expr("lpad(conv(cast(prefix as string), 10, 2), depth, '0')"))
     return out.select(*[F.col(f"_c_{c}").alias(c) for c in kept], name.alias("shard"),

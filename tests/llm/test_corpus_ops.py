@@ -90,6 +90,21 @@ def test_sharding_splits_repeated_rows_and_edges(spark):
     assert SH.shard_documents(docs_frame(spark, []), 10).count() == 0
 
 
+def test_sharding_looks_up_deep_and_full_slots(spark, documents, monkeypatch):
+    rows = documents + [(7, "same text here", None, None)] * 400
+    want = {r.doc_id: r.shard for r in SH.shard_documents(docs_frame(spark, documents), 4_000).collect()}
+    monkeypatch.setattr(SH, "SLOT_SHARDS", 2)
+    monkeypatch.setattr(SH, "MAX_BROADCAST", 3)
+    out = SH.shard_documents(docs_frame(spark, documents), 4_000).collect()
+    assert len(out) == len(documents) and {r.doc_id: r.shard for r in out} == want
+    out = SH.shard_documents(docs_frame(spark, rows), 300).collect()
+    many, size = Counter(r.shard for r in out), Counter()
+    for r in out:
+        size[r.shard] += r.n_bytes
+    assert len(out) == len(rows)
+    assert all(many[r.shard] == r.shard_rows and size[r.shard] == r.shard_bytes for r in out)
+
+
 # mixing
 def test_cycle_stays_within_one_block():
     for weights in ([1], [3, 1], [5, 3, 2, 2], [333, 333, 334], [7, 1, 1, 1, 1, 90]):
