@@ -212,3 +212,12 @@ def test_licence_classes_and_edges(spark, licence_model):
     assert all(rows[i].license == "none" for i in (1, 2, 3, 4, 5, 9, None))
     assert rows[1].n_paragraphs == 0
     assert LS.scan_licenses(docs_frame(spark, []), licence_model).count() == 0
+
+
+def test_language_sample_of_few_texts_in_many_copies(spark):
+    rows = [(i, "ein Haus und ein Baum" if i % 2 else "the house and the tree", "de" if i % 2 else "en", "a")
+            for i in range(20_000)] + [(30_000, "la maison et un arbre", "fr", "a")]
+    model = LI.fit(docs_frame(spark, rows))
+    assert set(model.languages) == {"de", "en", "fr"}
+    assert {(r.lang, r.lang_pred) for r in LI.predict(docs_frame(spark, rows), model).collect()} == {
+        ("de", "de"), ("en", "en"), ("fr", "fr")}
