@@ -53,7 +53,7 @@ def _validate_page(page: int, size: int) -> None:
 # W1 ------------------------------------------------------------------------
 def with_total_items(df: DataFrame, out: str = "total_items") -> DataFrame:
     """Every row carries the row count of ``df`` (a scalar subquery, no global window)."""
-    total = df.select(F.count(F.lit(1)).cast("int")).scalar()
+    total = df.select(F.count(F.lit(1))).scalar()
     return df.withColumn(out, total)
 
 
@@ -238,7 +238,7 @@ def page_clamped(df: DataFrame, order_cols: list, page: int, size: int,
     total = df.count()
     current = clamp_page(int(page), int(size), total)
     rows = page_rows(df, order_cols, current, size, deep_threshold, key_cols) \
-        .withColumn("total_items", F.lit(total).cast("int"))
+        .withColumn("total_items", F.lit(total).cast("long"))
     return Page(rows, current, int(size), int(total))
 
 

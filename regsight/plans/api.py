@@ -53,6 +53,15 @@ def page_response(page: W.Page) -> dict:
             "pageSize": page.page_size}
 
 
+def _user_key(user_id) -> int | None:
+    """The numeric key of a request's regulator user (a number or a GUID text); an unknown user is -1."""
+    if user_id is None or not str(user_id).strip():
+        return None
+    text = str(user_id).strip()
+    key = int(text) if text.isdecimal() else V.key_of_file_id(text)
+    return -1 if key is None else key
+
+
 def _summary_args(body: dict, fields) -> dict:
     return dict(decisions=_decisions_text(body.get("decisionsDelta"), fields),
                 organisation_name=body.get("organisationName"),
@@ -61,6 +70,7 @@ def _summary_args(body: dict, fields) -> dict:
                 organisation_type=body.get("organisationType"),
                 years=body.get("submissionYears"),
                 periods=body.get("submissionPeriods"),
+                user_id=_user_key(body.get("userId")),
                 page_size=int(body.get("pageSize", 0)),
                 page_number=int(body.get("pageNumber", 0)))
 
@@ -96,13 +106,15 @@ def organisation_registrations(spark: SparkSession, sf_dir: str, nation_id: int,
 
 # Single-id questions (scalar answers) ------------------------------------------
 def sync_available(spark: SparkSession, sf_dir: str, submission_id=None, file_id=None) -> bool:
-    """Q8 for one submission or one file: has it arrived? No row -> False."""
+    """Q8 for a submission, a file, or both (a row must match each given id). No row -> False."""
     if submission_id is None and file_id is None:
         raise ValueError("give a submission id or a file id")
-    flags = R.sync_available(spark, sf_dir)
-    cond = (F.col("submission_id") == submission_id) if submission_id is not None \
-        else (F.col("file_id") == str(file_id).strip().lower())
-    row = flags.filter(cond).select("is_synced").first()
+    flags = R.of_file(R.sync_available(spark, sf_dir), file_id)
+    if submission_id is not None:
+        flags = flags.filter(F.col("submission_id") == submission_id)
+    if file_id is not None:
+        flags = flags.filter(F.col("file_id") == str(file_id).strip().lower())
+    row = flags.select("is_synced").first()
     return bool(row[0]) if row is not None and row[0] is not None else False
 
 
@@ -116,14 +128,20 @@ def resubmission_synchronised(spark: SparkSession, sf_dir: str, file_id: str) ->
     return bool(row[0]) if row is not None and row[0] is not None else False
 
 
-def actual_submission_period(spark: SparkSession, sf_dir: str, file_id: str,
+def actual_submission_period(spark: SparkSession, sf_dir: str, request_id: str,
                              period_label: str) -> str:
-    """Q10 for one request: stored actual period, else the (URL-decoded) requested one."""
-    request = spark.createDataFrame([(file_id, period_label)], "file_id string, label string")
-    request = request.select(N.sanitise_id("file_id").alias("file_id"),
-                             N.decode_period("label").alias("requested_period"))
-    out = J.lookup_period(request, R.stored_actual_periods(spark, sf_dir), "file_id",
-                          "stored_period", "requested_period")
+    """Q10 for one submission id (digits) or file id: the stored actual period,
+    else the (URL-decoded) requested one."""
+    stored = R.stored_actual_periods(spark, sf_dir)
+    plain = str(request_id).strip()
+    if plain.isdecimal():
+        stored = stored.filter(F.col("submission_id") == int(plain))
+        stored = stored.select(F.col("submission_id").cast("string").alias("id"), "stored_period")
+    else:
+        stored = R.of_file(stored, plain).select(F.col("file_id").alias("id"), "stored_period")
+    request = spark.createDataFrame([(str(request_id), period_label)], "id string, label string")
+    request = request.select(N.sanitise_id("id").alias("id"), N.decode_period("label").alias("requested_period"))
+    out = J.lookup_period(request, stored, "id", "stored_period", "requested_period")
     return out.select(F.col("actual_submission_period")).first()[0]
 
 

@@ -317,7 +317,7 @@ def a3(spark, d):
 
 def a4(spark, d):
     subs = V.submissions(spark, d, kind="Registration")
-    return A.fee_counts(V.pom_lines(spark, d, subs), ["file_id", "organisation_id"],
+    return A.fee_counts(V.pom_lines(spark, d, subs, with_part=False), ["file_id", "organisation_id"],
                         "subsidiary_key",
                         {"number_of_online_subsidiaries": "is_online_marketplace_line",
                          "number_of_closed_loop_subsidiaries": "is_closed_loop_line"}, {})
@@ -326,7 +326,7 @@ def a4(spark, d):
 def a5(spark, d):
     subs = R.with_history(V.submissions(spark, d, kind="Producer"))
     orgs = V.organisations(spark, d).select("organisation_id", "nation_code")
-    lines = V.pom_lines(spark, d, J.enrich_submissions(subs, orgs))
+    lines = V.pom_lines(spark, d, J.enrich_submissions(subs, orgs), with_part=False)
     return A.resubmission_parameters(lines, "submission_id", "subsidiary_key", "submitted_at",
                                      "is_resubmission", "nation_code")
 

@@ -162,7 +162,7 @@ def q1() -> str:
                   FROM hist h LEFT JOIN delta d ON h.file_id = d.file_id"""),
         ("j", "SELECT * FROM ov JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)"),
         ("r", f"SELECT {schemas.sql_select_list(schemas.POM_SUMMARY, provided)} FROM j"),
-    ) + f"""SELECT *, CAST(count(*) OVER () AS INTEGER) AS total_items, {C.Q1_PAGE} AS current_page
+    ) + f"""SELECT *, CAST(count(*) OVER () AS BIGINT) AS total_items, {C.Q1_PAGE} AS current_page
     FROM r ORDER BY submitted_date DESC, submission_id {_page(C.Q1_PAGE, C.Q1_SIZE)}"""
 
 
@@ -192,7 +192,7 @@ def q2() -> str:
                   FROM hist h LEFT JOIN delta d ON h.file_id = d.file_id"""),
         ("j", "SELECT * FROM ov JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)"),
         ("r", f"SELECT {schemas.sql_select_list(schemas.REGISTRATION_SUMMARY, provided)} FROM j"),
-    ) + f"""SELECT *, CAST(count(*) OVER () AS INTEGER) AS total_items, {C.Q2_PAGE} AS current_page
+    ) + f"""SELECT *, CAST(count(*) OVER () AS BIGINT) AS total_items, {C.Q2_PAGE} AS current_page
     FROM r ORDER BY registration_date DESC, submission_id {_page(C.Q2_PAGE, C.Q2_SIZE)}"""
 
 
@@ -234,7 +234,7 @@ def q5() -> str:
                   greatest(1, least({C.Q5_PAGE}, CAST(ceil(count(*) / {C.Q5_SIZE}.0) AS INTEGER))) AS cur
                   FROM r"""),
         ("ranked", "SELECT r.*, row_number() OVER (ORDER BY submitted_date_time DESC, submission_id) AS rn FROM r"),
-    ) + f"""SELECT ranked.* EXCLUDE (rn), CAST(pg.total AS INTEGER) AS total_items,
+    ) + f"""SELECT ranked.* EXCLUDE (rn), CAST(pg.total AS BIGINT) AS total_items,
       CAST(pg.cur AS INTEGER) AS current_page
     FROM ranked, pg WHERE rn > (pg.cur - 1) * {C.Q5_SIZE} AND rn <= pg.cur * {C.Q5_SIZE}"""
 
@@ -279,7 +279,7 @@ def _approved(where: str, days: str) -> str:
 def q3() -> str:
     periods = P.periods_for_year(P.derive_period_year(C.Q3_AS_OF))
     return _approved(f"""AND submission_period IN ({_sql_list(periods)})
-      AND submitted_at > TIMESTAMP '{C.Q3_APPROVED_AFTER}' AND organisation_size = 'L'
+      AND submitted_at + INTERVAL 14 DAY > TIMESTAMP '{C.Q3_APPROVED_AFTER}' AND organisation_size = 'L'
       AND packaging_type IN """ + TYPES_IN + " AND packaging_material IN " + MATERIALS_IN,
                      "CAST(NULL AS SMALLINT)")
 
@@ -300,7 +300,7 @@ def q7() -> str:
                   max(CASE WHEN s.is_resubmission THEN s.submitted_at END) AS resubmission_date,
                   CAST(count(DISTINCT l_suppkey) AS INTEGER) AS member_count,
                   max(s.nation_code) AS nation_code
-                  FROM lineitem JOIN s ON l_orderkey = s.submission_id JOIN part ON l_partkey = p_partkey
+                  FROM lineitem JOIN s ON l_orderkey = s.submission_id
                   GROUP BY s.submission_id"""),
         ("refs", """SELECT submission_id, packaging_resubmission_reference_number AS reference FROM (
                   SELECT *, row_number() OVER (PARTITION BY submission_id
@@ -375,7 +375,10 @@ def _fee_counts(online: str, closed: str) -> str:
       CAST(count(DISTINCT subsidiary_key) AS INTEGER) AS number_of_subsidiaries,
       CAST(count(DISTINCT CASE WHEN is_online_marketplace_line THEN subsidiary_key END) AS INTEGER) AS {online},
       CAST(count(DISTINCT CASE WHEN is_closed_loop_line THEN subsidiary_key END) AS INTEGER) AS {closed}
-    FROM line WHERE submission_type = 'Registration' GROUP BY file_id, organisation_id"""
+    FROM (SELECT file_id, organisation_id, l_suppkey AS subsidiary_key, l_returnflag = 'R' AS is_online_marketplace_line,
+        l_returnflag = 'A' AS is_closed_loop_line
+      FROM lineitem JOIN sub ON l_orderkey = submission_id WHERE submission_type = 'Registration')
+    GROUP BY file_id, organisation_id"""
 
 
 def q13() -> str:
@@ -539,24 +542,24 @@ ORACLE: dict[str, str] = {
     ) + """SELECT h.submission_id, bool_or(h.is_resubmission) AS is_resubmission,
       max(CASE WHEN h.is_resubmission THEN h.submitted_at END) AS resubmission_date,
       CAST(count(DISTINCT l_suppkey) AS INTEGER) AS member_count, max(o.nation_code) AS nation_code
-    FROM lineitem JOIN hist h ON l_orderkey = h.submission_id JOIN part ON l_partkey = p_partkey
+    FROM lineitem JOIN hist h ON l_orderkey = h.submission_id
       JOIN org o ON h.organisation_id = o.organisation_id
     GROUP BY h.submission_id""",
     "half_year_flags": _with() + _flags("", "organisation_id, submission_year"),
     # windows, sort, limit
-    "total_items": _with() + """SELECT submission_id, CAST(count(*) OVER () AS INTEGER) AS total_items
+    "total_items": _with() + """SELECT submission_id, CAST(count(*) OVER () AS BIGINT) AS total_items
       FROM sub WHERE submission_type = 'Producer'""",
     "resubmission_history": _with(("hist", _hist("sub"))) + """SELECT submission_id, is_resubmission,
       previous_rejection_comments FROM hist""",
     "page_plain": _with(("r", "SELECT submission_id, submitted_at, status FROM sub WHERE submission_type = 'Producer'")) +
-        f"""SELECT *, CAST(count(*) OVER () AS INTEGER) AS total_items, {C.L1_PAGE} AS current_page
+        f"""SELECT *, CAST(count(*) OVER () AS BIGINT) AS total_items, {C.L1_PAGE} AS current_page
       FROM r ORDER BY submitted_at DESC, submission_id {_page(C.L1_PAGE, C.L1_SIZE)}""",
     "page_clamped": _with(
         ("r", "SELECT submission_id, submitted_at FROM sub WHERE submission_type = 'Registration'"),
         ("pg", f"""SELECT count(*) AS total, greatest(1, least({C.L2_PAGE},
                   CAST(ceil(count(*) / {C.L2_SIZE}.0) AS INTEGER))) AS cur FROM r"""),
         ("ranked", "SELECT r.*, row_number() OVER (ORDER BY submitted_at DESC, submission_id) AS rn FROM r"),
-    ) + f"""SELECT ranked.* EXCLUDE (rn), CAST(pg.total AS INTEGER) AS total_items,
+    ) + f"""SELECT ranked.* EXCLUDE (rn), CAST(pg.total AS BIGINT) AS total_items,
       CAST(pg.cur AS INTEGER) AS current_page
     FROM ranked, pg WHERE rn > (pg.cur - 1) * {C.L2_SIZE} AND rn <= pg.cur * {C.L2_SIZE}""",
     "first_or_none": _with() + """SELECT organisation_id, submission_id, submitted_at FROM (

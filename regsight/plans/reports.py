@@ -36,6 +36,8 @@ HALF_DESCRIPTIONS = (("H1", "January to June"), ("H2", "July to December"),
                      ("P1", "January to June"), ("P4", "July to December"))
 
 SUBMITTED_TEXT = "yyyy-MM-dd'T'HH:mm:ss"
+#: Our definition: a regulator decides this long after the submission.
+DECISION_DELAY = dt.timedelta(days=14)
 HISTORY_GROUP = ["organisation_id", "submission_year"]
 HISTORY_ORDER = ["submitted_at", "submission_id"]
 
@@ -63,10 +65,18 @@ def submitter_type(org_type_col: str = "organisation_type"):
             .otherwise(F.lit("DirectRegistrant")))
 
 
-def with_history(subs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def submitted_after(approved_after) -> str | None:
+    """The submission instant that belongs to a decision instant (pushable to the scan)."""
+    if approved_after is None:
+        return None
+    decided = dt.datetime.fromisoformat(instant_text(approved_after))
+    return instant_text(decided - DECISION_DELAY)
+
+
+def with_history(subs: DataFrame, ids=None) -> DataFrame:
     """W2 over submissions: resubmission flag and previous rejection comments.
 
-    With ``ids`` (a frame of requested submission ids) the result keeps only
+    With ``ids`` (a submission id, or a frame of them) the result keeps only
     those submissions, and the history is computed only over the
     (organisation, year) groups they belong to: exact, since W2 never looks
     outside a group.
@@ -134,11 +144,13 @@ def approved_submissions(spark: SparkSession, sf_dir: str, approved_after=None,
     """Q3: approved weights of large organisations for the reported periods.
 
     Without ``periods`` the periods of the reported year (P5) of ``as_of``
-    (default: today, UTC) are used. With ``warehouse`` the POM lines are
+    (default: today, UTC) are used. ``approved_after`` is compared with the
+    decision instant. With ``warehouse`` the POM lines are
     read from the stored layout's year partitions.
     """
     if periods is None:
         periods = P.periods_for_year(P.derive_period_year(as_of or _today()))
+    approved_after = submitted_after(approved_after)
     if warehouse is not None:
         lines = LY.read_stored(spark, warehouse["pom_lines"], years=_years_of_periods(periods))
         lines = FL.filter_csv(lines, "submission_period", periods)
@@ -251,6 +263,19 @@ def _snake(name: str) -> str:
                    for i, ch in enumerate(name))
 
 
+def _visible_organisations(spark, sf_dir, user_id) -> DataFrame:
+    """Organisations a regulator user sees: those of the user's nation; all without a user.
+
+    The procedure's rule is not part of the reference; this one is ours. An
+    unknown user sees none.
+    """
+    orgs = V.organisations(spark, sf_dir)
+    if user_id is None:
+        return orgs
+    nation = FL.filter_key(V.regulator_nations(spark, sf_dir), "user_id", user_id).select("nation_id")
+    return orgs.join(nation, "nation_id", "left_semi").select(*orgs.columns)
+
+
 def _list_filters(df, organisation_name, organisation_reference, statuses, organisation_type,
                   years, periods):
     df = FL.filter_name(df, "organisation_name", organisation_name,
@@ -268,11 +293,14 @@ def pom_summaries(spark: SparkSession, sf_dir: str, decisions=None, organisation
                   organisation_reference=None, statuses: str | None = None,
                   organisation_type=None, years: str | None = None, periods: str | None = None,
                   page_size: int = 20, page_number: int = 1,
-                  decision_order: list[str] | None = None) -> W.Page:
-    """Q1: POM submission list with pending decisions overlaid, one plain page."""
+                  decision_order: list[str] | None = None, user_id: int | None = None) -> W.Page:
+    """Q1: POM submission list with pending decisions overlaid, one plain page.
+
+    ``user_id`` is the regulator user who asks (``_visible_organisations``).
+    """
     subs = _summary_base(spark, sf_dir, "Producer", _years_of_csv(years), True)
     subs = _apply_decisions(spark, sf_dir, subs, decisions, True, decision_order)
-    orgs = V.organisations(spark, sf_dir)
+    orgs = _visible_organisations(spark, sf_dir, user_id)
     rows = J.enrich_submissions(subs, orgs, V.persons(spark, sf_dir))
     rows = rows.select(
         "*",
@@ -300,11 +328,14 @@ def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
                            statuses: str | None = None, organisation_type=None,
                            years: str | None = None, periods: str | None = None,
                            page_size: int = 20, page_number: int = 1,
-                           decision_order: list[str] | None = None) -> W.Page:
-    """Q2: registration submission list with pending decisions overlaid, one plain page."""
+                           decision_order: list[str] | None = None, user_id: int | None = None) -> W.Page:
+    """Q2: registration submission list with pending decisions overlaid, one plain page.
+
+    ``user_id`` is the regulator user who asks (``_visible_organisations``).
+    """
     subs = _summary_base(spark, sf_dir, "Registration", _years_of_csv(years), False)
     subs = _apply_decisions(spark, sf_dir, subs, decisions, False, decision_order)
-    orgs = V.organisations(spark, sf_dir)
+    orgs = _visible_organisations(spark, sf_dir, user_id)
     rows = J.enrich_submissions(subs, orgs, V.persons(spark, sf_dir))
     rows = rows.select(
         "*",
@@ -329,11 +360,11 @@ def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
 
 
 # Q5 / Q6 -------------------------------------------------------------------
-def _registration_rows(spark, sf_dir, years=None, ids: DataFrame | None = None) -> DataFrame:
+def _registration_rows(spark, sf_dir, years=None, ids=None) -> DataFrame:
     subs = with_history(V.submissions(spark, sf_dir, years=years, kind="Registration"), ids)
     rows = J.enrich_submissions(subs, V.organisations(spark, sf_dir), V.persons(spark, sf_dir))
     decided = F.col("status") != V.STATUS_PENDING
-    decision_date = F.date_format(F.col("submitted_at") + F.expr("INTERVAL 14 DAYS"), SUBMITTED_TEXT)
+    decision_date = F.date_format(F.col("submitted_at") + F.lit(DECISION_DELAY), SUBMITTED_TEXT)
     submitted_text = F.date_format("submitted_at", SUBMITTED_TEXT)
     resub = F.col("is_resubmission")
     return rows.select(
@@ -392,17 +423,12 @@ def organisation_registration_detail(spark: SparkSession, sf_dir: str,
     single = submission_id is not None and not isinstance(submission_id, DataFrame)
     if single and isinstance(submission_id, str) and not submission_id.strip():
         raise ValueError("submission id must not be empty")
-    rows = _registration_rows(spark, sf_dir,
-                              ids=submission_id if isinstance(submission_id, DataFrame) else None)
-    if single:
-        rows = FL.filter_key(rows, "submission_id", submission_id)
+    rows = _registration_rows(spark, sf_dir, ids=submission_id)
     # subsidiary counts of the registration file (A4), per file and organisation
     files = V.submissions(spark, sf_dir, kind="Registration")
-    if isinstance(submission_id, DataFrame):
-        files = FL.filter_key(files, "submission_id", submission_id)
-    elif single:
+    if submission_id is not None:
         files = FL.filter_key(files, "submission_id", submission_id)
-    counts = A.fee_counts(V.pom_lines(spark, sf_dir, files), ["file_id", "organisation_id"],
+    counts = A.fee_counts(V.pom_lines(spark, sf_dir, files, with_part=False), ["file_id", "organisation_id"],
                           "subsidiary_key",
                           {"number_of_online_subsidiaries": "is_online_marketplace_line",
                            "number_of_subsidiaries_closed_loop_recycling": "is_closed_loop_line"}, {})
@@ -440,7 +466,7 @@ def resubmission_pay_parameters(spark: SparkSession, sf_dir: str,
     subs = subs.withColumn("compliance_scheme_id",
                            F.when(F.col("organisation_type") == "CS", F.col("organisation_id")))
     subs = FL.filter_optional_eq(subs, "compliance_scheme_id", compliance_scheme_id)
-    lines = V.pom_lines(spark, sf_dir, subs)
+    lines = V.pom_lines(spark, sf_dir, subs, with_part=False)
     params = A.resubmission_parameters(lines, "submission_id", "subsidiary_key", "submitted_at",
                                        "is_resubmission", "nation_code")
     events = N.evolve_schema(V.submission_events(spark, sf_dir),
@@ -485,7 +511,7 @@ def stored_actual_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = V.submissions(spark, sf_dir, kind="Producer")
     year = F.col("submission_year").cast("string")
     return subs.select(
-        "file_id",
+        "submission_id", "file_id",
         F.when(F.col("submission_period").endswith("-H1"), F.concat(F.lit("January to June "), year))
         .when(F.col("submission_period").endswith("-H2"),
               F.concat(F.lit("January to December "), year))
@@ -532,14 +558,20 @@ def updated_producers_v2(spark: SparkSession, sf_dir: str, start, end) -> DataFr
     return N.align_schema(rows, schemas.UPDATED_PRODUCERS_V2)
 
 
+def of_file(df: DataFrame, file_id) -> DataFrame:
+    """A scan hint: the rows of one file by their numeric key (pushed); other forms pass unchanged."""
+    key = None if isinstance(file_id, DataFrame) or file_id is None else V.key_of_file_id(file_id)
+    return df if key is None else df.filter(F.col("submission_id") == key)
+
+
 # Q13 -----------------------------------------------------------------------
 def registration_fee_details(spark: SparkSession, sf_dir: str,
                              file_id: str | DataFrame | None = None) -> DataFrame:
     """Q13: per organisation of a registration file: subsidiary counts and own flags."""
     subs = V.submissions(spark, sf_dir, kind="Registration")
     if file_id is not None:
-        subs = FL.filter_key(subs, "file_id", file_id)
-    lines = V.pom_lines(spark, sf_dir, subs)
+        subs = FL.filter_key(of_file(subs, file_id), "file_id", file_id)
+    lines = V.pom_lines(spark, sf_dir, subs, with_part=False)
     counts = A.fee_counts(lines, ["file_id", "organisation_id"], "subsidiary_key",
                           {"number_of_subsidiaries_being_online_market_place": "is_online_marketplace_line",
                            "number_of_subsidiaries_being_closed_loop_recycling": "is_closed_loop_line"},

@@ -54,7 +54,7 @@ def ndjson_export(df: DataFrame, path: str, compression: str | None = None,
 class ExportSummary:
     records: int | None
     seconds: float
-    status: str  # "completed" or "failed"
+    status: str  # "completed", "failed" or "aborted"
     path: str
     error: str | None = None
 
@@ -63,8 +63,9 @@ def export_with_summary(df: DataFrame, path: str, compression: str | None = None
                         on_complete=None, max_records_per_file: int | None = None) -> ExportSummary:
     """S4 plus a summary delivered once at the end, also on failure.
 
-    A failed Spark write commits no output, so a failure reports status
-    ``failed`` and no partial count.
+    An interrupt or a cancelled job reports status ``aborted``, any other
+    error ``failed``; both are raised again. Spark commits no output then, so
+    there is no count so far.
     """
     obs = Observation()
     observed = df.observe(obs, F.count(F.lit(1)).alias("records"))
@@ -73,8 +74,9 @@ def export_with_summary(df: DataFrame, path: str, compression: str | None = None
     try:
         ndjson_export(observed, path, compression, max_records_per_file=max_records_per_file)
         summary = ExportSummary(int(obs.get["records"]), time.monotonic() - start, "completed", path)
-    except Exception as exc:  # noqa: BLE001 - reported, then re-raised
-        summary = ExportSummary(None, time.monotonic() - start, "failed", path, str(exc)[:500])
+    except BaseException as exc:  # reported, then raised again
+        stopped = not isinstance(exc, Exception) or "SPARK_JOB_CANCELLED" in str(exc)
+        summary = ExportSummary(None, time.monotonic() - start, "aborted" if stopped else "failed", path, str(exc))
         if on_complete is not None:
             on_complete(summary)
         raise

@@ -59,6 +59,8 @@ LINE_COLUMNS = ("subsidiary_key", "packaging_type", "packaging_material",
                 "packaging_activity", "ram_rag_rating", "is_online_marketplace_line",
                 "is_closed_loop_line")
 
+PART_COLUMNS = ("packaging_type", "packaging_material", "packaging_material_subtype")
+
 # Stored layouts opened per session (see ``use_warehouse``).
 _WAREHOUSES: dict[int, dict[str, str]] = {}
 
@@ -88,6 +90,13 @@ def file_id_of(key: Column) -> Column:
     return F.concat(F.lit(FILE_ID_PREFIX), F.lpad(key.cast("string"), 12, "0"))
 
 
+def key_of_file_id(file_id: str) -> int | None:
+    """The numeric key behind a file id text; None if the text is no file id of ours."""
+    text = str(file_id).strip().lower()
+    digits = text.removeprefix(FILE_ID_PREFIX)
+    return int(digits) if digits != text and len(digits) == 12 and digits.isdecimal() else None
+
+
 def _lookup(col: Column, pairs, default=None) -> Column:
     expr = None
     for key, value in pairs:
@@ -283,6 +292,14 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def regulator_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regulator users (``supplier``) and the nation each of them regulates."""
+    users = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+    return users.join(nation, users.s_nationkey == nation.n_nationkey).select(
+        F.col("s_suppkey").alias("user_id"), (F.lit(1) + F.col("n_regionkey") % 4).cast("int").alias("nation_id"))
+
+
 # event types that carry a regulator decision / a resubmission reference
 DECISION_EVENT_TYPES = ("purchase", "error")
 REFERENCE_EVENT_TYPES = ("signup", "view")
@@ -323,9 +340,13 @@ SUBMISSION_BROADCAST_ROWS = 200_000
 
 
 def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None,
-              subs_bound: DataFrame | None = None, derive: bool = False) -> DataFrame:
+              subs_bound: DataFrame | None = None, derive: bool = False,
+              with_part: bool = True) -> DataFrame:
     """Packaging lines (``lineitem`` joined to its submission and ``part``).
 
+    Without ``with_part`` the columns of ``part`` (``PART_COLUMNS``) and the
+    join they need are left out.
+
     ``subs`` lets a report pass an already-filtered submission frame so the
     filter is applied before the large join. ``subs_bound`` is a frame with
     at least as many rows as ``subs`` (typically the filtered scan before
@@ -333,34 +354,37 @@ def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None,
     broadcast and ``lineitem`` streams through without a shuffle; otherwise
     the join is left to the planner (shuffle join, AQE).
     """
+    line_columns = [c for c in LINE_COLUMNS if with_part or c not in PART_COLUMNS]
     stored = None if derive else _stored(spark, "pom_lines")
     if stored is not None:
         lines = read_path(spark, stored)
         if subs is None:
-            return lines.select(*SUBMISSION_COLUMNS, *LINE_COLUMNS)
+            return lines.select(*SUBMISSION_COLUMNS, *line_columns)
         keys = ["submission_id"] + (["submission_year"] if "submission_year" in subs.columns else [])
         side = subs
         if subs_bound is not None:
             side = bounded_broadcast(subs, SUBMISSION_BROADCAST_ROWS, bound_from=subs_bound)
-        return (lines.select(*keys, *LINE_COLUMNS).join(side, keys, "inner")
-                .select(*subs.columns, *LINE_COLUMNS))
+        return (lines.select(*keys, *line_columns).join(side, keys, "inner")
+                .select(*subs.columns, *line_columns))
     subs = subs if subs is not None else submissions(spark, sf_dir, derive=derive)
     if subs_bound is not None:
         subs = bounded_broadcast(subs, SUBMISSION_BROADCAST_ROWS, bound_from=subs_bound)
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey",
                                                 "l_linenumber", "l_quantity", "l_tax",
                                                 "l_returnflag"])
-    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
+    joined = li.join(subs, li.l_orderkey == subs.submission_id, "inner")
+    if with_part:
+        part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
+        joined = joined.join(part, li.l_partkey == part.p_partkey, "inner")
     material = F.element_at(F.array(*[F.lit(m) for m in MATERIALS]),
                             (F.lit(1) + F.col("p_size") % 8).cast("int"))
-    joined = (li.join(subs, li.l_orderkey == subs.submission_id, "inner")
-              .join(part, li.l_partkey == part.p_partkey, "inner"))
+    of_part = [_lookup(F.col("p_type"), PACKAGING_TYPE_BY_PART_TYPE).alias("packaging_type"),
+               material.alias("packaging_material"),
+               F.when(material == "PL", F.lit("Rigid")).alias("packaging_material_subtype")]
     return joined.select(
         *[c for c in subs.columns],
         F.col("l_suppkey").alias("subsidiary_key"),
-        _lookup(F.col("p_type"), PACKAGING_TYPE_BY_PART_TYPE).alias("packaging_type"),
-        material.alias("packaging_material"),
-        F.when(material == "PL", F.lit("Rigid")).alias("packaging_material_subtype"),
+        *(of_part if with_part else []),
         F.col("l_quantity").alias("packaging_material_weight"),
         F.concat(F.lit("P"), F.col("l_linenumber").cast("string")).alias("packaging_class"),
         F.when(F.col("l_returnflag") == "R", F.lit("Imported"))

@@ -4,6 +4,7 @@ import pytest
 
 from regsight.plans import api
 from regsight.plans import reports as R
+from regsight.sources import standin as V
 
 
 def test_pom_request_envelope_and_delta(spark, sf_small):
@@ -41,7 +42,6 @@ def test_organisation_registrations_request(spark, sf_small):
 
 
 def test_single_id_questions(spark, sf_small):
-    from regsight.sources import standin as V
     events = V.submission_events(spark, sf_small)
     arrived = events.select("submission_id", "file_id").first()
     assert api.sync_available(spark, sf_small, submission_id=arrived.submission_id) is True
@@ -60,3 +60,27 @@ def test_single_id_questions(spark, sf_small):
         events.agg({"load_ts": "max"}).first()[0]
     with pytest.raises(ValueError):
         api.sync_available(spark, sf_small)
+
+
+def test_sync_available_by_both_ids_must_match_both(spark, sf_small):
+    arrived = V.submission_events(spark, sf_small).select("submission_id", "file_id").first()
+    assert api.sync_available(spark, sf_small, arrived.submission_id, arrived.file_id) is True
+    assert api.sync_available(spark, sf_small, arrived.submission_id, "00000000-0000-4000-8000-999999999999") is False
+
+
+def test_actual_period_by_submission_id(spark, sf_small):
+    stored = R.stored_actual_periods(spark, sf_small).filter("stored_period is not null").first()
+    for asked in (stored.submission_id, f"{stored.submission_id}\r\n"):
+        assert api.actual_submission_period(spark, sf_small, asked, "x") == stored.stored_period
+    assert api.actual_submission_period(spark, sf_small, "999999999", "July+to%20December+2025") == "July to December 2025"
+
+
+def test_regulator_user_sees_the_nation_only(spark, sf_small):
+    user = V.regulator_nations(spark, sf_small).orderBy("user_id").first()
+    for ask in (api.pom_summaries, api.registration_summaries):
+        body = {"pageSize": 1000, "pageNumber": 1}
+        every = ask(spark, sf_small, body)["items"]
+        seen = ask(spark, sf_small, body | {"userId": user.user_id})["items"]
+        assert 0 < len(seen) < len(every)
+        assert seen == [i for i in every if i["nationId"] == user.nation_id]
+        assert ask(spark, sf_small, body | {"userId": "no such user"})["items"] == []

@@ -66,3 +66,25 @@ def test_max_records_per_file(spark):
     local = path[len("file:"):] if path.startswith("file:") else path
     parts = glob.glob(os.path.join(local, "part-*"))
     assert len(parts) == 4 and len(_read_lines(path)) == 10
+
+
+def test_export_summary_interrupt_is_an_abort(spark, monkeypatch):
+    def interrupted(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    seen = []
+    monkeypatch.setattr(X, "ndjson_export", interrupted)
+    with pytest.raises(KeyboardInterrupt):
+        X.export_with_summary(spark.range(3), scratch_path(spark, "test-abort"), on_complete=seen.append)
+    assert [(s.status, s.records) for s in seen] == [("aborted", None)]
+
+
+def test_export_summary_keeps_the_whole_error(spark, monkeypatch):
+    def failing(*args, **kwargs):
+        raise RuntimeError("x" * 2_000)
+
+    seen = []
+    monkeypatch.setattr(X, "ndjson_export", failing)
+    with pytest.raises(RuntimeError):
+        X.export_with_summary(spark.range(3), scratch_path(spark, "test-error"), on_complete=seen.append)
+    assert len(seen[0].error) == 2_000 and seen[0].status == "failed"

@@ -1,5 +1,6 @@
 """Report parameters: filters, request-shaped inputs and validation."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -197,3 +198,35 @@ def test_decisions_frame_with_own_order(spark, sf_small):
     assert (row.decision, row.comments, row.is_resubmission_required) == ("Rejected", "late", True)
     with pytest.raises(ValueError, match="lacks columns"):
         R.pom_summaries(spark, sf_small, decisions=delta.drop("seq"), page_size=ALL)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_line_counts_do_not_read_part(spark, sf_small):
+    for df in (R.organisation_registration_detail(spark, sf_small), R.registration_fee_details(spark, sf_small),
+               R.resubmission_pay_parameters(spark, sf_small)):
+        assert "l_orderkey" in _plan(df) and "p_partkey" not in _plan(df)
+
+
+def test_single_ids_reach_the_scans(spark, sf_small):
+    every = {r.submission_id: r for r in R.organisation_registration_detail(spark, sf_small).collect()}
+    one = sorted(every)[3]
+    got = R.organisation_registration_detail(spark, sf_small, one)
+    assert got.collect() == [every[one]]
+    assert f"= {one})" in _plan(got)
+    file_id = every[one].company_details_file_id
+    fees = R.registration_fee_details(spark, sf_small, file_id)
+    want = [r for r in R.registration_fee_details(spark, sf_small).collect() if r.file_id == file_id]
+    assert want and sorted(fees.collect()) == sorted(want) and f"= {one})" in _plan(fees)
+
+
+def test_approved_after_is_the_decision_instant(spark, sf_small):
+    periods = "2025-H1"
+    subs = V.submissions(spark, sf_small, kind="Producer").filter("status = 'Accepted'").filter(
+        F.col("submission_period") == periods)
+    when = subs.agg(F.max("submitted_at")).first()[0]
+    # after the last submission, before its decision
+    assert R.approved_submissions(spark, sf_small, when + dt.timedelta(days=13), periods, org_size=None).count() > 0
+    assert R.approved_submissions(spark, sf_small, when + dt.timedelta(days=14), periods, org_size=None).count() == 0
