@@ -86,10 +86,10 @@ def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[
     n_hot = hot.limit(MAX_BROADCAST_HOT_GROUPS + 1).count()
     if n_hot == 0:
         return _window_history(df, group_cols, order_cols, status_col, comments_col, rejected)
-    hot_side = _renamed(hot, group_cols)
+    hot_side = renamed(hot, group_cols)
     hot_side = F.broadcast(hot_side) if n_hot <= MAX_BROADCAST_HOT_GROUPS else hot_side
-    cold = df.join(hot_side, _same(df, group_cols), "left_anti")
-    hot_rows_df = df.join(hot_side, _same(df, group_cols), "left_semi")
+    cold = df.join(hot_side, same_as(df, group_cols), "left_anti")
+    hot_rows_df = df.join(hot_side, same_as(df, group_cols), "left_semi")
     cold_out = _window_history(cold, group_cols, order_cols, status_col, comments_col, rejected)
     hot_out = split_history(hot_rows_df, group_cols, order_cols, status_col, comments_col,
                             rejected, num_pieces)
@@ -97,12 +97,12 @@ def resubmission_history(df: DataFrame, group_cols: list[str], order_cols: list[
     return cold_out.select(*out_cols).unionByName(hot_out.select(*out_cols))
 
 
-def _renamed(df: DataFrame, cols: list[str]) -> DataFrame:
+def renamed(df: DataFrame, cols: list[str]) -> DataFrame:
     """``cols`` under other names, for a null-safe join back to the frame they come from."""
     return df.withColumnsRenamed({c: f"_same_{c}" for c in cols})
 
 
-def _same(df: DataFrame, cols: list[str]):
+def same_as(df: DataFrame, cols: list[str]):
     """Equality with the renamed columns in which null equals null."""
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in cols])
 
@@ -144,12 +144,12 @@ def split_history(df: DataFrame, group_cols: list[str], order_cols: list[str],
                            F.lag("_last_rc").over(wp).alias("_prev_rc"))
     first_in_piece = F.col("_rn") == 1
     marks = ["_piece", *group_cols]
-    flags = (local.join(_renamed(pieces, marks), _same(local, marks), "left")
+    flags = (local.join(renamed(pieces, marks), same_as(local, marks), "left")
              .select(*keys,
                      (~first_in_piece | F.col("_has_prev")).alias("is_resubmission"),
                      F.when(first_in_piece, F.col("_prev_rc")).otherwise(F.col("_lag_rc"))
                      .alias("previous_rejection_comments")))
-    return df.join(_renamed(flags, keys), _same(df, keys), "left").select(
+    return df.join(renamed(flags, keys), same_as(df, keys), "left").select(
         *df.columns, "is_resubmission", "previous_rejection_comments")
 
 
@@ -195,10 +195,10 @@ def deep_page_rows(df: DataFrame, order_cols: list, start: int, size: int,
     """
     if key_cols:
         keys = deep_page_rows(df.select(*key_cols), order_cols, start, size, num_partitions)
-        side = _renamed(keys, key_cols)
+        side = renamed(keys, key_cols)
         if size <= MAX_BROADCAST_PAGE:
             side = F.broadcast(side)
-        return (df.join(side, _same(df, key_cols), "left_semi")
+        return (df.join(side, same_as(df, key_cols), "left_semi")
                 .select(*df.columns).orderBy(*order_cols))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,6 +22,7 @@ from regsight.operators import filters as FL
 from regsight.operators import joins as J
 from regsight.operators import paging as W
 from regsight.operators import project as PR
+from regsight.session import cut_lineage
 from regsight.sources import layout as LY
 from regsight.sources import standin as V
 from regsight.sources.tables import instant_text
@@ -73,18 +74,21 @@ def submitted_after(approved_after) -> str | None:
     return instant_text(decided - DECISION_DELAY)
 
 
-def with_history(subs: DataFrame, ids=None) -> DataFrame:
+def with_history(subs: DataFrame, ids=None, few: bool = False) -> DataFrame:
     """W2 over submissions: resubmission flag and previous rejection comments.
 
     With ``ids`` (a submission id, or a frame of them) the result keeps only
     those submissions, and the history is computed only over the
-    (organisation, year) groups they belong to: exact, since W2 never looks
-    outside a group.
+    (organisation, year) groups they belong to, null ones included: exact,
+    since W2 never looks outside a group. ``few`` says that a frame of ids is
+    bounded, so their groups can be broadcast.
     """
     if ids is not None:
         wanted = FL.filter_key(subs, "submission_id", ids)
-        groups = wanted.select(*HISTORY_GROUP).distinct()
-        subs = subs.join(groups, HISTORY_GROUP, "left_semi")
+        groups = W.renamed(wanted.select(*HISTORY_GROUP).distinct(), HISTORY_GROUP)
+        if few or not isinstance(ids, DataFrame):
+            groups = F.broadcast(groups)
+        subs = subs.join(groups, W.same_as(subs, HISTORY_GROUP), "left_semi")
     out = W.resubmission_history(subs, HISTORY_GROUP, HISTORY_ORDER, "status", "comments")
     return FL.filter_key(out, "submission_id", ids) if ids is not None else out
 
@@ -217,22 +221,32 @@ def approved_submissions_report(spark: SparkSession, sf_dir: str, approved_after
                                 periods=P.periods_for_year(year), org_size=LARGE_ORGANISATION)
 
 
-# Q1 / Q2 -------------------------------------------------------------------
-def _summary_base(spark, sf_dir, kind, years, with_required):
-    subs = V.submissions(spark, sf_dir, years=years, kind=kind)
-    subs = with_history(subs)
-    subs = subs.withColumn("decision", F.col("status"))
-    if with_required:
-        subs = subs.withColumn("is_resubmission_required", F.lit(None).cast("boolean"))
-    return subs
+# Pages ---------------------------------------------------------------------
+def _fetch_page(page: W.Page, order_cols: list, fetch, schema) -> W.Page:
+    """The full rows of a page whose keys have been chosen.
+
+    ``fetch(keys, few)`` computes the rows of those submissions, so windows
+    and wide joins see the page's groups only. The keys (a page of them) are
+    written once; they are broadcast up to ``MAX_BROADCAST_PAGE``.
+    """
+    chosen = cut_lineage(page.items)
+    few = page.page_size <= W.MAX_BROADCAST_PAGE
+    keys = chosen.drop("total_items")
+    rows = N.align_schema(fetch(F.broadcast(keys) if few else keys, few), schema)
+    total = chosen.select(F.max("total_items")).scalar()
+    items = rows.withColumn("total_items", total).orderBy(*order_cols)
+    return W.Page(items, page.current_page, page.page_size, page.known_total)
 
 
+# Q1 / Q2 -------------------------------------------------------------------
 EVENT_ORDER = ["load_ts", "submission_event_id"]
 
 
-def _apply_decisions(spark, sf_dir, subs, decisions, with_required, decision_order=None):
+def _apply_decisions(spark, sf_dir, subs, decisions, with_required, decision_order=None, files=None):
     """J1 with the delta from the event store (default), a DataFrame, or JSON text.
 
+    ``files`` (a frame of file ids) limits a stored delta to the entries that can match.
+
     A DataFrame delta needs ``file_id``, the overlaid columns and the columns
     of ``decision_order`` (default: load time, event id), which decide the
     last entry per file.
@@ -255,6 +269,8 @@ def _apply_decisions(spark, sf_dir, subs, decisions, with_required, decision_ord
     missing = [c for c in ["file_id", *cols, *order] if c not in decisions.columns]
     if missing:
         raise ValueError(f"decisions frame lacks columns {missing}")
+    if files is not None:
+        decisions = FL.filter_key(decisions, "file_id", files)
     return J.overlay_decisions(subs, decisions, "file_id", cols, order)
 
 
@@ -289,6 +305,50 @@ def _list_filters(df, organisation_name, organisation_reference, statuses, organ
     return df
 
 
+def _summary_page(spark, sf_dir, kind, schema, date_col, columns, decisions, decision_order, user_id,
+                  page_number, page_size, statuses, years, **filters) -> W.Page:
+    """Q1/Q2: the page's keys first, then its rows with history, decisions and persons.
+
+    No filter of the two lists looks at the history, and the pending decisions
+    matter to the choice only where statuses are asked for.
+    """
+    with_required = kind == "Producer"
+    subs = V.submissions(spark, sf_dir, years=_years_of_csv(years), kind=kind)
+    subs = subs.withColumn("decision", F.col("status"))
+    if with_required:
+        subs = subs.withColumn("is_resubmission_required", F.lit(None).cast("boolean"))
+    orgs = _visible_organisations(spark, sf_dir, user_id)
+
+    def overlaid(df, files=None):
+        return _apply_decisions(spark, sf_dir, df, decisions, with_required, decision_order, files)
+
+    def shared(df):
+        return df.select(
+            "*",
+            F.col("organisation_reference").alias("organisation_reference_text"),
+            F.col("submission_year").cast("string").alias("submission_year_text"),
+            F.col("submission_period").alias("actual_submission_period"),
+            F.date_format("submitted_at", SUBMITTED_TEXT).alias(date_col),
+        )
+
+    def fetch(keys, few):
+        rows = overlaid(with_history(subs, keys.select("submission_id"), few), keys.select("file_id"))
+        rows = shared(J.enrich_submissions(rows, orgs, V.persons(spark, sf_dir)))
+        return rows.select(
+            "*",
+            F.when(F.col("organisation_type") == "CS", F.col("organisation_id"))
+            .alias("compliance_scheme_id"),
+            P.map_org_size("organisation_size").alias("producer_type"),
+            F.col("person_id").alias("user_id"),
+            *columns)
+
+    listed = overlaid(subs) if FL.csv_items(statuses) else subs
+    listed = _list_filters(shared(J.enrich_submissions(listed, orgs)), statuses=statuses, years=years, **filters)
+    order = [F.col(date_col).desc(), F.col("submission_id").asc()]
+    page = W.page_plain(listed.select(date_col, "submission_id", "file_id"), order, page_number, page_size)
+    return _fetch_page(page, order, fetch, schema)
+
+
 def pom_summaries(spark: SparkSession, sf_dir: str, decisions=None, organisation_name=None,
                   organisation_reference=None, statuses: str | None = None,
                   organisation_type=None, years: str | None = None, periods: str | None = None,
@@ -298,29 +358,15 @@ def pom_summaries(spark: SparkSession, sf_dir: str, decisions=None, organisation
 
     ``user_id`` is the regulator user who asks (``_visible_organisations``).
     """
-    subs = _summary_base(spark, sf_dir, "Producer", _years_of_csv(years), True)
-    subs = _apply_decisions(spark, sf_dir, subs, decisions, True, decision_order)
-    orgs = _visible_organisations(spark, sf_dir, user_id)
-    rows = J.enrich_submissions(subs, orgs, V.persons(spark, sf_dir))
-    rows = rows.select(
-        "*",
-        F.col("organisation_reference").alias("organisation_reference_text"),
-        F.col("submission_year").cast("string").alias("submission_year_text"),
-        F.col("submission_period").alias("actual_submission_period"),
-        F.date_format("submitted_at", SUBMITTED_TEXT).alias("submitted_date"),
+    columns = [
         F.concat(F.lit("pom_"), F.col("submission_id").cast("string"), F.lit(".csv"))
         .alias("pom_file_name"),
         F.col("file_id").alias("pom_blob_name"),
-        F.when(F.col("organisation_type") == "CS", F.col("organisation_id"))
-        .alias("compliance_scheme_id"),
-        P.map_org_size("organisation_size").alias("producer_type"),
-        F.col("person_id").alias("user_id"),
-    )
-    rows = _list_filters(rows, organisation_name, organisation_reference, statuses,
-                         organisation_type, years, periods)
-    rows = N.align_schema(rows, schemas.POM_SUMMARY)
-    return W.page_plain(rows, [F.col("submitted_date").desc(), F.col("submission_id").asc()],
-                        page_number, page_size, key_cols=["submitted_date", "submission_id"])
+    ]
+    return _summary_page(spark, sf_dir, "Producer", schemas.POM_SUMMARY, "submitted_date", columns, decisions,
+                         decision_order, user_id, page_number, page_size, statuses, years,
+                         organisation_name=organisation_name, organisation_reference=organisation_reference,
+                         organisation_type=organisation_type, periods=periods)
 
 
 def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
@@ -333,36 +379,26 @@ def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
 
     ``user_id`` is the regulator user who asks (``_visible_organisations``).
     """
-    subs = _summary_base(spark, sf_dir, "Registration", _years_of_csv(years), False)
-    subs = _apply_decisions(spark, sf_dir, subs, decisions, False, decision_order)
-    orgs = _visible_organisations(spark, sf_dir, user_id)
-    rows = J.enrich_submissions(subs, orgs, V.persons(spark, sf_dir))
-    rows = rows.select(
-        "*",
-        F.col("organisation_reference").alias("organisation_reference_text"),
-        F.col("submission_year").cast("string").alias("submission_year_text"),
-        F.col("submission_period").alias("actual_submission_period"),
-        F.date_format("submitted_at", SUBMITTED_TEXT).alias("registration_date"),
-        F.when(F.col("organisation_type") == "CS", F.col("organisation_id"))
-        .alias("compliance_scheme_id"),
-        P.map_org_size("organisation_size").alias("producer_type"),
-        F.col("person_id").alias("user_id"),
+    columns = [
         F.col("file_id").alias("company_details_file_id"),
         F.concat(F.lit("company_details_"), F.col("submission_id").cast("string"), F.lit(".csv"))
         .alias("company_details_file_name"),
         F.col("file_id").alias("company_details_blob_name"),
-    )
-    rows = _list_filters(rows, organisation_name, organisation_reference, statuses,
-                         organisation_type, years, periods)
-    rows = N.align_schema(rows, schemas.REGISTRATION_SUMMARY)
-    return W.page_plain(rows, [F.col("registration_date").desc(), F.col("submission_id").asc()],
-                        page_number, page_size, key_cols=["registration_date", "submission_id"])
+    ]
+    return _summary_page(spark, sf_dir, "Registration", schemas.REGISTRATION_SUMMARY, "registration_date", columns,
+                         decisions, decision_order, user_id, page_number, page_size, statuses, years,
+                         organisation_name=organisation_name, organisation_reference=organisation_reference,
+                         organisation_type=organisation_type, periods=periods)
 
 
 # Q5 / Q6 -------------------------------------------------------------------
-def _registration_rows(spark, sf_dir, years=None, ids=None) -> DataFrame:
-    subs = with_history(V.submissions(spark, sf_dir, years=years, kind="Registration"), ids)
-    rows = J.enrich_submissions(subs, V.organisations(spark, sf_dir), V.persons(spark, sf_dir))
+def _registration_rows(spark, sf_dir, years=None, ids=None, few=False) -> DataFrame:
+    subs = with_history(V.submissions(spark, sf_dir, years=years, kind="Registration"), ids, few)
+    return _registration_columns(
+        J.enrich_submissions(subs, V.organisations(spark, sf_dir), V.persons(spark, sf_dir)))
+
+
+def _registration_columns(rows: DataFrame) -> DataFrame:
     decided = F.col("status") != V.STATUS_PENDING
     decision_date = F.date_format(F.col("submitted_at") + F.lit(DECISION_DELAY), SUBMITTED_TEXT)
     submitted_text = F.date_format("submitted_at", SUBMITTED_TEXT)
@@ -395,9 +431,18 @@ def organisation_registration_summaries(
         statuses: str | None = None, resubmission_statuses: str | None = None,
         org_types: str | None = None, nation_id: int | None = None,
         app_refs: str | None = None, page_size: int = 20, page_number: int = 1) -> W.Page:
-    """Q5: organisation registration list, clamped paging."""
+    """Q5: organisation registration list, clamped paging.
+
+    The page is chosen first; its choice needs the history only where
+    resubmission statuses are asked for.
+    """
     FL.validate_nation(nation_id)
-    rows = _registration_rows(spark, sf_dir, years=_years_of_csv(years))
+    subs = V.submissions(spark, sf_dir, years=_years_of_csv(years), kind="Registration")
+    if FL.csv_items(resubmission_statuses):
+        subs = with_history(subs)
+    else:
+        subs = subs.withColumn("is_resubmission", F.lit(None).cast("boolean"))
+    rows = _registration_columns(J.enrich_submissions(subs, V.organisations(spark, sf_dir)))
     name_items = FL.csv_items(names)
     if name_items:
         rows = rows.filter(FL.any_of(*[F.lower(F.col("organisation_name")).contains(n.lower())
@@ -410,10 +455,12 @@ def organisation_registration_summaries(
     rows = FL.filter_csv(rows, "organisation_type", org_types)
     rows = FL.filter_optional_eq(rows, "nation_id", nation_id)
     rows = FL.filter_csv(rows, "application_reference_number", app_refs)
-    rows = N.align_schema(rows, schemas.ORGANISATION_REGISTRATION_SUMMARY)
-    return W.page_clamped(rows, [F.col("submitted_date_time").desc(),
-                                 F.col("submission_id").asc()], page_number, page_size,
-                          key_cols=["submitted_date_time", "submission_id"])
+    order = [F.col("submitted_date_time").desc(), F.col("submission_id").asc()]
+    page = W.page_clamped(rows.select("submitted_date_time", "submission_id"), order, page_number, page_size)
+    return _fetch_page(
+        page, order,
+        lambda keys, few: _registration_rows(spark, sf_dir, _years_of_csv(years), keys.select("submission_id"), few),
+        schemas.ORGANISATION_REGISTRATION_SUMMARY)
 
 
 def organisation_registration_detail(spark: SparkSession, sf_dir: str,
