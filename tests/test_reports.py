@@ -230,3 +230,17 @@ def test_approved_after_is_the_decision_instant(spark, sf_small):
     # after the last submission, before its decision
     assert R.approved_submissions(spark, sf_small, when + dt.timedelta(days=13), periods, org_size=None).count() > 0
     assert R.approved_submissions(spark, sf_small, when + dt.timedelta(days=14), periods, org_size=None).count() == 0
+
+
+def test_list_pages_compute_history_for_the_page_only(spark, sf_small, monkeypatch):
+    asked, real = [], R.with_history
+
+    def recorded(subs, ids=None, few=False):
+        asked.append(None if ids is None else ids.count())
+        return real(subs, ids, few)
+
+    monkeypatch.setattr(R, "with_history", recorded)
+    R.pom_summaries(spark, sf_small, page_size=5)
+    R.registration_summaries(spark, sf_small, page_size=5)
+    R.organisation_registration_summaries(spark, sf_small, page_size=5)
+    assert asked == [5, 5, 5]
