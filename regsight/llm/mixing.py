@@ -17,13 +17,15 @@ partition plus the rows of the source before it. A hot source spans many
 partitions and is never windowed.
 
 Defined results: a null source is a source of its own; repeated rows take
-consecutive ordinals; null identifiers hash alike; an empty table gives no
+consecutive ordinals; rows of one identifier (null is one) go by the hash of
+their kept columns, so the schedule does not depend on how rows are stored; an empty table gives no
 rows; a source without a given weight gets weight 1.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,11 +106,14 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "
     spark = docs.sparkSession
     added = ["block", "slot", "place", "release", "deadline", "phase"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    tie = [F.col(c) for c in kept if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
+    # _m only parts equal rows, which take each other's place
     rows = docs.select(*[F.col(c).alias(f"_c_{c}") for c in kept], F.col(source_col).alias("_s"),
-                       F.xxhash64(F.col(id_col)).alias("_h"), F.monotonically_increasing_id().alias("_m"))
+                       F.xxhash64(F.col(id_col)).alias("_h"), F.xxhash64(*(tie or [F.lit(0)])).alias("_r"),
+                       F.monotonically_increasing_id().alias("_m"))
     path = scratch_path(spark, "mix-ranged")
-    (rows.repartitionByRange("_s", "_h", "_m").sortWithinPartitions("_s", "_h", "_m")
-     .withColumn("_at", F.monotonically_increasing_id()).drop("_m").write.parquet(path))
+    (rows.repartitionByRange("_s", "_h", "_r", "_m").sortWithinPartitions("_s", "_h", "_r", "_m")
+     .withColumn("_at", F.monotonically_increasing_id()).drop("_r", "_m").write.parquet(path))
     ranged = spark.read.parquet(path).withColumn("_p", F.shiftright("_at", 33))
     # rows of a source in a partition are contiguous; partitions x sources that meet there
     parts = ranged.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"))
@@ -156,3 +161,11 @@ def mix_in_order(docs: DataFrame, targets: dict | None = None, *, id_col: str =
     plain, own = numbered(docs)
     out = mix_sources(plain, targets, id_col=own[id_col], source_col=own[source_col], **options)
     return out.orderBy("slot", "place").select(*[F.col(c).alias(name) for name, c in own.items()])
+
+
+def with_schedule(docs: DataFrame, targets: dict | None = None, *, id_col: str = "doc_id",
+                  source_col: str = "source", **options) -> DataFrame:
+    """The documents with ``slot`` and ``place``, whatever their order is now."""
+    plain, own = numbered(docs)
+    out = mix_sources(plain, targets, id_col=own[id_col], source_col=own[source_col], **options)
+    return out.select(*[F.col(c).alias(name) for name, c in own.items()], "slot", "place")

@@ -1,6 +1,11 @@
 """The pipeline against its stages' brute-force versions on small tables."""
 
+from collections import Counter
+
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+
+from regsight.llm import mixing as MX
 
 
 def test_stages_on_small_tables(spark, tmp_path, sf):
@@ -27,3 +32,28 @@ def test_run_on_empty_documents(spark, tmp_path, sf):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shards_carry_the_mixing_schedule(spark, sf, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_LIMIT", 200_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    again = docs.limit(40).withColumn("text", F.concat("text", F.lit(" again")))  # two texts of one identifier
+    docs = docs.unionByName(again).unionByName(docs.limit(10))
+    want = [(r.doc_id, r.text) for r in P.mix(spark, docs, sf).collect()]
+    shuffled = docs.repartition(7, F.rand(3))
+    rows = P.shard(spark, shuffled, sf).collect()
+    assert len({r.shard for r in rows}) > 3
+    assert len({(r.slot, r.place) for r in rows}) == len(rows) == len(want)
+    rows.sort(key=lambda r: (r.slot, r.place))
+    assert [(r.doc_id, r.text) for r in rows] == want  # so every shard's rows are in this order too
+    # Pfair: one source a slot, and each source within a block of its share as long as all last
+    source = {}
+    for r in rows:
+        assert source.setdefault(r.slot, r.source) == r.source
+    order = [source[s] for s in sorted(source)]
+    assert sorted(source) == list(range(len(order)))
+    weights = MX.integer_weights(Counter(r.source for r in rows), None, MX.RESOLUTION)
+    first_out = min(len(order) - order[::-1].index(s) for s in weights)
+    for t in range(1, first_out + 1):
+        done = Counter(order[:t])
+        assert all(abs(done[s] - t * w / sum(weights.values())) < 1 for s, w in weights.items())
