@@ -1,7 +1,9 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-Lines are paragraphs; a line is read in windows of ``WINDOW`` words (half
-overlapping). A window's features are hashed word uni- and bigrams. A
+A paragraph is the text between lines without a word (blank, or only a comment
+mark); within it a line break is a space. Paragraphs, and each of their lines
+by itself, are read in windows of ``WINDOW`` words (half overlapping), so that
+neither a wrapped notice nor a short one amid other lines is missed. A window's features are hashed word uni- and bigrams. A
 multinomial logistic regression over licence families and ``none`` is trained
 on the templates below, varied by dropped and added words, against a bounded
 sample of windows of the corpus (``FIT_WINDOWS``, by smallest hash). Its
@@ -34,6 +36,7 @@ VARIANTS = 60
 ROUNDS = 80
 CONFIRM = 0.6
 UNKNOWN_PHRASES = 2
+MAX_GAP = 8  # words between two parts of one statement
 NONE, UNKNOWN = "none", "unknown"
 
 #: One or more statements per licence family.
@@ -80,25 +83,29 @@ FIELDS = [T.StructField("license", T.StringType()), T.StructField("confidence",
 
 
 class Windows:
-    """Word windows of the lines of a slice: ``low``/``high`` word bounds, ``line``, ``doc``."""
+    """Word windows of the paragraphs and lines of a slice: ``low``/``high`` word bounds, ``line``, ``doc``."""
 
     def __init__(self, words: Words):
         breaks = np.flatnonzero(words.buf == 10)
         line = np.searchsorted(breaks, words.start)
         doc = words.doc()
-        fresh = np.ones(len(words), bool)
-        fresh[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(fresh)
-        size = np.diff(np.append(begin, len(words)))
+        fresh, broken = np.ones(len(words), bool), np.ones(len(words), bool)
+        fresh[1:] = (line[1:] > line[:-1] + 1) | (doc[1:] != doc[:-1])
+        broken[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
+        self.paragraphs = np.bincount(doc[fresh], minlength=len(words.first) - 1)
+        begin, lines = np.flatnonzero(fresh), np.flatnonzero(broken)
+        size, line_size = (np.diff(np.append(x, len(words))) for x in (begin, lines))
+        # a paragraph of one line is read once
+        own = ~(fresh[lines] & (line_size == size[np.cumsum(fresh)[lines] - 1]))
+        begin, size = np.append(begin, lines[own]), np.append(size, line_size[own])
         many = 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE))
         self.line = np.repeat(np.arange(len(begin)), many)
         turn = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         self.low = np.repeat(begin, many) + turn * STRIDE
         self.high = np.minimum(self.low + WINDOW, np.repeat(begin + size, many))
         self.doc = doc[self.low] if len(begin) else np.zeros(0, int)
-        self.lines = np.bincount(doc[begin], minlength=len(words.first) - 1)
         one = words.hash
-        two = np.zeros_like(one)  # the bigram that begins at a word, in its line
+        two = np.zeros_like(one)  # the bigram that begins at a word, in its paragraph
         two[:-1] = mix(one[:-1] * np.uint64(3) + one[1:])
         pair = np.zeros(len(one), bool)
         pair[:-1] = ~fresh[1:]
@@ -266,7 +273,7 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
                   keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) plus ``license`` (the most confident family of
     the text, ``unknown`` or ``none``), its ``confidence`` and ``similarity``,
-    ``n_paragraphs`` (lines with words) and ``licenses`` (one per licence line,
+    ``n_paragraphs`` and ``licenses`` (one per licence line or wrapped notice,
     code-point spans)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -278,23 +285,23 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
             found: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
             if len(words):
                 w = Windows(words)
-                lines += w.lines.tolist()
+                lines += w.paragraphs.tolist()
                 p = model.probabilities(w)
                 best: dict[int, tuple] = {}
                 for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
                     own = _judge(model, w, k, p[k])
                     if own and (w.line[k] not in best or own[:2] > best[w.line[k]][:2]):
                         best[w.line[k]] = own
-                for sure, confidence, family, similarity, k in best.values():
-                    d = int(w.doc[k])
-                    base = offsets[d]
-                    lead = (words.buf[base:words.end[w.high[k] - 1]] & 0xC0) != 0x80
-                    start = int(lead[:words.start[w.low[k]] - base].sum())
+                if best:
+                    points = np.append(0, np.cumsum((buf & 0xC0) != 0x80))
+                for _, confidence, family, similarity, lo, hi in best.values():
+                    d = int(np.searchsorted(words.first, lo, "right")) - 1
+                    start, end = (int(points[x] - points[offsets[d]]) for x in (words.start[lo], words.end[hi]))
                     found[d].append({"family": family, "confidence": confidence, "similarity": similarity,
-                                     "start": start, "end": int(lead.sum())})
+                                     "start": start, "end": end})
             else:
                 lines += [0] * (len(offsets) - 1)
-            found_all += [sorted(f, key=lambda x: x["start"]) for f in found]
+            found_all += [_merged(f) for f in found]
         top = [max(f, key=lambda x: (x["family"] != UNKNOWN, x["confidence"], -x["start"])) if f else None
                for f in found_all]
         return {"license": pa.array([t["family"] if t else NONE for t in top], pa.string()),
@@ -309,9 +316,10 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
 
 
 def _judge(model: Model, w: Windows, k: int, p: np.ndarray) -> tuple | None:
-    """(confirmed, confidence, family, similarity, window) of a window that looks like a
-    licence; None if no template bears it out."""
-    own = set(w.pairs[w.low[k]:w.high[k] - 1].tolist())
+    """(confirmed, confidence, family, similarity, first word, last word) of a window that
+    looks like a licence; None if no template bears it out."""
+    pairs = w.pairs[w.low[k]:w.high[k] - 1].tolist()
+    own = set(pairs)
     similar = np.array([max((len(t & own) / len(t) for t in model.templates.get(f, ())), default=0.0)
                         for f in model.families])
     # families of nearly the same words are told apart by their templates
@@ -320,8 +328,43 @@ def _judge(model: Model, w: Windows, k: int, p: np.ndarray) -> tuple | None:
     similarity = float(similar[c])
     confidence = float((1 - p[0]) * weight[c] / max(weight.sum(), 1e-300))
     if similarity >= CONFIRM and confidence >= model.least[c]:
-        return True, confidence, model.families[c], similarity, k
+        family = model.families[c]
+        best = max(model.templates[family], key=lambda t: len(t & own) / len(t))
+        return True, confidence, family, similarity, *_place(pairs, best, int(w.low[k]))
     # the unknown class is confirmed by licence phrases that no background text has
     if len(own & model.phrases) < UNKNOWN_PHRASES:
         return None
-    return False, float(1 - p[0]), UNKNOWN, similarity, k
+    return False, float(1 - p[0]), UNKNOWN, similarity, *_place(pairs, model.phrases, int(w.low[k]))
+
+
+def _place(pairs: list[int], wanted: frozenset, low: int) -> tuple[int, int]:
+    """First and last word of the densest run of ``wanted`` pairs in a window that begins at ``low``."""
+    at = np.flatnonzero([x in wanted for x in pairs])
+    run = max(np.split(at, np.flatnonzero(np.diff(at) > MAX_GAP) + 1), key=len)
+    return low + int(run[0]), low + int(run[-1]) + 1
+
+
+def _merged(found: list[dict]) -> list[dict]:
+    """Spans of a text: overlapping ones of a family are one; a span inside a more similar
+    one of another family, and an unknown one across a known one, is the same statement."""
+    spans: list[dict] = []
+    for x in sorted(found, key=lambda x: (x["family"], x["start"], x["end"])):
+        last = spans[-1] if spans else None
+        if last and last["family"] == x["family"] and x["start"] < last["end"]:
+            for name in ("end", "confidence", "similarity"):
+                last[name] = max(last[name], x[name])
+        else:
+            spans.append(dict(x))
+    spans.sort(key=lambda x: (x["start"], -x["end"], x["family"]))
+    gone, current = set(), {}  # per family the span begun last: earlier ones have ended
+    for i, x in enumerate(spans):
+        for j in current.values():
+            y = spans[j]
+            if y["family"] == x["family"] or y["end"] <= x["start"]:
+                continue
+            for a, b, own in ((x, y, i), (y, x, j)):
+                inside = b["start"] <= a["start"] and a["end"] <= b["end"] and a["similarity"] < b["similarity"]
+                if b["family"] != UNKNOWN and (a["family"] == UNKNOWN or inside):
+                    gone.add(own)
+        current[x["family"]] = i
+    return [x for i, x in enumerate(spans) if i not in gone]

@@ -214,6 +214,46 @@ def test_licence_classes_and_edges(spark, licence_model):
     assert LS.scan_licenses(docs_frame(spark, []), licence_model).count() == 0
 
 
+WRAPPED = {
+    "bsd": """/*
+ * Copyright (c) 2020 Some Body.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ */
+int main() { return 0; }""",
+    "gpl": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+print("x")""",
+    "mit": """Permission is hereby granted, free of charge, to any
+person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "apache": """// you may not use this file except
+// in compliance with the License.\r
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0""",
+}
+
+
+def test_wrapped_notices(spark, licence_model):
+    rows = [(60 + k, t, None, None) for k, t in enumerate(WRAPPED.values())]
+    rows += [(70, "é one\ntwo\n \n* \nthree\n\n\nfour", None, None),
+             (71, "all rights\n\nreserved by the redistribution\n\nand use in source", None, None)]
+    out = {r.doc_id: r for r in LS.scan_licenses(docs_frame(spark, rows), licence_model).collect()}
+    assert {f: out[60 + k].license for k, f in enumerate(WRAPPED)} == {f: f for f in WRAPPED}
+    assert [x.family for x in out[60].licenses] == ["bsd"]
+    own = out[60].licenses[0]
+    assert WRAPPED["bsd"][own.start:own.end].startswith("Redistribution and use")
+    assert WRAPPED["bsd"][own.start:own.end].endswith("are met")
+    assert out[70].n_paragraphs == 3 and out[71].license == "none"
+
+
 def test_language_sample_of_few_texts_in_many_copies(spark):
     rows = [(i, "ein Haus und ein Baum" if i % 2 else "the house and the tree", "de" if i % 2 else "en", "a")
             for i in range(20_000)] + [(30_000, "la maison et un arbre", "fr", "a")]
