@@ -99,7 +99,6 @@ class Windows:
         own = ~(fresh[lines] & (line_size == size[np.cumsum(fresh)[lines] - 1]))
         begin, size = np.append(begin, lines[own]), np.append(size, line_size[own])
         many = 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE))
-        self.line = np.repeat(np.arange(len(begin)), many)
         turn = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         self.low = np.repeat(begin, many) + turn * STRIDE
         self.high = np.minimum(self.low + WINDOW, np.repeat(begin + size, many))
@@ -273,8 +272,8 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
                   keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) plus ``license`` (the most confident family of
     the text, ``unknown`` or ``none``), its ``confidence`` and ``similarity``,
-    ``n_paragraphs`` and ``licenses`` (one per licence line or wrapped notice,
-    code-point spans)."""
+    ``n_paragraphs`` and ``licenses`` (every statement that is confirmed, in code-point
+    spans; windows that overlap on one statement of a family are one span)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(column: pa.Array) -> dict[str, pa.Array]:
@@ -287,14 +286,9 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
                 w = Windows(words)
                 lines += w.paragraphs.tolist()
                 p = model.probabilities(w)
-                best: dict[int, tuple] = {}
-                for k in np.flatnonzero(p[:, 0] < 0.5).tolist():
-                    own = _judge(model, w, k, p[k])
-                    if own and (w.line[k] not in best or own[:2] > best[w.line[k]][:2]):
-                        best[w.line[k]] = own
-                if best:
-                    points = np.append(0, np.cumsum((buf & 0xC0) != 0x80))
-                for _, confidence, family, similarity, lo, hi in best.values():
+                judged = [_judge(model, w, k, p[k]) for k in np.flatnonzero(p[:, 0] < 0.5).tolist()]
+                points = np.append(0, np.cumsum((buf & 0xC0) != 0x80)) if any(judged) else None
+                for confidence, family, similarity, lo, hi in filter(None, judged):
                     d = int(np.searchsorted(words.first, lo, "right")) - 1
                     start, end = (int(points[x] - points[offsets[d]]) for x in (words.start[lo], words.end[hi]))
                     found[d].append({"family": family, "confidence": confidence, "similarity": similarity,
@@ -316,8 +310,8 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
 
 
 def _judge(model: Model, w: Windows, k: int, p: np.ndarray) -> tuple | None:
-    """(confirmed, confidence, family, similarity, first word, last word) of a window that
-    looks like a licence; None if no template bears it out."""
+    """(confidence, family, similarity, first word, last word) of a window that looks like
+    a licence; None if no template bears it out."""
     pairs = w.pairs[w.low[k]:w.high[k] - 1].tolist()
     own = set(pairs)
     similar = np.array([max((len(t & own) / len(t) for t in model.templates.get(f, ())), default=0.0)
@@ -330,11 +324,11 @@ def _judge(model: Model, w: Windows, k: int, p: np.ndarray) -> tuple | None:
     if similarity >= CONFIRM and confidence >= model.least[c]:
         family = model.families[c]
         best = max(model.templates[family], key=lambda t: len(t & own) / len(t))
-        return True, confidence, family, similarity, *_place(pairs, best, int(w.low[k]))
+        return confidence, family, similarity, *_place(pairs, best, int(w.low[k]))
     # the unknown class is confirmed by licence phrases that no background text has
     if len(own & model.phrases) < UNKNOWN_PHRASES:
         return None
-    return False, float(1 - p[0]), UNKNOWN, similarity, *_place(pairs, model.phrases, int(w.low[k]))
+    return float(1 - p[0]), UNKNOWN, similarity, *_place(pairs, model.phrases, int(w.low[k]))
 
 
 def _place(pairs: list[int], wanted: frozenset, low: int) -> tuple[int, int]:

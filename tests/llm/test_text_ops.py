@@ -254,6 +254,16 @@ def test_wrapped_notices(spark, licence_model):
     assert out[70].n_paragraphs == 3 and out[71].license == "none"
 
 
+def test_every_statement_of_a_long_line(spark, licence_model):
+    fill = "the weather was mild and the river ran low " * 60
+    mit, gpl = "Released under the MIT License.", LS.TEMPLATES["gpl"][0]
+    text = f"{fill}{mit} {fill}{gpl} {fill}{mit} {fill}"
+    row = LS.scan_licenses(docs_frame(spark, [(80, text, None, None)]), licence_model).first()
+    assert [x.family for x in row.licenses] == ["mit", "gpl", "mit"]
+    for x, s in zip(row.licenses, (mit, gpl, mit), strict=True):
+        assert text[x.start:x.end] in s and len(s) - (x.end - x.start) < 5
+
+
 def test_language_sample_of_few_texts_in_many_copies(spark):
     rows = [(i, "ein Haus und ein Baum" if i % 2 else "the house and the tree", "de" if i % 2 else "en", "a")
             for i in range(20_000)] + [(30_000, "la maison et un arbre", "fr", "a")]
