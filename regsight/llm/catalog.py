@@ -70,7 +70,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_calls(chat_format.events(table(spark, sf_dir, "conversations")),
-                                    chat_format.CONVERSATION_TOOLS)
+                                    chat_format.CONVERSATION_TOOLS, further=True)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

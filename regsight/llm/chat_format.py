@@ -1,7 +1,8 @@
 """Chat formatting: link tool calls to their results, order, validate, serialise.
 
-All native expressions. Calls and results meet in a hash join on the call's
-identifier (results are reduced per identifier first, with map-side combine).
+All native expressions. Calls and results meet in a hash join on conversation
+and identifier (results are reduced per identifier first, with map-side
+combine): identifiers such as ``call_0`` come again in other conversations.
 The order is topological over ``depends_on``: a call's level is the longest way
 to a call without dependencies. Arguments are checked against the tools'
 schemas and written as canonical JSON (keys sorted, no blanks, numbers in
@@ -11,11 +12,14 @@ A conversation is never gathered into one row: each call, and each result
 without a call, is a row of its own, so no conversation is too long.
 
 Defined results (``status``): ``answered``, ``unanswered``, ``orphan`` (a result
-whose identifier no call has, or null), ``cyclic`` (calls on or behind a cycle
-of dependencies, level null), ``message`` (a row of another role). Calls that
-share an identifier each keep a row with the shared result and ``n_same`` > 1;
-of several results the earliest by (turn, content) is linked. Dependencies on
-unknown identifiers are ignored. Null arguments are invalid.
+whose identifier no call of its conversation has, or null), ``cyclic`` (calls on
+or behind a cycle of dependencies, level null), ``message`` (a row of another
+role, or the text beside embedded calls). Calls of a conversation that share an
+identifier each keep a row with the shared result and ``n_same`` > 1; of several
+results the earliest by (turn, content) is linked, and each further one is a row
+of status ``duplicate_result`` where ``further`` asks for them. Dependencies on
+identifiers unknown in the conversation are ignored. Null conversations are one.
+Null arguments are invalid.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ def events(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
     ``tool``, ``arguments`` (JSON text), ``depends_on``, ``content``.
 
     A message whose text is a JSON object with ``tool_calls`` gives one call
-    per entry; one of role ``tool`` with ``tool_call_id`` is a result. Any other
+    per entry, and a message where it has a ``content`` beside them; one of role ``tool`` with ``tool_call_id`` is a result. Any other
     ``user`` message is a call of ``reply``, a ``system`` message one of
     ``configure``, named by conversation and turn and depending on the calls one
     and two turns before; an ``assistant`` message is the result of the call one
@@ -85,7 +89,10 @@ def events(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
            .when(plain_call, event("call", own, tool, arguments, depends, none))
            .when(F.col("role") == "assistant", event("result", before, none, none, no_deps, F.col("content")))
            .otherwise(event("message", own, none, none, no_deps, F.col("content"))))
-    return m.select("conv", "turn", F.explode(F.when(has_calls, embedded).otherwise(F.array(one))).alias("e")) \
+    beside = F.filter(F.array(event("message", own, none, none, no_deps, F.col("j.content"))),
+                      lambda e: F.length(e["content"]) > 0)
+    every = F.when(has_calls, F.concat(embedded, beside)).otherwise(F.array(one))
+    return m.select("conv", "turn", F.explode(every).alias("e")) \
         .select("conv", "turn", "e.*")
 
 
@@ -159,8 +166,16 @@ def _errors(arguments: Column, params: Column) -> Column:
             .otherwise(F.array_sort(F.concat(missing, wrong, unknown))))
 
 
-def format_calls(happenings: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """One row per call, orphan result and message of ``events`` rows.
+def _key(ident: Column) -> Column:
+    """An identifier within its conversation; null for a null one."""
+    conv = F.col("conv").cast("string")
+    return F.concat(F.coalesce(F.concat(F.length(conv), F.lit(":"), conv), F.lit("")), F.lit(":"), ident)
+
+
+def format_calls(happenings: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]], *,
+                 further: bool = False) -> DataFrame:
+    """One row per call, orphan result and message of ``events`` rows, and with
+    ``further`` per result after the first of its call (else only counted).
 
     Columns: ``conv_id``, ``turn``, ``call_id``, ``tool``, ``status``, ``level``,
     ``n_results``, ``n_same``, ``valid``, ``errors`` and ``json``, the canonical
@@ -169,19 +184,21 @@ def format_calls(happenings: DataFrame, tools: dict[str, dict[str, tuple[str, bo
     if len(tools) > MAX_TOOLS:
         raise ValueError(f"{len(tools)} tools; at most {MAX_TOOLS}")
     spark = happenings.sparkSession
-    all_events = _stored(happenings, "chat-events")
+    all_events = _stored(happenings.select(
+        "*", _key(F.col("id")).alias("key"), F.monotonically_increasing_id().alias("row")), "chat-events")
     calls = all_events.filter("kind = 'call'")
     results = all_events.filter("kind = 'result'")
     schema = spark.createDataFrame(
         [(t, [(p, kind, TYPES[kind], need) for p, (kind, need) in sorted(ps.items())]) for t, ps in tools.items()],
         "tool string, params array<struct<name:string,type:string,pattern:string,required:boolean>>")
-    linked = results.filter("id is not null").groupBy("id").agg(
-        F.min(F.struct("turn", "content")).alias("first"), F.count(F.lit(1)).alias("n_results"))
-    same = calls.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n_same"))
-    levels = _stored(topological_levels(calls).join(same, "id"), "chat-levels")
-    cyclic = same.join(levels, "id", "left_anti").select("id", F.lit(None).cast("int").alias("level"), "n_same")
-    nodes = levels.unionByName(cyclic).join(linked, "id", "left")
-    rows = (calls.join(nodes, "id", "left").join(F.broadcast(schema), "tool", "left")
+    linked = results.filter("id is not null").groupBy("key").agg(
+        F.min(F.struct("turn", "content", "row")).alias("first"), F.count(F.lit(1)).alias("n_results"))
+    same = calls.filter("id is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_same"))
+    graph = calls.select(F.col("key").alias("id"), F.transform("depends_on", _key).alias("depends_on"))
+    levels = _stored(topological_levels(graph).withColumnRenamed("id", "key").join(same, "key"), "chat-levels")
+    cyclic = same.join(levels, "key", "left_anti").select("key", F.lit(None).cast("int").alias("level"), "n_same")
+    nodes = levels.unionByName(cyclic).join(linked, "key", "left")
+    rows = (calls.join(nodes, "key", "left").join(F.broadcast(schema), "tool", "left")
             .withColumn("errors", _errors(F.col("arguments"), F.col("params"))))
     status = (F.when(F.col("id").isNotNull() & F.col("level").isNull(), "cyclic")
               .when(F.col("first").isNull(), "unanswered").otherwise("answered"))
@@ -202,9 +219,13 @@ def format_calls(happenings: DataFrame, tools: dict[str, dict[str, tuple[str, bo
                            F.lit(None).cast("string").alias("raw"), F.col("content").alias("result"))
 
     # a null identifier is in no join and stays an orphan
-    orphans = results.join(same.select("id"), "id", "left_anti")
+    orphans = results.join(same.select("key"), "key", "left_anti")
     rows = rows.unionByName(loose(orphans, "orphan")) \
         .unionByName(loose(all_events.filter("kind = 'message'"), "message"))
+    if further:
+        several = linked.filter("n_results > 1").join(same, "key", "left_semi").select("key", "first.row")
+        later = results.join(several.select("key"), "key", "left_semi").join(several, ["key", "row"], "left_anti")
+        rows = rows.unionByName(loose(later, "duplicate_result"))
     record = F.to_json(F.struct(F.col("args").alias("arguments"), F.col("conv").cast("string").alias("conversation"),
                                 "errors", "id", "level", F.col("raw").alias("raw_arguments"), "result", "status",
                                 "tool", "turn"))

@@ -337,6 +337,35 @@ def test_embedded_calls_validation_cycles_and_edges(spark):
     assert CF.format_calls(CF.events(frame.limit(0)), tools).count() == 0
 
 
+def test_embedded_identifiers_belong_to_their_conversation(spark, sf, tmp_path):
+    def calls(deps, **more):
+        return json.dumps({"tool_calls": [{"id": f"call_{k}", "depends_on": d, "function": {
+            "name": "reply", "arguments": '{"prompt":"x","turn":0}'}} for k, d in enumerate(deps)]} | more)
+
+    def result(ident, content):
+        return json.dumps({"tool_call_id": ident, "content": content})
+    rows = [(c, 0, "assistant", calls([[], ["call_0"]], content=f"let me look {c}")) for c in (1, 2, 11, None)]
+    rows += [(c, 1, "tool", result("call_0", f"for {c}")) for c in (1, 2, None)]
+    rows += [(2, t, "tool", result("call_0", "again")) for t in (2, 2, 3)]
+    rows += [(3, 0, "assistant", calls([["call_1"], ["call_0"]], content="")), (3, 1, "tool", result("call_9", "lost"))]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string") \
+        .write.parquet(f"{path}/conversations.parquet")
+    out = C.op7_chat_format(spark, path).collect()
+    first = {r.conv_id: r for r in out if r.call_id == "call_0" and r.level is not None}
+    assert {c: json.loads(r.json).get("result") for c, r in first.items()} == {
+        1: "for 1", 2: "for 2", 11: None, None: "for None"}
+    assert {c: (r.n_results, r.n_same) for c, r in first.items()} == {1: (1, 1), 2: (4, 1), 11: (0, 1), None: (1, 1)}
+    assert {(r.conv_id, r.level) for r in out if r.call_id == "call_1"} == {(1, 1), (2, 1), (11, 1), (None, 1), (3, None)}
+    more = [(r.conv_id, r.turn, r.call_id, json.loads(r.json)["result"]) for r in out if r.status == "duplicate_result"]
+    assert sorted(more) == [(2, 2, "call_0", "again"), (2, 2, "call_0", "again"), (2, 3, "call_0", "again")]
+    text = {r.conv_id: json.loads(r.json)["result"] for r in out if r.status == "message"}
+    assert text == {c: f"let me look {c}" for c in (1, 2, 11, None)}
+    # nothing is lost: every call, result and text is in some row
+    assert Counter(r.status for r in out) == Counter(
+        {"answered": 3, "unanswered": 5, "cyclic": 2, "orphan": 1, "duplicate_result": 3, "message": 4})
+
+
 def test_levels_are_longest_ways(spark):
     rng = np.random.default_rng(9)
     deps = {i: {int(x) for x in rng.integers(0, i, rng.integers(0, 3))} if i and rng.random() < 0.3 else {max(0, i - 1)}
