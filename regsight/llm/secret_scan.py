@@ -7,8 +7,12 @@ characters slides over a candidate; one character enters and one leaves, so
 the counts and the sum of c log2 c change by single terms. The candidate's
 narrowest character class (hex, alnum, base64) sets the bits per character
 from which a window is secret; the span runs from the first such window to
-the end of the last. Candidates that match the allow-list, and spans inside a
-base span, are left out.
+the end of the last. A short candidate has few windows to reach that bound: where
+none does, one whose characters change kind often is held against a lower one.
+Candidates that match the allow-list whole, and spans inside a base span, are
+left out. A word of the allow-list (``test``, ``your``) only takes the piece
+between ``= / _ -`` that holds it out of the candidate, and no piece so long that
+it may hold such letters by chance.
 
 Defined results: a null text counts as empty and has no span; repeated rows
 are scanned alike; texts are scanned whole.
@@ -39,6 +43,12 @@ ALLOW = (r"(?i)example|sample|dummy|placeholder|test|xxxx|changeme|your",
          r"(?i)0123456789|abcdefghij",
          r"\A[-_=+/]*[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/=]?[0-9]{1,4}\z")
 
+#: candidates up to SHORT characters: the lower bound, and the least changes of kind (words have few)
+SHORT, SHORT_BITS, SHORT_CHANGES = 32, 3.6, 6
+CHANGE = r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"
+#: the allow-list's words, and the longest piece they take out
+WORDS, PIECE_MOST = ALLOW[0], 40
+
 _SPAN = "array<struct<start:int,end:int,kind:int,match:string>>"
 
 
@@ -70,18 +80,35 @@ def _least_entropy(s: Column) -> Column:
 def _allowed(s: Column) -> Column:
     out = ~(s.rlike("[0-9]") & s.rlike("[A-Za-z]"))
     for pattern in ALLOW:
-        out = out | s.rlike(pattern)
+        if pattern != WORDS:
+            out = out | s.rlike(pattern)
     return out
 
 
-def _hot_range(candidate: Column) -> Column:
+def _candidates(text: Column) -> Column:
+    """Candidate spans; pieces with a word of the allow-list are cut out of them."""
+    def cut(s):
+        pieces = F.transform(F.regexp_extract_all(s["match"], F.lit("[=/_-]|[^=/_-]+"), F.lit(0)), lambda x: F.when(
+            x.rlike(WORDS) & (F.length(x) <= PIECE_MOST), F.repeat(F.lit(" "), F.length(x))).otherwise(x))
+        left = F.transform(F.array(F.array_join(pieces, "")), lambda rest: _matches(rest, CANDIDATE, 3))
+        return F.transform(F.element_at(left, 1), lambda x: F.struct(
+            (x["start"] + s["start"]).alias("start"), (x["end"] + s["start"]).alias("end"), x["kind"].alias("kind"),
+            x["match"].alias("match")))
+
+    each = F.transform(_matches(text, CANDIDATE, 3), lambda s: F.when(
+        s["match"].rlike(WORDS), cut(s)).otherwise(F.array(s)))
+    return F.filter(F.flatten(each), lambda s: ~_allowed(s["match"]))
+
+
+def _hot_range(candidate: Column, least: Column | None = None) -> Column:
     """Struct (``low``, ``high``): start of the first and end of the last window of
     enough entropy, in the candidate; null where none is."""
     window = F.lit(WINDOW)
     term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
     symbol = F.transform(F.sequence(F.lit(1), F.length(candidate["match"])),
                          lambda i: F.instr(F.lit(ALPHABET), F.substring(candidate["match"], i, F.lit(1))))
-    prepared = F.array(F.struct(symbol.alias("symbol"), _least_entropy(candidate["match"]).alias("bits")))
+    bits = _least_entropy(candidate["match"]) if least is None else least
+    prepared = F.array(F.struct(symbol.alias("symbol"), bits.alias("bits")))
 
     def slide(p):
         # step 2i takes character i - window out, step 2i + 1 takes character i in
@@ -128,9 +155,14 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: list[str] | N
     assign = F.filter(_matches(text, ASSIGN, 0),
                       lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= ASSIGN_LEAST)
     rows = rows.select("*", F.concat(assign, _matches(text, ACCESS, 1), _matches(text, HEX, 2)).alias("_base"),
-                       F.filter(_matches(text, CANDIDATE, 3), lambda s: ~_allowed(s["match"])).alias("_cand"))
+                       _candidates(text).alias("_cand"))
     windows = F.transform("_cand", lambda s: F.struct(s.alias("s"), _hot_range(s).alias("r")))
     rows = rows.select(*[c for c in rows.columns if c not in ("_t", "_cand")], windows.alias("_win"))
+    retry = F.transform("_win", lambda w: F.when(
+        w["r"]["high"].isNull() & (F.length(w["s"]["match"]) <= SHORT) & ~w["s"]["match"].rlike(CLASSES[0][1])
+        & (F.regexp_count(w["s"]["match"], F.lit(CHANGE)) >= SHORT_CHANGES),
+        F.struct(w["s"].alias("s"), _hot_range(w["s"], F.lit(SHORT_BITS)).alias("r"))).otherwise(w))
+    rows = rows.select(*[c for c in rows.columns if c != "_win"], retry.alias("_win"))
     hot = F.transform(F.filter("_win", lambda w: w["r"]["high"].isNotNull()), lambda w: F.struct(
         (w["s"]["start"] + w["r"]["low"]).alias("start"), (w["s"]["start"] + w["r"]["high"]).alias("end"),
         F.lit(3).alias("kind"),

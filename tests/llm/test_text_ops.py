@@ -178,6 +178,33 @@ def test_secrets_against_brute_force(spark, documents):
     assert any("entropy" in w[5] for w in want)
 
 
+def test_secrets_beside_allowed_words_and_short_ones(spark):
+    rng = np.random.default_rng(5)
+    letters = SS.ALPHABET[:62]
+
+    def token(n, signs=letters):
+        while True:
+            out = "".join(rng.choice(list(signs), n))
+            if re.search("[0-9]", out) and re.search("[A-Za-z]", out) and not re.search("(?i)your|test|xxxx", out):
+                return out
+    key, blob = token(40), token(300) + "TeSt" + token(300)
+    beside = [f"LATEST_SIGNING={key}", f"see /test-env/{key} now", f"{key}-your", blob, f"é {key}/sample/{token(40)}"]
+    none = [f"my-example{key[:20]}", "getUserAccountInfo12Test", "the-your-own-getUserAccountInfo12",
+            "this_is_a_sample_file_name_v2_of_many"]
+    short = [token(20) for _ in range(300)] + [token(20, letters + "+") for _ in range(300)]
+    rows = [(k, t, None, None) for k, t in enumerate([*beside, *none, *short])]
+    out = {r.doc_id: r for r in SS.scan_secrets(docs_frame(spark, rows)).collect()}
+    for k, t in enumerate(beside[:3]):
+        assert [x.match for x in out[k].secrets if x.kind == "entropy" and key[5:35] in x.match], t
+        for x in out[k].secrets:
+            assert t[x.start:x.end] == x.match
+    assert out[3].n_entropy == 1 and out[3].secrets[0].end - out[3].secrets[0].start > 550
+    assert out[4].n_entropy == 2
+    assert [out[len(beside) + k].n_entropy for k in range(len(none))] == [0] * len(none)
+    missed = sum(out[len(beside) + len(none) + k].spans == "" for k in range(len(short)))
+    assert missed <= len(short) * 0.02, missed
+
+
 def test_licences_in_documents(spark, sf, documents):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "gpl",
              "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit",
