@@ -122,6 +122,26 @@ def test_language_edges_and_rejection(spark, documents):
     assert LI.predict(docs_frame(spark, []), model).count() == 0
 
 
+def test_foreign_and_random_texts_are_rejected(spark, documents):
+    rng = np.random.default_rng(4)
+
+    def words(signs, size):
+        many = size // (7 * len(signs[0].encode()) + 1) + 1
+        return " ".join("".join(rng.choice(list(signs), 7)) for _ in range(many))
+    sizes = (300, 1_000, 10_000, 100_000)
+    odd = [words("абвгдежзийклмнопрстуфхцчшщыэюя", n) for n in sizes] + [words(SS.ALPHABET[26:52], n) for n in sizes]
+    odd += ["".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, n // 3)) for n in sizes]
+    odd += ["".join(rng.choice(list(SS.ALPHABET), n)) for n in sizes]
+    junk = [(9_000, "buy " * 300, "en", "a"), (9_001, "汉字语言" * 200, "en", "a")]  # labelled, yet no bound for others
+    train = [r for r in documents if r[0] % 3] + junk
+    held = [r for r in documents if r[0] % 3 == 0 and r[1] and len(r[1]) > 40 and r[2]]
+    model = LI.fit(docs_frame(spark, train))
+    rows = held + [(10_000 + k, t, None, "a") for k, t in enumerate(odd)]
+    out = {r.doc_id: r for r in LI.predict(docs_frame(spark, rows), model).collect()}
+    assert [k for k in range(len(odd)) if not out[10_000 + k].rejected] == []
+    assert sum(out[r[0]].rejected for r in held) <= 0.02 * len(held)
+
+
 PATTERN = re.compile(SS.ASSIGN[4:].replace("(password|passwd|secret|token|api_?key)",
                                            "((?i:password|passwd|secret|token|api_?key))"), re.ASCII)
 
