@@ -142,6 +142,23 @@ def test_foreign_and_random_texts_are_rejected(spark, documents):
     assert sum(out[r[0]].rejected for r in held) <= 0.02 * len(held)
 
 
+def test_centroids_stand_for_fair_shares(spark, documents):
+    rng = np.random.default_rng(8)
+    base = np.eye(6, 40)
+    x = np.concatenate([base[g] + rng.normal(0, 0.05, (n, 40)) for g, n in ((0, 200), (1, 90), (2, 40), (3, 1), (4, 1))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = LI.centres(x, 3)
+    assert sorted(np.argmax(got @ base.T, axis=1).tolist()) == [0, 1, 2]
+    model = LI.fit(docs_frame(spark, documents))
+    for lang in set(model.languages):
+        own = [r[1] for r in documents if r[2] == lang and r[1]]
+        own = np.concatenate([LI._vectors(LI.counts(b, o), model.idf)
+                              for _, _, b, o in text_slices(pa.array(own), 1 << 20, 256)])
+        middle = model.centroids[[name == lang for name in model.languages]]
+        size = np.bincount(np.argmax(own @ middle.T, axis=1), minlength=len(middle))
+        assert len(middle) > 1 and size.min() >= 0.02 * len(own), (lang, size)
+
+
 PATTERN = re.compile(SS.ASSIGN[4:].replace("(password|passwd|secret|token|api_?key)",
                                            "((?i:password|passwd|secret|token|api_?key))"), re.ASCII)
 
