@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regsight.llm import (chat_format, decontaminate, exact_dedup, language_id, license_scan, lm_score, mixing,
-                          near_dedup, secret_scan, sharding)
+from regsight.llm import (chat_format, decontaminate, exact_dedup, fill_middle, filter_audit, language_id,
+                          license_scan, lm_score, mixing, near_dedup, pii_scan, secret_scan, sharding)
 from regsight.llm.ship import ship_package
 from regsight.session import ensure_checkpoint_dir
 
@@ -88,9 +88,25 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "score")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_scan.scan_personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.drop("entities")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_secret_scan, op4_sharding, op5_mixing,
                                    op6_exact_dedup, op7_chat_format, op8_near_dedup, op9_license_scan,
-                                   op10_lm_score)}
+                                   op10_lm_score, op11_fill_middle, op12_pii_scan, op13_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -130,4 +146,50 @@ WITH n AS (SELECT doc_id, """ + _LOWER.format("coalesce(text, '')") + """ AS t F
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM n""",
+    "op11_fill_middle": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT *, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+             CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+             CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+                  THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS g, max(CAST(toxic = 1 AS INTEGER)) AS x
+      FROM labels GROUP BY doc_id),
+f AS (SELECT part, CAST(coalesce(g, 0) AS BIGINT) AS g, CAST(coalesce(x, 0) AS BIGINT) AS x,
+             (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+              || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+              || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+              || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+              || CASE WHEN w.doc_id > least THEN 'E' ELSE '' END) AS fails
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(g) AS g, sum(x) AS x FROM f GROUP BY ALL),
+e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS e),
+o AS (SELECT a.e || b.e || c.e || d.e || k.e AS filter_order FROM e a, e b, e c, e d, e k
+      WHERE len(list_distinct([a.e, b.e, c.e, d.e, k.e])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
+             substr(filter_order, 1, step - 1) AS earlier
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o)),
+j AS (SELECT c.*, s.*, contains(fails, letter) AS bad,
+             translate(fails, earlier, '') <> fails AS gone FROM c, s),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter,
+             CAST(sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS BIGINT) AS kept,
+             CAST(sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END) AS BIGINT) AS removed,
+             CAST(sum(CASE WHEN gone AND bad THEN n ELSE 0 END) AS BIGINT) AS redundant,
+             CAST(sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+             CAST(sum(CASE WHEN NOT gone AND bad THEN g ELSE 0 END) AS BIGINT) AS good_lost,
+             CAST(sum(CASE WHEN NOT gone AND bad THEN x ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM j GROUP BY ALL)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r""",
 }

@@ -92,9 +92,9 @@ class Words:
         return self.buf[self.start[i]:self.end[i]].tobytes()
 
 
-def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES,
-                max_rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, lower-cased bytes, offsets) over a text column.
+def raw_slices(column: pa.Array, max_bytes: int = SLICE_BYTES,
+               max_rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) over a text column.
 
     Null counts as empty. A slice holds whole documents, at least one.
     """
@@ -112,10 +112,17 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES,
         to = int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1
         to = min(max(to, at + 1), at + max_rows, n)
         low = offsets[at]
-        yield at, to, _LOWER[raw[low:offsets[to]]], offsets[at:to + 1] - low
+        yield at, to, raw[low:offsets[to]], offsets[at:to + 1] - low
         at = to
 
 
+def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES,
+                max_rows: int = SLICE_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``raw_slices`` with the letters A-Z lower-cased."""
+    for at, to, raw, offsets in raw_slices(column, max_bytes, max_rows):
+        yield at, to, _LOWER[raw], offsets
+
+
 def annotate(docs: DataFrame, kernel: Callable[[pa.Array], dict[str, pa.Array]],
              fields: list[T.StructField], text_col: str = "text",
              keep: list[str] | None = None) -> DataFrame:
@@ -150,4 +157,4 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 __all__ = ["SLICE_BYTES", "TOKEN_BYTES", "WORD_BYTES", "Words", "annotate", "mix",
-           "numbered", "powers", "text_slices"]
+           "numbered", "powers", "raw_slices", "text_slices"]
