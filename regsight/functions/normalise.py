@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,15 +180,43 @@ def type_default(dtype: T.DataType) -> Column:
     return F.lit(None).cast(dtype)
 
 
+def _converted(df: DataFrame, target: T.StructType) -> dict[str, tuple[str, Column]]:
+    """Target field -> (source column, lenient conversion), for the fields that need one."""
+    by_lower = {c.lower(): c for c in df.columns}
+    found = {f.name: (by_lower[f.name.lower()], f.dataType) for f in target.fields if f.name.lower() in by_lower}
+    return {name: (src, F.col(f"`{src}`").try_cast(kind)) for name, (src, kind) in found.items()
+            if df.schema[src].dataType != kind}
+
+
+def reject_rows(df: DataFrame, target: T.StructType, keys: list[str]) -> DataFrame:
+    """One row per cell that ``align_schema`` would default: ``keys``, ``column_name``, ``value``.
+
+    One pass without a shuffle; a row without a bad cell gives none.
+    """
+    cells = [F.struct(F.lit(name).alias("column_name"), F.col(f"`{src}`").cast("string").alias("value"),
+                      (F.col(f"`{src}`").isNotNull() & typed.isNull()).alias("bad"))
+             for name, (src, typed) in _converted(df, target).items()]
+    if not cells:
+        return df.select(*keys, F.lit("").alias("column_name"), F.lit("").alias("value")).limit(0)
+    bad = F.filter(F.array(*cells), lambda c: c["bad"])
+    return df.select(*keys, F.explode(bad).alias("_c")).select(*keys, "_c.column_name", "_c.value")
+
+
 def align_schema(df: DataFrame, target: T.StructType, lenient_cells: bool = True,
-                 keep: tuple[str, ...] = ()) -> DataFrame:
+                 keep: tuple[str, ...] = (), rejects: Observation | None = None) -> DataFrame:
     """Select ``target``'s fields from ``df`` by case-insensitive name.
 
     Extra columns are dropped; a missing column, or a null cell of a
     non-nullable field, takes the type default. With ``lenient_cells`` a
     cell that cannot be converted keeps the default too (N6) instead of
-    failing the job.
+    failing the job; ``rejects`` then holds, after the first action on the
+    result, the number of such cells per field (fields that need no
+    conversion have none) and ``rows``, counted in the same pass.
     """
+    if rejects is not None:
+        df = df.observe(rejects, F.count(F.lit(1)).alias("rows"), *[
+            F.count_if(F.col(f"`{src}`").isNotNull() & typed.isNull()).alias(name)
+            for name, (src, typed) in _converted(df, target).items()])
     by_lower = {c.lower(): c for c in df.columns}
     exprs = []
     for field in target.fields:

@@ -81,16 +81,23 @@ def fee_counts(lines: DataFrame, group_keys: list[str], member_col: str,
 
 
 # A5 ------------------------------------------------------------------------
-def resubmission_parameters(lines: DataFrame, key: str, member_col: str, date_col: str,
+def member_counts(lines: DataFrame, key: str, member_col: str, out: str = "member_count") -> DataFrame:
+    """Distinct members per key: two hash aggregates over (key, member) alone."""
+    return (lines.select(key, member_col).groupBy(key, member_col).agg(F.lit(1).alias("_one"))
+            .groupBy(key).agg(F.count(F.lit(1)).cast("int").alias(out)))
+
+
+def resubmission_parameters(subs: DataFrame, lines: DataFrame, key: str, member_col: str, date_col: str,
                             resub_col: str, nation_col: str) -> DataFrame:
-    """Per submission: resubmission flag and date, member count, nation code."""
-    members = (lines.groupBy(key, member_col).agg(
-        F.bool_or(resub_col).alias("_r"), F.max(date_col).alias("_d"), F.max(nation_col).alias("_n")))
-    return members.groupBy(key).agg(
-        F.bool_or("_r").alias("is_resubmission"),
-        F.max(F.when(F.col("_r"), F.col("_d"))).alias("resubmission_date"),
-        F.count(F.lit(1)).cast("int").alias("member_count"),
-        F.max("_n").alias("nation_code"))
+    """Per submission: resubmission flag and date, member count, nation code.
+
+    ``subs`` says which submissions there are, one row each; one without
+    lines has no members but is found.
+    """
+    return subs.join(member_counts(lines, key, member_col), key, "left").select(
+        key, F.col(resub_col).alias("is_resubmission"),
+        F.when(F.col(resub_col), F.col(date_col)).alias("resubmission_date"),
+        F.coalesce("member_count", F.lit(0)).alias("member_count"), F.col(nation_col).alias("nation_code"))
 
 
 # A6 ------------------------------------------------------------------------

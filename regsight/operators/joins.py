@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regsight.functions.scalar import fold_flag
+from regsight.session import cut_lineage
 
 DEFAULT_BROADCAST_ROWS = 200_000
 
@@ -39,8 +40,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
 def latest_per_key(df: DataFrame, key: str, order_cols: list[str], value_cols: list[str]) -> DataFrame:
     """One row per key: the values of the row with the greatest ``order_cols``.
 
-    A hash aggregate with map-side partial aggregation, so a hot key is
-    reduced on every mapper before the shuffle (no window sort of a hot group).
+    An aggregate (by sort, its buffer being a struct) that is combined on the
+    map side, so a hot key is reduced on every mapper before the shuffle.
     """
     ordering = F.struct(*order_cols)
     payload = F.struct(*value_cols)
@@ -51,8 +52,7 @@ def latest_per_key(df: DataFrame, key: str, order_cols: list[str], value_cols: l
 
 # J1 ------------------------------------------------------------------------
 def overlay_decisions(df: DataFrame, delta: DataFrame, key: str = "file_id",
-                      overlay_cols=("decision", "comments"),
-                      order_cols: list[str] | None = None,
+                      overlay_cols=("decision", "comments"), order_cols: list[str] | None = None,
                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Overlay pending decisions on stored rows by ``key``.
 
@@ -62,10 +62,9 @@ def overlay_decisions(df: DataFrame, delta: DataFrame, key: str = "file_id",
     """
     overlay_cols = list(overlay_cols)
     raw = delta
-    if order_cols:
-        delta = latest_per_key(delta, key, order_cols, overlay_cols)
-    else:
-        delta = delta.select(key, *overlay_cols).dropDuplicates([key])
+    if not order_cols:
+        raise ValueError("name the columns that order the entries of a key")
+    delta = latest_per_key(delta, key, order_cols, overlay_cols)
     renamed = delta.select(key, *[F.col(c).alias(f"_new_{c}") for c in overlay_cols])
     # one row per key after de-duplication, so the raw delta's size bounds it
     side = bounded_broadcast(renamed, max_broadcast_rows, bound_from=raw)
@@ -80,19 +79,21 @@ def split_hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner
     """Many-to-one join that does not depend on AQE for a hot key of ``big``.
 
     Keys with more than ``hot_rows`` rows in ``big`` are found by a
-    partially aggregated count; their rows of ``small`` (one per key, at
-    most rows / ``hot_rows`` keys, checked) are broadcast, so hot rows join
-    without being shuffled to one task. All other keys take the ordinary
-    join. ``small`` must be unique on ``key``; ``how`` is inner or left.
+    partially aggregated count; their rows of ``small`` (one per key) are
+    broadcast, so hot rows join without being shuffled to one task. Where
+    that would be more than ``max_hot_keys`` keys, the bound on rows doubles
+    until the hottest fit. All other keys take the ordinary join. ``small``
+    must be unique on ``key``; ``how`` is inner or left.
     """
     if how not in ("inner", "left"):
         raise ValueError("split_hot_join supports inner and left joins")
-    hot = (big.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_rows).select(key))
-    n_hot = hot.limit(max_hot_keys + 1).count()
-    if n_hot == 0 or n_hot > max_hot_keys:
+    hot = cut_lineage(big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows))
+    while not has_at_most(hot, max_hot_keys):
+        hot_rows = max(2 * hot_rows, 1)
+        hot = hot.filter(F.col("_n") > hot_rows)
+    if hot.isEmpty():
         return big.join(small, key, how)
-    hot_keys = F.broadcast(hot)
+    hot_keys = F.broadcast(hot.select(key))
     hot_small = F.broadcast(small.join(hot_keys, key, "left_semi"))
     hot_part = big.join(hot_keys, key, "left_semi").join(hot_small, key, how)
     cold_part = big.join(hot_keys, key, "left_anti").join(small, key, how)

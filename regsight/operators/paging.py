@@ -249,7 +249,7 @@ def first_or_none(df: DataFrame, order_cols: list) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str | list[str], order_cols: list[str]) -> DataFrame:
-    """Bulk L3: the first row per key by ``order_cols`` (hash aggregate, no window)."""
+    """Bulk L3: the first row per key by ``order_cols`` (an aggregate combined on the map side, no window)."""
     keys = [key] if isinstance(key, str) else list(key)
     value_cols = [c for c in df.columns if c not in keys]
     ordering = F.struct(*order_cols)

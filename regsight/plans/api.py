@@ -122,9 +122,7 @@ def resubmission_synchronised(spark: SparkSession, sf_dir: str, file_id: str) ->
     """Q9 for one file: arrived and known with a resubmission reference."""
     if not file_id or not str(file_id).strip():
         raise ValueError("file id must not be empty")
-    row = (R.resubmission_synchronised(spark, sf_dir)
-           .filter(F.col("file_id") == str(file_id).strip().lower())
-           .select("is_synchronised").first())
+    row = R.resubmission_synchronised(spark, sf_dir, file_id).select("is_synchronised").first()
     return bool(row[0]) if row is not None and row[0] is not None else False
 
 
@@ -138,8 +136,9 @@ def actual_submission_period(spark: SparkSession, sf_dir: str, request_id: str,
         stored = stored.filter(F.col("submission_id") == int(plain))
         stored = stored.select(F.col("submission_id").cast("string").alias("id"), "stored_period")
     else:
+        plain = plain.lower()
         stored = R.of_file(stored, plain).select(F.col("file_id").alias("id"), "stored_period")
-    request = spark.createDataFrame([(str(request_id), period_label)], "id string, label string")
+    request = spark.createDataFrame([(plain, period_label)], "id string, label string")
     request = request.select(N.sanitise_id("id").alias("id"), N.decode_period("label").alias("requested_period"))
     out = J.lookup_period(request, stored, "id", "stored_period", "requested_period")
     return out.select(F.col("actual_submission_period")).first()[0]

@@ -8,9 +8,10 @@ reports return their page rows with the response metadata as columns.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +23,10 @@ from regsight.operators import joins as J
 from regsight.operators import paging as W
 from regsight.operators import project as PR
 from regsight.plans import reports as R
+from regsight.plans import sql_functions as SQ
 from regsight.session import scratch_path
 from regsight.sources import export as X
+from regsight.sources import resumable as XR
 from regsight.sources import standin as V
 from regsight.sources import tables as TB
 
@@ -42,6 +45,12 @@ RELATIVE_YEAR = 2026
 Q3_APPROVED_AFTER, Q3_AS_OF = "2024-03-01 00:00:00", dt.date(2025, 6, 1)
 Q4_AS_OF = dt.date(2026, 6, 1)
 Q5_YEARS, Q5_STATUSES = "2025,2026", "Accepted,Pending"
+EXPORT_PARTS = 12
+# a request with filters: the page holds all its rows at the checked sizes
+LIST_SIZE, LIST_USER = 2000, 3
+LIST_NAME, LIST_TYPE, LIST_STATUSES = "00", "CS", "Rejected, Pending"
+LIST_YEARS, LIST_PERIODS = "2025,2026", "2025-H1,2026-H2"
+LIST_DELTA_KEYS = 2000
 Q11_FROM, Q11_TO = "2025-01-01 00:00:00", "2025-06-30 23:59:59"
 
 
@@ -63,6 +72,82 @@ def q5(spark, d):
         spark, d, years=Q5_YEARS, statuses=Q5_STATUSES, page_number=Q5_PAGE, page_size=Q5_SIZE))
 
 
+def decisions_request(keys: int = LIST_DELTA_KEYS) -> str:
+    """A request's JSON delta: an entry for every fourth key, and for some a later one that wins."""
+    entries = [{"FileId": V.FILE_ID_PREFIX.upper() + f"{k:012d}", "Decision": "Rejected" if k % 3 else "Accepted",
+                "Comments": None if k % 5 == 0 else f"delta {k}", "IsResubmissionRequired": k % 8 == 0}
+               for k in range(4, keys, 4)]
+    entries += [{"FileId": V.FILE_ID_PREFIX + f"{k:012d}", "Decision": "Pending", "Comments": f"again {k}"}
+                for k in range(20, keys, 20)]
+    return json.dumps(entries)
+
+
+LIST_REQUEST = dict(organisation_name=LIST_NAME, organisation_type=LIST_TYPE, statuses=LIST_STATUSES,
+                    years=LIST_YEARS, periods=LIST_PERIODS, user_id=LIST_USER)
+
+
+def q1_request(spark, d):
+    return _page_frame(R.pom_summaries(spark, d, decisions=decisions_request(), page_size=LIST_SIZE, **LIST_REQUEST))
+
+
+def q2_request(spark, d):
+    request = {k: v for k, v in LIST_REQUEST.items() if k != "organisation_type"}
+    return _page_frame(R.registration_summaries(spark, d, decisions=decisions_request(), page_size=LIST_SIZE,
+                                                **request))
+
+
+# --- the same reports as SQL table functions -----------------------------------
+def _sql(query: str, **args):
+    return lambda spark, d: SQ.call(spark, d, query, args or None)
+
+
+def _listed(fn: str, date: str, request: dict) -> Callable:
+    named = ", ".join(f"{k} => :{k}" for k in request)
+    query = f"""SELECT *, count(*) OVER () AS total_items, 1 AS current_page
+        FROM {fn}({named}, decisions_delta => :delta) ORDER BY {date} DESC, submission_id LIMIT {LIST_SIZE}"""
+    return lambda spark, d: SQ.call(spark, d, query, {**request, "delta": decisions_request()})
+
+
+SQL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "sql_pom_summaries": _listed("pom_summaries", "submitted_date", LIST_REQUEST),
+    "sql_registration_summaries": _listed("registration_summaries", "registration_date", {
+        k: v for k, v in LIST_REQUEST.items() if k != "organisation_type"}),
+    "sql_approved_submissions": _sql(
+        "SELECT * FROM approved_submissions(approved_after => CAST(:after AS TIMESTAMP_NTZ), periods => :periods)",
+        after=Q3_APPROVED_AFTER, periods=P.periods_for_year(P.derive_period_year(Q3_AS_OF))),
+    "sql_approved_submissions_by_year": _sql("SELECT * FROM approved_submissions_by_year(period_year => :year)",
+                                             year=P.derive_period_year(Q4_AS_OF)),
+    "sql_organisation_registration_summaries": _sql(
+        "SELECT * FROM organisation_registration_summaries(years => :years, statuses => :statuses)",
+        years=Q5_YEARS, statuses=Q5_STATUSES),
+    "sql_organisation_registration_detail": _sql("SELECT * FROM organisation_registration_details()"),
+    "sql_resubmission_pay_parameters": _sql("""
+        SELECT r.submission_id, is_resubmission, resubmission_date, member_count, reference, nation_code,
+               true AS reference_field_available, coalesce(outcome, 'no_content') AS outcome
+        FROM (SELECT DISTINCT submission_id FROM rs_events) r
+             LEFT JOIN resubmission_pay_parameters_of_all() p ON r.submission_id = p.submission_id"""),
+    "sql_sync_available": _sql("""SELECT s.submission_id, s.file_id, f.is_synced
+        FROM rs_submissions s, LATERAL sync_available(submission_id => s.submission_id) f"""),
+    "sql_resubmission_synchronised": _sql("""SELECT s.file_id, f.is_synchronised
+        FROM rs_submissions s, LATERAL resubmission_synchronised(file_id => s.file_id) f"""),
+    "sql_actual_submission_period": _sql("""SELECT s.submission_id, f.actual_submission_period
+        FROM rs_submissions s, LATERAL actual_submission_period(s.submission_id, 'January+to%20June') f"""),
+    "sql_updated_producers": _sql("""SELECT * FROM updated_producers(
+        from_date => CAST(:start AS TIMESTAMP_NTZ), to_date => CAST(:end AS TIMESTAMP_NTZ))""",
+                                  start=Q11_FROM, end=Q11_TO),
+    "sql_updated_producers_v2": _sql("""SELECT * FROM updated_producers_v2(
+        from_date => CAST(:start AS TIMESTAMP_NTZ), to_date => CAST(:end AS TIMESTAMP_NTZ))""",
+                                     start=Q11_FROM, end=Q11_TO),
+    "sql_registration_fee_details": _sql("""SELECT f.*
+        FROM (SELECT file_id FROM rs_submissions WHERE submission_type = 'Registration') s,
+             LATERAL registration_fee_details(file_id => s.file_id) f"""),
+    "sql_paycal_organisations": _sql("SELECT * FROM paycal_organisations(relative_year => :year)",
+                                     year=RELATIVE_YEAR),
+    "sql_paycal_poms": _sql("SELECT * FROM paycal_poms(relative_year => :year)", year=RELATIVE_YEAR),
+    "sql_last_sync_time": _sql("SELECT * FROM last_sync_time()"),
+}
+
+
 def q3(spark, d):
     return R.approved_submissions(spark, d, approved_after=Q3_APPROVED_AFTER, as_of=Q3_AS_OF)
 
@@ -104,6 +189,17 @@ def s5_summary(spark, d):
                                  "records bigint, status string")
 
 
+def s5_resumed(spark, d):
+    """An export stopped after half of its parts, gone on with by a second run."""
+    extract, path = R.paycal_poms(spark, d, RELATIVE_YEAR), scratch_path(spark, "paycal-poms-parts")
+    keys = ["organisation_id", "subsidiary_id", "submission_period", "packaging_class", "submitter_id"]
+    first = XR.export_resumable(extract, path, keys, EXPORT_PARTS, only_parts=range(EXPORT_PARTS // 2))
+    second = XR.export_resumable(extract, path, keys, EXPORT_PARTS)
+    whole = first.records + second.written == second.records and XR.verify_export(spark, path).isEmpty()
+    return spark.createDataFrame([(second.records, first.status, second.status, whole)],
+                                 "records bigint, first_status string, status string, whole boolean")
+
+
 # --- N: normalisation --------------------------------------------------------
 def n1(spark, d):
     raw = V.raw_text(spark, d)
@@ -141,6 +237,26 @@ def n6(spark, d):
         "messy_date_text": N.parse_utc_date("messy_date_text")})
 
 
+def n6_report(spark, d):
+    """Bad cells of a delivery per column, counted by the run of Q6 that defaults them."""
+    rejects = Observation()
+    R.organisation_registration_detail(spark, d, organisations=V.organisations_delivered(spark, d), rejects=rejects) \
+        .write.format("noop").mode("overwrite").save()
+    counts = rejects.get
+    return spark.createDataFrame([(counts["rows"], counts["nation_id"], counts["is_online_market_place"])],
+                                 "rows bigint, nation_id_rejects bigint, is_online_market_place_rejects bigint")
+
+
+def n6_rows(spark, d):
+    return R.registration_detail_rejects(spark, d, V.organisations_delivered(spark, d))
+
+
+def n6_defaults(spark, d):
+    """Q6 over the same delivery: the rows stay, bad cells take their defaults."""
+    rows = R.organisation_registration_detail(spark, d, organisations=V.organisations_delivered(spark, d))
+    return rows.select("submission_id", "nation_id", "is_online_market_place", "organisation_name")
+
+
 def n7(spark, d):
     return V.raw_text(spark, d).select("submission_id", N.sanitise_id("file_id_crlf").alias("file_id"))
 
@@ -288,11 +404,17 @@ def j3(spark, d):
 
 
 def j4(spark, d):
-    return R.resubmission_synchronised(spark, d)
+    files = V.submissions(spark, d, kind="Registration").select("file_id")
+    decided = V.submission_events(spark, d, decided_only=True).filter(F.col("decision") == V.STATUS_REJECTED)
+    return J.exists_both(files, V.submission_events(spark, d), decided, "file_id", "is_rejected")
 
 
 def j5(spark, d):
-    return R.actual_submission_period(spark, d)
+    """Names of organisations by submission, with the reference as the fallback (null size: no stored name)."""
+    subs = V.submissions(spark, d).select("submission_id", "organisation_id", "submission_period")
+    stored = V.organisations(spark, d).select(
+        "organisation_id", F.when(F.col("organisation_size").isNotNull(), F.col("organisation_name")).alias("stored"))
+    return J.lookup_period(subs, stored, "organisation_id", "stored", "submission_period", "label")
 
 
 # --- A: aggregations ---------------------------------------------------------
@@ -326,8 +448,7 @@ def a4(spark, d):
 def a5(spark, d):
     subs = R.with_history(V.submissions(spark, d, kind="Producer"))
     orgs = V.organisations(spark, d).select("organisation_id", "nation_code")
-    lines = V.pom_lines(spark, d, J.enrich_submissions(subs, orgs), with_part=False)
-    return A.resubmission_parameters(lines, "submission_id", "subsidiary_key", "submitted_at",
+    return A.resubmission_parameters(J.enrich_submissions(subs, orgs), V.line_members(spark, d), "submission_id", "subsidiary_key", "submitted_at",
                                      "is_resubmission", "nation_code")
 
 
@@ -410,12 +531,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlay_decisions": j1, "enrich_submissions": j2, "exists_synced": j3,
     "exists_both": j4, "lookup_period": j5,
     # aggregations
-    "max_sync_time": lambda s, d: A.max_sync_time(V.submission_events(s, d)),
+    "max_sync_time": lambda s, d: A.max_sync_time(V.submission_events(s, d, decided_only=True)),
     "approved_weights": a2, "approved_weights_by_year": a3, "fee_counts": a4,
     "resubmission_parameters": a5, "half_year_flags": a6,
     # windows, sort, limit
     "total_items": w1, "resubmission_history": w2, "page_plain": l1, "page_clamped": l2,
     "first_or_none": l3,
+    # requests with every filter, rejects of a report, a resumed export
+    "pom_summaries_request": q1_request, "registration_summaries_request": q2_request,
+    "lenient_report": n6_report, "reject_rows": n6_rows, "lenient_defaults": n6_defaults,
+    "export_resumed": s5_resumed,
+    **SQL_QUERIES,
 }
 
 

@@ -137,7 +137,24 @@ def _page(page: int, size: int) -> str:
     return f"LIMIT {size} OFFSET {(page - 1) * size}"
 
 
-def q1() -> str:
+def _delta(keys: int) -> str:
+    """``catalog.decisions_request`` as rows, the last entry of a file only."""
+    return f"""SELECT {GUID.format(k='k')} AS file_id,
+      CASE WHEN k % 20 = 0 THEN 'Pending' WHEN k % 3 <> 0 THEN 'Rejected' ELSE 'Accepted' END AS decision,
+      CASE WHEN k % 20 = 0 THEN 'again ' || k WHEN k % 5 <> 0 THEN 'delta ' || k END AS comments,
+      CASE WHEN k % 20 <> 0 THEN k % 8 = 0 END AS is_resubmission_required
+    FROM (SELECT unnest(range(4, {keys}, 4)) AS k)"""
+
+
+def _request(kind: bool) -> str:
+    names = f"""contains(lower(organisation_name), '{C.LIST_NAME}') AND decision2 IN ('Rejected', 'Pending')
+      AND submission_year IN ({C.LIST_YEARS}) AND submission_period IN ({_sql_list(C.LIST_PERIODS)})
+      AND nation_id = (SELECT 1 + n_regionkey % 4 FROM supplier JOIN nation ON s_nationkey = n_nationkey
+                       WHERE s_suppkey = {C.LIST_USER})"""
+    return names + (f" AND organisation_type = '{C.LIST_TYPE}'" if kind else "")
+
+
+def q1(delta: str = "", where: str = "true", page: str = "") -> str:
     provided = {
         "file_id": "file_id", "is_resubmission_required": "irr",
         "submitted_date": TEXT_TS.format(c="submitted_at"), "submission_year": "submission_year",
@@ -156,17 +173,17 @@ def q1() -> str:
     }
     return _with(
         ("hist", _hist("(SELECT * FROM sub WHERE submission_type = 'Producer')")),
-        ("delta", LATEST_DECISION),
+        ("delta", delta or LATEST_DECISION),
         ("ov", """SELECT h.*, coalesce(d.decision, h.status) AS decision2,
                   coalesce(d.comments, h.comments) AS comments2, d.is_resubmission_required AS irr
                   FROM hist h LEFT JOIN delta d ON h.file_id = d.file_id"""),
         ("j", "SELECT * FROM ov JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)"),
-        ("r", f"SELECT {schemas.sql_select_list(schemas.POM_SUMMARY, provided)} FROM j"),
-    ) + f"""SELECT *, CAST(count(*) OVER () AS BIGINT) AS total_items, {C.Q1_PAGE} AS current_page
-    FROM r ORDER BY submitted_date DESC, submission_id {_page(C.Q1_PAGE, C.Q1_SIZE)}"""
+        ("r", f"SELECT {schemas.sql_select_list(schemas.POM_SUMMARY, provided)} FROM j WHERE {where}"),
+    ) + f"""SELECT *, CAST(count(*) OVER () AS BIGINT) AS total_items, {1 if page else C.Q1_PAGE} AS current_page
+    FROM r ORDER BY submitted_date DESC, submission_id {page or _page(C.Q1_PAGE, C.Q1_SIZE)}"""
 
 
-def q2() -> str:
+def q2(delta: str = "", where: str = "true", page: str = "") -> str:
     provided = {
         "nation_id": "nation_id", "previous_rejection_comments": "previous_rejection_comments",
         "is_resubmission": "is_resubmission", "comments": "comments2", "decision": "decision2",
@@ -186,14 +203,14 @@ def q2() -> str:
     }
     return _with(
         ("hist", _hist("(SELECT * FROM sub WHERE submission_type = 'Registration')")),
-        ("delta", LATEST_DECISION),
+        ("delta", delta or LATEST_DECISION),
         ("ov", """SELECT h.*, coalesce(d.decision, h.status) AS decision2,
                   coalesce(d.comments, h.comments) AS comments2
                   FROM hist h LEFT JOIN delta d ON h.file_id = d.file_id"""),
         ("j", "SELECT * FROM ov JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)"),
-        ("r", f"SELECT {schemas.sql_select_list(schemas.REGISTRATION_SUMMARY, provided)} FROM j"),
-    ) + f"""SELECT *, CAST(count(*) OVER () AS BIGINT) AS total_items, {C.Q2_PAGE} AS current_page
-    FROM r ORDER BY registration_date DESC, submission_id {_page(C.Q2_PAGE, C.Q2_SIZE)}"""
+        ("r", f"SELECT {schemas.sql_select_list(schemas.REGISTRATION_SUMMARY, provided)} FROM j WHERE {where}"),
+    ) + f"""SELECT *, CAST(count(*) OVER () AS BIGINT) AS total_items, {1 if page else C.Q2_PAGE} AS current_page
+    FROM r ORDER BY registration_date DESC, submission_id {page or _page(C.Q2_PAGE, C.Q2_SIZE)}"""
 
 
 def _registration_provided() -> dict[str, str]:
@@ -300,7 +317,7 @@ def q7() -> str:
                   max(CASE WHEN s.is_resubmission THEN s.submitted_at END) AS resubmission_date,
                   CAST(count(DISTINCT l_suppkey) AS INTEGER) AS member_count,
                   max(s.nation_code) AS nation_code
-                  FROM lineitem JOIN s ON l_orderkey = s.submission_id
+                  FROM s LEFT JOIN lineitem ON l_orderkey = s.submission_id
                   GROUP BY s.submission_id"""),
         ("refs", """SELECT submission_id, packaging_resubmission_reference_number AS reference FROM (
                   SELECT *, row_number() OVER (PARTITION BY submission_id
@@ -529,10 +546,14 @@ ORACLE: dict[str, str] = {
       FROM sub JOIN org USING (organisation_id) LEFT JOIN person USING (person_id)""",
     "exists_synced": _with() + """SELECT submission_id,
       EXISTS (SELECT 1 FROM ev WHERE ev.submission_id = sub.submission_id) AS is_synced FROM sub""",
-    "exists_both": q9(),
-    "lookup_period": q10(),
+    "exists_both": _with() + """SELECT file_id, (file_id IN (SELECT file_id FROM ev))
+      AND (file_id IN (SELECT file_id FROM ev WHERE decision = 'Rejected')) AS is_rejected
+      FROM sub WHERE submission_type = 'Registration'""",
+    "lookup_period": _with() + """SELECT submission_id, organisation_id, submission_period,
+      coalesce(CASE WHEN organisation_size IS NOT NULL THEN organisation_name END, submission_period) AS label
+      FROM sub LEFT JOIN org USING (organisation_id)""",
     # aggregations
-    "max_sync_time": "SELECT max(ts) AS last_sync_time FROM events",
+    "max_sync_time": "SELECT max(ts) AS last_sync_time FROM events WHERE event_type IN ('purchase', 'error')",
     "approved_weights": _approved("", "CAST(NULL AS SMALLINT)"),
     "approved_weights_by_year": _approved("", "num_days_obligated"),
     "fee_counts": _with() + _fee_counts("number_of_online_subsidiaries",
@@ -542,8 +563,8 @@ ORACLE: dict[str, str] = {
     ) + """SELECT h.submission_id, bool_or(h.is_resubmission) AS is_resubmission,
       max(CASE WHEN h.is_resubmission THEN h.submitted_at END) AS resubmission_date,
       CAST(count(DISTINCT l_suppkey) AS INTEGER) AS member_count, max(o.nation_code) AS nation_code
-    FROM lineitem JOIN hist h ON l_orderkey = h.submission_id
-      JOIN org o ON h.organisation_id = o.organisation_id
+    FROM hist h JOIN org o ON h.organisation_id = o.organisation_id
+      LEFT JOIN lineitem ON l_orderkey = h.submission_id
     GROUP BY h.submission_id""",
     "half_year_flags": _with() + _flags("", "organisation_id, submission_year"),
     # windows, sort, limit
@@ -566,3 +587,42 @@ ORACLE: dict[str, str] = {
       SELECT *, row_number() OVER (PARTITION BY organisation_id ORDER BY submitted_at, submission_id) AS rn
       FROM sub) WHERE rn = 1""",
 }
+
+# the delivery of ``standin.organisations_delivered``
+_DELIVERED = """SELECT submission_id, organisation_id, organisation_name, nation_id, is_online_marketplace,
+      organisation_id % 10 = 0 AS bad_nation, organisation_id % 15 = 0 AS bad_flag
+    FROM sub JOIN org USING (organisation_id) WHERE submission_type = 'Registration'"""
+_FIRST_PAGE = _page(1, C.LIST_SIZE)
+
+ORACLE |= {
+    "pom_summaries_request": q1(_delta(C.LIST_DELTA_KEYS), _request(True), _FIRST_PAGE),
+    "registration_summaries_request": q2(_delta(C.LIST_DELTA_KEYS), _request(False), _FIRST_PAGE),
+    "lenient_report": _with(("d", _DELIVERED)) + """SELECT count(*) AS rows,
+      count(*) FILTER (WHERE bad_nation) AS nation_id_rejects,
+      count(*) FILTER (WHERE bad_flag) AS is_online_market_place_rejects FROM d""",
+    "reject_rows": _with(("d", _DELIVERED)) + """SELECT submission_id, 'nation_id' AS column_name, 'n/a' AS value
+      FROM d WHERE bad_nation UNION ALL
+      SELECT submission_id, 'is_online_market_place', 'perhaps' FROM d WHERE bad_flag""",
+    "lenient_defaults": _with(("d", _DELIVERED)) + """SELECT submission_id,
+      CASE WHEN bad_nation OR organisation_id % 17 = 0 THEN 0 ELSE nation_id END AS nation_id,
+      is_online_marketplace AND NOT bad_flag AS is_online_market_place, organisation_name FROM d""",
+    "export_resumed": f"""WITH x AS ({q15()}) SELECT count(*) AS records, 'aborted' AS first_status,
+      'completed' AS status, true AS whole FROM x""",
+}
+ORACLE |= {f"sql_{name}": ORACLE[name] for name in (
+    "approved_submissions", "approved_submissions_by_year", "organisation_registration_detail",
+    "resubmission_pay_parameters", "sync_available", "resubmission_synchronised", "updated_producers",
+    "updated_producers_v2", "registration_fee_details", "paycal_organisations", "paycal_poms", "last_sync_time")}
+ORACLE |= {
+    "sql_pom_summaries": ORACLE["pom_summaries_request"],
+    "sql_registration_summaries": ORACLE["registration_summaries_request"],
+    "sql_organisation_registration_summaries": _with(
+        ("hist", _hist("(SELECT * FROM sub WHERE submission_type = 'Registration')")),
+        ("j", f"""SELECT * FROM hist JOIN org USING (organisation_id)
+                  WHERE submission_year IN ({_sql_list(C.Q5_YEARS)}) AND status IN ({_sql_list(C.Q5_STATUSES)})"""),
+    ) + f"SELECT {schemas.sql_select_list(schemas.ORGANISATION_REGISTRATION_SUMMARY, _registration_provided())} FROM j",
+    "sql_actual_submission_period": _with() + """SELECT submission_id, CASE
+      WHEN submission_type = 'Producer' AND submission_period LIKE '%-H1' THEN 'January to June ' || submission_year
+      WHEN submission_type = 'Producer' AND submission_period LIKE '%-H2' THEN 'January to December ' || submission_year
+      ELSE 'January to June' END AS actual_submission_period FROM sub""",
+}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from regsight import schemas
@@ -196,15 +196,13 @@ def approved_submissions_by_year(spark: SparkSession, sf_dir: str, period_year:
 INVALID_DATETIME = N.INVALID_DATETIME_MESSAGE
 
 
-def parse_request_datetime(text: str) -> dt.datetime:
-    """N9 for a request parameter: parse a date text as UTC or reject it."""
-    try:
-        value = dt.datetime.fromisoformat(str(text).strip().replace("Z", "+00:00"))
-    except ValueError as exc:
-        raise ValueError(INVALID_DATETIME) from exc
-    if value.tzinfo is not None:
-        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    return value
+def parse_request_datetime(text: str, spark: SparkSession | None = None) -> dt.datetime:
+    """N9 for a request parameter: parse a date text as UTC or reject it, by the column rule."""
+    spark = spark or SparkSession.getActiveSession()
+    micros = spark.range(1).select(F.unix_micros(N.parse_utc_date(F.lit(str(text))))).first()[0]
+    if micros is None:
+        raise ValueError(INVALID_DATETIME)
+    return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)
 
 
 def approved_submissions_report(spark: SparkSession, sf_dir: str, approved_after: str,
@@ -213,7 +211,7 @@ def approved_submissions_report(spark: SparkSession, sf_dir: str, approved_after
     validated first (and rejected with a message), the reported year comes
     from the as-of date (P5), and the by-year variant (default on) ignores
     the approved-after instant, as the reference's configuration does."""
-    after = parse_request_datetime(approved_after)
+    after = parse_request_datetime(approved_after, spark)
     year = P.derive_period_year(as_of)
     if by_year:
         return approved_submissions_by_year(spark, sf_dir, period_year=year)
@@ -392,10 +390,10 @@ def registration_summaries(spark: SparkSession, sf_dir: str, decisions=None,
 
 
 # Q5 / Q6 -------------------------------------------------------------------
-def _registration_rows(spark, sf_dir, years=None, ids=None, few=False) -> DataFrame:
+def _registration_rows(spark, sf_dir, years=None, ids=None, few=False, orgs=None) -> DataFrame:
     subs = with_history(V.submissions(spark, sf_dir, years=years, kind="Registration"), ids, few)
-    return _registration_columns(
-        J.enrich_submissions(subs, V.organisations(spark, sf_dir), V.persons(spark, sf_dir)))
+    orgs = orgs if orgs is not None else V.organisations(spark, sf_dir)
+    return _registration_columns(J.enrich_submissions(subs, orgs, V.persons(spark, sf_dir)))
 
 
 def _registration_columns(rows: DataFrame) -> DataFrame:
@@ -456,7 +454,9 @@ def organisation_registration_summaries(
     rows = FL.filter_optional_eq(rows, "nation_id", nation_id)
     rows = FL.filter_csv(rows, "application_reference_number", app_refs)
     order = [F.col("submitted_date_time").desc(), F.col("submission_id").asc()]
-    page = W.page_clamped(rows.select("submitted_date_time", "submission_id"), order, page_number, page_size)
+    # the filtered keys are written once; the count and the page come from them, not from the joins
+    keys = cut_lineage(rows.select("submitted_date_time", "submission_id"))
+    page = W.page_clamped(keys, order, page_number, page_size)
     return _fetch_page(
         page, order,
         lambda keys, few: _registration_rows(spark, sf_dir, _years_of_csv(years), keys.select("submission_id"), few),
@@ -464,13 +464,33 @@ def organisation_registration_summaries(
 
 
 def organisation_registration_detail(spark: SparkSession, sf_dir: str,
-                                     submission_id: int | DataFrame | None = None) -> DataFrame:
+                                     submission_id: int | DataFrame | None = None,
+                                     organisations: DataFrame | None = None,
+                                     rejects: Observation | None = None) -> DataFrame:
     """Q6: registration detail rows. One id -> at most one row (L3); a DataFrame
-    of ids or ``None`` (all) -> one row per submission (bulk form)."""
+    of ids or ``None`` (all) -> one row per submission (bulk form).
+
+    ``organisations`` takes the place of the stored ones (a delivery that is still
+    text, say): a cell that does not convert takes its default, and
+    ``rejects`` counts it per field in the pass that computes the rows (N6).
+    """
     single = submission_id is not None and not isinstance(submission_id, DataFrame)
-    if single and isinstance(submission_id, str) and not submission_id.strip():
+    out = N.align_schema(_detail_rows(spark, sf_dir, submission_id, organisations),
+                         schemas.ORGANISATION_REGISTRATION_DETAIL, rejects=rejects)
+    return W.first_or_none(out, ["submission_id"]) if single else out
+
+
+def registration_detail_rejects(spark: SparkSession, sf_dir: str, organisations: DataFrame,
+                                submission_id: int | DataFrame | None = None) -> DataFrame:
+    """The cells that Q6 defaults: ``submission_id``, ``column_name``, ``value``."""
+    return N.reject_rows(_detail_rows(spark, sf_dir, submission_id, organisations),
+                         schemas.ORGANISATION_REGISTRATION_DETAIL, ["submission_id"])
+
+
+def _detail_rows(spark, sf_dir, submission_id=None, organisations=None) -> DataFrame:
+    if isinstance(submission_id, str) and not submission_id.strip():
         raise ValueError("submission id must not be empty")
-    rows = _registration_rows(spark, sf_dir, ids=submission_id)
+    rows = _registration_rows(spark, sf_dir, ids=submission_id, orgs=organisations)
     # subsidiary counts of the registration file (A4), per file and organisation
     files = V.submissions(spark, sf_dir, kind="Registration")
     if submission_id is not None:
@@ -480,7 +500,7 @@ def organisation_registration_detail(spark: SparkSession, sf_dir: str,
                           {"number_of_online_subsidiaries": "is_online_marketplace_line",
                            "number_of_subsidiaries_closed_loop_recycling": "is_closed_loop_line"}, {})
     rows = rows.join(counts, ["file_id", "organisation_id"], "left")
-    rows = rows.select(
+    return rows.select(
         "*",
         F.lit(False).alias("is_late_submission"),
         (F.col("organisation_type") == "CS").alias("is_compliance_scheme"),
@@ -492,8 +512,6 @@ def organisation_registration_detail(spark: SparkSession, sf_dir: str,
         .alias("company_details_file_name"),
         F.col("file_id").alias("company_details_blob_name"),
     )
-    out = N.align_schema(rows, schemas.ORGANISATION_REGISTRATION_DETAIL)
-    return W.first_or_none(out, ["submission_id"]) if single else out
 
 
 # Q7 ------------------------------------------------------------------------
@@ -505,7 +523,10 @@ def requested_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resubmission_pay_parameters(spark: SparkSession, sf_dir: str,
                                 requested: DataFrame | None = None,
                                 compliance_scheme_id: int | None = None) -> DataFrame:
-    """Q7: pay parameters of POM resubmissions plus the readiness outcome."""
+    """Q7: pay parameters of POM resubmissions plus the readiness outcome.
+
+    A submission is found if it is stored; its lines are counted, none is 0.
+    """
     requested = requested if requested is not None else requested_from_events(spark, sf_dir)
     subs = with_history(V.submissions(spark, sf_dir, kind="Producer"), requested)
     orgs = V.organisations(spark, sf_dir).select("organisation_id", "organisation_type", "nation_code")
@@ -513,8 +534,8 @@ def resubmission_pay_parameters(spark: SparkSession, sf_dir: str,
     subs = subs.withColumn("compliance_scheme_id",
                            F.when(F.col("organisation_type") == "CS", F.col("organisation_id")))
     subs = FL.filter_optional_eq(subs, "compliance_scheme_id", compliance_scheme_id)
-    lines = V.pom_lines(spark, sf_dir, subs, with_part=False)
-    params = A.resubmission_parameters(lines, "submission_id", "subsidiary_key", "submitted_at",
+    lines = FL.filter_key(V.line_members(spark, sf_dir), "submission_id", requested)
+    params = A.resubmission_parameters(subs, lines, "submission_id", "subsidiary_key", "submitted_at",
                                        "is_resubmission", "nation_code")
     events = N.evolve_schema(V.submission_events(spark, sf_dir),
                              {"packaging_resubmission_reference_number": "string"})
@@ -535,6 +556,12 @@ def resubmission_pay_parameters(spark: SparkSession, sf_dir: str,
         P.classify_readiness("_found", F.lit(field_available), "reference").alias("outcome"))
 
 
+def of_file(df: DataFrame, file_id) -> DataFrame:
+    """A scan hint: the rows of one file by their numeric key (pushed); other forms pass unchanged."""
+    key = None if isinstance(file_id, DataFrame) or file_id is None else V.key_of_file_id(file_id)
+    return df if key is None else df.filter(F.col("submission_id") == key)
+
+
 # Q8 / Q9 -------------------------------------------------------------------
 def sync_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8: per submission, has it arrived in the event store (null/no row -> false)."""
@@ -542,12 +569,17 @@ def sync_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.exists_synced(subs, V.submission_events(spark, sf_dir), "submission_id", "is_synced")
 
 
-def resubmission_synchronised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q9: per file, arrived AND known with a non-blank resubmission reference."""
-    files = V.submissions(spark, sf_dir).select("file_id")
-    events = V.submission_events(spark, sf_dir)
+def resubmission_synchronised(spark: SparkSession, sf_dir: str, file_id: str | None = None) -> DataFrame:
+    """Q9: per file, arrived AND known with a non-blank resubmission reference.
+
+    One ``file_id`` is looked up by its key in all three scans.
+    """
+    files = of_file(V.submissions(spark, sf_dir), file_id).select("file_id")
+    if file_id is not None:
+        files = FL.filter_key(files, "file_id", str(file_id).strip().lower())
+    events = of_file(V.submission_events(spark, sf_dir), file_id)
     ref = F.col("packaging_resubmission_reference_number")
-    known = V.submission_events(spark, sf_dir, with_reference_only=True) \
+    known = of_file(V.submission_events(spark, sf_dir, with_reference_only=True), file_id) \
         .filter(ref.isNotNull() & (F.trim(ref) != ""))
     return J.exists_both(files, events, known, "file_id", "is_synchronised")
 
@@ -605,12 +637,6 @@ def updated_producers_v2(spark: SparkSession, sf_dir: str, start, end) -> DataFr
     return N.align_schema(rows, schemas.UPDATED_PRODUCERS_V2)
 
 
-def of_file(df: DataFrame, file_id) -> DataFrame:
-    """A scan hint: the rows of one file by their numeric key (pushed); other forms pass unchanged."""
-    key = None if isinstance(file_id, DataFrame) or file_id is None else V.key_of_file_id(file_id)
-    return df if key is None else df.filter(F.col("submission_id") == key)
-
-
 # Q13 -----------------------------------------------------------------------
 def registration_fee_details(spark: SparkSession, sf_dir: str,
                              file_id: str | DataFrame | None = None) -> DataFrame:

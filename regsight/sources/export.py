@@ -34,7 +34,7 @@ def ndjson_lines(df: DataFrame, out: str = "line") -> DataFrame:
 
 
 def ndjson_export(df: DataFrame, path: str, compression: str | None = None,
-                  mode: str = "overwrite", max_records_per_file: int | None = None) -> None:
+                  mode: str = "errorifexists", max_records_per_file: int | None = None) -> None:
     """Write ``df`` as NDJSON part files under ``path`` (optionally gzip).
 
     ``max_records_per_file`` caps the size of each part file (each task
@@ -50,6 +50,11 @@ def ndjson_export(df: DataFrame, path: str, compression: str | None = None,
 
 
 # S5 ------------------------------------------------------------------------
+def stopped_by_caller(exc: BaseException) -> bool:
+    """An interrupt or a cancelled job, not an error of the export."""
+    return not isinstance(exc, Exception) or "SPARK_JOB_CANCELLED" in str(exc)
+
+
 @dataclass
 class ExportSummary:
     records: int | None
@@ -64,8 +69,8 @@ def export_with_summary(df: DataFrame, path: str, compression: str | None = None
     """S4 plus a summary delivered once at the end, also on failure.
 
     An interrupt or a cancelled job reports status ``aborted``, any other
-    error ``failed``; both are raised again. Spark commits no output then, so
-    there is no count so far.
+    error ``failed``; both are raised again. Spark commits no output then;
+    ``resumable.export_resumable`` keeps and counts what was written so far.
     """
     obs = Observation()
     observed = df.observe(obs, F.count(F.lit(1)).alias("records"))
@@ -75,8 +80,8 @@ def export_with_summary(df: DataFrame, path: str, compression: str | None = None
         ndjson_export(observed, path, compression, max_records_per_file=max_records_per_file)
         summary = ExportSummary(int(obs.get["records"]), time.monotonic() - start, "completed", path)
     except BaseException as exc:  # reported, then raised again
-        stopped = not isinstance(exc, Exception) or "SPARK_JOB_CANCELLED" in str(exc)
-        summary = ExportSummary(None, time.monotonic() - start, "aborted" if stopped else "failed", path, str(exc))
+        status = "aborted" if stopped_by_caller(exc) else "failed"
+        summary = ExportSummary(None, time.monotonic() - start, status, path, str(exc))
         if on_complete is not None:
             on_complete(summary)
         raise

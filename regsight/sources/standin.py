@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regsight.operators.joins import bounded_broadcast
-from regsight.sources.tables import read_path, read_table, session_key, ts_ntz
+from regsight.sources.tables import is_table, read_path, read_table, session_key, ts_ntz
 
 # ---------------------------------------------------------------------------
 # Fixed values of the stand-in mapping (input definition, not logic).
@@ -72,13 +72,19 @@ def use_warehouse(spark: SparkSession, paths: dict[str, str] | None) -> None:
     to deriving the views from the warehouse tables. Every report then reads
     the stored, year-partitioned tables: year filters prune directories and
     the lines join to a filtered submission set carries the year, so
-    dynamic partition pruning applies to it.
+    dynamic partition pruning applies to it. A bucketed layout
+    (``layout.write_bucketed``) is named by its tables; joins on the
+    submission id then need no shuffle, so a join on id and year may use the
+    id's buckets.
     """
     key = session_key(spark)
     if paths is None:
         _WAREHOUSES.pop(key, None)
-    else:
-        _WAREHOUSES[key] = dict(paths)
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        return
+    _WAREHOUSES[key] = dict(paths)
+    if any(is_table(p) for p in paths.values()):
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
 def _stored(spark: SparkSession, name: str) -> str | None:
@@ -178,7 +184,7 @@ def _stored_submissions(spark, path, years, kind, statuses, submitted_between) -
 def submissions(spark: SparkSession, sf_dir: str, years=None,
                 kind: str | None = None, statuses=None,
                 submitted_between: tuple[str | None, str | None] | None = None,
-                derive: bool = False) -> DataFrame:
+                derive: bool = False, with_raw_date: bool = False) -> DataFrame:
     """One row per submission (``orders``).
 
     columns: submission_id, file_id, organisation_id, submission_type, status,
@@ -188,13 +194,17 @@ def submissions(spark: SparkSession, sf_dir: str, years=None,
     predicates on the raw columns, so they reach the parquet scan as pushed
     filters (``submitted_between`` is a superset hint; filter the exact range
     on ``submitted_at``). With a stored layout in use (``use_warehouse``) and
-    not ``derive``, the stored table is read instead.
+    not ``derive``, the stored table is read instead. ``with_raw_date`` adds
+    ``raw_date``, the date before the shift: a range on it reaches the scan
+    where one on ``submitted_at`` does not.
     """
     if kind not in (None, "Registration", "Producer"):
         raise ValueError(f"unknown submission kind {kind!r}")
     stored = None if derive else _stored(spark, "submissions")
     if stored is not None:
-        return _stored_submissions(spark, stored, years, kind, statuses, submitted_between)
+        out = _stored_submissions(spark, stored, years, kind, statuses, submitted_between)
+        raw = F.col("submitted_at") - F.make_ym_interval(F.lit(YEAR_SHIFT))
+        return out.withColumn("raw_date", raw) if with_raw_date else out
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus",
                                                   "o_orderdate", "o_orderpriority"])
     if years is not None:
@@ -228,6 +238,7 @@ def submissions(spark: SparkSession, sf_dir: str, years=None,
         period_of(submitted).alias("submission_period"),
         F.col("o_orderpriority").alias("comments"),
         (F.col("o_orderkey") % n_persons).alias("person_id"),
+        *([F.col("o_orderdate").alias("raw_date")] if with_raw_date else []),
     )
 
 
@@ -276,6 +287,16 @@ def organisations(spark: SparkSession, sf_dir: str, size: str | None = None) ->
     )
 
 
+def organisations_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``organisations`` as a delivery before conversion: text cells, some of them bad by key."""
+    key, orgs = F.col("organisation_id"), organisations(spark, sf_dir)
+    return orgs.withColumns({
+        "nation_id": F.when(key % 10 == 0, F.lit("n/a")).when(key % 17 == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("nation_id").cast("string")),
+        "is_online_marketplace": F.when(key % 15 == 0, F.lit("perhaps"))
+        .otherwise(F.col("is_online_marketplace").cast("string"))})
+
+
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submitting persons (``supplier``)."""
     s = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
@@ -398,6 +419,15 @@ def pom_lines(spark: SparkSession, sf_dir: str, subs: DataFrame | None = None,
     )
 
 
+def line_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who a submission's lines are for: ``submission_id`` and ``subsidiary_key`` per line, no join."""
+    stored = _stored(spark, "pom_lines")
+    if stored is not None:
+        return read_path(spark, stored).select("submission_id", "subsidiary_key")
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey"])
+    return lines.select(F.col("l_orderkey").alias("submission_id"), F.col("l_suppkey").alias("subsidiary_key"))
+
+
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text columns as an upstream system would deliver them (for N1-N9, S2, S3).
 

@@ -27,12 +27,20 @@ def session_key(spark: SparkSession) -> int:
     return id(getattr(spark, "_jsparkSession", spark))
 
 
+TABLE_PREFIX = "table:"
+
+
+def is_table(path: str) -> bool:
+    return path.startswith(TABLE_PREFIX)
+
+
 def read_path(spark: SparkSession, path: str) -> DataFrame:
-    """``spark.read.parquet(path)`` with the files that are there now.
+    """``spark.read.parquet(path)``, or a table of the catalog named ``table:...``.
 
-    Nothing is kept between reports: several of them ask what has just landed.
+    The files are those that are there now, nothing is kept between reports:
+    several of them ask what has just landed.
     """
-    return spark.read.parquet(path)
+    return spark.table(path.removeprefix(TABLE_PREFIX)) if is_table(path) else spark.read.parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,

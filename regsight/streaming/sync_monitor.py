@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from regsight.session import scratch_path
 from regsight.sources.tables import SUBMISSION_EVENT_SCAN_SCHEMA
 
 
@@ -43,25 +42,26 @@ def arrivals_stream(events: DataFrame) -> DataFrame:
             .agg(F.min("load_ts").alias("first_loaded"), F.max("load_ts").alias("last_loaded")))
 
 
-def start_monitor(spark: SparkSession, path: str, sink_name: str = "last_sync_time",
-                  checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+def start_monitor(spark: SparkSession, path: str, checkpoint: str, sink_name: str = "last_sync_time",
+                  available_now: bool = True) -> StreamingQuery:
     """Start the A1 monitor into a memory table named ``sink_name``.
 
+    ``checkpoint`` is a folder that stays from run to run: a run goes on where the last one ended.
     ``available_now`` processes what has landed and stops (batch-like runs
     under a scheduler); otherwise it runs continuously.
     """
     query = (last_sync_time_stream(event_stream(spark, path))
              .writeStream.outputMode("complete").format("memory").queryName(sink_name)
-             .option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{sink_name}")))
+             .option("checkpointLocation", checkpoint))
     query = query.trigger(availableNow=True) if available_now else query
     return query.start()
 
 
-def write_arrivals(spark: SparkSession, path: str, out_path: str,
-                   checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+def write_arrivals(spark: SparkSession, path: str, out_path: str, checkpoint: str,
+                   available_now: bool = True) -> StreamingQuery:
     """Maintain the arrivals table: each micro-batch appends its changed keys.
 
-    Readers take ``max(last_loaded)`` per submission id (J3 only asks whether
+    ``checkpoint`` is a folder that stays from run to run. Readers take ``max(last_loaded)`` per submission id (J3 only asks whether
     a row exists, so repeated keys across batches are harmless).
     """
     def sink(batch: DataFrame, _epoch: int) -> None:
@@ -69,6 +69,6 @@ def write_arrivals(spark: SparkSession, path: str, out_path: str,
 
     query = (arrivals_stream(event_stream(spark, path))
              .writeStream.outputMode("update").foreachBatch(sink)
-             .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-arrivals")))
+             .option("checkpointLocation", checkpoint))
     query = query.trigger(availableNow=True) if available_now else query
     return query.start()

@@ -27,6 +27,16 @@ def test_extract_poms_gzip(spark, sf_small, capsys):
     assert all(json.loads(x)["organisationId"] is not None for x in lines)
 
 
+def test_extract_in_parts_again(spark, sf_small, capsys):
+    out = scratch_path(spark, "cli-parts")
+    for _ in range(2):
+        assert main(["extract", "organisations", "--sf-dir", sf_small, "--year", "2026", "--out", out,
+                     "--parts", "5"]) == 0
+        summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+        assert summary["records"] == R.paycal_organisations(spark, sf_small, 2026).count()
+    assert spark.read.json(out).count() == summary["records"]
+
+
 def test_extract_rejects_year_before_any_job(capsys):
     code = main(["extract", "organisations", "--sf-dir", "/nonexistent", "--year", "2024",
                  "--out", "/nonexistent/out"])

@@ -45,10 +45,11 @@ def test_camel_case_of_snake(words):
     assert camel.lower() == name.replace("_", "")
 
 
+@settings(max_examples=15, deadline=None)
 @given(moment=st.datetimes(dt.datetime(1990, 1, 1), dt.datetime(2090, 1, 1)))
-def test_request_datetime_round_trip(moment):
+def test_request_datetime_round_trip(spark, moment):
     from regsight.plans.reports import parse_request_datetime
-    assert parse_request_datetime(moment.isoformat() + "Z") == moment
+    assert parse_request_datetime(moment.isoformat() + "Z", spark) == moment
 
 
 @settings(max_examples=5, deadline=None)

@@ -11,7 +11,8 @@ from regsight.streaming import sync_monitor as S
 
 
 def test_stream_last_sync_time_equals_batch(spark, sf_small):
-    q = S.start_monitor(spark, os.path.join(sf_small, "events*.parquet"), sink_name="t_last_sync")
+    q = S.start_monitor(spark, os.path.join(sf_small, "events*.parquet"),
+                        scratch_path(spark, "t-last-ckpt"), sink_name="t_last_sync")
     q.awaitTermination(120)
     got = spark.sql("SELECT last_sync_time FROM t_last_sync").first()[0]
     assert got == A.last_sync_time_value(V.submission_events(spark, sf_small))
@@ -19,7 +20,7 @@ def test_stream_last_sync_time_equals_batch(spark, sf_small):
 
 def test_stream_arrivals_equal_batch_distinct(spark, sf_small):
     out = scratch_path(spark, "t-arrivals")
-    q = S.write_arrivals(spark, os.path.join(sf_small, "events*.parquet"), out)
+    q = S.write_arrivals(spark, os.path.join(sf_small, "events*.parquet"), out, scratch_path(spark, "t-arr-ckpt"))
     q.awaitTermination(120)
     streamed = {r.submission_id for r in spark.read.parquet(out).select("submission_id").collect()}
     batch = {r.submission_id for r in V.submission_events(spark, sf_small)
