@@ -58,7 +58,8 @@ RANGE_BYTES = 32 << 20   # text of a range; raise it with the table, a range is
 TRIE_BYTES = 16 << 20    # different texts a task holds before the shuffle
 TRIE_ROWS = 1 << 16
 SAMPLES = 16
-LEAD = 4096
+LEAD = 1024
+KEY = 32
 CHUNK = 1 << 20          # words of a long text are tested a chunk at a time
 
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -139,33 +140,38 @@ def splitters(docs: DataFrame, text_col: str, range_bytes: int) -> list[tuple[by
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.xxhash64(text)
     chance = (F.octet_length(text) + 64) * (SAMPLES / range_bytes)
-    sample = (docs.select(F.substring(text, 1, LEAD).alias("lead"), digest.alias("digest"), chance.alias("c"))
+    # a text is as heavy as the input tasks that hold it: each sends it once
+    sample = (docs.select(F.substring(text, 1, LEAD).alias("lead"), digest.alias("digest"), chance.alias("c"),
+                          F.spark_partition_id().alias("task"))
               .filter(F.pmod(F.col("digest"), F.lit(1 << 30)) < F.col("c") * (1 << 30))
-              .select("lead", "digest").distinct())
+              .select("lead", "digest", "task").distinct())
 
     def cut(batches):
-        last, seen, run = None, 0, 0
+        last, seen, run, different, before = None, 0, 0, 0, None
         made = []
         for batch in batches:
-            for lead in batch.column(0).to_pylist():
+            for lead, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lead = lead.encode()
                 seen += 1
                 if lead == last:
-                    run += 1
+                    run, different, before = run + 1, different + (own != before), own
                     continue
-                if run >= 2 * SAMPLES:       # the run is a range of its own, divided by hash
-                    made.append((last, run // SAMPLES))
+                if run >= 2 * SAMPLES:       # the run is a range of its own, its texts divided by hash
+                    made.append((last, max(1, different // SAMPLES)))
                     seen = SAMPLES
                 if last is not None and seen >= SAMPLES:
                     made.append((lead[:common_length(last, lead, 0) + 1], 1))
                     seen = 0
-                last, run = lead, 1
+                last, run, different, before = lead, 1, 1, own
         if run >= 2 * SAMPLES:
-            made.append((last, run // SAMPLES))
+            made.append((last, max(1, different // SAMPLES)))
         yield pa.RecordBatch.from_pydict({"prefix": pa.array([p for p, _ in made], pa.binary()),
                                           "ways": pa.array([w for _, w in made], pa.int32())})
 
-    got = sample.orderBy("lead").select("lead").mapInArrow(cut, "prefix binary, ways int").collect()
+    # dealt by a short key, whose sample goes to the driver; rows of one lead stay together
+    ordered = (sample.withColumn("key", F.substring("lead", 1, KEY)).repartitionByRange("key")
+               .sortWithinPartitions("lead", "digest").select("lead", "digest"))
+    got = ordered.mapInArrow(cut, "prefix binary, ways int").collect()
     ways: dict[bytes, int] = {b"": 1}
     for r in got:
         ways[bytes(r["prefix"])] = max(r["ways"], ways.get(bytes(r["prefix"]), 1))
