@@ -76,6 +76,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "regsight", f"{name}-{uuid.uuid4().hex}")
 
 
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Remove folders of ``scratch_path`` that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
