@@ -11,13 +11,15 @@ No row is dropped: when a source runs out, the remaining ones go on with their
 own weights (the next phase, at most one per source), and the bound holds
 within each phase. Only row counts per source and partition reach the driver.
 
-A row's ordinal in its source comes from a range partitioning by (source,
-hash): partitions are contiguous, so the ordinal is the place in the
-partition plus the rows of the source before it. A hot source spans many
-partitions and is never windowed.
+A row's ordinal in its source comes from a range partitioning of keys (source,
+hash of the identifier, hashes of the row): partitions are contiguous, so the
+ordinal is the place in the partition plus the rows of the source before it. A
+hot source spans many partitions and is never windowed. Only keys are ranged
+and written; the rows are joined to their places at the end, one of equal rows to
+all of theirs.
 
 Defined results: a null source is a source of its own; repeated rows take
-consecutive ordinals; rows of one identifier (null is one) go by the hash of
+consecutive ordinals; rows of one identifier (null is one) go by 128 hash bits of
 their kept columns, so the schedule does not depend on how rows are stored; an empty table gives no
 rows; a source without a given weight gets weight 1.
 """
@@ -106,14 +108,17 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "
     spark = docs.sparkSession
     added = ["block", "slot", "place", "release", "deadline", "phase"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    tie = [F.col(c) for c in kept if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
-    # _m only parts equal rows, which take each other's place
+    tie = [F.to_json(F.struct(c)) if re.search("map<|variant", docs.schema[c].dataType.simpleString())
+           else F.col(c) for c in kept]
+    key = ["_s", "_h", "_r", "_q"]
     rows = docs.select(*[F.col(c).alias(f"_c_{c}") for c in kept], F.col(source_col).alias("_s"),
-                       F.xxhash64(F.col(id_col)).alias("_h"), F.xxhash64(*(tie or [F.lit(0)])).alias("_r"),
-                       F.monotonically_increasing_id().alias("_m"))
+                       F.xxhash64(F.col(id_col)).alias("_h"), F.xxhash64(F.lit(1), *tie).alias("_r"),
+                       F.xxhash64(F.lit(2), *tie).alias("_q"))
     path = scratch_path(spark, "mix-ranged")
-    (rows.repartitionByRange("_s", "_h", "_r", "_m").sortWithinPartitions("_s", "_h", "_r", "_m")
-     .withColumn("_at", F.monotonically_increasing_id()).drop("_r", "_m").write.parquet(path))
+    # _m only parts equal rows, which take each other's place
+    (rows.select(*key, F.monotonically_increasing_id().alias("_m"))
+     .repartitionByRange(*key, "_m").sortWithinPartitions(*key, "_m")
+     .withColumn("_at", F.monotonically_increasing_id()).drop("_m").write.parquet(path))
     ranged = spark.read.parquet(path).withColumn("_p", F.shiftright("_at", 33))
     # rows of a source in a partition are contiguous; partitions x sources that meet there
     parts = ranged.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"))
@@ -143,6 +148,9 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "
            .join(F.broadcast(plan_df), F.col("_s").eqNullSafe(F.col("ps")))
            .withColumn("_t", F.element_at(F.filter("steps", lambda x: x["first"] <= F.col("block")), -1))
            .withColumn("_k", F.col("block") - F.col("_t.first")))
+    same = [F.col(f"_k{c}").eqNullSafe(F.col(c)) for c in key]
+    one = rows.dropDuplicates(key).withColumnsRenamed({c: f"_k{c}" for c in key})
+    out = out.join(one, same)
     t = "_t."
     turn = F.expr("_k div _t.weight")
     within = F.element_at(F.col(t + "slots"), (F.col("_k") % F.col(t + "weight") + 1).cast("int"))

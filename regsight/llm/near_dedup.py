@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from regsight.llm.components import components
 from regsight.llm.text import Words, annotate, mix, numbered, powers, text_slices
-from regsight.session import scratch_path
+from regsight.session import drop_scratch, scratch_path
 
 SHINGLE = 5
 BANDS, ROWS = 36, 7
@@ -261,10 +261,12 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
               .filter(F.col("least") != F.col("most")).select("key", "least"))
     ties = (keys.join(shared, "key").filter(F.col("node") != F.col("least"))
             .select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+    done = [path]
     path = scratch_path(spark, "near-ties")
     ties.write.parquet(path)
     path_loose = scratch_path(spark, "near-loose")
     components(spark.read.parquet(path)).write.parquet(path_loose)
+    done += [path, path_loose]
     loose = spark.read.parquet(path_loose)
 
     # blocks of a component, then every pair of blocks
@@ -292,13 +294,14 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                          "v": pa.array([x for _, x in made], pa.int64()),
                          "cut": pa.array([cut] * len(made), pa.bool_())})
 
-    path = scratch_path(spark, "near-links")
-    work.groupBy("label", "i", "j").applyInArrow(verify, "u long, v long, cut boolean").write.parquet(path)
-    links = spark.read.parquet(path)
+    path_links = scratch_path(spark, "near-links")
+    work.groupBy("label", "i", "j").applyInArrow(verify, "u long, v long, cut boolean").write.parquet(path_links)
+    links = spark.read.parquet(path_links)
     labels = components(links)
     path = scratch_path(spark, "near-labels")
     labels.write.parquet(path)
     labels = spark.read.parquet(path)
+    drop_scratch(spark, *done, path_links)
 
     nodes = heads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = nodes.groupBy("label").agg(F.min("h").alias("best"), F.sum("rows").alias("class_size"))

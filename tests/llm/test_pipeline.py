@@ -28,6 +28,16 @@ def test_stages_on_small_tables(spark, tmp_path, sf):
     assert set(columns) <= set(docs.columns) and "shard" in docs.columns
 
 
+def test_mixing_carries_equal_rows_and_columns_that_do_not_hash(spark):
+    rows = [(i % 3 and i, "same text", None if i % 5 == 0 else "a", {"k": str(i % 2)}) for i in range(60)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,string>")
+    out = MX.with_schedule(docs.repartition(5))
+    assert out.columns == ["doc_id", "text", "source", "tags", "slot", "place"]
+    got = Counter(str((r.doc_id, r.text, r.source, r.tags)) for r in out.collect())
+    assert got == Counter(str(r) for r in rows)
+    assert len({(r.slot, r.place) for r in out.collect()}) == len(rows)
+
+
 def test_run_on_empty_documents(spark, tmp_path, sf):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
