@@ -18,8 +18,11 @@ from pyspark.sql import types as T
 from regsight.functions import normalise as N
 from regsight.functions import scalar as P
 from regsight.operators import aggregate as A
+from regsight.operators import changes as CH
 from regsight.operators import filters as FL
 from regsight.operators import joins as J
+from regsight.operators import name_index as NI
+from regsight.operators import page_directory as PD
 from regsight.operators import paging as W
 from regsight.operators import project as PR
 from regsight.plans import reports as R
@@ -46,6 +49,8 @@ Q3_APPROVED_AFTER, Q3_AS_OF = "2024-03-01 00:00:00", dt.date(2025, 6, 1)
 Q4_AS_OF = dt.date(2026, 6, 1)
 Q5_YEARS, Q5_STATUSES = "2025,2026", "Accepted,Pending"
 EXPORT_PARTS = 12
+DIRECTORY_SIZE = 150
+INDEX_NAME = "MER#0000000"
 # a request with filters: the page holds all its rows at the checked sizes
 LIST_SIZE, LIST_USER = 2000, 3
 LIST_NAME, LIST_TYPE, LIST_STATUSES = "00", "CS", "Rejected, Pending"
@@ -491,6 +496,34 @@ def l3(spark, d):
     return W.first_per_key(subs, "organisation_id", ["submitted_at", "submission_id"])
 
 
+def l2_directory(spark, d):
+    """The last page of a list from its stored order; ties and nulls in the order's first columns."""
+    path, order = scratch_path(spark, "page-directory"), [F.col("half").asc_nulls_last(), F.col("submission_year").desc(),
+                                                          F.col("submission_id").asc()]
+    subs = V.submissions(spark, d, kind="Registration").select(
+        "submission_id", "submission_year", F.when(F.col("submission_period").like("%-H%"), F.substring_index(
+            "submission_period", "-", -1)).alias("half"))
+    PD.write_directory(subs, path, order, range_rows=200)
+    return _page_frame(PD.directory_page(spark, PD.open_directory(spark, path), order, L2_PAGE, DIRECTORY_SIZE))
+
+
+def f3_index(spark, d):
+    orgs, path = V.organisations(spark, d), scratch_path(spark, "name-index")
+    NI.write_name_index(orgs, path, "organisation_id", "organisation_name")
+    return NI.search_names(spark, path, INDEX_NAME).select(
+        F.col("id").alias("organisation_id"), F.col("name").alias("organisation_name"))
+
+
+def f5_changes(spark, d):
+    return CH.changed_keys(V.organisation_vintage(spark, d, 1), V.organisation_vintage(spark, d, 2),
+                           ["organisation_id"])
+
+
+def q11_changes(spark, d):
+    return R.changed_producers(spark, d, V.organisation_vintage(spark, d, 1), V.organisation_vintage(spark, d, 2),
+                               Q11_TO)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # end-to-end reports
     "pom_summaries": q1,
@@ -540,7 +573,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # requests with every filter, rejects of a report, a resumed export
     "pom_summaries_request": q1_request, "registration_summaries_request": q2_request,
     "lenient_report": n6_report, "reject_rows": n6_rows, "lenient_defaults": n6_defaults,
-    "export_resumed": s5_resumed,
+    "export_resumed": s5_resumed, "page_from_directory": l2_directory, "filter_name_indexed": f3_index,
+    "organisation_changes": f5_changes, "changed_producers": q11_changes,
     **SQL_QUERIES,
 }
 

@@ -626,3 +626,42 @@ ORACLE |= {
       WHEN submission_type = 'Producer' AND submission_period LIKE '%-H2' THEN 'January to December ' || submission_year
       ELSE 'January to June' END AS actual_submission_period FROM sub""",
 }
+
+# the vintages of ``standin.organisation_vintage``
+_VINTAGES = (
+    ("old", """SELECT *, CASE WHEN organisation_id % 5 = 0 THEN NULL ELSE 'County' END AS county
+      FROM org WHERE organisation_id % 13 <> 0"""),
+    ("new", """SELECT * REPLACE (CASE WHEN organisation_id % 7 = 0 THEN postcode || 'A' ELSE postcode END AS postcode),
+      CASE WHEN organisation_id % 5 = 0 THEN '' ELSE 'County' END AS county
+      FROM org WHERE organisation_id % 11 <> 0 OR organisation_id % 13 = 0"""),
+    ("ch", """SELECT organisation_id, 'inserted' AS change FROM new
+        WHERE organisation_id NOT IN (SELECT organisation_id FROM old)
+      UNION ALL SELECT organisation_id, 'removed' FROM old
+        WHERE organisation_id NOT IN (SELECT organisation_id FROM new)
+      UNION ALL SELECT o.organisation_id, 'updated' FROM old o JOIN new n USING (organisation_id)
+        WHERE o.postcode IS DISTINCT FROM n.postcode OR o.county IS DISTINCT FROM n.county"""))
+_CHANGED = {f.name: f.name for f in schemas.UPDATED_PRODUCERS.fields if f.name in (
+    "organisation_name", "trading_name", "organisation_type", "companies_house_number", "county", "country",
+    "postcode", "business_country", "organisation_id")} | {
+    "status": "change", "updated_date_time": f"TIMESTAMP '{C.Q11_TO}'",
+    "peprid": "'PRD' || lpad(CAST(organisation_id AS VARCHAR), 8, '0')"}
+ORACLE |= {
+    "organisation_changes": _with(*_VINTAGES) + "SELECT * FROM ch",
+    "changed_producers": _with(*_VINTAGES, ("shown", """SELECT * FROM new UNION ALL BY NAME
+        SELECT * FROM old WHERE organisation_id NOT IN (SELECT organisation_id FROM new)""")) + f"""
+      SELECT {schemas.sql_select_list(schemas.UPDATED_PRODUCERS, _CHANGED)}
+      FROM shown JOIN ch USING (organisation_id)""",
+    "filter_name_indexed": _with() + f"""SELECT organisation_id, organisation_name FROM org
+      WHERE contains(lower(organisation_name), lower('{C.INDEX_NAME}'))""",
+    "page_from_directory": _with(
+        ("r", """SELECT submission_id, submission_year,
+                 CASE WHEN submission_period LIKE '%-H%' THEN split_part(submission_period, '-', 2) END AS half
+                 FROM sub WHERE submission_type = 'Registration'"""),
+        ("pg", f"""SELECT count(*) AS total, greatest(1, least({C.L2_PAGE},
+                  CAST(ceil(count(*) / {C.DIRECTORY_SIZE}.0) AS INTEGER))) AS cur FROM r"""),
+        ("ranked", """SELECT r.*, row_number() OVER (ORDER BY half ASC NULLS LAST, submission_year DESC,
+                      submission_id) AS rn FROM r"""),
+    ) + f"""SELECT ranked.* EXCLUDE (rn), CAST(pg.total AS BIGINT) AS total_items,
+      CAST(pg.cur AS INTEGER) AS current_page
+    FROM ranked, pg WHERE rn > (pg.cur - 1) * {C.DIRECTORY_SIZE} AND rn <= pg.cur * {C.DIRECTORY_SIZE}""",
+}

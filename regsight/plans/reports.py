@@ -18,6 +18,7 @@ from regsight import schemas
 from regsight.functions import normalise as N
 from regsight.functions import scalar as P
 from regsight.operators import aggregate as A
+from regsight.operators import changes as CH
 from regsight.operators import filters as FL
 from regsight.operators import joins as J
 from regsight.operators import paging as W
@@ -637,6 +638,20 @@ def updated_producers_v2(spark: SparkSession, sf_dir: str, start, end) -> DataFr
     return N.align_schema(rows, schemas.UPDATED_PRODUCERS_V2)
 
 
+def changed_producers(spark: SparkSession, sf_dir: str, old: DataFrame, new: DataFrame, updated_at) -> DataFrame:
+    """Q11 from two vintages of the organisations: what arrived, changed or left between them.
+
+    ``status`` is the change; ``updated_at`` is the instant of the newer vintage.
+    Changes of any column that the extract shows count, others do not.
+    """
+    shown = [c for c in new.columns if c in schemas.UPDATED_PRODUCERS.fieldNames() and c != "organisation_id"]
+    rows = CH.change_set(old, new, ["organisation_id"], shown)
+    rows = rows.select(
+        "*", F.col("change").alias("status"), F.lit(instant_text(updated_at)).alias("updated_date_time"),
+        F.concat(F.lit("PRD"), F.lpad(F.col("organisation_id").cast("string"), 8, "0")).alias("peprid"))
+    return N.align_schema(rows, schemas.UPDATED_PRODUCERS)
+
+
 # Q13 -----------------------------------------------------------------------
 def registration_fee_details(spark: SparkSession, sf_dir: str,
                              file_id: str | DataFrame | None = None) -> DataFrame:

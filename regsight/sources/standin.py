@@ -287,6 +287,20 @@ def organisations(spark: SparkSession, sf_dir: str, size: str | None = None) ->
     )
 
 
+def organisation_vintage(spark: SparkSession, sf_dir: str, vintage: int) -> DataFrame:
+    """``organisations`` as of an earlier (1) or the present load (2).
+
+    Between the two, by key: every 13th organisation arrives, every 11th leaves
+    (and is gone from the second), every 7th changes its postcode, every 5th a null county.
+    """
+    key, orgs = F.col("organisation_id"), organisations(spark, sf_dir)
+    early, arrives, leaves = vintage == 1, key % 13 == 0, key % 11 == 0
+    county = F.when(key % 5 == 0, F.lit(None if early else "")).otherwise(F.lit("County"))
+    moved = F.when(key % 7 == 0, F.concat("postcode", F.lit("A"))).otherwise(F.col("postcode"))
+    out = orgs.withColumn("county", county).withColumn("postcode", F.col("postcode") if early else moved)
+    return out.filter(~arrives if early else ~leaves | arrives)
+
+
 def organisations_delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``organisations`` as a delivery before conversion: text cells, some of them bad by key."""
     key, orgs = F.col("organisation_id"), organisations(spark, sf_dir)
