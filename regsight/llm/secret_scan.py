@@ -15,7 +15,8 @@ between ``= / _ -`` that holds it out of the candidate, and no piece so long tha
 it may hold such letters by chance.
 
 Defined results: a null text counts as empty and has no span; repeated rows
-are scanned alike; texts are scanned whole.
+are scanned alike; texts are scanned whole, in time proportional to their length and matches;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ CHANGE = r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"
 #: the allow-list's words, and the longest piece they take out
 WORDS, PIECE_MOST = ALLOW[0], 40
 
+_ZERO = ord("A")
 _SPAN = "array<struct<start:int,end:int,kind:int,match:string>>"
 
 
@@ -56,20 +58,42 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
     """Spans of the leftmost non-overlapping matches, in code points."""
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found,
-                       lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(
+        F.length(p).alias("before"), F.length(m).alias("own")))
+    starts = _numbers(F.aggregate(
+        pairs, F.struct(F.lit(0).alias("at"), *_nothing()),
+        lambda acc, x: F.struct((acc["at"] + x["before"] + x["own"]).alias("at"),
+                                *_noted(acc, acc["at"] + x["before"])), _notes))
+    spans = F.zip_with(starts, found, lambda begin, m: F.struct(
+        begin.alias("start"), (begin + F.length(m)).alias("end"), F.lit(kind).alias("kind"), m.alias("match")))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
+# A fold that grows an array copies it at each step. Numbers are noted in a short text instead, which
+# goes to the long one when it is full.
+_BLOCK = 4096
+
+
+def _nothing() -> tuple[Column, Column]:
+    return F.lit("").alias("block"), F.lit("").alias("notes")
+
+
+def _noted(acc, number: Column) -> tuple[Column, Column]:
+    block = F.concat(acc["block"], F.lit(","), number.cast("string"))
+    full = F.octet_length(block) >= _BLOCK
+    return (F.when(full, F.lit("")).otherwise(block).alias("block"),
+            F.when(full, F.concat(acc["notes"], block)).otherwise(acc["notes"]).alias("notes"))
+
+
+def _notes(acc) -> Column:
+    return F.concat(acc["notes"], acc["block"])
+
+
+def _numbers(notes: Column) -> Column:
+    """The noted numbers: a leading comma parts nothing."""
+    return F.transform(F.filter(F.split(notes, ","), lambda x: x != ""), lambda x: x.cast("int"))
+
+
 def _least_entropy(s: Column) -> Column:
     out = F.lit(CLASSES[-1][2])
     for _, pattern, bits in reversed(CLASSES[:-1]):
@@ -105,24 +129,24 @@ def _hot_range(candidate: Column, least: Column | None = None) -> Column:
     enough entropy, in the candidate; null where none is."""
     window = F.lit(WINDOW)
     term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    symbol = F.transform(F.sequence(F.lit(1), F.length(candidate["match"])),
-                         lambda i: F.instr(F.lit(ALPHABET), F.substring(candidate["match"], i, F.lit(1))))
+    symbol = F.transform(F.filter(F.split(candidate["match"], ""), lambda c: c != ""),
+                         lambda c: F.instr(F.lit(ALPHABET), c))
     bits = _least_entropy(candidate["match"]) if least is None else least
     prepared = F.array(F.struct(symbol.alias("symbol"), bits.alias("bits")))
 
     def slide(p):
         # step 2i takes character i - window out, step 2i + 1 takes character i in
-        start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("count"), F.lit(0.0).alias("sum"),
+        # a symbol's count is a letter of a text as long as the alphabet: one letter changes a step
+        start = F.struct(F.lit(chr(_ZERO) * len(ALPHABET)).alias("count"), F.lit(0.0).alias("sum"),
                          F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
 
         def step(acc, j):
             i = F.floor(j / 2).cast("int")
             enters = j % 2 == 1
             at = F.element_at(p["symbol"], F.when(enters, i + 1).otherwise(i - window + 1))
-            had = F.element_at(acc["count"], at)
+            had = F.ascii(F.substring(acc["count"], at, F.lit(1))) - _ZERO
             has = had + F.when(enters, F.lit(1)).otherwise(F.lit(-1))
-            count = F.concat(F.slice(acc["count"], F.lit(1), at - 1), F.array(has),
-                             F.slice(acc["count"], at + 1, F.lit(len(ALPHABET))))
+            count = F.overlay(acc["count"], F.char(has + _ZERO), at, F.lit(1))
             total = acc["sum"] + F.element_at(term, has + 1) - F.element_at(term, had + 1)
             full = enters & (i >= window - 1)
             hot = full & (F.lit(math.log2(WINDOW)) - total / WINDOW >= p["bits"])
@@ -144,6 +168,27 @@ def _joined(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _outside(spans: str, base: str) -> Column:
+    """The spans (in order) that lie in none of ``base``: one pass over both in order of start, base first,
+    that carries the farthest end of a base span so far."""
+    order = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("i"), b["end"].alias("end"))),
+        F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (i + 1).alias("i"),
+                                                 s["end"].alias("end")))))
+
+    def step(acc, x):
+        keeps = (x["i"] > 0) & (x["end"] > acc["reach"])
+        block, notes = _noted(acc, x["i"])
+        return F.struct(F.when(x["i"] == 0, F.greatest(acc["reach"], x["end"])).otherwise(acc["reach"]).alias("reach"),
+                        F.when(keeps, block).otherwise(acc["block"]).alias("block"),
+                        F.when(keeps, notes).otherwise(acc["notes"]).alias("notes"))
+
+    start = F.struct(F.lit(0).alias("reach"), *_nothing())
+    kept = _numbers(F.aggregate(order, start, step, _notes))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), F.col(spans)).otherwise(
+        F.transform(kept, lambda i: F.element_at(spans, i)))
+
+
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) plus ``secrets`` (array of start, end, kind,
     match), ``n_assign``, ``n_access``, ``n_hex``, ``n_entropy``, ``base_sha256`` and ``spans``."""
@@ -156,6 +201,8 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: list[str] | N
                       lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= ASSIGN_LEAST)
     rows = rows.select("*", F.concat(assign, _matches(text, ACCESS, 1), _matches(text, HEX, 2)).alias("_base"),
                        _candidates(text).alias("_cand"))
+    # what lies in a base span gives no span of its own
+    rows = rows.withColumn("_cand", _outside("_cand", "_base"))
     windows = F.transform("_cand", lambda s: F.struct(s.alias("s"), _hot_range(s).alias("r")))
     rows = rows.select(*[c for c in rows.columns if c not in ("_t", "_cand")], windows.alias("_win"))
     retry = F.transform("_win", lambda w: F.when(
@@ -167,8 +214,8 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", keep: list[str] | N
         (w["s"]["start"] + w["r"]["low"]).alias("start"), (w["s"]["start"] + w["r"]["high"]).alias("end"),
         F.lit(3).alias("kind"),
         F.substring(w["s"]["match"], w["r"]["low"] + 1, w["r"]["high"] - w["r"]["low"]).alias("match")))
-    hot = F.filter(hot, lambda h: ~F.exists("_base", lambda b: (b["start"] <= h["start"]) & (h["end"] <= b["end"])))
-    rows = rows.select(*[c for c in rows.columns if c != "_win"], hot.alias("_entropy"))
+    rows = rows.select(*[c for c in rows.columns if c != "_win"], hot.alias("_hot"))
+    rows = rows.select(*[c for c in rows.columns if c != "_hot"], _outside("_hot", "_base").alias("_entropy"))
     names = F.array(*[F.lit(k) for k in KINDS])
     every = F.array_sort(F.transform(F.concat("_base", "_entropy"), lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("k"), s["end"].alias("end"), s["match"].alias("match"))))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -170,24 +171,38 @@ def brute_base(text):
     return sorted(out)
 
 
+def candidates(text):
+    """Candidates with the pieces of allow-list words blanked out."""
+    for m in re.finditer(SS.CANDIDATE, text):
+        pieces = re.findall("[=/_-]|[^=/_-]+", m[0])
+        left = "".join(" " * len(x) if re.search(SS.WORDS, x) and len(x) <= SS.PIECE_MOST else x for x in pieces)
+        for c in re.finditer(SS.CANDIDATE, left):
+            yield m.start() + c.start(), c[0]
+
+
 def brute_entropy(text):
-    """Whole-window entropies, recounted for each window."""
+    """Whole-window entropies, recounted for each window; short candidates by the lower bound too."""
     out = []
-    for m in re.finditer(SS.CANDIDATE, text):
-        s = m[0]
+    for start, s in candidates(text):
         if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
             continue
-        if any(re.search(p.replace(r"\z", r"\Z"), s) for p in SS.ALLOW):
+        if any(re.search(p.replace(r"\z", r"\Z"), s) for p in SS.ALLOW if p != SS.WORDS):
             continue
-        bits = next(b for _, p, b in SS.CLASSES if re.search(p.replace(r"\z", r"\Z"), s))
-        hot = []
-        for i in range(len(s) - SS.WINDOW + 1):
-            n = Counter(s[i:i + SS.WINDOW])
-            h = math.log2(SS.WINDOW) - sum(c * math.log2(c) for c in n.values()) / SS.WINDOW
-            if h >= bits - 1e-9:
-                hot.append(i)
-        if hot:
-            out.append((m.start() + hot[0], 3, m.start() + hot[-1] + SS.WINDOW))
+        least = next((p, b) for _, p, b in SS.CLASSES if re.search(p.replace(r"\z", r"\Z"), s))
+        bounds = [least[1]]
+        if (len(s) <= SS.SHORT and least[0] != SS.CLASSES[0][1]
+                and len(re.findall(SS.CHANGE, s)) >= SS.SHORT_CHANGES):
+            bounds.append(SS.SHORT_BITS)
+        for bits in bounds:
+            hot = []
+            for i in range(len(s) - SS.WINDOW + 1):
+                n = Counter(s[i:i + SS.WINDOW])
+                h = math.log2(SS.WINDOW) - sum(c * math.log2(c) for c in n.values()) / SS.WINDOW
+                if h >= bits - 1e-9:
+                    hot.append(i)
+            if hot:
+                out.append((start + hot[0], 3, start + hot[-1] + SS.WINDOW))
+                break
     base = brute_base(text)
     return [e for e in out if not any(b[0] <= e[0] and e[2] <= b[2] for b in base)]
 
@@ -215,6 +230,25 @@ def test_secrets_against_brute_force(spark, documents):
     assert any("entropy" in w[5] for w in want)
 
 
+def test_many_matches_and_long_runs_in_seconds(spark):
+    rng = np.random.default_rng(12)
+    hexes = " ".join("".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(20_000))
+    blob = "".join(rng.choice(list(SS.ALPHABET[:62]), 200_000))
+    mixed = " ".join(f"token={'a1' * 5}{i} k{blob[i * 40:i * 40 + 39]}" for i in range(3000))
+    rows = [(1, hexes, None, None), (2, blob, None, None), (3, mixed, None, None)]
+    start = time.monotonic()
+    out = {r.doc_id: r for r in SS.scan_secrets(docs_frame(spark, rows).repartition(3), keep=["doc_id"]).collect()}
+    assert time.monotonic() - start < 120      # quadratic forms took several minutes
+    assert out[1].n_hex == 20_000 and out[1].n_entropy == 0
+    assert out[2].n_entropy == 1 and out[3].n_assign == 3000
+    base, more = brute_base(mixed), brute_entropy(mixed)
+    assert out[3].spans == ",".join(f"{SS.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
+
+
+def test_secrets_of_no_rows(spark):
+    assert SS.scan_secrets(docs_frame(spark, EDGE).limit(0)).collect() == []
+
+
 def test_secrets_beside_allowed_words_and_short_ones(spark):
     rng = np.random.default_rng(5)
     letters = SS.ALPHABET[:62]
