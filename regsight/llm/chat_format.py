@@ -102,17 +102,44 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+IMPLIED_LEAST = 16
+
+
+def _without_implied(edges: DataFrame) -> DataFrame:
+    """Edges (``id``, ``on``) without those that a way of two edges implies.
+
+    In a graph without cycles the longest ways stay. An edge to w is only implied by
+    one to a v of greater identifier (by length, then text): the greatest of the
+    dependencies that lead to a cycle is then never left out, so what is on or
+    behind a cycle stays so. Calls of more than ``IMPLIED_LEAST`` dependencies imply
+    nothing; that costs rounds, not results.
+    """
+    degree = _stored(edges.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "chat-degree")
+    several = edges.join(degree.filter("n > 1").select("id"), "id", "left_semi")
+    if several.isEmpty():
+        return edges
+    short = edges.join(degree.filter(F.col("n") <= IMPLIED_LEAST).select("id"), "id", "left_semi") \
+        .select(F.col("id").alias("via"), "on")
+    ways = several.select("id", F.col("on").alias("via")).filter("id <> via").join(short, "via")
+    implied = ways.filter(F.struct(F.length("via"), "via") > F.struct(F.length("on"), "on")).select("id", "on")
+    return _stored(edges.join(implied, ["id", "on"], "left_anti"), "chat-edges")
+
+
 def topological_levels(calls: DataFrame) -> DataFrame:
     """``id`` and ``level`` of calls (``id``, ``depends_on``); ids on or behind a cycle are missing.
 
+    A dependency that another dependency of the call has itself is no longer way
+    and is left out first, so consecutive turns, each on the two before, are a chain.
     Calls of one dependency form chains, and a long conversation is one long
     chain: each such call finds the call its chain starts from, and the
-    distance to it, by pointer doubling. Calls of several dependencies are then
-    resolved in rounds over those starts.
+    distance to it, by pointer doubling, in rounds as the logarithm of its length. Calls
+    of several dependencies that remain are then resolved in rounds over those
+    starts, as many as the longest way over such calls.
     """
     ids = _stored(calls.filter("id is not null").select("id").distinct(), "chat-ids")
     edges = _stored(calls.filter("id is not null").select("id", F.explode("depends_on").alias("on")).distinct()
                     .join(ids.withColumnRenamed("id", "on"), "on", "left_semi").select("id", "on"), "chat-edges")
+    edges = _without_implied(edges)
     known = _stored(ids.join(edges, "id", "left_anti").select("id", F.lit(0).cast("long").alias("level")),
                     "chat-roots")
     degree = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("on").alias("ptr"))

@@ -376,3 +376,39 @@ def test_levels_are_longest_ways(spark):
     rows = [(str(i), [str(d) for d in ds]) for i, ds in deps.items()]
     got = CF.topological_levels(spark.createDataFrame(rows, "id string, depends_on array<string>")).collect()
     assert {r.id: r.level for r in got} == level
+
+
+def brute_levels(deps):
+    """Longest ways by repeated resolution; what is on or behind a cycle is missing."""
+    level = {}
+    while True:
+        ready = {i: max((level[d] + 1 for d in ds if d in deps), default=0) for i, ds in deps.items()
+                 if i not in level and all(d in level for d in ds if d in deps)}
+        if not ready:
+            return level
+        level |= ready
+
+
+def test_levels_where_ways_imply_edges(spark):
+    rng = np.random.default_rng(17)
+    deps = {}
+    for g in range(12):      # triangles, self-loops and cycles that imply each other's edges
+        for i in range(14):
+            low = 0 if g % 3 else i      # some groups run backwards only into themselves
+            picks = rng.integers(0, 14 if g % 2 else max(i, 1), rng.integers(0, 5))
+            deps[f"{g}:{i}"] = {f"{g}:{int(x)}" for x in picks if g % 2 or int(x) < i} | ({f"{g}:{low}"} if g == 3 else set())
+    deps |= {"u": {"v", "w", "x"}, "v": {"w"}, "w": {"x"}, "x": {"v"}, "z": {"z", "y"}, "y": set(), "q": {"gone", "y"}}
+    rows = [(i, sorted(ds)) for i, ds in deps.items()]
+    got = CF.topological_levels(spark.createDataFrame(rows, "id string, depends_on array<string>")).collect()
+    assert {r.id: r.level for r in got} == brute_levels(deps)
+
+
+def test_long_conversations_take_few_rounds(spark, monkeypatch):
+    """Consecutive turns of one role each depend on the two before."""
+    n, writes, real = 10_000, [], CF._stored
+    monkeypatch.setattr(CF, "_stored", lambda df, name: writes.append(name) or real(df, name))
+    ids = [f"c:{t}" for t in range(n)]
+    rows = [(ids[t], [ids[d] for d in (t - 1, t - 2) if d >= 0]) for t in range(n)]
+    got = CF.topological_levels(spark.createDataFrame(rows, "id string, depends_on array<string>")).collect()
+    assert {r.id: r.level for r in got} == {i: t for t, i in enumerate(ids)}
+    assert len(writes) < 60, len(writes)
