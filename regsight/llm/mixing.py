@@ -21,13 +21,15 @@ all of theirs.
 Defined results: a null source is a source of its own; repeated rows take
 consecutive ordinals; rows of one identifier (null is one) go by 128 hash bits of
 their kept columns, so the schedule does not depend on how rows are stored; an empty table gives no
-rows; a source without a given weight gets weight 1.
+rows; a source without a given weight, or of weight 0, comes after all others.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,8 @@ from regsight.session import scratch_path
 
 BLOCK_ROWS = 64
 MAX_SOURCES = 1_000   # a target weight per source is a setting; group more sources than this
-RESOLUTION = 1_000     # weights are integers of about this total
+RESOLUTION = 1_000     # weights that follow from row counts are integers of about this total
+MAX_CYCLE = 100_000  # given shares are kept exactly up to this many slots a cycle
 
 
 def cycle(weights: list[int]) -> list[int]:
@@ -60,7 +63,7 @@ def cycle(weights: list[int]) -> list[int]:
 
 
 def phases(blocks: dict, weights: dict) -> list[tuple]:
-    """(source, phase, first block, first slot, cycle length, slots of a cycle) rows.
+    """(source, phase, first block, first slot, cycle length, slots of a cycle, weight) rows.
 
     A phase lasts until a source has no block left; within it, block ``first +
     c * w + j`` of a source stands at slot ``first slot + c * length + slots[j]``.
@@ -69,7 +72,9 @@ def phases(blocks: dict, weights: dict) -> list[tuple]:
     used = dict.fromkeys(left, 0)
     out, slot, phase = [], 0, 0
     while left:
-        names = sorted(left, key=lambda s: (s is not None, s))
+        # a source of weight 0 waits until the others have run out
+        weights = weights if any(weights[s] for s in left) else dict.fromkeys(left, 1)
+        names = sorted((s for s in left if weights[s]), key=lambda s: (s is not None, s))
         order = cycle([weights[s] for s in names])
         own: dict = {s: [] for s in names}
         for at, i in enumerate(order):
@@ -79,7 +84,7 @@ def phases(blocks: dict, weights: dict) -> list[tuple]:
         end = min((left[s] - 1) // weights[s] * length + own[s][(left[s] - 1) % weights[s]] + 1
                   for s in names)
         for s in names:
-            out.append((s, phase, used[s], slot, length, own[s]))
+            out.append((s, phase, used[s], slot, length, own[s], weights[s]))
             took = end // length * weights[s] + sum(at < end % length for at in own[s])
             used[s] += took
             left[s] -= took
@@ -89,11 +94,25 @@ def phases(blocks: dict, weights: dict) -> list[tuple]:
     return out
 
 
-def integer_weights(counts: dict, targets: dict | None, resolution: int) -> dict:
-    """Integer weights: the given shares, or shares by the square root of the size."""
-    raw = {s: (targets.get(s, 0) if targets is not None else n ** 0.5) for s, n in counts.items()}
-    total = sum(raw.values()) or 1
-    return {s: max(1, round(w / total * resolution)) for s, w in raw.items()}
+def integer_weights(counts: dict, targets: dict | None, resolution: int = RESOLUTION) -> dict:
+    """Integer weights in exactly the given shares, or by the square root of the size.
+
+    A share is read as the decimal number it is written as. Shares whose exact
+    cycle would be longer than ``MAX_CYCLE`` slots are refused.
+    """
+    if targets is None:
+        total = sum(n ** 0.5 for n in counts.values()) or 1
+        return {s: max(1, round(n ** 0.5 / total * resolution)) for s, n in counts.items()}
+    shares = {s: Fraction(str(targets.get(s, 0))) for s in counts}
+    if any(w < 0 for w in shares.values()):
+        raise ValueError("a target weight is negative")
+    whole = math.lcm(*[w.denominator for w in shares.values()]) if shares else 1
+    weights = {s: int(w * whole) for s, w in shares.items()}
+    least = math.gcd(*weights.values()) or 1
+    weights = {s: w // least for s, w in weights.items()}
+    if sum(weights.values()) > MAX_CYCLE:
+        raise ValueError(f"the shares need a cycle of {sum(weights.values())} slots; round them to at most {MAX_CYCLE}")
+    return weights
 
 
 def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "doc_id",
@@ -102,8 +121,8 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "
     """``keep`` columns (default all) plus ``block``, ``slot``, ``place`` (in the
     block), ``release``, ``deadline`` (slots) and ``phase``. Order by (slot, place).
 
-    ``targets`` maps sources to shares; without it a source's share follows
-    the square root of its number of rows.
+    ``targets`` maps sources to shares, which are kept exactly; without it a source's
+    share follows the square root of its number of rows.
     """
     spark = docs.sparkSession
     added = ["block", "slot", "place", "release", "deadline", "phase"]
@@ -137,8 +156,8 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "
     kind = docs.schema[source_col].dataType.simpleString()
     base_df = spark.createDataFrame(base, f"s {kind}, p long, base long")
     steps: dict = {}
-    for s, phase, first, slot, length, own in plan:
-        steps.setdefault(s, []).append((phase, first, slot, length, weights[s], own))
+    for s, phase, first, slot, length, own, weight in plan:
+        steps.setdefault(s, []).append((phase, first, slot, length, weight, own))
     plan_df = spark.createDataFrame(
         list(steps.items()), f"ps {kind}, steps array<struct<phase:int,first:long,slot:long,length:int,"
                              "weight:int,slots:array<int>>>")

@@ -138,6 +138,45 @@ def test_mixing_order(spark):
     assert MX.mix_sources(docs_frame(spark, EDGE)).count() == len(EDGE)
 
 
+def simulated(blocks, weights):
+    """Source per slot: each slot to the released block of the earliest deadline, block by block."""
+    left, out = dict(blocks), []
+    while left:
+        live = {s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1)
+        names, total = sorted(live, key=lambda s: (s is not None, s)), sum(live.values())
+        done, t = dict.fromkeys(names, 0), 0
+        while all(left[s] for s in names):
+            ready = [s for s in names if done[s] * total // live[s] <= t]
+            pick = min(ready, key=lambda s: (-(-(done[s] + 1) * total // live[s]), names.index(s)))
+            out.append(pick)
+            done[pick] += 1
+            left[pick] -= 1
+            t += 1
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+@pytest.mark.parametrize("targets", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.0001, "b": 0.9999, "c": 0},
+                                     {"a": 7, "b": 1}, {}])
+def test_schedule_equals_a_simulation(spark, targets):
+    sizes = {"a": 130, "b": 61, "c": 33, None: 10}
+    rows = [(i, "t", None, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = MX.mix_sources(docs_frame(spark, rows), targets, block_rows=3).select("slot", "source").distinct().collect()
+    weights = MX.integer_weights(sizes, targets)
+    assert [r.source for r in sorted(got, key=lambda r: r.slot)] == simulated(
+        {s: -(-n // 3) for s, n in sizes.items()}, weights)
+
+
+def test_given_shares_are_exact():
+    counts = {"a": 5, "b": 5, "c": 5}
+    assert MX.integer_weights(counts, {"a": 0.0001, "b": 0.9999}) == {"a": 1, "b": 9999, "c": 0}
+    assert MX.integer_weights(counts, {"a": 0.5, "b": 0.25, "c": 0.25}) == {"a": 2, "b": 1, "c": 1}
+    with pytest.raises(ValueError, match="slots"):
+        MX.integer_weights(counts, {"a": 0.0000001, "b": 1})
+    with pytest.raises(ValueError, match="negative"):
+        MX.integer_weights(counts, {"a": -1})
+
+
 # near dedup
 def shingles(text, n=5):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII))
