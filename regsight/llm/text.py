@@ -14,6 +14,7 @@ the longest document.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,9 @@ WORD_BYTES[48:58] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
 TOKEN_BYTES = np.ones(256, bool)
 TOKEN_BYTES[32] = TOKEN_BYTES[9:14] = False
 
+#: A polynomial modulo 2**64 has equal values for some words of two letters from about a thousand letters
+#: on, whatever its base; longer words than this take a hash without that weakness.
+LONG_WORD = 128
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -79,6 +83,8 @@ class Words:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * powers(_BASE_INV, n + 1)[self.start])
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            self.hash[i] = int.from_bytes(blake2b(self.word(i), digest_size=8).digest(), "little")
         self.first = np.searchsorted(self.start, offsets)
 
     def __len__(self) -> int:
