@@ -117,27 +117,36 @@ def integer_weights(counts: dict, targets: dict | None, resolution: int = RESOLU
 
 def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "doc_id",
                 source_col: str = "source", block_rows: int = BLOCK_ROWS,
-                resolution: int = RESOLUTION, keep: list[str] | None = None) -> DataFrame:
+                resolution: int = RESOLUTION, keep: list[str] | None = None,
+                tie_cols: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) plus ``block``, ``slot``, ``place`` (in the
     block), ``release``, ``deadline`` (slots) and ``phase``. Order by (slot, place).
 
     ``targets`` maps sources to shares, which are kept exactly; without it a source's
-    share follows the square root of its number of rows.
+    share follows the square root of its number of rows. Rows of one identifier are
+    ordered by a hash of ``tie_cols`` (default: the kept columns).
     """
     spark = docs.sparkSession
     added = ["block", "slot", "place", "release", "deadline", "phase"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    tie = [F.to_json(F.struct(c)) if re.search("map<|variant", docs.schema[c].dataType.simpleString())
-           else F.col(c) for c in kept]
-    key = ["_s", "_h", "_r", "_q"]
+    def hashed(seed, columns):
+        # a null cell takes no part in a hash: its place is hashed beside it
+        nulls = F.concat_ws("", *[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+        return F.xxhash64(F.lit(seed), nulls, *[
+            F.to_json(F.struct(c)) if re.search("map<|variant", docs.schema[c].dataType.simpleString()) else F.col(c)
+            for c in columns])
+
+    whole = list(dict.fromkeys([*kept, id_col, source_col]))
+    key = ["_h", "_r", "_q"]       # says which row it is, its source included
     rows = docs.select(*[F.col(c).alias(f"_c_{c}") for c in kept], F.col(source_col).alias("_s"),
-                       F.xxhash64(F.col(id_col)).alias("_h"), F.xxhash64(F.lit(1), *tie).alias("_r"),
-                       F.xxhash64(F.lit(2), *tie).alias("_q"))
+                       F.xxhash64(F.col(id_col)).alias("_h"), hashed(0, kept if tie_cols is None else tie_cols).alias("_o"),
+                       hashed(1, whole).alias("_r"), hashed(2, whole).alias("_q"))
     path = scratch_path(spark, "mix-ranged")
     # _m only parts equal rows, which take each other's place
-    (rows.select(*key, F.monotonically_increasing_id().alias("_m"))
-     .repartitionByRange(*key, "_m").sortWithinPartitions(*key, "_m")
-     .withColumn("_at", F.monotonically_increasing_id()).drop("_m").write.parquet(path))
+    order = ["_s", "_h", "_o", "_r", "_q", "_m"]
+    (rows.select("_s", "_o", *key, F.monotonically_increasing_id().alias("_m"))
+     .repartitionByRange(*order).sortWithinPartitions(*order)
+     .withColumn("_at", F.monotonically_increasing_id()).drop("_m", "_o").write.parquet(path))
     ranged = spark.read.parquet(path).withColumn("_p", F.shiftright("_at", 33))
     # rows of a source in a partition are contiguous; partitions x sources that meet there
     parts = ranged.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"))
@@ -167,9 +176,8 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "
            .join(F.broadcast(plan_df), F.col("_s").eqNullSafe(F.col("ps")))
            .withColumn("_t", F.element_at(F.filter("steps", lambda x: x["first"] <= F.col("block")), -1))
            .withColumn("_k", F.col("block") - F.col("_t.first")))
-    same = [F.col(f"_k{c}").eqNullSafe(F.col(c)) for c in key]
-    one = rows.dropDuplicates(key).withColumnsRenamed({c: f"_k{c}" for c in key})
-    out = out.join(one, same)
+    # the rows are dealt by their key once, for both the choice of one of equal rows and the join
+    out = out.join(rows.drop("_s", "_o").dropDuplicates(key), key)
     t = "_t."
     turn = F.expr("_k div _t.weight")
     within = F.element_at(F.col(t + "slots"), (F.col("_k") % F.col(t + "weight") + 1).cast("int"))
@@ -191,8 +199,9 @@ def mix_in_order(docs: DataFrame, targets: dict | None = None, *, id_col: str =
 
 
 def with_schedule(docs: DataFrame, targets: dict | None = None, *, id_col: str = "doc_id",
-                  source_col: str = "source", **options) -> DataFrame:
+                  source_col: str = "source", tie_cols: list[str] | None = None, **options) -> DataFrame:
     """The documents with ``slot`` and ``place``, whatever their order is now."""
     plain, own = numbered(docs)
-    out = mix_sources(plain, targets, id_col=own[id_col], source_col=own[source_col], **options)
+    tie = None if tie_cols is None else [own[c] for c in tie_cols]
+    out = mix_sources(plain, targets, id_col=own[id_col], source_col=own[source_col], tie_cols=tie, **options)
     return out.select(*[F.col(c).alias(name) for name, c in own.items()], "slot", "place")

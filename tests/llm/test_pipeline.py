@@ -30,6 +30,8 @@ def test_stages_on_small_tables(spark, tmp_path, sf):
 
 def test_mixing_carries_equal_rows_and_columns_that_do_not_hash(spark):
     rows = [(i % 3 and i, "same text", None if i % 5 == 0 else "a", {"k": str(i % 2)}) for i in range(60)] * 4
+    # rows that differ only in which cell is null
+    rows += [(7, "x", None, None), (7, None, "x", None), (None, "x", "7", None), (7, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,string>")
     out = MX.with_schedule(docs.repartition(5))
     assert out.columns == ["doc_id", "text", "source", "tags", "slot", "place"]
