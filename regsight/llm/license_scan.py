@@ -39,36 +39,81 @@ UNKNOWN_PHRASES = 2
 MAX_GAP = 8  # words between two parts of one statement
 NONE, UNKNOWN = "none", "unknown"
 
-#: One or more statements per licence family.
+#: Statements per licence family, short notices and sentences of the notices' bodies.
 TEMPLATES = {
     "agpl": ["This work is licensed under the GNU Affero General Public License, version 3.",
-             "Licensed under the GNU AGPL v3."],
+             "Licensed under the GNU AGPL v3.",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+             "Affero General Public License as published by the Free Software Foundation",
+             "You should have received a copy of the GNU Affero General Public License along with this program."],
     "apache": ["Licensed under the Apache License, Version 2.0.",
                "You may not use this file except in compliance with the License. You may obtain a copy of the "
-               "License at http://www.apache.org/licenses/LICENSE-2.0"],
+               "License at http://www.apache.org/licenses/LICENSE-2.0",
+               "Unless required by applicable law or agreed to in writing, software distributed under the License "
+               "is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express "
+               "or implied."],
+    "boost": ["Distributed under the Boost Software License, Version 1.0.",
+              "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+              "software and accompanying documentation covered by this license"],
     "bsd": ["Released under the BSD 3-Clause License.", "Licensed under the 2-Clause BSD License.",
             "Redistribution and use in source and binary forms, with or without modification, are permitted "
-            "provided that the following conditions are met"],
+            "provided that the following conditions are met",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and "
+            "the following disclaimer.",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+            "promote products derived from this software without specific prior written permission."],
     "cc-by": ["Licensed under CC BY 4.0.",
               "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.",
                  "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.",
                  "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc0": ["Licensed under CC0 1.0 Universal.",
+            "To the extent possible under law, the author has waived all copyright and related or neighboring "
+            "rights to this work."],
+    "epl": ["Licensed under the Eclipse Public License 2.0.",
+            "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+            "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
             "General Public License as published by the Free Software Foundation",
-            "Licensed under the GNU GPL v3."],
+            "Licensed under the GNU GPL v3.",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+            "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General "
+            "Public License for more details.",
+            "You should have received a copy of the GNU General Public License along with this program."],
+    "isc": ["Licensed under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+            "is hereby granted, provided that the above copyright notice and this permission notice appear in all "
+            "copies."],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.",
-             "Licensed under the GNU LGPL v2.1."],
+             "Licensed under the GNU LGPL v2.1.",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+             "Lesser General Public License as published by the Free Software Foundation",
+             "You should have received a copy of the GNU Lesser General Public License along with this library."],
     "mit": ["Released under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files"],
+            "associated documentation files",
+            "to deal in the Software without restriction, including without limitation the rights to use, copy, "
+            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial "
+            "portions of the Software."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-            "Licensed under the Mozilla Public License 2.0."],
+            "Licensed under the Mozilla Public License 2.0.",
+            "If a copy of the MPL was not distributed with this file, You can obtain one at "
+            "http://mozilla.org/MPL/2.0/."],
     "proprietary": ["All rights reserved.",
                     "All rights reserved. No part of this work may be reproduced without written permission.",
                     "Copyright. All rights reserved. Proprietary and confidential."],
+    "unlicense": ["Released under the Unlicense.",
+                  "This is free and unencumbered software released into the public domain.",
+                  "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either "
+                  "in source code form or as a compiled binary, for any purpose"],
+    "zlib": ["Released under the zlib License.",
+             "This software is provided 'as-is', without any express or implied warranty. In no event will the "
+             "authors be held liable for any damages arising from the use of this software.",
+             "Permission is granted to anyone to use this software for any purpose, including commercial "
+             "applications, and to alter it and redistribute it freely"],
 }
 #: licence-like statements of no family above, for the unknown class
 OTHER = ["Licensed under the terms of the {} License.", "Released under the {} Public License, version 1.",
@@ -223,7 +268,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", fit_windows: int = FIT_WINDO
             label.append(0)
     label = np.array(label)
     held = rng.random(len(label)) < 0.2
-    weights, bias = _train([g for g, h in zip(grams, held, strict=True) if not h], label[~held], len(names))
+    # every statement weighs alike, whatever its family's number of them
+    many = np.array([4, *[len(s) for s in TEMPLATES.values()], len(OTHER)], float)
+    weights, bias = _train([g for g, h in zip(grams, held, strict=True) if not h], label[~held], many)
     z = np.stack([weights[g].sum(axis=0) / np.sqrt(max(1, len(g))) + bias for g in grams])
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(
         _softmax(z[held] / t)[np.arange(held.sum()), label[held]] + 1e-12).mean())
@@ -245,16 +292,17 @@ def _pairs(w: Windows, d: int | None = None) -> frozenset:
     return frozenset(out - {0})
 
 
-def _train(grams: list[np.ndarray], label: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multinomial logistic regression by full-batch gradient steps with momentum, classes weighted alike."""
+def _train(grams: list[np.ndarray], label: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic regression by full-batch gradient steps with momentum, classes weighted by ``many``."""
+    classes = len(many)
     flat = np.concatenate(grams)
     size = np.array([len(g) for g in grams])
     row = np.repeat(np.arange(len(grams)), size)
     begin = np.cumsum(size) - size
     scale = 1 / np.sqrt(np.maximum(size, 1))
     target = np.eye(classes)[label]
-    share = 1 / np.maximum(np.bincount(label, minlength=classes), 1)
-    cost = (share / share[np.unique(label)].sum())[label] * len(np.unique(label)) / classes
+    share = many / many.mean() / np.maximum(np.bincount(label, minlength=classes), 1)
+    cost = (share / (1 / np.maximum(np.bincount(label, minlength=classes), 1))[np.unique(label)].sum())[label]
     weights, bias = np.zeros((DIMS, classes)), np.zeros(classes)
     speed, bias_speed = np.zeros_like(weights), np.zeros(classes)
     for _ in range(ROUNDS):

@@ -352,6 +352,48 @@ def test_wrapped_notices(spark, licence_model):
     assert out[70].n_paragraphs == 3 and out[71].license == "none"
 
 
+BODIES = {
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS.""",
+    "zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "epl": """ * This program and the accompanying materials are made
+ * available under the terms of the Eclipse Public License 2.0
+ * which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "mit": """The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.""",
+    "cc0": """To the extent possible under law, the author has waived all
+copyright and related or neighboring rights to this work.""",
+}
+
+
+def test_bodies_of_notices(spark, licence_model):
+    rows = [(200 + k, f"some code\n\n{t}\n\nmore code", None, None) for k, t in enumerate(BODIES.values())]
+    out = {r.doc_id: r for r in LS.scan_licenses(docs_frame(spark, rows), licence_model).collect()}
+    assert {f: out[200 + k].license for k, f in enumerate(BODIES)} == {f: f for f in BODIES}
+    assert {x.family for k in range(len(BODIES)) for x in out[200 + k].licenses} == {*BODIES, "unknown"}
+
+
 def test_every_statement_of_a_long_line(spark, licence_model):
     fill = "the weather was mild and the river ran low " * 60
     mit, gpl = "Released under the MIT License.", LS.TEMPLATES["gpl"][0]
