@@ -250,10 +250,11 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     (rows.groupBy("_d1", "_d2").agg(head.alias("h"), F.count(F.lit(1)).alias("rows"))
      .select("_d1", "_d2", "h", F.col("h.c").alias("node"), "rows").write.parquet(path))
     heads = spark.read.parquet(path)
-    reps = rows.filter(F.size("_bands") > 0).join(heads.select(F.col("node").alias("_m")), "_m")
+    # the text's size goes into the join, not the text
+    narrow = rows.filter(F.size("_bands") > 0).select(F.col("_m").alias("node"), "_sig",
+                                                      F.octet_length(text).alias("bytes"), "_bands")
     path = scratch_path(spark, "near-bands")
-    reps.select(F.col("_m").alias("node"), "_sig", F.octet_length(text).alias("bytes"), "_bands") \
-        .write.parquet(path)
+    narrow.join(heads.select("node"), "node").select("node", "_sig", "bytes", "_bands").write.parquet(path)
     reps = spark.read.parquet(path)
 
     keys = reps.select("node", F.explode("_bands").alias("key"))
