@@ -168,6 +168,13 @@ class Model:
     templates: dict[str, list[frozenset]]
     phrases: frozenset       # word pairs of licence statements of any kind
 
+    def likely(self, w: Windows) -> np.ndarray:
+        """Windows that can be confirmed at all: they hold two word pairs of templates or phrases."""
+        marks = np.sort(np.array(list(self.phrases.union(*(t for f in self.templates.values() for t in f))), np.uint64))
+        at = np.minimum(np.searchsorted(marks, w.pairs), len(marks) - 1)
+        hits = np.concatenate([[0], np.cumsum(marks[at] == w.pairs)])
+        return hits[np.maximum(w.high - 1, w.low)] - hits[w.low] >= UNKNOWN_PHRASES
+
     def probabilities(self, w: Windows) -> np.ndarray:
         """Class probabilities per window: a sum over its grams by prefix sums."""
         uni = np.zeros((len(w.uni) + 1, len(self.bias)))
@@ -334,7 +341,7 @@ def scan_licenses(docs: DataFrame, model: Model, *, text_col: str = "text",
                 w = Windows(words)
                 lines += w.paragraphs.tolist()
                 p = model.probabilities(w)
-                judged = [_judge(model, w, k, p[k]) for k in np.flatnonzero(p[:, 0] < 0.5).tolist()]
+                judged = [_judge(model, w, k, p[k]) for k in np.flatnonzero((p[:, 0] < 0.5) & model.likely(w)).tolist()]
                 points = np.append(0, np.cumsum((buf & 0xC0) != 0x80)) if any(judged) else None
                 for confidence, family, similarity, lo, hi in filter(None, judged):
                     d = int(np.searchsorted(words.first, lo, "right")) - 1
