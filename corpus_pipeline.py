@@ -1,10 +1,11 @@
 """A training-corpus pipeline over ``documents``.
 
 Each stage gets what its predecessor kept, read back from Parquet, and all but
-the last return the columns of documents. The order of the mixing stage is the
-order of its rows, which neither Parquet splits nor a hash into shards keep: the
-last stage returns the schedule itself, ``slot`` and ``place``, and a shard's
-rows are read in that order. Sharding keeps every row.
+the last return the columns of documents. What the mixing stage decides is the
+order of its rows, and it is stored as that: files are numbered in it, and rows
+within a file. The last stage takes each row's stored place along and returns
+the schedule of that order, ``slot`` and ``place``, which a hash into shards would
+lose; a shard's rows are read in that order. Sharding keeps every row.
 """
 
 from __future__ import annotations
@@ -45,10 +46,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Give each document its shard and its ``slot`` and ``place`` in the mixing schedule.
 
-    The schedule follows from the rows alone, so it is that of the stage before.
+    The rows of a source keep the order in which the stage before has stored them; rows
+    that are not read from files take the order that stage would give them.
     """
     prepare(spark)
-    return mixing.with_schedule(sharding.shard_documents(docs, SHARD_LIMIT), tie_cols=docs.columns)
+    stored, order = mixing.stored_places(docs)
+    shards = sharding.shard_documents(stored, SHARD_LIMIT)
+    return mixing.with_schedule(shards, tie_cols=docs.columns, order_cols=order).drop(*order)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

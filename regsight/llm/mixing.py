@@ -14,7 +14,8 @@ within each phase. Only row counts per source and partition reach the driver.
 A row's ordinal in its source comes from a range partitioning of keys (source,
 hash of the identifier, hashes of the row): partitions are contiguous, so the
 ordinal is the place in the partition plus the rows of the source before it. A
-hot source spans many partitions and is never windowed. Only keys are ranged
+hot source spans many partitions and is never windowed. Rows that have been mixed
+and stored can keep the order they are stored in instead (``stored_places``). Only keys are ranged
 and written; the rows are joined to their places at the end, one of equal rows to
 all of theirs.
 
@@ -31,6 +32,7 @@ import math
 import re
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,13 +120,14 @@ def integer_weights(counts: dict, targets: dict | None, resolution: int = RESOLU
 def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "doc_id",
                 source_col: str = "source", block_rows: int = BLOCK_ROWS,
                 resolution: int = RESOLUTION, keep: list[str] | None = None,
-                tie_cols: list[str] | None = None) -> DataFrame:
+                tie_cols: list[str] | None = None, order_cols: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default all) plus ``block``, ``slot``, ``place`` (in the
     block), ``release``, ``deadline`` (slots) and ``phase``. Order by (slot, place).
 
     ``targets`` maps sources to shares, which are kept exactly; without it a source's
     share follows the square root of its number of rows. Rows of one identifier are
-    ordered by a hash of ``tie_cols`` (default: the kept columns).
+    ordered by a hash of ``tie_cols`` (default: the kept columns). With ``order_cols``
+    the rows of a source go in the order of those columns.
     """
     spark = docs.sparkSession
     added = ["block", "slot", "place", "release", "deadline", "phase"]
@@ -140,13 +143,15 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "
     key = ["_h", "_r", "_q"]       # says which row it is, its source included
     rows = docs.select(*[F.col(c).alias(f"_c_{c}") for c in kept], F.col(source_col).alias("_s"),
                        F.xxhash64(F.col(id_col)).alias("_h"), hashed(0, kept if tie_cols is None else tie_cols).alias("_o"),
-                       hashed(1, whole).alias("_r"), hashed(2, whole).alias("_q"))
+                       hashed(1, whole).alias("_r"), hashed(2, whole).alias("_q"),
+                       *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order_cols or [])])
+    by = [f"_by{i}" for i in range(len(order_cols or []))]
     path = scratch_path(spark, "mix-ranged")
     # _m only parts equal rows, which take each other's place
-    order = ["_s", "_h", "_o", "_r", "_q", "_m"]
-    (rows.select("_s", "_o", *key, F.monotonically_increasing_id().alias("_m"))
+    order = ["_s", *by, "_h", "_o", "_r", "_q", "_m"]
+    (rows.select("_s", "_o", *by, *key, F.monotonically_increasing_id().alias("_m"))
      .repartitionByRange(*order).sortWithinPartitions(*order)
-     .withColumn("_at", F.monotonically_increasing_id()).drop("_m", "_o").write.parquet(path))
+     .withColumn("_at", F.monotonically_increasing_id()).drop("_m", "_o", *by).write.parquet(path))
     ranged = spark.read.parquet(path).withColumn("_p", F.shiftright("_at", 33))
     # rows of a source in a partition are contiguous; partitions x sources that meet there
     parts = ranged.groupBy("_s", "_p").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("low"))
@@ -177,7 +182,7 @@ def mix_sources(docs: DataFrame, targets: dict | None = None, *, id_col: str = "
            .withColumn("_t", F.element_at(F.filter("steps", lambda x: x["first"] <= F.col("block")), -1))
            .withColumn("_k", F.col("block") - F.col("_t.first")))
     # the rows are dealt by their key once, for both the choice of one of equal rows and the join
-    out = out.join(rows.drop("_s", "_o").dropDuplicates(key), key)
+    out = out.join(rows.drop("_s", "_o", *by).dropDuplicates(key), key)
     t = "_t."
     turn = F.expr("_k div _t.weight")
     within = F.element_at(F.col(t + "slots"), (F.col("_k") % F.col(t + "weight") + 1).cast("int"))
@@ -198,10 +203,27 @@ def mix_in_order(docs: DataFrame, targets: dict | None = None, *, id_col: str =
     return out.orderBy("slot", "place").select(*[F.col(c).alias(name) for name, c in own.items()])
 
 
+def stored_places(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with the place at which each is stored, and the columns that say it; none where rows are not read from files.
+
+    Spark numbers the files of a sorted table in its order; a file's rows are numbered as they lie in it,
+    however a reader splits or packs the files.
+    """
+    at = {"_stored_part": r"try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) AS BIGINT)",
+          "_stored_file": "_metadata.file_path", "_stored_row": "_metadata.row_index"}
+    try:
+        return docs.select("*", *[F.expr(e).alias(c) for c, e in at.items()]), list(at)
+    except AnalysisException:
+        return docs, []
+
+
 def with_schedule(docs: DataFrame, targets: dict | None = None, *, id_col: str = "doc_id",
-                  source_col: str = "source", tie_cols: list[str] | None = None, **options) -> DataFrame:
-    """The documents with ``slot`` and ``place``, whatever their order is now."""
+                  source_col: str = "source", tie_cols: list[str] | None = None,
+                  order_cols: list[str] | None = None, **options) -> DataFrame:
+    """The documents with ``slot`` and ``place``, whatever their order is now, or, with ``order_cols``,
+    in the order of these columns within each source."""
     plain, own = numbered(docs)
     tie = None if tie_cols is None else [own[c] for c in tie_cols]
-    out = mix_sources(plain, targets, id_col=own[id_col], source_col=own[source_col], tie_cols=tie, **options)
+    out = mix_sources(plain, targets, id_col=own[id_col], source_col=own[source_col], tie_cols=tie,
+                      order_cols=[own[c] for c in order_cols or []], **options)
     return out.select(*[F.col(c).alias(name) for name, c in own.items()], "slot", "place")

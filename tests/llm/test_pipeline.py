@@ -69,3 +69,21 @@ def test_shards_carry_the_mixing_schedule(spark, sf, monkeypatch):
     for t in range(1, first_out + 1):
         done = Counter(order[:t])
         assert all(abs(done[s] - t * w / sum(weights.values())) < 1 for s, w in weights.items())
+
+
+def test_shards_take_the_order_that_mixing_has_stored(spark, tmp_path):
+    rows = [(i, f"text {i} " * 3, "en", "ab"[i % 3 == 0]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    P.mix(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "plain"))
+
+    def order(name):
+        out = P.shard(spark, spark.read.parquet(str(tmp_path / name)), "")
+        assert out.columns[:4] == docs.columns and not [c for c in out.columns if c.startswith("_")]
+        return [(r.source, r.doc_id) for r in sorted(out.collect(), key=lambda r: (r.slot, r.place))]
+
+    mixed, plain = order("mixed"), order("plain")
+    assert mixed == [(r.source, r.doc_id) for r in P.mix(spark, docs, "").collect()]
+    # without that stage the schedule is another one: each source goes as its rows are stored
+    assert [x for x in plain if x[0] == "a"] == sorted(x for x in plain if x[0] == "a") and sorted(plain) == sorted(mixed)
+    assert [s for s, _ in plain] == [s for s, _ in mixed] and plain != mixed
