@@ -13,6 +13,7 @@ index. The table is a snapshot of the names it was made from.
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 GRAM = 3
 RAREST = 3
+TASK_POSTINGS = 1 << 20   # about so many postings are held by one task, however long the list is,
+TASK_HITS = 1 << 18       # and so many of a search
 POSTINGS, COUNTS, NAMES = "postings", "counts", "names"
 
 
@@ -37,9 +40,14 @@ def write_name_index(df: DataFrame, path: str, id_col: str, name_col: str, num_f
     n = num_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = df.select(F.col(id_col).alias("id"), F.col(name_col).alias("name"))
     names.repartitionByRange(n, "id").sortWithinPartitions("id").write.parquet(os.path.join(path, NAMES))
+    # a name has fewer trigrams than characters
+    names = spark.read.parquet(os.path.join(path, NAMES))
+    k = max(n, math.ceil((names.agg(F.sum(F.length("name"))).first()[0] or 0) / TASK_POSTINGS))
+    # names of one id meet before the explode, so its postings are told apart where they are made: a task
+    # knows its own ids' only, and no posting is shuffled for it
+    postings = names.repartitionByRange(k, "id").select(F.explode(grams(F.col("name"))).alias("gram"), "id").distinct()
     # a common trigram spans several files: the range key goes on with the id
-    postings = names.select(F.explode(grams(F.col("name"))).alias("gram"), "id").distinct()
-    (postings.repartitionByRange(n, "gram", "id").sortWithinPartitions("gram", "id")
+    (postings.repartitionByRange(num_files or k, "gram", "id").sortWithinPartitions("gram", "id")
      .write.parquet(os.path.join(path, POSTINGS)))
     (spark.read.parquet(os.path.join(path, POSTINGS)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
      .repartitionByRange(n, "gram").sortWithinPartitions("gram").write.parquet(os.path.join(path, COUNTS)))
@@ -58,6 +66,7 @@ def search_names(spark: SparkSession, path: str, name: str, rarest: int = RAREST
     if len(counts) < len(low):
         return verified.limit(0)       # a trigram that no name has
     chosen = sorted(counts, key=lambda g: (counts[g], g))[:rarest]
+    tasks = math.ceil(sum(counts[g] for g in chosen) / TASK_HITS)
     hits = (spark.read.parquet(os.path.join(path, POSTINGS)).filter(F.col("gram").isin(chosen))
-            .groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(chosen)).select("id"))
+            .repartition(tasks, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(chosen)).select("id"))
     return verified.join(hits, "id", "left_semi")

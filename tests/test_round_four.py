@@ -2,7 +2,15 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from regsight.operators import filters as FL
+from regsight.operators import name_index as NI
+from regsight.operators import page_directory as PD
 from regsight.plans import catalog
+from regsight.plans import sql_functions as SQ
+from regsight.session import scratch_path
+from regsight.sources import standin as V
 
 
 def test_max_sync_time_reads_every_event(spark, tmp_path):
@@ -13,3 +21,22 @@ def test_max_sync_time_reads_every_event(spark, tmp_path):
                                 "props string").write.parquet(str(tmp_path / "events.parquet"))
     out = catalog.QUERIES["max_sync_time"](spark, str(tmp_path))
     assert [r.last_sync_time for r in out.collect()] == [dt.datetime(2025, 1, 3)]
+
+
+def test_postings_are_spread_however_long_the_list(spark, monkeypatch):
+    monkeypatch.setattr(NI, "TASK_POSTINGS", 200)
+    monkeypatch.setattr(NI, "TASK_HITS", 50)
+    rows = [(i, f"Common Ltd {i:04d}") for i in range(400)] + [(7, "Common Ltd again"), (7, "Common Ltd again"),
+                                                              (None, "Common none"), (None, "none"), (8, None)]
+    df = spark.createDataFrame(rows, "id long, name string")
+    path = NI.write_name_index(df.coalesce(1), scratch_path(spark, "t-spread"), "id", "name")
+    postings = spark.read.parquet(path + "/" + NI.POSTINGS)
+    files = postings.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 16 and max(r["count"] for r in files) < postings.count() / 8
+    assert postings.count() == postings.distinct().count()
+    held = {r.gram: r.n for r in spark.read.parquet(path + "/" + NI.COUNTS).collect()}
+    assert held["com"] == 401 and held["aga"] == 1 and held["one"] == 1
+    # a null id matches no posting, as before
+    for pattern in ("common", "ltd 0123", "again"):
+        got = sorted(tuple(r) for r in NI.search_names(spark, path, pattern).collect())
+        assert got == sorted(tuple(r) for r in FL.filter_name(df.filter("id IS NOT NULL"), "name", pattern).collect())
