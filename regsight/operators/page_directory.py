@@ -27,6 +27,7 @@ from regsight.operators.paging import Page, _validate_page, clamp_page
 
 RANGE, ROWS, FENCES, ABOUT = "_range", "rows", "fences", "about"
 RANGE_ROWS = 1_000_000
+MANY_RANGES = 1_000   # a range is a folder, a task and an entry of the driver's: of more, each holds more rows
 
 
 @dataclass
@@ -41,11 +42,16 @@ class PageDirectory:
 
 def write_directory(df: DataFrame, path: str, order_cols: list, as_of: str | None = None,
                     range_rows: int = RANGE_ROWS) -> PageDirectory:
-    """Store ``df`` in order with its fences; ranges hold about ``range_rows`` rows."""
+    """Store ``df`` in order with its fences; ranges hold about ``range_rows`` rows.
+
+    Where that would be more than ``MANY_RANGES`` ranges, they hold as many more rows,
+    up to ``RANGE_ROWS``; a page is the same rows from whatever ranges hold it.
+    """
     spark = df.sparkSession
     if RANGE in df.columns:
         raise ValueError(f"{RANGE} is the directory's own column")
-    ranges = max(1, -(-df.count() // range_rows))
+    rows = df.count()
+    ranges = max(1, -(-rows // max(range_rows, min(RANGE_ROWS, -(-rows // MANY_RANGES)))))
     (df.repartitionByRange(ranges, *order_cols).sortWithinPartitions(*order_cols)
      .withColumn(RANGE, F.spark_partition_id()).write.partitionBy(RANGE).parquet(os.path.join(path, ROWS)))
     counts = _stored(spark, path, df).groupBy(RANGE).agg(F.count(F.lit(1)).alias("n"))

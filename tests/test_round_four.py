@@ -40,3 +40,15 @@ def test_postings_are_spread_however_long_the_list(spark, monkeypatch):
     for pattern in ("common", "ltd 0123", "again"):
         got = sorted(tuple(r) for r in NI.search_names(spark, path, pattern).collect())
         assert got == sorted(tuple(r) for r in FL.filter_name(df.filter("id IS NOT NULL"), "name", pattern).collect())
+
+
+def test_ranges_of_a_long_list_hold_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(PD, "MANY_RANGES", 10)
+    df, order = spark.range(500).select("id", (F.col("id") % 3).alias("a")), [F.col("a").desc(), F.col("id").asc()]
+    path = scratch_path(spark, "t-many")
+    made = PD.write_directory(df, path, order, range_rows=2)
+    assert made.ranges == 10 and made.total == 500
+    want = [tuple(r) for r in df.orderBy(*order).collect()]
+    for page in (1, 13, 72):
+        rows = PD.directory_page(spark, made, order, page, 7).items.collect()
+        assert [tuple(r)[:2] for r in rows] == want[(page - 1) * 7:page * 7]
