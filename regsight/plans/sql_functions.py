@@ -358,7 +358,7 @@ def create_functions(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     views = {"submissions": subs, "organisations": V.organisations(spark, sf_dir),
              "persons": V.persons(spark, sf_dir), "regulators": V.regulator_nations(spark, sf_dir),
              "events": V.submission_events(spark, sf_dir), "pom_lines": V.pom_lines(spark, sf_dir, subs),
-             "lines": V.line_members(spark, sf_dir), "members": V.pom_lines(spark, sf_dir, subs, with_part=False)}
+             "lines": V.line_members(spark, sf_dir), "members": V.pom_lines(spark, sf_dir, subs, with_part=False, spread=True)}
     for name, view in views.items():
         view.createOrReplaceTempView(f"rs_{name}")
     for name, (parameters, body) in _bodies().items():

@@ -52,3 +52,12 @@ def test_ranges_of_a_long_list_hold_more_rows(spark, monkeypatch):
     for page in (1, 13, 72):
         rows = PD.directory_page(spark, made, order, page, 7).items.collect()
         assert [tuple(r)[:2] for r in rows] == want[(page - 1) * 7:page * 7]
+
+
+def test_members_are_told_apart_in_tasks_of_bounded_size(spark, sf_small, monkeypatch):
+    query = "SELECT * FROM organisation_registration_details()"
+    want = sorted(map(str, SQ.call(spark, sf_small, query).collect()))
+    monkeypatch.setattr(V, "TASK_LINES", 500)
+    out = SQ.call(spark, sf_small, query)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, out.collect())) == want
