@@ -45,6 +45,7 @@ K = BANDS * ROWS
 THRESHOLD = 0.8
 BLOCK_ROWS = 4_000
 BLOCK_BYTES = 48 << 20
+SLICE = 1 << 19     # bytes at once: a worker keeps the memory of its largest arrays for the next stage
 
 FIELDS = [T.StructField("_d1", T.LongType()), T.StructField("_d2", T.LongType()),
           T.StructField("_n", T.LongType()), T.StructField("_sig", T.BinaryType()),
@@ -125,7 +126,7 @@ def _sequence_digest(words: Words, salt: int) -> np.ndarray:
 
 def _kernel(column: pa.Array) -> dict[str, pa.Array]:
     d1, d2, n, sigs, bands = [], [], [], [], []
-    for _, _, buf, offsets in text_slices(column):
+    for _, _, buf, offsets in text_slices(column, SLICE):
         words = Words(buf, offsets)
         docs = len(offsets) - 1
         doc, value, count = shingles(words)
@@ -191,7 +192,7 @@ def link_block(nodes: np.ndarray, sigs: np.ndarray, texts: pa.Array, left: np.nd
     """
     margin = 5 * (threshold * (1 - threshold) / sigs.shape[1]) ** 0.5
     own: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0))] * len(nodes)
-    for lo, _, buf, offsets in text_slices(texts):
+    for lo, _, buf, offsets in text_slices(texts, SLICE):
         doc, value, count = shingles(Words(buf, offsets))
         cut = np.searchsorted(doc, np.arange(len(offsets)))
         for d in range(len(offsets) - 1):
