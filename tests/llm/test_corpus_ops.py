@@ -28,7 +28,7 @@ ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 @pytest.mark.parametrize("name", sorted(C.ORACLE))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(sf, t + '.parquet')}'")
     cur = con.execute(C.ORACLE[name])
     names = sorted(d[0] for d in cur.description)
